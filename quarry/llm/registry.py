@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from quarry.llm import decontamination, quality_rules, sharding, url_filters
+from quarry.llm import decontamination, quality_rules, sharding, simhash, url_filters
 
 QUERIES = {
     "op4_url_filters": url_filters.op4_url_filters,
     "op7_sharding": sharding.op7_sharding,
+    "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_decontamination": decontamination.op10_decontamination,
 }
