@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from quarry.llm import decontamination, quality_rules, sharding, simhash, url_filters
+from quarry.llm import classifier, decontamination, quality_rules, sharding, simhash, url_filters
 
 QUERIES = {
+    "op1_quality_classifier": classifier.op1_quality_classifier,
     "op4_url_filters": url_filters.op4_url_filters,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
