@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from quarry.llm import classifier, decontamination, quality_rules, sharding, simhash, url_filters
+from quarry.llm import classifier, decontamination, html_extraction, quality_rules, sharding, simhash, url_filters
 
 QUERIES = {
     "op1_quality_classifier": classifier.op1_quality_classifier,
+    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_url_filters": url_filters.op4_url_filters,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_url_filters": url_filters.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
 }
