@@ -1,11 +1,21 @@
 """The queries of this subpackage and their SQL."""
 
-from quarry.llm import classifier, decontamination, html_extraction, quality_rules, sharding, simhash, url_filters
+from quarry.llm import (
+    classifier,
+    decontamination,
+    html_extraction,
+    quality_rules,
+    sharding,
+    simhash,
+    suffix_dedup,
+    url_filters,
+)
 
 QUERIES = {
     "op1_quality_classifier": classifier.op1_quality_classifier,
     "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_url_filters": url_filters.op4_url_filters,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
