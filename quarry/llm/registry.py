@@ -7,6 +7,7 @@ from quarry.llm import (
     quality_rules,
     sharding,
     simhash,
+    substring_dedup,
     suffix_dedup,
     url_filters,
 )
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
@@ -23,7 +25,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_url_filters": url_filters.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
 }
