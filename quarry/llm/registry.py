@@ -4,6 +4,7 @@ from quarry.llm import (
     classifier,
     decontamination,
     html_extraction,
+    piece_encoding,
     quality_rules,
     sharding,
     simhash,
@@ -14,6 +15,7 @@ from quarry.llm import (
 
 QUERIES = {
     "op1_quality_classifier": classifier.op1_quality_classifier,
+    "op2_sentencepiece": piece_encoding.op2_sentencepiece,
     "op3_html_extraction": html_extraction.op3_html_extraction,
     "op4_url_filters": url_filters.op4_url_filters,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
