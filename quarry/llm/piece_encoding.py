@@ -45,8 +45,8 @@ from quarry.llm import io
 from quarry.llm.text import steps
 
 BLANK = "▁"
-#: Bytes of text in a block at most (or one document).
-BLOCK_BYTES = 32_000_000
+#: Bytes of text in a block at most (or one document), and for each partition of the units: what a task sorts stays small.
+BLOCK_BYTES, UNIT_BYTES = 32_000_000, 2_000_000
 #: Of a piece's own edge: nothing it becomes part of.
 NEVER = 2**31 - 1
 
@@ -114,7 +114,7 @@ class Pieces:
                         break
                     until, now = self.rank[now], split[now][side]
                 sides.append(ends)
-            out.append((t, self.id[t], rank, *sides))
+            out.append((t, self.id[t], rank, *(sides if len(t) > 1 else (None, None))))
         return out
 
 
@@ -139,8 +139,9 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
                 "s",
                 F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
                 F.coalesce("rank", F.lit(NEVER)).alias("rank"),
-                F.coalesce("prefixes", F.array(F.lit(0), F.lit(NEVER))).alias("prefixes"),
-                F.coalesce("suffixes", F.array(F.lit(0), F.lit(NEVER))).alias("suffixes"),
+                # null for single characters, which nothing is part of
+                "prefixes",
+                "suffixes",
             ).alias("edge"),
         )
     )
@@ -150,13 +151,13 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     forward = F.expr(f"""
         aggregate(
           transform(edges, (x, i) -> named_struct('x', x, 'i', i)),
-          array(named_struct('s', -1, 'id', -1, 'suffixes', array(0))),
+          array(named_struct('s', -1, 'id', -1, 'suffixes', cast(null as array<int>))),
           (best, y) -> if(
             size(best) > y.x.e or (y.x.s > 0 and exists(
               slice(edges, greatest(y.i - {near}, 0) + 1, {near + pieces.longest + 1}),
               c -> c.s < y.x.s and c.e > y.x.s and c.e <= y.x.e and c.s >= best[y.x.s].s
-                and c.rank < coalesce(get(best[y.x.s].suffixes, y.x.s - c.s), 0)
-                and c.rank <= coalesce(get(y.x.prefixes, c.e - y.x.s), 0))),
+                and c.rank < if(best[y.x.s].suffixes is null, {NEVER}, coalesce(get(best[y.x.s].suffixes, y.x.s - c.s), 0))
+                and c.rank <= if(y.x.prefixes is null, {NEVER}, coalesce(get(y.x.prefixes, c.e - y.x.s), 0)))),
             best,
             array_append(best, named_struct('s', y.x.s, 'id', y.x.id, 'suffixes', y.x.suffixes))))
     """)
@@ -189,10 +190,12 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
         for block, batch in _blocks(batches):
             seen: set[str] = set()
             for text in batch.column("text").to_pylist():
-                if text:
-                    seen.update(find(BLANK + text.replace(" ", BLANK)))
+                seen.update(text.split(" "))
+            units = {BLANK}
+            for word in seen:
+                units.update(find(BLANK + word))
             # blanks before a blank are no units
-            found = [u for u in seen if not (len(u) > 1 and u[1] == BLANK) and u != BLANK] + [BLANK]
+            found = [u for u in units if u == BLANK or u.strip(BLANK)]
             for at in range(0, len(found), 50_000):
                 some = found[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
@@ -241,7 +244,10 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
             )
 
     seen = rows.select("text").mapInArrow(cut, "unit string, block long")
-    needed = seen.groupBy("unit").agg(F.collect_list("block").alias("blocks"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // UNIT_BYTES))
+    # each block names a unit once, so combining before the exchange would gain nothing
+    needed = seen.repartition(parts, "unit").groupBy("unit").agg(F.collect_list("block").alias("blocks"))
     coded = needed.join(encode_units(needed.select("unit"), pieces), "unit")
     dealt = coded.mapInArrow(deal, "block long, units binary")
     packed = rows.mapInArrow(pack, "block long, packed binary")
@@ -268,27 +274,38 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
                 k -= min(k, longest)
             return np.array(out, np.int32).tobytes()
 
+        def slowly(text: str) -> bytes:
+            """Of a text with blanks in a row: a run takes in the blank that its next unit leaves alone."""
+            parts, wait = [], 0
+            for u in find(BLANK + text.replace(" ", BLANK)):
+                if u.strip(BLANK) == "":
+                    wait += len(u)
+                    continue
+                own = table[u]
+                if wait and own[:4] == lone:
+                    parts.append(run(wait + 1))
+                    own = own[4:]
+                elif wait:
+                    parts.append(run(wait))
+                parts.append(own)
+                wait = 0
+            return b"".join([*parts, run(wait)])
+
+        coded: dict[str, bytes] = {}
         for packed_ in left["packed"]:
             batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed_)).read_all()
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                units = find(BLANK + text.replace(" ", BLANK)) if text else []
-                if text and "  " in " " + text or BLANK in text:
-                    parts, wait = [], 0
-                    for u in units:
-                        if u.strip(BLANK) == "":
-                            wait += len(u)
-                            continue
-                        own = table[u]
-                        if wait and own[:4] == lone:
-                            parts.append(run(wait + 1))
-                            own = own[4:]
-                        elif wait:
-                            parts.append(run(wait))
-                        parts.append(own)
-                        wait = 0
-                    ids = np.frombuffer(b"".join([*parts, run(wait)]), np.int32)
+                if not text:
+                    raw = b""
+                elif text[0] == " " or "  " in text or BLANK in text:
+                    raw = slowly(text)
                 else:
-                    ids = np.frombuffer(b"".join(map(table.__getitem__, units)), np.int32)
+                    own = text.split(" ")
+                    for word in own:
+                        if word not in coded:
+                            coded[word] = b"".join([table[u] for u in find(BLANK + word)])
+                    raw = b"".join(map(coded.__getitem__, own))
+                ids = np.frombuffer(raw, np.int32)
                 back = b"".join(map(decoded.__getitem__, ids.tolist()))[1:].decode(errors="replace")
                 digest, same = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), back == text
                 out.append((doc_id, len(ids), ids if whole else None, digest, back if whole else None, same))

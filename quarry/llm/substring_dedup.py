@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import io
-from quarry.llm.suffix_dedup import text_key, triggers
-from quarry.llm.text import SPACED, Ranges, mix, signed, steps, utf8, words
+from quarry.llm.suffix_dedup import marked_spans, packed, sides, text_key, to_compare, triggers, unpacked
+from quarry.llm.text import SPACED, Ranges, joined_words, mix, signed, steps, utf8, words
 
 WINDOW, PHRASE = 50, 8
 #: Bytes of text that a block of documents aims at.
@@ -52,80 +52,75 @@ def _parsed(column: pa.Array, window: int) -> tuple:
     return (data, start, end, first, chain, grams, *triggers(grams, stop, window, PHRASE))
 
 
-def _sides(chain: Ranges, place: np.ndarray, begin: np.ndarray, stop: np.ndarray, window: int) -> list[np.ndarray]:
-    """Hashes of a phrase with the half window before it and with the one after it; 0 where the text ends first.
-
-    A window with the phrase has (window - PHRASE) / 2 more words on at least one side.
-    """
-    half = (window - PHRASE + 1) // 2
-    out = []
-    for a, b, seed in ((place - half, place + PHRASE, 1), (place, place + PHRASE + half, 2)):
-        inside = (a >= begin) & (b <= stop)
-        out.append(signed(np.where(inside, chain(np.where(inside, a, 0), np.where(inside, b, 0), seed), np.uint64(0))))
-    return out
-
-
 def anchors(texts: DataFrame, window: int) -> DataFrame:
-    """Every phrase trigger of every text with its context and windows (first and last start)."""
+    """Every phrase trigger of every text with its context, its sides and the windows it stands for."""
+    half = (window - PHRASE) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             _, _, _, first, chain, grams, place, low, high = _parsed(batch.column("text"), window)
             owner = np.searchsorted(first, low, "right") - 1
             contexts = mix(chain(low, high + window) + (place - low).astype(np.uint64))
-            sides = _sides(chain, place, first[owner], first[owner + 1], window)
-            take = pa.array(owner)
+            before, after = sides(chain, place, low, high + window, PHRASE, half)
+            take, base = pa.array(owner), first[owner]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(signed(grams[place])),
                     pa.array(signed(contexts)),
+                    pa.array(before),
+                    pa.array(after),
                     *[batch.column(c).take(take) for c in ("k1", "k2", "least")],
-                    pa.array((low - first[owner]).astype(np.int32)),
-                    pa.array((high - first[owner]).astype(np.int32)),
-                    *map(pa.array, sides),
+                    pa.array(packed(low - base, high - base, place - base)),
                 ],
-                ["phrase", "context", "k1", "k2", "least", "low", "high", "before", "after"],
+                ["phrase", "context", "before", "after", "k1", "k2", "least", "span"],
             )
 
     return texts.select("k1", "k2", "least", "text").mapInArrow(
-        run, "phrase long, context long, k1 long, k2 long, least long, low int, high int, before long, after long"
+        run, "phrase long, context long, before int, after int, k1 long, k2 long, least long, span long"
     )
 
 
+def _settled(marks: list, half: int) -> list[tuple[int, int]]:
+    """First and last start of the windows that occur twice with their whole context and weren't compared."""
+    out = []
+    for m in marks:
+        if m["twice"]:
+            low, high, place = unpacked(m["span"])
+            low = max(low, place - half + 1) if m["left"] else low
+            high = min(high, place - half - 1) if m["right"] else high
+            if low <= high:
+                out.append((int(low), int(high)))
+    return out
+
+
 def passages(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """least (the owner's doc_id), words (the passage, joined by spaces) and sides (hashes of phrases with a side)."""
-    one = found.groupBy("phrase", "context").agg(
-        F.count("*").alias("n"), F.min("least").alias("first"), F.min(F.struct("least", "k1", "k2", "low")).alias("chosen")
-    )
-    kinds = one.groupBy("phrase").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).filter("total > 1")
+    half = (window - PHRASE) // 2
     # one holder of each context speaks for it: the smallest doc_id
-    held = (
-        one.join(kinds, "phrase")
-        .select("phrase", "context", "n", "kinds", "chosen")
-        .join(found.select("phrase", "context", "k1", "k2", "low", "high"), ["phrase", "context"])
-        .filter((F.col("k1") == F.col("chosen.k1")) & (F.col("k2") == F.col("chosen.k2")) & (F.col("low") == F.col("chosen.low")))
-        .select("k1", "k2", F.struct("low", "high", (F.col("kinds") > 1).alias("open"), (F.col("n") > 1).alias("twice")).alias("mark"))
+    spoken = marked_spans(found, F.count("*"), F.struct("least", "k1", "k2", "span"), most=1 << 62).filter("speaks")
+    marks = (
+        spoken.filter("n > 1 OR left IS NOT NULL OR right IS NOT NULL")
+        .select("k1", "k2", F.struct("span", (F.col("n") > 1).alias("twice"), "left", "right").alias("mark"))
         .groupBy("k1", "k2")
         .agg(F.collect_list("mark").alias("marks"))
     )
-    marked = texts.select("k1", "k2", "least", "text").join(held, ["k1", "k2"])
+    marked = texts.join(marks, ["k1", "k2"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             data, offsets = utf8(batch.column("text"))
             start, end, first = words(data, offsets, SPACED)
             chain = Ranges(Ranges(data)(start, end))
-            rows, starts, twice = [], [], []
-            for i, marks in enumerate(batch.column("marks").to_pylist()):
-                for m in marks:
-                    if m["open"]:
-                        size = m["high"] - m["low"] + 1
-                        rows.append(np.full(size, i))
-                        starts.append(np.arange(m["low"], m["high"] + 1))
-                        twice.append(np.full(size, 1 + m["twice"]))
+            rows, starts, times = [], [], []
+            for i, marks_ in enumerate(batch.column("marks").to_pylist()):
+                for m in marks_:
+                    for a, b, _ in to_compare(m, half):
+                        rows.append(np.full(b - a + 1, i))
+                        starts.append(np.arange(a, b + 1))
+                        times.append(np.full(b - a + 1, 1 + m["twice"]))
             if not rows:
                 continue
-            row, at, n = np.concatenate(rows), np.concatenate(starts), np.concatenate(twice)
+            row, at, n = np.concatenate(rows), np.concatenate(starts), np.concatenate(times)
             place, take = first[row] + at, pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -146,46 +141,47 @@ def passages(texts: DataFrame, found: DataFrame, window: int) -> DataFrame:
         .groupBy("k1", "k2")
         .agg(F.collect_list("start").alias("starts"))
     )
-    settled = F.transform(
-        F.filter("marks", lambda m: ~m["open"]), lambda m: F.struct(m["low"].alias("low"), m["high"].alias("high"))
-    )
-    owned = marked.withColumn("settled", settled).drop("marks").join(owners, ["k1", "k2"], "left")
+    owned = marked.join(owners, ["k1", "k2"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             out = []
-            for least, text, settled_, starts in zip(
-                *[batch.column(c).to_pylist() for c in ("least", "text", "settled", "starts")], strict=True
+            for least, text, marks_, starts in zip(
+                *[batch.column(c).to_pylist() for c in ("least", "text", "marks", "starts")], strict=True
             ):
-                runs = sorted([(m["low"], m["high"]) for m in settled_] + [(s, s) for s in starts or ()])
+                runs = sorted(_settled(marks_, half) + [(s, s) for s in starts or ()])
                 if not runs:
                     continue
-                raw = text.encode()
-                data = np.frombuffer(raw, np.uint8)
-                start, end, _ = words(data, np.array([0, len(data)]), SPACED)
+                own = _words(text)
                 merged = [list(runs[0])]
                 for a, b in runs[1:]:
                     if a <= merged[-1][1] + 1:
                         merged[-1][1] = max(merged[-1][1], b)
                     else:
                         merged.append([a, b])
-                for a, b in merged:
-                    out.append((least, b" ".join(raw[start[i] : end[i]] for i in range(a, b + window)).decode()))
+                out += [(least, " ".join(own[a : b + window])) for a, b in merged]
             column = pa.array([x[1] for x in out], pa.string())
-            phrases = [[] for _ in out]
+            found_sides = [[] for _ in out]
             if out:
-                _, _, _, first, chain, _, place, low, _ = _parsed(column, window)
-                owner = np.searchsorted(first, low, "right") - 1
-                for side in _sides(chain, place, first[owner], first[owner + 1], window):
-                    for i, h in zip(owner.tolist(), side.tolist(), strict=True):
+                _, _, _, first, chain, grams, place, low, high = _parsed(column, window)
+                owner = (np.searchsorted(first, low, "right") - 1).tolist()
+                phrases = signed(grams[place]).tolist()
+                both = sides(chain, place, low, high + window, PHRASE, half)
+                for is_left, side in zip((True, False), both, strict=True):
+                    for i, phrase, h in zip(owner, phrases, side.tolist(), strict=True):
                         if h:
-                            phrases[i].append(h)
+                            found_sides[i].append({"phrase": phrase, "is_left": is_left, "side": h})
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), column, pa.array(phrases, pa.list_(pa.int64()))],
+                [pa.array([x[0] for x in out], pa.int64()), column, pa.array(found_sides, _SIDES)],
                 ["least", "words", "sides"],
             )
 
-    return owned.select("least", "text", "settled", "starts").mapInArrow(cut, "least long, words string, sides array<long>")
+    return owned.select("least", "text", "marks", "starts").mapInArrow(
+        cut, "least long, words string, sides array<struct<phrase:long,is_left:boolean,side:int>>"
+    )
+
+
+_SIDES = pa.list_(pa.struct([("phrase", pa.int64()), ("is_left", pa.bool_()), ("side", pa.int32())]))
 
 
 class Automaton:
@@ -240,62 +236,82 @@ def _words(text: str | None) -> list[str]:
 
 def dedup(docs: DataFrame, window: int = WINDOW, texts_too: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words, joined by spaces) of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), *text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text")
+    )
     texts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("k1", "k2"), F.lit(blocks)).cast("int").alias("block")
-    texts = texts.withColumn("block", block)
     named = texts.filter("least IS NOT NULL")
     found = anchors(named, window)
-    known = io.checkpointed(
-        passages(named, found, window).withColumn("passage", F.xxhash64("least", "words"))
+    # most phrases occur in one text and end here
+    again = found.groupBy("phrase").agg(F.count("*").alias("n")).filter("n > 1").select("phrase")
+    found = found.join(again, "phrase")
+    known = passages(named, found, window).withColumn("passage", F.xxhash64("least", "words"))
+    # which texts, and so which blocks, need which passages: those that hold one of its phrases with a side of it
+    both = F.array(
+        F.struct(F.lit(True).alias("is_left"), F.col("before").alias("side")),
+        F.struct(F.lit(False).alias("is_left"), F.col("after").alias("side")),
     )
-    # which blocks need which passages: those that hold one of its phrases and a side of it
-    sides = known.select("passage", F.explode("sides").alias("side")).distinct()
+    wanted = known.select("passage", F.inline("sides")).distinct()
     needs = (
-        found.select(F.explode(F.array("before", "after")).alias("side"), block)
+        found.select("k1", "k2", "phrase", F.inline(both))
         .filter("side <> 0")
+        .join(wanted, ["phrase", "is_left", "side"])
+        .select("k1", "k2", "passage")
         .distinct()
-        .join(sides, "side")
-        .select("passage", "block")
+    )
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("k1", "k2"), F.lit(max(1, -(-int(total) // BLOCK_BYTES)))).cast("int").alias("block")
+    routed = (
+        needs.select("passage", block)
+        .distinct()
+        .join(known.select("passage", "least", "words"), "passage")
+        .select("block", "least", "words")
         .distinct()
     )
-    routed = needs.join(known.select("passage", "least", "words"), "passage").select("block", "least", "words").distinct()
+    some = named.join(needs.select("k1", "k2").distinct(), ["k1", "k2"]).select("k1", "k2", "least", "text", block)
 
     def locate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         automaton = Automaton(right["least"].tolist(), right["words"].tolist(), window)
         out = []
-        for k1, k2, least, nameless, text in zip(*[left[c] for c in ("k1", "k2", "least", "nameless", "text")], strict=True):
+        for k1, k2, least, text in zip(*[left[c] for c in ("k1", "k2", "least", "text")], strict=True):
             own = _words(text)
-            gone = np.zeros(len(own), bool) if nameless else automaton.removed(least, own)
+            gone = automaton.removed(least, own)
             kept = " ".join(w for w, g in zip(own, gone.tolist(), strict=True) if not g)
-            whole = " ".join(own) if gone.any() else kept
-            out.append((
-                k1, k2, least, len(own), int(gone.sum()), hashlib.sha256(kept.encode()).hexdigest(),
-                hashlib.sha256(whole.encode()).hexdigest(), kept if texts_too else None,
-            ))
-        return pd.DataFrame(out, columns=["k1", "k2", "least", "n_words", "n_removed", "kept_sha256", "whole_sha256", "kept"])
+            digest = hashlib.sha256(kept.encode()).hexdigest()
+            out.append((k1, k2, int(gone.sum()), digest, kept if texts_too else None))
+        return pd.DataFrame(out, columns=["k1", "k2", "n_removed", "kept_sha256", "kept"])
 
     located = (
-        # a null id would turn the column into floats
-        texts.withColumns({"nameless": F.col("least").isNull(), "least": F.coalesce("least", F.lit(0))})
-        .groupBy("block")
+        some.groupBy("block")
         .cogroup(routed.groupBy("block"))
-        .applyInPandas(
-            locate, "k1 long, k2 long, least long, n_words long, n_removed long, kept_sha256 string, whole_sha256 string, kept string"
-        )
+        .applyInPandas(locate, "k1 long, k2 long, n_removed long, kept_sha256 string, kept string")
     )
-    firsts = rows.select("doc_id", "k1", "k2").join(located, ["k1", "k2"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            raw, at, n = joined_words(*utf8(batch.column("text")))
+            parts = [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch.column(c) for c in ("k1", "k2", "least")],
+                    pa.array(n),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()),
+                    pa.array([x.decode() if texts_too else None for x in parts], pa.string()),
+                ],
+                ["k1", "k2", "least", "n_words", "whole_sha256", "whole"],
+            )
+
+    wholes = texts.mapInArrow(whole, "k1 long, k2 long, least long, n_words long, whole_sha256 string, whole string")
+    judged = rows.select("doc_id", "k1", "k2").join(wholes.join(located, ["k1", "k2"], "left"), ["k1", "k2"])
     # a later copy loses every word; a document without an id none
     copy = (F.col("doc_id") > F.col("least")) & (F.col("n_words") >= window)
-    absent = F.col("doc_id").isNull()
-    return firsts.select(
+    intact = F.col("doc_id").isNull() | F.col("n_removed").isNull()
+    return judged.select(
         "doc_id",
         "n_words",
-        F.when(copy, F.col("n_words")).when(absent, 0).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).when(absent, F.col("whole_sha256")).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
-        F.when(copy, F.lit("")).otherwise(F.col("kept")).alias("kept"),
+        F.when(copy, F.col("n_words")).when(intact, 0).otherwise(F.col("n_removed")).cast("long").alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(""), 256)).when(intact, F.col("whole_sha256")).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when(copy, F.lit("")).when(intact, F.col("whole")).otherwise(F.col("kept")).alias("kept"),
     )
 
 

@@ -33,8 +33,35 @@ from quarry.llm import io
 from quarry.llm.text import Ranges, mix, ranges_of, signed, steps, utf8, window_minimum
 
 LENGTH, PHRASE = 200, 64
+#: Contexts that meet in one task at most; strings of larger groups are counted row by row.
+CROWD = 20_000
 
-_ANCHOR = "phrase long, context long, k1 long, k2 long, copies long, low int, high int"
+#: A span packs the first start (from bit 24), the number of further starts (bits 12 to 23) and the trigger's distance
+#: from the first start (bits 0 to 11).
+_ANCHOR = "phrase long, context long, before int, after int, k1 long, k2 long, copies long, span long"
+
+
+def unpacked(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start, last start and trigger."""
+    low = span >> 24
+    return low, low + ((span >> 12) & 0xFFF), low + (span & 0xFFF)
+
+
+def packed(low: np.ndarray, high: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (low << 24) | ((high - low) << 12) | (place - low)
+
+
+def sides(ranges: Ranges, place: np.ndarray, low: np.ndarray, end: np.ndarray, phrase: int, half: int) -> list[np.ndarray]:
+    """Hashes (32 bits) of each phrase with `half` more before it and with `half` more after it, 0 where low or end cut.
+
+    A string with the phrase has half of its other content on at least one side of it.
+    """
+    out = []
+    for a, b, seed in ((place - half, place + phrase, 1), (place, place + phrase + half, 2)):
+        inside = (a >= low) & (b <= end)
+        h = ranges(np.where(inside, a, 0), np.where(inside, b, 0), seed) >> np.uint64(33)
+        out.append(np.where(inside, h + np.uint64(1), np.uint64(0)).astype(np.int64).astype(np.int32))
+    return out
 
 
 def text_key(text: Column) -> list[Column]:
@@ -66,7 +93,8 @@ def triggers(grams: np.ndarray, row_end: np.ndarray, length: int, phrase: int) -
 
 
 def anchors(texts: DataFrame, length: int) -> DataFrame:
-    """Every trigger of every text: its phrase, its context and the strings (first and last start) it stands for."""
+    """Every trigger of every text: its phrase, its context, its sides and the strings it stands for."""
+    half = (length - PHRASE) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -78,92 +106,186 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
             place, low, high = triggers(grams, offsets[1:][row], length, PHRASE)
             owner = row[low]
             contexts = mix(ranges(low, high + length) + (place - low).astype(np.uint64))
-            take = pa.array(owner)
+            before, after = sides(ranges, place, low, high + length, PHRASE, half)
+            take, base = pa.array(owner), offsets[owner]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(signed(grams[place])),
                     pa.array(signed(contexts)),
+                    pa.array(before),
+                    pa.array(after),
                     batch.column("k1").take(take),
                     batch.column("k2").take(take),
                     batch.column("copies").take(take),
-                    pa.array((low - offsets[owner]).astype(np.int32)),
-                    pa.array((high - offsets[owner]).astype(np.int32)),
+                    pa.array(packed(low - base, high - base, place - base)),
                 ],
-                ["phrase", "context", "k1", "k2", "copies", "low", "high"],
+                ["phrase", "context", "before", "after", "k1", "k2", "copies", "span"],
             )
 
     return texts.mapInArrow(run, _ANCHOR)
 
 
+def marked_spans(found: DataFrame, number: Column, name: Column, most: int = 1) -> DataFrame:
+    """The rows of `found` with n (the occurrences of the row's context), whether the row `speaks` for its context (the
+    least by `name`), and the group of strings `left` and `right` of the middle that have to be compared: only where a
+    side is shared by several contexts of which one occurs `most` times at most, and only for the rows that speak. A
+    group is (id, contexts in it).
+
+    Every use of `found` reads the same columns, so that one exchange serves all.
+    """
+    keys = ["phrase", "context", "before", "after"]
+    one = found.groupBy(*keys).agg(number.alias("n"), F.min(name).alias("chosen"))
+    both = one.select(
+        "phrase", "context", "n",
+        F.inline(F.array(F.struct(F.lit(True).alias("is_left"), F.col("before").alias("side")), F.struct(F.lit(False).alias("is_left"), F.col("after").alias("side")))),
+    ).filter("side <> 0")
+    shared = (
+        both.groupBy("phrase", "is_left", "side")
+        .agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
+        .filter(f"kinds > 1 AND fewest <= {most}")
+        .select("phrase", "is_left", "side", F.struct(F.xxhash64("phrase", "is_left", "side").alias("id"), "kinds").alias("group"))
+    )
+    compared = (
+        both.join(shared, ["phrase", "is_left", "side"])
+        .groupBy("phrase", "context")
+        .agg(
+            F.max(F.when(F.col("is_left"), F.col("group"))).alias("left"),
+            F.max(F.when(~F.col("is_left"), F.col("group"))).alias("right"),
+        )
+    )
+    status = one.join(compared, ["phrase", "context"], "left")
+    marked = found.join(status, keys).withColumn("speaks", name == F.col("chosen"))
+    return marked.withColumns({c: F.when(F.col("speaks"), F.col(c)) for c in ("left", "right")})
+
+
+def to_compare(mark: dict, half: int) -> list[tuple[int, int, dict]]:
+    """First and last start, and the group, of the strings that a mark has to compare."""
+    low, high, place = unpacked(mark["span"])
+    # strings with the whole left side start at the middle or before, those with the right one there or after
+    parts = ((low, min(high, place - half), mark["left"]), (max(low, place - half), high, mark["right"]))
+    return [(int(a), int(b), group) for a, b, group in parts if group is not None and a <= b]
+
+
 def repeated(docs: DataFrame, length: int) -> DataFrame:
-    """Each distinct text (k1, k2, text) with the starts of its repeated strings: `settled` ranges, single `starts`."""
+    """Each distinct text (k1, k2, text) with the starts of its repeated strings: `settled` spans, single `starts`."""
+    # every use below reads all columns of `texts`, so that the texts are exchanged once
     texts = (
         docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
         .groupBy("k1", "k2")
         .agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     )
     found = anchors(texts, length)
-    one = found.groupBy("phrase", "context").agg(
-        F.sum("copies").alias("n"), F.min(F.struct("k1", "k2", "low")).alias("chosen")
-    )
-    all_of = one.groupBy("phrase").agg(F.sum("n").alias("total"), F.min("n").alias("fewest")).filter("total > 1")
-    # a context that occurs once is open; one context of each kind stands for the others when any is open
-    status = one.join(all_of, "phrase").select("phrase", "context", "n", "chosen", (F.col("fewest") == 1).alias("mixed"))
+    # most phrases occur once and end here
+    again = found.groupBy("phrase").agg(F.sum("copies").alias("total")).filter("total > 1").select("phrase")
+    found = found.join(again, "phrase")
+    name = F.struct("k1", "k2", "span", "copies")
     marks = (
-        found.drop("copies")
-        .join(status, ["phrase", "context"])
-        .withColumn("shown", F.col("mixed") & (F.struct("k1", "k2", "low") == F.col("chosen")))
-        .select("k1", "k2", F.struct("low", "high", (F.col("n") == 1).alias("open"), "shown").alias("mark"))
+        marked_spans(found, F.sum("copies"), name)
+        # an open context that shares no side with another has no repeated string
+        .filter("n > 1 OR left IS NOT NULL OR right IS NOT NULL")
+        .select("k1", "k2", F.struct("span", (F.col("n") == 1).alias("open"), "left", "right").alias("mark"))
         .groupBy("k1", "k2")
         .agg(F.collect_list("mark").alias("marks"))
     )
-    marked = texts.drop("copies").join(marks, ["k1", "k2"])
+    marked = texts.join(marks, ["k1", "k2"])
+    half = (length - PHRASE) // 2
+
+    def pieces(batches: Iterator[pa.RecordBatch], crowded: bool) -> Iterator[tuple]:
+        """(k1, k2, open, group, first start, last start, UTF-8 text) of all strings in crowded groups, or in others."""
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("k1", "k2", "text", "marks")]
+            for k1, k2, text, marks_ in zip(*columns, strict=True):
+                raw = None
+                for mark in marks_:
+                    for a, b, group in to_compare(mark, half):
+                        if (group["kinds"] > CROWD) == crowded:
+                            raw = text.encode() if raw is None else raw
+                            yield k1, k2, mark["open"], group["id"], a, b, raw
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["group", "k1", "k2", "open", "start", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+        rows: list[tuple] = []
+        for k1, k2, is_open, group, a, b, raw in pieces(batches, False):
+            rows.append((group, k1, k2, is_open, a, raw[a : b + length]))
+            if len(rows) == 5000:
+                yield _batch(rows, names, kinds)
+                rows = []
+        yield _batch(rows, names, kinds)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Hashes of the strings whose contexts leave open whether they are repeated, and of those to compare with."""
-        for batch in steps(batches):
-            data, offsets = utf8(batch.column("text"))
-            ranges, rows, starts, open_ = Ranges(data), [], [], []
-            for i, marks_ in enumerate(batch.column("marks").to_pylist()):
-                for m in marks_:
-                    if m["open"] or m["shown"]:
-                        size = m["high"] - m["low"] + 1
-                        rows.append(np.full(size, i))
-                        starts.append(np.arange(m["low"], m["high"] + 1))
-                        open_.append(np.full(size, m["open"]))
-            if not rows:
+        """Starts of the open strings that occur twice in their group; a sorted partition's groups, whole ones at a time."""
+        held = None
+        for batch in _with_last(batches):
+            if batch is not None:
+                held = batch if held is None else pa.concat_batches([held, batch])
+                group = held.column("group").to_numpy()
+                cut = int(np.searchsorted(group, group[-1]))
+                ready, held = held.slice(0, cut), held.slice(cut)
+            else:
+                ready = held
+            if ready is None or not ready.num_rows:
                 continue
-            row, start, is_open = np.concatenate(rows), np.concatenate(starts), np.concatenate(open_)
-            at = offsets[row] + start
-            take = pa.array(row)
+            data, offsets = utf8(ready.column("bytes"))
+            count = np.diff(offsets) - length + 1
+            at = np.repeat(offsets[:-1], count) + ranges_of(count)
+            row = np.repeat(np.arange(len(count)), count)
+            hashes = mix(Ranges(data)(at, at + length) ^ ready.column("group").to_numpy().view(np.uint64)[row])
+            _, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            is_open = ready.column("open").to_numpy(zero_copy_only=False)
+            hit = (times[inverse] > 1) & is_open[row]
+            starts = (at - offsets[row] + ready.column("start").to_numpy()[row])[hit]
+            some, first = np.unique(row[hit], return_index=True)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(signed(ranges(at, at + length))),
-                    batch.column("k1").take(take),
-                    batch.column("k2").take(take),
-                    pa.array(start.astype(np.int32)),
-                    pa.array(is_open),
+                    ready.column("k1").take(pa.array(some)),
+                    ready.column("k2").take(pa.array(some)),
+                    pa.ListArray.from_arrays(pa.array(np.append(first, len(starts)), pa.int32()), pa.array(starts)),
                 ],
-                ["string", "k1", "k2", "start", "open"],
+                ["k1", "k2", "starts"],
             )
 
-    strings = marked.select("k1", "k2", "text", "marks").mapInArrow(
-        compare, "string long, k1 long, k2 long, start int, open boolean"
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["string", "k1", "k2", "start", "open"], [pa.int64()] * 4 + [pa.bool_()]
+        for k1, k2, is_open, _, a, b, raw in pieces(batches, True):
+            at = np.arange(a, b + 1)
+            hashes = signed(Ranges(np.frombuffer(raw, np.uint8)[a : b + length])(at - a, at - a + length)).tolist()
+            yield _batch([(h, k1, k2, s, is_open) for h, s in zip(hashes, at.tolist(), strict=True)], names, kinds)
+
+    in_groups = (
+        marked.mapInArrow(deal, "group long, k1 long, k2 long, open boolean, start long, bytes binary")
+        .repartition("group")
+        .sortWithinPartitions("group")
+        .mapInArrow(compare, "k1 long, k2 long, starts array<long>")
     )
+    # groups of very many contexts: their strings are counted one by one, wherever they lie
+    strings = marked.mapInArrow(single, "string long, k1 long, k2 long, start long, open boolean")
     twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
+    crowded = strings.filter("open").join(twice, "string").select("k1", "k2", F.array("start").alias("starts"))
     starts = (
-        strings.filter("open")
-        .join(twice, "string")
-        .groupBy("k1", "k2")
-        .agg(F.collect_list("start").alias("starts"))
+        in_groups.unionByName(crowded).groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     )
-    settled = F.transform(F.filter("marks", lambda m: ~m["open"]), lambda m: F.struct(m["low"].alias("low"), m["high"].alias("high")))
-    return marked.select("k1", "k2", "text", settled.alias("settled")).join(starts, ["k1", "k2"], "left")
+    settled = F.transform(F.filter("marks", lambda m: ~m["open"]), lambda m: m["span"])
+    # copies is named only to read what the other uses read
+    return marked.join(starts, ["k1", "k2"], "left").select("k1", "k2", "text", settled.alias("settled"), "starts", "copies")
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+
+def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    for batch in batches:
+        if batch.num_rows:
+            yield batch
+    yield None
 
 
 def removed_runs(settled: list, starts: list | None, length: int) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes."""
-    spans = sorted([(m["low"], m["high"] + length) for m in settled] + [(s, s + length) for s in starts or ()])
+    settled = [unpacked(x) for x in settled]
+    spans = sorted([(low, high + length) for low, high, _ in settled] + [(s, s + length) for s in starts or ()])
     out: list[tuple[int, int]] = []
     for a, b in spans:
         if out and a <= out[-1][1]:

@@ -131,3 +131,16 @@ def ranges_of(counts: np.ndarray) -> np.ndarray:
     """0 .. count-1 for each count, one after the other."""
     counts = np.asarray(counts, np.int64)
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def joined_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Each row's words joined by one space, one row after the other; where each row begins; words of each row."""
+    start, end, first = words(data, offsets, table)
+    n = np.diff(first)
+    keep, out = table[data], data.copy()
+    # the byte after each word of a row but its last becomes that space
+    inner = np.ones(len(end), bool)
+    inner[first[1:][n > 0] - 1] = False
+    out[end[inner]] = 32
+    keep[end[inner]] = True
+    return out[keep].tobytes(), np.concatenate(([0], np.cumsum(keep)))[offsets], n
