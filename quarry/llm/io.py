@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +26,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
         context.setCheckpointDir(LOCAL_CHECKPOINTS)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a compressed table in that folder: later readers take only the columns they need."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_CHECKPOINTS
+    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -69,17 +69,29 @@ def anchors(texts: DataFrame, window: int) -> DataFrame:
                     pa.array(signed(contexts)),
                     pa.array(before),
                     pa.array(after),
-                    *[batch.column(c).take(take) for c in ("k1", "k2", "least")],
+                    *[batch.column(c).take(take) for c in ("k1", "k2", "doc_id")],
                     pa.array(packed(low - base, high - base, place - base)),
                 ],
-                ["phrase", "context", "before", "after", "k1", "k2", "least", "span"],
+                ["phrase", "context", "before", "after", "k1", "k2", "doc_id", "span"],
             )
 
-    return texts.select("k1", "k2", "least", "text").mapInArrow(
-        run, "phrase long, context long, before int, after int, k1 long, k2 long, least long, span long"
+    return texts.select("k1", "k2", "doc_id", "text").mapInArrow(
+        run, "phrase long, context long, before int, after int, k1 long, k2 long, doc_id long, span long"
     )
 
 
+def phrases(texts: DataFrame, window: int) -> DataFrame:
+    """Every phrase that a trigger picks and how often; counted in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            _, _, _, _, _, grams, place, _, _ = _parsed(batch.column("text"), window)
+            found, n = np.unique(grams[place], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n)], ["phrase", "n"])
+
+    return texts.select("text").mapInArrow(run, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
+
+
 def _settled(marks: list, half: int) -> list[tuple[int, int]]:
     """First and last start of the windows that occur twice with their whole context and weren't compared."""
     out = []
@@ -241,34 +253,34 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts_too: bool = True) -> Data
     )
     texts = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
     named = texts.filter("least IS NOT NULL")
-    found = anchors(named, window)
-    # most phrases occur in one text and end here
-    again = found.groupBy("phrase").agg(F.count("*").alias("n")).filter("n > 1").select("phrase")
-    found = found.join(again, "phrase")
-    known = passages(named, found, window).withColumn("passage", F.xxhash64("least", "words"))
-    # which texts, and so which blocks, need which passages: those that hold one of its phrases with a side of it
+    own = rows.filter("doc_id IS NOT NULL")
+    # most phrases occur once and end here; the anchors of the others are written, those of equal texts once
+    again = phrases(own, window).filter("n > 1").select("phrase")
+    found = io.written(
+        anchors(own, window)
+        .join(again, "phrase")
+        .groupBy("phrase", "context", "before", "after", "k1", "k2", "span")
+        .agg(F.min("doc_id").alias("least"))
+    )
+    known = io.written(passages(named, found, window).withColumn("passage", F.xxhash64("least", "words")))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("k1", "k2"), F.lit(max(1, -(-int(total) // BLOCK_BYTES)))).cast("int").alias("block")
+    # which blocks need which passages: those that hold one of its phrases with a side of it, however often
     both = F.array(
         F.struct(F.lit(True).alias("is_left"), F.col("before").alias("side")),
         F.struct(F.lit(False).alias("is_left"), F.col("after").alias("side")),
     )
     wanted = known.select("passage", F.inline("sides")).distinct()
-    needs = (
-        found.select("k1", "k2", "phrase", F.inline(both))
-        .filter("side <> 0")
-        .join(wanted, ["phrase", "is_left", "side"])
-        .select("k1", "k2", "passage")
-        .distinct()
-    )
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("k1", "k2"), F.lit(max(1, -(-int(total) // BLOCK_BYTES)))).cast("int").alias("block")
+    held = found.select(block, "phrase", F.inline(both)).filter("side <> 0").distinct()
     routed = (
-        needs.select("passage", block)
+        held.join(wanted, ["phrase", "is_left", "side"])
+        .select("block", "passage")
         .distinct()
-        .join(known.select("passage", "least", "words"), "passage")
+        .join(known.select("passage", "least", "words").distinct(), "passage")
         .select("block", "least", "words")
-        .distinct()
     )
-    some = named.join(needs.select("k1", "k2").distinct(), ["k1", "k2"]).select("k1", "k2", "least", "text", block)
+    # every text with a repeated phrase streams through its block's automaton
+    some = named.join(found.select("k1", "k2").distinct(), ["k1", "k2"]).select("k1", "k2", "least", "text", block)
 
     def locate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         automaton = Automaton(right["least"].tolist(), right["words"].tolist(), window)

@@ -12,7 +12,7 @@ with all bytes of the strings that it stands for is its context.
   only on whether two suffixes agree on their first `length` bytes, their order is needed up to that depth only, and
   equal 64-bit hashes of the strings (grouped, counted in each task first) stand for neighbours in it.
 
-Equal texts are parsed once and counted with their number of copies. Counts, groupings and joins are by hash keys with
+Counts, groupings and joins are by hash keys with
 partial aggregation, so no phrase, however common, collects in one task.
 
 Defined results: a null or empty text has no bytes; copies of a text of `length` bytes or more lose everything; shorter
@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 from quarry.llm import io
 from quarry.llm.text import Ranges, mix, ranges_of, signed, steps, utf8, window_minimum
 
-LENGTH, PHRASE = 200, 64
+LENGTH, PHRASE = 200, 32
 #: Contexts that meet in one task at most; strings of larger groups are counted row by row.
 CROWD = 20_000
 
 #: A span packs the first start (from bit 24), the number of further starts (bits 12 to 23) and the trigger's distance
 #: from the first start (bits 0 to 11).
-_ANCHOR = "phrase long, context long, before int, after int, k1 long, k2 long, copies long, span long"
+_ANCHOR = "phrase long, context long, before int, after int, k1 long, k2 long, span long"
 
 
 def unpacked(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,22 +116,35 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
                     pa.array(after),
                     batch.column("k1").take(take),
                     batch.column("k2").take(take),
-                    batch.column("copies").take(take),
                     pa.array(packed(low - base, high - base, place - base)),
                 ],
-                ["phrase", "context", "before", "after", "k1", "k2", "copies", "span"],
+                ["phrase", "context", "before", "after", "k1", "k2", "span"],
             )
 
     return texts.mapInArrow(run, _ANCHOR)
 
 
+def phrases(texts: DataFrame, length: int) -> DataFrame:
+    """Every phrase that a trigger picks and how often; counted in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            data, offsets = utf8(batch.column("text"))
+            row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            places = np.arange(max(0, len(data) - PHRASE + 1))
+            grams = Ranges(data)(places, places + PHRASE)
+            place, _, _ = triggers(grams, offsets[1:][row], length, PHRASE)
+            found, n = np.unique(grams[place], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n)], ["phrase", "n"])
+
+    return texts.select("text").mapInArrow(run, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
+
+
 def marked_spans(found: DataFrame, number: Column, name: Column, most: int = 1) -> DataFrame:
     """The rows of `found` with n (the occurrences of the row's context), whether the row `speaks` for its context (the
     least by `name`), and the group of strings `left` and `right` of the middle that have to be compared: only where a
     side is shared by several contexts of which one occurs `most` times at most, and only for the rows that speak. A
-    group is (id, contexts in it).
-
-    Every use of `found` reads the same columns, so that one exchange serves all.
+    group is (id, contexts in it). A context belongs to one phrase and has one left and one right side.
     """
     keys = ["phrase", "context", "before", "after"]
     one = found.groupBy(*keys).agg(number.alias("n"), F.min(name).alias("chosen"))
@@ -154,7 +167,8 @@ def marked_spans(found: DataFrame, number: Column, name: Column, most: int = 1)
         )
     )
     status = one.join(compared, ["phrase", "context"], "left")
-    marked = found.join(status, keys).withColumn("speaks", name == F.col("chosen"))
+    marked = found.drop("before", "after").join(status.drop("before", "after"), ["phrase", "context"])
+    marked = marked.withColumn("speaks", name == F.col("chosen"))
     return marked.withColumns({c: F.when(F.col("speaks"), F.col(c)) for c in ("left", "right")})
 
 
@@ -168,26 +182,26 @@ def to_compare(mark: dict, half: int) -> list[tuple[int, int, dict]]:
 
 def repeated(docs: DataFrame, length: int) -> DataFrame:
     """Each distinct text (k1, k2, text) with the starts of its repeated strings: `settled` spans, single `starts`."""
-    # every use below reads all columns of `texts`, so that the texts are exchanged once
-    texts = (
-        docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
-        .groupBy("k1", "k2")
-        .agg(F.count("*").alias("copies"), F.first("text").alias("text"))
-    )
-    found = anchors(texts, length)
-    # most phrases occur once and end here
-    again = found.groupBy("phrase").agg(F.sum("copies").alias("total")).filter("total > 1").select("phrase")
-    found = found.join(again, "phrase")
-    name = F.struct("k1", "k2", "span", "copies")
+    rows = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+    # most phrases occur once and end here; the anchors of the others are written, so that texts are parsed no more
+    again = phrases(rows, length).filter("n > 1").select("phrase")
+    found = io.written(anchors(rows, length).join(again, "phrase"))
+    name = F.struct("k1", "k2", "span")
+    # copies of a text make equal marks: each is kept once, in each task first
     marks = (
-        marked_spans(found, F.sum("copies"), name)
+        marked_spans(found, F.count("*"), name)
         # an open context that shares no side with another has no repeated string
         .filter("n > 1 OR left IS NOT NULL OR right IS NOT NULL")
         .select("k1", "k2", F.struct("span", (F.col("n") == 1).alias("open"), "left", "right").alias("mark"))
         .groupBy("k1", "k2")
-        .agg(F.collect_list("mark").alias("marks"))
+        .agg(F.collect_set("mark").alias("marks"))
     )
+    texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     marked = texts.join(marks, ["k1", "k2"])
+    # only strings of groups are compared; the other marks don't go to Python
+    to_deal = marked.select(
+        "k1", "k2", "text", F.filter("marks", lambda m: m["left"].isNotNull() | m["right"].isNotNull()).alias("marks")
+    ).filter(F.size("marks") > 0)
     half = (length - PHRASE) // 2
 
     def pieces(batches: Iterator[pa.RecordBatch], crowded: bool) -> Iterator[tuple]:
@@ -253,21 +267,21 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
             yield _batch([(h, k1, k2, s, is_open) for h, s in zip(hashes, at.tolist(), strict=True)], names, kinds)
 
     in_groups = (
-        marked.mapInArrow(deal, "group long, k1 long, k2 long, open boolean, start long, bytes binary")
+        to_deal.mapInArrow(deal, "group long, k1 long, k2 long, open boolean, start long, bytes binary")
         .repartition("group")
         .sortWithinPartitions("group")
         .mapInArrow(compare, "k1 long, k2 long, starts array<long>")
     )
     # groups of very many contexts: their strings are counted one by one, wherever they lie
-    strings = marked.mapInArrow(single, "string long, k1 long, k2 long, start long, open boolean")
+    crowds = F.exists("marks", lambda m: (m["left"]["kinds"] > CROWD) | (m["right"]["kinds"] > CROWD))
+    strings = to_deal.filter(F.coalesce(crowds, F.lit(False))).mapInArrow(single, "string long, k1 long, k2 long, start long, open boolean")
     twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
     crowded = strings.filter("open").join(twice, "string").select("k1", "k2", F.array("start").alias("starts"))
     starts = (
         in_groups.unionByName(crowded).groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     )
     settled = F.transform(F.filter("marks", lambda m: ~m["open"]), lambda m: m["span"])
-    # copies is named only to read what the other uses read
-    return marked.join(starts, ["k1", "k2"], "left").select("k1", "k2", "text", settled.alias("settled"), "starts", "copies")
+    return marked.join(starts, ["k1", "k2"], "left").select("k1", "k2", "text", settled.alias("settled"), "starts")
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
