@@ -76,12 +76,12 @@ def search_terms(question: Column) -> Column:
 
 def names(value: Column) -> Column:
     """A comma-separated list: trimmed, without blanks or repeats."""
-    return F.array_distinct(F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def title_from(text: Column, most: int = 60) -> Column:
     """The first line with text, cut to `most` characters."""
-    first = F.coalesce(F.get(F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != ""), F.lit(0)), F.lit(""))
+    first = F.coalesce(F.get(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), F.lit(0)), F.lit(""))
     return F.when(F.length(first) <= most, first).otherwise(F.concat(F.substring(first, 1, most - 1), F.lit("…")))
 
 
@@ -196,11 +196,15 @@ def matches_prefixes(text: Column, query: str) -> Column:
     own = F.transform(words(text), F.lower)
     wanted = [w for w in re.split(r"[\W_]+", query.lower()) if w]
     out = F.lit(bool(wanted))
-    for w in wanted:
-        out = out & F.exists(own, lambda t, w=w: F.startswith(t, F.lit(w)))
+    for w in map(F.lit, wanted):
+        out = out & _any_starts(own, w)
     return out
 
 
+def _any_starts(terms: Column, prefix: Column) -> Column:
+    return F.exists(terms, lambda t: F.startswith(t, prefix))
+
+
 def html_title(html: Column) -> Column:
     """The text of <title>, with entities decoded by name and number where they are the common ones; null if empty."""
     raw = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))

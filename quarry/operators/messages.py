@@ -112,15 +112,15 @@ def input_history(messages: DataFrame, most: int = 500) -> DataFrame:
     """The latest questions, oldest first, without immediate repeats."""
     latest = (
         messages.filter((F.col("role") == "user") & (F.trim("text") != ""))
-        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("at"), "text")
-        .orderBy(F.desc("at"))
+        .select((F.col("conv_id") * 1000 + F.col("turn")).alias("time"), "text")
+        .orderBy(F.desc("time"))
         .limit(most)
     )
-    order = Window.orderBy("at")  # over `most` rows
+    order = Window.orderBy("time")  # over `most` rows
     return (
         latest.withColumn("before", F.lag("text").over(order))
         .filter(~F.col("text").eqNullSafe(F.col("before")))
-        .select("at", "text")
+        .select("time", "text")
     )
 
 

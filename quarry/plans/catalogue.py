@@ -1,4 +1,530 @@
-"""Every query of the library by name, with the SQL that gives the same rows."""
+"""Every query of the library by name, with the SQL that gives the same rows where SQL can.
+
+Documents are a corpus whose collection is the language and whose path is made of source and id; conversations are
+messages with conv_id * 1000 + turn as their time; the second snapshot of the incremental queries changes every seventh
+document and drops every eleventh.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import columns as C
+from quarry.operators import index, messages, passages, retrieval
+from quarry.streaming import events as streams
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "conversations")
+
+
+def _corpus(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(
+        F.col("doc_id").alias("key"), "lang", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"), "text"
+    )
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+
+
+# --- tokens, formats, scalar functions ---------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents")
+def q_token_estimate(spark, d):
+    return read(spark, d, "documents").select("doc_id", C.tokens(F.col("text")).alias("tokens"))
+
+
+@query("""SELECT conv_id, count(*) AS n_messages, CAST(sum(CAST(ceil(length(text) / 4.0) AS BIGINT) + 4) AS BIGINT) AS prompt_tokens
+FROM conversations GROUP BY conv_id""")
+def q_prompt_tokens(spark, d):
+    return messages.prompt_tokens(_turns(spark, d))
+
+
+@query("""SELECT conv_id, turn, role, tokens, CAST(place AS INTEGER) AS place FROM (SELECT conv_id, turn, role,
+  CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS tokens,
+  row_number() OVER (PARTITION BY conv_id ORDER BY ceil(length(text) / 4.0) DESC, turn) AS place FROM conversations) WHERE place <= 5""")
+def q_longest_messages(spark, d):
+    return messages.longest(_turns(spark, d))
+
+
+@query("""WITH s AS (SELECT conv_id,
+  CAST(coalesce(sum(CAST(ceil(length(text) / 4.0) AS BIGINT) + 4) FILTER (role = 'system'), 0) AS BIGINT) AS system_tokens,
+  CAST(coalesce(sum(CAST(ceil(length(text) / 4.0) AS BIGINT) + 4) FILTER (role <> 'system'), 0) AS BIGINT) AS history_tokens
+  FROM conversations WHERE trim(text) <> '' GROUP BY conv_id)
+SELECT *, system_tokens + history_tokens AS total_tokens,
+  CASE WHEN system_tokens + history_tokens = 0 THEN 0 ELSE system_tokens * 100 // (system_tokens + history_tokens) END AS system_percent,
+  CASE WHEN system_tokens + history_tokens = 0 THEN 0 ELSE history_tokens * 100 // (system_tokens + history_tokens) END AS history_percent FROM s""")
+def q_context_breakdown(spark, d):
+    return messages.context_breakdown(_turns(spark, d))
+
+
+@query("""WITH p AS (SELECT conv_id, turn, role, CAST(ceil(length(text) / 4.0) AS BIGINT) AS output_tokens,
+  CAST(coalesce(sum(CAST(ceil(length(text) / 4.0) AS BIGINT) + 4) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS input_tokens
+  FROM conversations)
+SELECT conv_id, count(*) AS requests, CAST(sum(input_tokens * 2000000 // 1000000 + output_tokens * 10000000 // 1000000) AS BIGINT) AS micros
+FROM p WHERE role = 'assistant' GROUP BY conv_id""")
+def q_cost(spark, d):
+    return messages.costs(_turns(spark, d), 2_000_000, 10_000_000)
+
+
+@query("""SELECT doc_id,
+  replace(format('{:,}', n_chars * 977), ',', chr(8239)) AS grouped,
+  CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN (n + 50) // 100 // 10 || ',' || (n + 50) // 100 % 10 || 'k'
+    WHEN n < 1000000 THEN (n + 500) // 1000 || 'k' ELSE (n + 50000) // 100000 // 10 || ',' || (n + 50000) // 100000 % 10 || 'M' END AS short,
+  CASE WHEN s < 60 THEN 'à l''instant' WHEN s < 3600 THEN 'il y a ' || s // 60 || ' min' WHEN s < 86400 THEN 'il y a ' || s // 3600 || ' h'
+    WHEN s < 172800 THEN 'hier' WHEN s < 2592000 THEN 'il y a ' || s // 86400 || ' j' WHEN s < 31536000 THEN 'il y a ' || s // 2592000 || ' mois'
+    ELSE 'il y a ' || s // 31536000 || ' an(s)' END AS age
+FROM (SELECT doc_id, n_chars, n_chars * 977 AS n, n_chars * doc_id AS s FROM documents)""")
+def q_formats(spark, d):
+    n, s = F.col("n_chars") * 977, F.col("n_chars") * F.col("doc_id")
+    return read(spark, d, "documents").select(
+        "doc_id", C.format_count(n).alias("grouped"), C.format_short(n).alias("short"), C.ago(s).alias("age")
+    )
+
+
+@query("""SELECT doc_id, CASE WHEN strip = '' THEN 'conversation.md' ELSE strip || '.md' END AS slug FROM (
+  SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(replace(replace(replace(replace(
+    translate(substr(text, 1, 80), 'àáâäãåçéèêëîïíìôöóòõùûüúÿñÀÁÂÄÃÅÇÉÈÊËÎÏÍÌÔÖÓÒÕÙÛÜÚ', 'aaaaaaceeeeiiiiooooouuuuynAAAAAACEEEEIIIIOOOOOUUUU'),
+    'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE')), '[^a-z0-9]+', '-', 'g'), '^-', ''), 1, 50), '-+$', '') AS strip FROM documents)""")
+def q_slug(spark, d):
+    return read(spark, d, "documents").select("doc_id", C.slug(F.substring("text", 1, 80)).alias("slug"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(first) <= 60 THEN first ELSE substr(first, 1, 59) || '…' END AS title FROM (
+  SELECT doc_id, coalesce(list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS first
+  FROM documents)""")
+def q_title_from(spark, d):
+    return read(spark, d, "documents").select("doc_id", C.title_from(F.col("text")).alias("title"))
+
+
+@query("""SELECT doc_id, ext, CASE WHEN ext = 'md' THEN 'markdown' WHEN ext = 'csv' THEN 'text' WHEN ext IN ('rs', 'py', 'makefile') THEN 'code'
+  WHEN ext = 'pdf' THEN 'pdf' END AS kind FROM (
+  SELECT doc_id, ['md', 'csv', 'rs', 'py', 'pdf', 'bin', 'makefile'][CAST(doc_id % 7 AS INTEGER) + 1] AS ext FROM documents)""")
+def q_file_kind(spark, d):
+    ext = F.get(F.array(*map(F.lit, ["md", "csv", "rs", "py", "pdf", "bin", "makefile"])), F.col("doc_id") % 7)
+    path = F.when(ext == "makefile", F.lit("a/Makefile")).otherwise(F.concat(F.lit("a.b/x."), F.upper(ext)))
+    return read(spark, d, "documents").select("doc_id", ext.alias("ext"), C.file_kind(path).alias("kind"))
+
+
+@query("""SELECT doc_id, doc_id % 5 IN (0, 1, 2) AS secret FROM documents""")
+def q_sensitive_path(spark, d):
+    paths = F.array(*map(F.lit, ["home/.ssh/config", "app/.env.local", "my-Secrets/a.txt", "src/main.rs", "keyboard/readme.md"]))
+    return read(spark, d, "documents").select("doc_id", C.is_secret(F.get(paths, F.col("doc_id") % 5)).alias("secret"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_name), 're')")
+def q_all_words(spark, d):
+    return read(spark, d, "part").filter(C.has_all_words(F.col("p_name"), F.lit("RE a"))).select("p_partkey", "p_name")
+
+
+@query("""SELECT page_id, nullif(replace(replace(replace(replace(replace(replace(replace(
+  trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', chr(160)),
+  '&eacute;', 'é'), '&amp;', '&'), '') AS title FROM pages""")
+def q_html_title(spark, d):
+    return read(spark, d, "pages").select("page_id", C.html_title(F.col("html")).alias("title"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def q_fingerprint(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '1,2,3,4' WHEN 1 THEN '' ELSE '7' END AS cited FROM conversations""")
+def q_cited_numbers(spark, d):
+    text = F.get(F.array(F.lit("voir [1], [2,3] et [x] ou [ 4 ]"), F.lit("[a] [1, b] rien"), F.lit("fin [7].")), F.col("turn") % 3)
+    numbers = F.transform(C.cited_numbers(text), lambda n: n.cast("string"))
+    return _turns(spark, d).select("conv_id", "turn", F.array_join(numbers, ",").alias("cited"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+  CASE WHEN event_id % 3 = 0 THEN 'down' WHEN event_id % 3 = 1 THEN 'late' ELSE 'plain' END AS message FROM events""")
+def q_json(spark, d):
+    body = F.get(F.array(F.lit('{"error":{"message":"down"}}'), F.lit('{"error":"late"}'), F.lit(" plain ")), F.col("event_id") % 3)
+    return read(spark, d, "events").select(
+        "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), C.error_message(body).alias("message")
+    )
+
+
+# --- conversations -----------------------------------------------------------------------------------------------
+
+
+@query("""WITH u AS (SELECT conv_id, turn, text, lag(text) OVER w AS previous, lead(turn) OVER w AS rest FROM conversations
+  WHERE role = 'user' AND trim(text) <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, CASE WHEN len(regexp_split_to_array(trim(text), '\\s+')) < 6 AND previous IS NOT NULL
+  THEN trim(previous) || chr(10) || trim(text) ELSE trim(text) END AS search_text FROM u WHERE rest IS NULL""")
+def q_search_text(spark, d):
+    return messages.search_texts(_turns(spark, d))
+
+
+_TITLE = """CASE WHEN length(f) <= 60 THEN f ELSE substr(f, 1, 59) || '…' END"""
+_OVERVIEW = f"""SELECT conv_id, {_TITLE} AS title, created_at, updated_at, n_messages FROM (SELECT conv_id,
+  coalesce(list_filter(list_transform(string_split(coalesce(arg_min(text, turn) FILTER (role = 'user' AND trim(text) <> ''), ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '') AS f,
+  min(conv_id * 1000 + turn) AS created_at, max(conv_id * 1000 + turn) AS updated_at, count(*) AS n_messages FROM conversations GROUP BY conv_id)"""
+
+
+@query(_OVERVIEW)
+def q_list(spark, d):
+    return messages.overview(_turns(spark, d))
+
+
+@query(f"""WITH o AS ({_OVERVIEW}), t AS (SELECT conv_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM conversations),
+hit AS (SELECT DISTINCT conv_id FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'the'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'an'))) > 0)
+SELECT o.conv_id, title, updated_at, hit.conv_id IS NOT NULL AS in_messages FROM o LEFT JOIN hit ON o.conv_id = hit.conv_id
+WHERE hit.conv_id IS NOT NULL OR contains(lower(title), 'the an') ORDER BY updated_at DESC, o.conv_id DESC LIMIT 200""")
+def q_message_search(spark, d):
+    turns = _turns(spark, d)
+    return messages.find_conversations(turns, messages.overview(turns), "the an")
+
+
+@query("""WITH l AS (SELECT conv_id * 1000 + turn AS time, text FROM conversations WHERE role = 'user' AND trim(text) <> '' ORDER BY time DESC LIMIT 500)
+SELECT time, text FROM (SELECT time, text, lag(text) OVER (ORDER BY time) AS b FROM l) WHERE text IS DISTINCT FROM b""")
+def q_input_history(spark, d):
+    return messages.input_history(_turns(spark, d))
+
+
+_FOLD = """lower(replace(replace(replace(replace(translate(text, 'àáâäãåçéèêëîïíìôöóòõùûüúÿñÀÁÂÄÃÅÇÉÈÊËÎÏÍÌÔÖÓÒÕÙÛÜÚ',
+  'aaaaaaceeeeiiiiooooouuuuynAAAAAACEEEEIIIIOOOOOUUUU'), 'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE'))"""
+
+
+@query(f"""SELECT * FROM (SELECT conv_id, coalesce(min(turn) FILTER (contains(f, 'the') AND contains(f, 'ent')), min(turn) FILTER (contains(f, 'the') OR contains(f, 'ent'))) AS turn
+FROM (SELECT *, {_FOLD} AS f FROM conversations) GROUP BY conv_id) WHERE turn IS NOT NULL""")
+def q_preview_anchor(spark, d):
+    return messages.preview_anchor(_turns(spark, d), ["the", "ent"])
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, string_split({_FOLD}, 'en') AS parts FROM conversations),
+e AS (SELECT conv_id, turn, parts, unnest(range(0, len(parts) - 1)) AS k FROM p)
+SELECT conv_id, turn, CAST(k AS INTEGER) AS k, CAST(length(array_to_string(parts[1 : k + 1], '')) + 2 * k AS BIGINT) AS start,
+  CAST(length(array_to_string(parts[1 : k + 1], '')) + 2 * k + 2 AS BIGINT) AS "end" FROM e""")
+def q_find(spark, d):
+    return messages.occurrences(_turns(spark, d), "en")
+
+
+@query("""SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '## Vous' WHEN 'assistant' THEN '## Assistant' ELSE '## Système' END
+  || chr(10) || chr(10) || rtrim(text) || chr(10), chr(10) ORDER BY turn) AS body FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
+def q_export_markdown(spark, d):
+    return messages.export_markdown(_turns(spark, d))
+
+
+@query("""SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) AS body
+FROM conversations WHERE trim(text) <> '' GROUP BY conv_id""")
+def q_chatml(spark, d):
+    return messages.chatml(_turns(spark, d))
+
+
+@query("""WITH c AS (SELECT conv_id, turn AS position, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, 'doc' || turn AS source, text FROM conversations WHERE turn < 3),
+s AS (SELECT conv_id, string_agg('[' || n || '] ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS sources FROM c GROUP BY conv_id)
+SELECT x.conv_id, CAST(-1 AS BIGINT) AS position, 'system' AS role, concat_ws(chr(10) || chr(10), 'Answer.', sources) AS content FROM (SELECT DISTINCT conv_id FROM conversations) x LEFT JOIN s ON x.conv_id = s.conv_id
+UNION ALL SELECT conv_id, turn, role, text FROM conversations WHERE trim(text) <> ''""")
+def q_prompt(spark, d):
+    turns = _turns(spark, d)
+    chunks = turns.filter("turn < 3").select(
+        "conv_id", F.col("turn").alias("position"), F.concat(F.lit("doc"), F.col("turn").cast("string")).alias("source"),
+        F.lit("").alias("location"), "text",
+    )
+    return messages.build_prompt(turns, chunks, "Answer.")
+
+
+@query("""SELECT conv_id, turn, question FROM (SELECT conv_id, turn, role, coalesce(
+  min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+  max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id)) AS question FROM conversations) WHERE role = 'assistant'""")
+def q_images(spark, d):
+    role = F.when(F.col("role") == "assistant", "attachment").otherwise(F.col("role"))
+    return messages.images_to_questions(_turns(spark, d).withColumn("role", role).withColumn("image", F.lit("png")))
+
+
+@query("""SELECT conv_id, after_seq, count(*) + 1 AS total, (SELECT min(x) FROM range(1, 50) t(x) WHERE x NOT IN (SELECT unnest(u))) AS shown
+FROM (SELECT conv_id, CASE WHEN turn % 4 = 0 THEN NULL ELSE turn % 4 END AS after_seq, CASE WHEN turn // 4 >= 1 THEN turn // 4 + 1 ELSE 1 END AS number,
+  list(CASE WHEN turn // 4 >= 1 THEN turn // 4 + 1 ELSE 1 END) OVER (PARTITION BY conv_id, turn % 4) AS u FROM conversations) GROUP BY conv_id, after_seq, u""")
+def q_versions(spark, d):
+    group, number = F.col("turn") % 4, F.expr("turn div 4")
+    tails = _turns(spark, d).select(
+        "conv_id", F.when(group != 0, group).alias("after_seq"), F.when(number >= 1, number + 1).otherwise(F.lit(1)).alias("number")
+    )
+    return messages.versions(tails)
+
+
+@query("""SELECT conv_id, arg_min(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id""")
+def q_conversation_merge(spark, d):
+    return messages.merge_log(_turns(spark, d), ["conv_id"], ["role"], ["text"], "turn")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn >= 4)")
+def q_truncate(spark, d):
+    turns = _turns(spark, d)
+    cuts = turns.filter("conv_id % 3 = 0").select("conv_id").distinct().withColumn("from_turn", F.lit(4))
+    return messages.truncate(turns, cuts)[0]
+
+
+@query("""SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'a,c' WHEN 1 THEN NULL ELSE 'a' END AS collections FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def q_delete_collection(spark, d):
+    lists = F.get(F.array(F.lit("a, b,c"), F.lit("b"), F.lit("a,a")), F.col("conv_id") % 3)
+    return messages.forget_collection(_turns(spark, d).select("conv_id").distinct().withColumn("collections", lists), "b")
+
+
+# --- index maintenance -------------------------------------------------------------------------------------------
+
+
+def _snapshots(spark, d):
+    docs = read(spark, d, "documents").select(
+        F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", F.col("n_chars").alias("size"), F.md5("text").alias("hash")
+    )
+    known = docs.filter("doc_id % 13 <> 5").select(
+        "path", "size", F.lit(0).cast("long").alias("mtime"), "hash", F.when(F.col("doc_id") % 17 == 3, "no text").alias("skipped")
+    )
+    changed = F.col("doc_id") % 7 == 0
+    scan = docs.filter("doc_id % 11 <> 2").select(
+        "path", "size", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).cast("long").alias("mtime"),
+        F.when(changed, F.concat("hash", F.lit("x"))).otherwise(F.col("hash")).alias("hash"),
+    )
+    return scan, known
+
+
+_PLAN = """SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 11 = 2 THEN 'removed' WHEN doc_id % 13 = 5 THEN 'added'
+  WHEN doc_id % 3 <> 0 THEN 'unchanged' WHEN doc_id % 7 <> 0 AND doc_id % 17 <> 3 THEN 'touched' WHEN doc_id % 17 = 3 THEN 'added' ELSE 'updated' END AS action
+FROM documents WHERE NOT (doc_id % 11 = 2 AND doc_id % 13 = 5)"""
+
+
+@query(_PLAN)
+def q_index_plan(spark, d):
+    return index.plan(*_snapshots(spark, d))
+
+
+@query(f"""SELECT count(*) FILTER (action <> 'removed') AS files, count(*) FILTER (action = 'added') AS added, count(*) FILTER (action = 'updated') AS updated,
+  count(*) FILTER (action IN ('unchanged', 'touched')) AS unchanged, count(*) FILTER (action = 'removed') AS removed FROM ({_PLAN})""")
+def q_index_report(spark, d):
+    return index.report(index.plan(*_snapshots(spark, d)))
+
+
+@query("""SELECT added, modified, removed, is_stale, added || ' nouveaux fichiers, ' || modified || ' fichiers modifiés, ' || removed || ' fichiers supprimés' AS sentence
+FROM (SELECT count(*) FILTER (doc_id % 13 = 5 AND doc_id % 11 <> 2) AS added, count(*) FILTER (doc_id % 13 <> 5 AND doc_id % 11 <> 2 AND doc_id % 3 = 0) AS modified,
+  count(*) FILTER (doc_id % 11 = 2 AND doc_id % 13 <> 5) AS removed, true AS is_stale FROM documents)""")
+def q_staleness(spark, d):
+    out = index.staleness(*_snapshots(spark, d))
+    return out.withColumn("sentence", index.staleness_sentence(F.col("added"), F.col("modified"), F.col("removed")))
+
+
+@query("""SELECT lang AS collection, count(*) FILTER (doc_id % 17 <> 3) AS n_documents, CAST(sum(CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS n_chunks,
+  coalesce(max(doc_id) FILTER (doc_id % 5 <> 0), 0) AS last_chunk FROM documents GROUP BY lang""")
+def q_collection_summary(spark, d):
+    docs = read(spark, d, "documents").withColumn("collection", F.col("lang"))
+    chunks = docs.filter("doc_id % 5 <> 0").select("collection", F.col("doc_id").alias("chunk_id"))
+    listed = docs.withColumn("skipped", F.when(F.col("doc_id") % 17 == 3, "no text"))
+    return index.collection_summary(docs.select("collection").distinct(), listed, chunks)
+
+
+@query("SELECT DISTINCT source AS name FROM documents WHERE doc_id % 29 = 1")
+def q_collections_touched(spark, d):
+    docs = read(spark, d, "documents")
+    roots = docs.select(F.col("source").alias("name"), F.concat(F.lit("data/"), "source").alias("root")).distinct()
+    paths = docs.filter("doc_id % 29 = 1").select(F.concat(F.lit("data/"), "source", F.lit("/a/"), F.col("doc_id").cast("string")).alias("path"))
+    return index.collections_touched(roots, paths)
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 2")
+def q_replace_documents(spark, d):
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    changed = docs.filter("doc_id % 7 = 0 AND doc_id % 11 <> 2").withColumn("text", F.concat("text", F.lit("!")))
+    return index.replace_documents(docs, changed, docs.filter("doc_id % 11 = 2"), ["doc_id"])
+
+
+# --- retrieval ---------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
+_TERMS = f"""SELECT item_id, list_distinct(list_transform(list_filter(list_transform(list_filter(string_split_regex({_FOLD}, '[^\\p{{L}}\\p{{N}}]+'),
+  lambda w: length(w) >= 3 OR (length(w) = 2 AND (regexp_matches(w, '[0-9]') OR regexp_matches(w, '^\\p{{Lu}}+$')))), lambda w: lower(w)),
+  lambda w: w NOT IN ({_STOP})), lambda w: regexp_replace(w, '^(.{{4,}})s$', '\\1'))) AS terms FROM benchmark"""
+
+
+@query(f"SELECT item_id, array_to_string(list_sort(terms), ' ') AS terms FROM ({_TERMS})")
+def q_fts_terms(spark, d):
+    terms = C.search_terms(C.fold(F.col("text")))
+    return read(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(terms), " ").alias("terms"))
+
+
+_KEYWORD = f"""tok AS (SELECT doc_id, unnest(list_filter(string_split_regex({_FOLD}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS term FROM documents),
+post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT d.doc_id, count(t.term) AS size FROM documents d LEFT JOIN tok t ON d.doc_id = t.doc_id GROUP BY 1),
+pre AS (SELECT DISTINCT item_id, unnest(terms) AS prefix FROM ({_TERMS})), wanted AS (SELECT DISTINCT prefix FROM pre),
+vocab AS (SELECT term, prefix FROM (SELECT term, substr(term, 1, CAST(unnest(range(1, length(term) + 1)) AS INTEGER)) AS prefix FROM (SELECT DISTINCT term FROM post)) JOIN wanted USING (prefix)),
+found AS (SELECT prefix, doc_id, sum(tf) AS tf FROM post JOIN vocab USING (term) GROUP BY ALL), seen AS (SELECT prefix, count(*) AS n FROM found GROUP BY prefix),
+whole AS (SELECT count(*) AS nt, avg(size) AS mean FROM len),
+kw AS (SELECT item_id, doc_id, round(sum(greatest(ln((nt - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score
+  FROM found JOIN seen USING (prefix) JOIN len USING (doc_id) JOIN pre USING (prefix), whole GROUP BY ALL),
+kwr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS place FROM kw)"""
+
+
+@query(f"WITH {_KEYWORD} SELECT item_id AS question_id, doc_id AS key, CAST(score AS DOUBLE) AS score, CAST(place AS INTEGER) AS place FROM kwr WHERE place < 50")
+def q_keyword_bm25(spark, d):
+    return retrieval.keyword(_corpus(spark, d), _questions(spark, d))
+
+
+@query("""WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0),
+s AS (SELECT qid AS question_id, vec_id AS key, round(list_sum(list_transform(list_zip(embedding, qv), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 9) AS score FROM embeddings, q)
+SELECT question_id, key, score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, key) - 1 AS place FROM s) WHERE place < 50""")
+def q_cosine_topk(spark, d):
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = vectors.filter("key % 100 = 0").select(F.col("key").alias("question_id"), F.col("vector").alias("question_vector"))
+    return retrieval.nearest(vectors, asked)
+
+
+_VECTOR = """WITH w AS (SELECT {key} AS key, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 2)) AS word FROM {table}),
+u AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM w),
+b AS (SELECT word, list_reduce(list_prepend(37, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 2) AS INTEGER))),
+  lambda x, y: (xor(x, y & 63) * 51) & 63) AS bucket FROM u),
+c AS (SELECT key, bucket, count(*) AS n FROM w JOIN b USING (word) GROUP BY ALL)
+SELECT key, CAST(bucket AS INTEGER) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY key)), 9) AS weight FROM c"""
+
+
+@query(_VECTOR.format(key="doc_id", table="documents"))
+def q_hash_embed(spark, d):
+    vectors = retrieval.hash_vectors(_corpus(spark, d), "key")
+    return vectors.select("key", F.posexplode("vector").alias("bucket", "x")).filter("x > 0").select("key", "bucket", F.round("x", 9).alias("weight"))
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings""")
+def q_l2_norm(spark, d):
+    v = F.col("embedding").cast("array<double>")
+    return read(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(retrieval.dot(v, v)), 6).alias("norm"))
+
+
+@query(f"""WITH {_KEYWORD}, m AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 7919 + item_id * 31) % 100003, doc_id) - 1 AS place,
+  1 - ((doc_id * 7919 + item_id * 31) % 100003) / 100003.0 AS score FROM documents, benchmark),
+mr AS (SELECT * FROM m WHERE place < 50 AND score >= 0.3), kr AS (SELECT * FROM kwr WHERE place < 50)
+SELECT coalesce(mr.item_id, kr.item_id) AS question_id, coalesce(mr.doc_id, kr.doc_id) AS key,
+  round(coalesce(1.0 / (mr.place + 61), 0) + coalesce(1.0 / (kr.place + 61), 0), 9) AS score
+FROM mr FULL JOIN kr ON mr.item_id = kr.item_id AND mr.doc_id = kr.doc_id""")
+def q_rrf(spark, d):
+    """Fusion with a stated ranking of every document for every question in the place of the vectors."""
+    corpus, asked = _corpus(spark, d), _questions(spark, d)
+    mixed = (F.col("key") * 7919 + F.col("question_id") * 31) % 100003
+    order = retrieval.Window.partitionBy("question_id").orderBy(F.desc("score"), "key")
+    meaning = (
+        corpus.select("key").join(F.broadcast(asked.select("question_id")))  # the question set against all rows
+        .withColumn("score", 1 - mixed / F.lit(100003.0))
+        .withColumn("place", F.row_number().over(order) - 1)
+        .filter("place < 50")
+    )
+    return retrieval.fuse(meaning, retrieval.keyword(corpus, asked), 0.3)
+
+
+@query()
+def q_hybrid_context(spark, d):
+    return retrieval.hybrid(_corpus(spark, d), _questions(spark, d))
+
+
+@query()
+def q_multi_collection(spark, d):
+    corpus = _corpus(spark, d).filter(F.col("lang").isin("en", "fr"))
+    labelled = corpus.withColumn("source", F.concat("lang", F.lit(" › "), "source"))
+    return retrieval.hybrid(labelled, _questions(spark, d))
+
+
+@query()
+def q_word_rerank(spark, d):
+    corpus, asked = _corpus(spark, d), _questions(spark, d)
+    ranked = retrieval.keyword(corpus, asked, 20).join(corpus.select("key", "text"), "key")
+    out = retrieval.word_rerank(ranked, asked)
+    return out.select("question_id", "key", "hits", "place", "new_place")
+
+
+# --- passages ----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CAST(pos AS INTEGER) AS pos, length(block) AS n FROM (SELECT doc_id, generate_subscripts(b, 1) - 1 AS pos, unnest(b) AS block FROM (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\\n(?:[ \\t\\r]*\\n)+'), lambda x: regexp_replace(x, '^\\n+|\\n+$', '', 'g')), lambda x: trim(x) <> '') AS b FROM documents))""")
+def q_blocks(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.posexplode(passages.blocks(F.col("text"))).alias("pos", "block")).select(
+        "doc_id", "pos", F.length("block").cast("long").alias("n")
+    )
+
+
+@query()
+def q_chunks_text(spark, d):
+    return passages.split(_corpus(spark, d), 250)
+
+
+@query()
+def q_chunks_sections(spark, d):
+    return passages.split(_corpus(spark, d), 250, sections=True)
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT user_id AS key, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3 SECOND THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT key, ts, sum(fresh) OVER (PARTITION BY key ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT key, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS last, count(*) AS n FROM s GROUP BY key, session""")
+def q_debounce(spark, d):
+    events = read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    us = lambda c: F.unix_micros(F.col(c)).alias(c)
+    return streams.debounce(events).select("key", us("first"), us("last"), "n")
+
+
+@query("""WITH e AS (SELECT user_id AS key, event_id, row_number() OVER (PARTITION BY user_id, epoch_ms(ts) // 500 ORDER BY ts, event_id) AS a,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS z FROM events)
+SELECT key, event_id, z = 1 AS final FROM e WHERE a = 1 OR z = 1""")
+def q_throttle(spark, d):
+    return streams.throttle(read(spark, d, "events").withColumnRenamed("user_id", "key"))
+
+
+@query("""SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')""")
+def q_stale_discard(spark, d):
+    events = read(spark, d, "events").withColumnRenamed("user_id", "request_id")
+    return streams.current_only(events, events.filter("event_type = 'signup'").select("request_id").distinct()).select("event_id")
+
+
+@query("SELECT user_id AS request_id, string_agg(event_type, '' ORDER BY event_id) AS text FROM events GROUP BY user_id")
+def q_stream_text(spark, d):
+    return streams.stream_text(
+        read(spark, d, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("text"))
+    )
+
+
+@query("""SELECT user_id AS request_id, CAST(0 AS INTEGER) AS round, event_id % 2 AS call_index, CASE WHEN event_id % 2 = 0 THEN 'call_0_0' ELSE string_agg('c', '') END AS call_id,
+  string_agg(CASE WHEN event_type = 'view' THEN 'v' ELSE '' END, '' ORDER BY event_id) AS call_name, string_agg(props, '' ORDER BY event_id) AS arguments
+FROM events GROUP BY user_id, event_id % 2""")
+def q_tool_calls(spark, d):
+    odd = F.col("event_id") % 2
+    return streams.tool_calls(
+        read(spark, d, "events").select(
+            F.col("user_id").alias("request_id"), F.lit(0).alias("round"), F.col("event_id").alias("pos"), odd.alias("call_index"),
+            F.when(odd == 1, "c").alias("call_id"), F.when(F.col("event_type") == "view", "v").alias("call_name"), F.col("props").alias("arguments"),
+        )
+    )
+
+
+@query("""WITH e AS (SELECT user_id AS request_id, event_id AS pos, event_type AS kind,
+  min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id) AS e FROM events)
+SELECT request_id, pos, kind FROM e WHERE e IS NULL OR pos <= e""")
+def q_until_error(spark, d):
+    return streams.until_done(
+        read(spark, d, "events").select(F.col("user_id").alias("request_id"), F.col("event_id").alias("pos"), F.col("event_type").alias("kind"))
+    )
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role AS data FROM conversations""")
+def q_sse_frames(spark, d):
+    body = F.encode(F.concat(F.lit(": c\r\ndata: "), "role", F.lit("\r\n\r\n")), "UTF-8")
+    return streams.sse(
+        _turns(spark, d).select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("chunk_seq"), body.alias("bytes"))
+    )
