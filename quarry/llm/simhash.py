@@ -228,7 +228,12 @@ def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(io.table(spark, sf_dir, "documents")).select(
+    return report(io.table(spark, sf_dir, "documents"))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """One row per document."""
+    return classes(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 

@@ -344,7 +344,11 @@ def remainders(docs: DataFrame, length: int = LENGTH, bytes_too: bool = True) ->
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = io.table(spark, sf_dir, "documents")
+    return report(io.table(spark, sf_dir, "documents"))
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """One row per document."""
     text = F.coalesce("text", F.lit(""))
     whole = docs.select(
         "doc_id", *text_key(F.col("text")), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own_sha256")
