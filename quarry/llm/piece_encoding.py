@@ -243,7 +243,8 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "units"]
             )
 
-    seen = rows.select("text").mapInArrow(cut, "unit string, block long")
+    # the same columns as below, so that both passes see the same blocks
+    seen = rows.mapInArrow(cut, "unit string, block long")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // UNIT_BYTES))
     # each block names a unit once, so combining before the exchange would gain nothing
