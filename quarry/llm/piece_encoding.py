@@ -146,16 +146,17 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
         )
     )
     lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    # edges that end within the reach of one piece lie near each other in the sorted array
-    near = pieces.longest * pieces.longest
+    # where the edges that end at each place begin in the sorted array; every place has one, its single character
+    begins = F.expr("transform(sequence(1, length(unit)), k -> array_position(transform(edges, x -> x.e), k))")
+    # only an edge that ends behind y's start and stands before y can cross y's border
     forward = F.expr(f"""
         aggregate(
           transform(edges, (x, i) -> named_struct('x', x, 'i', i)),
           array(named_struct('s', -1, 'id', -1, 'suffixes', cast(null as array<int>))),
           (best, y) -> if(
             size(best) > y.x.e or (y.x.s > 0 and exists(
-              slice(edges, greatest(y.i - {near}, 0) + 1, {near + pieces.longest + 1}),
-              c -> c.s < y.x.s and c.e > y.x.s and c.e <= y.x.e and c.s >= best[y.x.s].s
+              slice(edges, begins[y.x.s], y.i + 1 - begins[y.x.s]),
+              c -> c.s < y.x.s and c.s >= best[y.x.s].s
                 and c.rank < if(best[y.x.s].suffixes is null, {NEVER}, coalesce(get(best[y.x.s].suffixes, y.x.s - c.s), 0))
                 and c.rank <= if(y.x.prefixes is null, {NEVER}, coalesce(get(y.x.prefixes, c.e - y.x.s), 0)))),
             best,
@@ -168,7 +169,8 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
           (path, k) -> if(path.at = 0, path, named_struct('at', best[path.at].s, 'ids', array_append(path.ids, best[path.at].id))),
           path -> reverse(path.ids))
     """)
-    return lattice.select("unit", forward.alias("best")).select("unit", backward.alias("ids"))
+    folded = lattice.withColumn("begins", begins.cast("array<int>")).select("unit", forward.alias("best"))
+    return folded.select("unit", backward.alias("ids"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
