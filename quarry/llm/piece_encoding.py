@@ -47,6 +47,8 @@ from quarry.llm.text import steps
 BLANK = "▁"
 #: Bytes of text in a block at most (or one document), and for each partition of the units: what a task sorts stays small.
 BLOCK_BYTES, UNIT_BYTES = 32_000_000, 2_000_000
+#: Level of compression of the texts that wait for their units.
+PACKED = 6
 #: Of a piece's own edge: nothing it becomes part of.
 NEVER = 2**31 - 1
 
@@ -209,16 +211,17 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
-            packed = zstandard.ZstdCompressor(level=1).compress(sink.getvalue())
+            packed = zstandard.ZstdCompressor(level=PACKED).compress(sink.getvalue())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), pa.array([packed], pa.binary())], ["block", "packed"]
             )
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Units and ids for each block that needs them, packed: one row for each block and batch."""
+        """The ids of units for each block that needs them, packed: one row for each block and batch.
+
+        A unit is what its ids decode to, so it needn't be named."""
         for batch in batches:
-            units = np.array(batch.column("unit").to_pylist(), object)
-            ids = np.empty(len(units), object)
+            ids = np.empty(batch.num_rows, object)
             for i, found in enumerate(batch.column("ids").to_pylist()):
                 flat: list[int] = []
                 for x in found:
@@ -229,18 +232,16 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
                 ids[i] = np.array(flat, np.int32).tobytes()
             blocks = batch.column("blocks")
             to = blocks.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(units)), np.asarray(blocks.value_lengths()))
+            owner = np.repeat(np.arange(len(ids)), np.asarray(blocks.value_lengths()))
             order = np.argsort(to, kind="stable")
             to, owner = to[order], owner[order]
             edges = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.empty(0, np.int64)
             out = []
             for a, b in zip(edges, np.append(edges[1:], len(to)), strict=True):
                 mine = owner[a:b]
-                # a line feed is a unit of its own: the empty name stands for it
-                names = "\n".join(u if u != "\n" else "" for u in units[mine]).encode()
                 sizes = np.array([len(x) for x in ids[mine]], np.int32)
-                body = len(names).to_bytes(4, "little") + len(sizes).to_bytes(4, "little") + names + sizes.tobytes() + b"".join(ids[mine])
-                out.append((int(to[a]), zstandard.ZstdCompressor(level=1).compress(body)))
+                body = len(sizes).to_bytes(4, "little") + sizes.tobytes() + b"".join(ids[mine])
+                out.append((int(to[a]), zstandard.ZstdCompressor(level=3).compress(body)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "units"]
             )
@@ -251,7 +252,8 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // UNIT_BYTES))
     # each block names a unit once, so combining before the exchange would gain nothing
     needed = seen.repartition(parts, "unit").groupBy("unit").agg(F.collect_list("block").alias("blocks"))
-    coded = needed.join(encode_units(needed.select("unit"), pieces), "unit")
+    # a filter that holds for every unit keeps `blocks` on both sides of the join, so that they share one exchange
+    coded = needed.join(encode_units(needed.filter(F.size("blocks") > 0).select("unit"), pieces), "unit")
     dealt = coded.mapInArrow(deal, "block long, units binary")
     packed = rows.mapInArrow(pack, "block long, packed binary")
 
@@ -259,13 +261,14 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
         table: dict[str, bytes] = {}
         for body in right["units"]:
             raw = zstandard.ZstdDecompressor().decompress(body)
-            size, n = int.from_bytes(raw[:4], "little"), int.from_bytes(raw[4:8], "little")
-            names = raw[8 : 8 + size].decode().split("\n")
-            ends = np.cumsum(np.frombuffer(raw, np.int32, n, 8 + size)) + 8 + size + 4 * n
-            begin = 8 + size + 4 * n
-            for name, end in zip(names, ends.tolist(), strict=True):
-                table[name or "\n"] = raw[begin:end]
-                begin = end
+            n = int.from_bytes(raw[:4], "little")
+            begin = 4 + 4 * n
+            flat = np.frombuffer(raw, np.int32, -1, begin).tolist()
+            at = 0
+            for size in np.frombuffer(raw, np.int32, n, 4).tolist():
+                name = b"".join([decoded[i] for i in flat[at : at + size // 4]])
+                table[name.decode().replace(" ", BLANK)] = raw[begin : begin + size]
+                begin, at = begin + size, at + size // 4
         find, lone = re.compile(pattern).findall, np.int32(blanks[1]).tobytes()
         out = []
 
