@@ -1,0 +1,195 @@
+"""Near copies for the pipeline: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+No such pair is missed. Two sets as similar as that share one of their least `n - ceil(0.8 n) + 1` shingles in any order
+that is the same for all documents; each set is filed under these. Shingles that a sample finds to be common come last in
+the order, so that few sets are filed under what many documents share; the sample only matters for speed. Candidates are
+verified on the whole sets.
+
+Equal sets are one node from the start, however many copies exist. Sets filed under one shingle are first compared with
+two of them only, and then only across the components that this gives; so a large group of near copies makes no list of
+all its pairs. Components of the links give the classes, and one row of each class stays.
+
+Words are separated by ASCII white space, ASCII letters compare without case, and a text below five words has one
+shingle. Shingles and sets are compared by 64-bit hashes. Texts without words are one class.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm import io
+from quarry.llm.components import components
+from quarry.llm.text import SPACED, Ranges, lower_ascii, ranges_of, signed, steps, utf8, words
+
+SHINGLE = 5
+#: The least similarity of near copies is 4 / 5.
+SHARE = (4, 5)
+#: One text of so many is looked at for common shingles; the most that are kept, and how often each is seen at least.
+SAMPLE, COMMON, SEEN = 16, 50_000, 3
+#: A table of keys up to this many rows is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def shingle_sets(column: pa.Array, common: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's distinct shingles, common ones last, one row after the other; where each row begins (n + 1 offsets)."""
+    data, offsets = utf8(column)
+    data = lower_ascii(data)
+    start, end, first = words(data, offsets, SPACED)
+    if not len(start):
+        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+    n = np.diff(first)
+    count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
+    row = np.repeat(np.arange(len(n)), count)
+    at = np.repeat(first[:-1], count) + ranges_of(count)
+    hashes = Ranges(Ranges(data)(start, end))(at, np.minimum(at + shingle, first[1:][row]))
+    late = np.isin(hashes, common)
+    order = np.lexsort((hashes, late, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    return hashes[new], np.searchsorted(row[new], np.arange(len(column) + 1))
+
+
+def node_of(hashes: np.ndarray) -> int:
+    """The name of a set: zero for the empty one."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64)) if len(hashes) else 0
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            found, n = np.unique(shingle_sets(batch.column("text"), np.empty(0, np.uint64))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n)], ["token", "n"])
+
+    some = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counts = some.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= SEEN)
+    rows = counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    return np.sort(np.array([r["token"] for r in rows], np.int64).view(np.uint64))
+
+
+def similar(texts: DataFrame, pairs: DataFrame, common: np.ndarray) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are near copies."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            hashes, at = shingle_sets(batch.column("text"), common)
+            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(signed(hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists], ["node", "tokens"])
+
+    asked = io.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    # one text for each node: `texts` has the row that stands for it
+    sets = io.written(texts.join(_few(asked), "node", "left_semi").select("node", "text").mapInArrow(whole, "node long, tokens array<long>"))
+    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
+    other = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    t, u = SHARE
+    # both / (x + y - both) >= t / u
+    enough = both * (t + u) >= t * (F.size("x") + F.size("y"))
+    return pairs.join(one, "a").join(other, "b").filter(enough).select("a", "b")
+
+
+def links(marked: DataFrame, texts: DataFrame, common: np.ndarray) -> DataFrame:
+    """Links (a, b) of nodes whose components are those of all pairs of near copies.
+
+    `texts`: node and text, one row for each node.
+    """
+    t, u = SHARE
+
+    def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            hashes, at = shingle_sets(batch.column("text"), common)
+            size = np.diff(at)
+            count = np.where(size > 0, size + (-t * size // u) + 1, 0)  # size - ceil(size * t / u) + 1
+            row = np.repeat(np.arange(len(size)), count)
+            tokens = hashes[np.repeat(at[:-1], count) + ranges_of(count)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(tokens)), batch.column("node").take(pa.array(row)), pa.array(size[row])], ["token", "node", "size"]
+            )
+
+    files = texts.select("node", "text").mapInArrow(filed, "token long, node long, size long")
+    edge = F.struct("node", "size")
+    ends = files.groupBy("token").agg(F.min(edge).alias("low"), F.max(edge).alias("high")).filter("low.node <> high.node")
+    shared = io.checkpointed(files.join(ends, "token"))
+
+    def fits(x: str, y: str):
+        return F.least(x, y) * u >= F.greatest(x, y) * t
+
+    some = [
+        shared.filter(fits("size", f"{end}.size")).select(
+            F.least("node", f"{end}.node").alias("a"), F.greatest("node", f"{end}.node").alias("b")
+        )
+        for end in ("low", "high")
+    ]
+    tried = io.checkpointed(some[0].unionByName(some[1]).filter("a <> b").distinct())
+    first = io.checkpointed(similar(texts, tried, common))
+    named = components(first)
+    placed = io.checkpointed(
+        shared.select("token", "node", "size").join(named, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("root"))
+    )
+    mixed = placed.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+    left = io.checkpointed(placed.join(mixed.select("token"), "token"))
+    right = left.select("token", F.col("node").alias("b"), F.col("size").alias("other_size"), F.col("root").alias("other_root"))
+    rest = (
+        left.withColumnRenamed("node", "a")
+        .join(right, "token")
+        .filter((F.col("a") < F.col("b")) & (F.col("root") != F.col("other_root")) & fits("size", "other_size"))
+        .select("a", "b")
+        .distinct()
+        .join(tried, ["a", "b"], "left_anti")
+    )
+    return first.unionByName(similar(texts, io.checkpointed(rest), common))
+
+
+def marks(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """doc_id, h1, h2 (a hash of the whole row) and node of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            hashes, at = shingle_sets(batch.column("text"), common)
+            nodes = [node_of(hashes[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in ("doc_id", "h1", "h2")], pa.array(nodes, pa.int64())], ["doc_id", "h1", "h2", "node"]
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return keyed(docs).select("doc_id", "h1", "h2", "text").mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, node long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """With a hash of the whole row in two columns; nulls count as values of their own."""
+    values = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return docs.withColumns({"h1": F.xxhash64(F.lit(1), *values), "h2": F.xxhash64(F.lit(2), *values)})
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """One row of each class of near copies stays: the one with the least doc_id (null: last), then by a hash of the row;
+    of equal rows, one."""
+    columns = docs.columns
+    common = common_shingles(docs)
+    marked = io.checkpointed(marks(docs, common))
+    item = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    own = io.checkpointed(marked.groupBy("node").agg(F.min(item).alias("least")))
+    # one row for each node, and each node's text once
+    stands = own.filter("node <> 0").select("node", F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2"))
+    texts = io.written(keyed(docs).select("h1", "h2", "text").join(stands, ["h1", "h2"]).select("node", "text").dropDuplicates(["node"]))
+    roots = components(links(marked, texts, common))
+    best = own.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    chosen = io.checkpointed(best.select(F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2")))
+    rows = marked.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    twice = io.checkpointed(rows.filter("n > 1").select("h1", "h2").join(chosen, ["h1", "h2"], "left_semi"))
+    lost = rows.select("h1", "h2").join(chosen, ["h1", "h2"], "left_anti")
+    gone = io.checkpointed(lost.unionByName(twice))
+    whole = keyed(docs)
+    single = whole.join(_few(gone), ["h1", "h2"], "left_anti")
+    again = whole.join(_few(twice), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return single.unionByName(again).select(*[F.col(f"`{c}`") for c in columns])

@@ -236,9 +236,3 @@ def report(docs: DataFrame) -> DataFrame:
     return classes(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def keep(docs: DataFrame) -> DataFrame:
-    """One document of each class stays: the one with the least doc_id (all rows without an id stay)."""
-    chosen = classes(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(chosen, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.filter("doc_id IS NULL"))

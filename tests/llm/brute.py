@@ -87,6 +87,34 @@ def simhash(rows: list[tuple], bits: int = 4) -> list[tuple]:
     return [(i, f"{f:016x}", least.get(find(f))) for (i, _), f in zip(rows, prints, strict=True)]
 
 
+def near_copies(rows: list[tuple]) -> list[tuple]:
+    """One (doc_id, text) of each class by 5-word shingles, the least doc_id (null: last); its text only if it has no rival."""
+    sets = []
+    for _, t in rows:
+        w = words((t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if 5 * len(x & y) >= 4 * len(x | y):
+                root[find(a)] = find(b)
+    classes = defaultdict(list)
+    for k, row in enumerate(rows):
+        classes[find(k)].append(row)
+    out = []
+    for members in classes.values():
+        least = min((i for i, _ in members if i is not None), default=None)
+        texts = {t for i, t in members if i == least}
+        out.append((least, texts.pop() if len(texts) == 1 else "any"))
+    return out
+
+
 def quality(rows: list[tuple]) -> list[tuple]:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed"""
     out = []

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from quarry.llm import (
-    classifier, decontamination, html_extraction, io, piece_encoding, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, url_filters,
+    classifier, decontamination, html_extraction, io, near_copies, piece_encoding, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, url_filters,
 )
 from tests.llm import brute
 
@@ -56,6 +56,34 @@ def test_simhash(docs, empty):
     assert simhash.report(empty).count() == 0
 
 
+def variant(text, *places):
+    """The text with other words at some places."""
+    w = text.split(" ")
+    for k in places:
+        w[k] = f"other{k}"
+    return " ".join(w)
+
+
+def kept_rows(df, expected):
+    """As `same`, where any text of an id stands for those that are equally good."""
+    got = [(r["doc_id"], r["text"]) for r in df.collect()]
+    unsure = [i for i, t in expected if t == "any"]
+    assert sorted(((i, "any" if i in unsure else t) for i, t in got), key=repr) == sorted(expected, key=repr)
+
+
+def test_near_copies(spark, docs, empty):
+    assert near_copies.keep(docs).columns == docs.columns
+    kept_rows(near_copies.keep(docs), brute.near_copies(ROWS))
+    assert near_copies.keep(empty).count() == 0
+
+
+def test_near_copies_beyond_four_bits(spark):
+    base = prose(20, 100)
+    rows = [(k, variant(base, *range(k * 7, k * 7 + 2))) for k in range(12)] + [(20, variant(base, 0, 20, 40, 60, 80)), (21, prose(21, 100))]
+    assert len({x for _, _, x in brute.simhash(rows)}) > len(brute.near_copies(rows)) > 1
+    kept_rows(near_copies.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), brute.near_copies(rows))
+
+
 def test_quality_rules(docs, empty):
     same(quality_rules.quality(docs), "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed", brute.quality(ROWS))
     assert quality_rules.quality(empty).count() == 0
