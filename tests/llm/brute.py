@@ -38,6 +38,20 @@ def suffix_dedup(rows: list[tuple], length: int = 200) -> list[tuple]:
     return out
 
 
+def suffix_cut(rows: list[tuple], length: int = 200) -> list[tuple]:
+    """doc_id and the text without the bytes that occur elsewhere too (null stays)."""
+    raw = [(t or "").encode() for _, t in rows]
+    seen = Counter(r[s : s + length] for r in raw for s in range(len(r) - length + 1))
+    out = []
+    for (i, t), r in zip(rows, raw, strict=True):
+        gone = np.zeros(len(r), bool)
+        for s in range(len(r) - length + 1):
+            if seen[r[s : s + length]] > 1:
+                gone[s : s + length] = True
+        out.append((i, t if t is None else bytes(np.frombuffer(r, np.uint8)[~gone]).decode(errors="ignore")))
+    return out
+
+
 def substring_dedup(rows: list[tuple], window: int = 50) -> list[tuple]:
     """doc_id, n_words, n_removed, kept_sha256"""
     owner: dict[tuple, int] = {}

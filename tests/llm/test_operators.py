@@ -1,5 +1,6 @@
 """The numbered operators against their plain versions, over a fixture of hard cases and the smallest tables."""
 
+import itertools
 import random
 
 import pytest
@@ -84,6 +85,19 @@ def test_near_copies_beyond_four_bits(spark):
     kept_rows(near_copies.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), brute.near_copies(rows))
 
 
+def test_near_copies_by_row(spark):
+    base = prose(22, 100)
+    rows = [
+        (5, prose(23, 90)), (3, base), (5, variant(base, 50)), (5, variant(base, 50)), (7, base), (7, base), (None, base), (None, variant(base, 1)),
+        (None, prose(24, 80)), (None, prose(24, 80)), (None, variant(prose(24, 80), 3)), (8, prose(25, 70)), (8, prose(25, 70)), (8, prose(26, 70)),
+        (None, None), (None, ""), (9, " "),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute.near_copies(rows)
+    assert len(expected) == 6
+    kept_rows(near_copies.keep(df), expected)
+
+
 def test_quality_rules(docs, empty):
     same(quality_rules.quality(docs), "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed", brute.quality(ROWS))
     assert quality_rules.quality(empty).count() == 0
@@ -162,3 +176,41 @@ def test_pipeline_keeps_clean_documents(spark):
 
     out = corpus_pipeline.run(spark, DATA)
     assert out.columns[0] == "doc_id" and 100 < out.count() <= 200
+
+
+#: With repeated rows, one id for two texts, and copies without an id.
+MORE = [*ROWS, (None, prose(1, 120)), (None, prose(30, 90)), (None, prose(30, 90)), (None, variant(prose(30, 90), 4)), (40, prose(31, 80)), (40, prose(31, 80)),
+    (40, prose(32, 80)), (41, prose(33, 40) + " " + prose(34, 20)), (42, prose(33, 40) + " end of it " + prose(35, 60)),
+]
+
+
+def test_stages_on_repeated_rows_and_null_ids(spark):
+    df = spark.createDataFrame(MORE, "doc_id long, text string").repartition(3)
+    items = [(1, prose(34, 20)), (2, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    kept_rows(near_copies.keep(df), brute.near_copies(MORE))
+    same(suffix_dedup.dedup(df), "doc_id text", brute.suffix_cut(MORE))
+    marked = brute.decontaminate(MORE, items)
+    same(decontamination.clean(df, bench), "doc_id text", [r for r, m in zip(MORE, marked, strict=True) if not m[-1]])
+
+
+def test_pipeline_on_repeated_rows_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    items = [(1, prose(34, 20)), (2, None)]
+    spark.createDataFrame(MORE, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    # the rules have a test of their own
+    rows = [tuple(r) for r in quality_rules.keep(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()]
+    rows = brute.near_copies(rows)
+    assert (None, prose(30, 90)) in rows or (None, variant(prose(30, 90), 4)) in rows or (None, "any") in rows
+    whole = {t for i, t in MORE if i is None}
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # of copies without an id either may stay
+    choices = [[(i, t) for t in sorted(whole, key=repr) if t and t != prose(1, 120)] if t == "any" else [(i, t)] for i, t in rows]
+    fits = []
+    for some in itertools.product(*choices):
+        cut = brute.suffix_cut(list(some))
+        cut = [r for r, m in zip(cut, brute.decontaminate(cut, items), strict=True) if not m[-1]]
+        fits.append(sorted(brute.pieces(cut, piece_encoding.model_path()), key=repr))
+    assert sorted(((r["doc_id"], r["n_pieces"], r["pieces_sha256"]) for r in out), key=repr) in fits
