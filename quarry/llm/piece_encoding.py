@@ -20,6 +20,11 @@ A block's texts, units and ids are bounded by its bytes. Blanks before a blank,
 put together there too. A unit that its block doesn't find again (an input whose order changes between two reads)
 raises an error; checkpoint such an input first.
 
+A unit of more than `LONG` characters (prose without blanks, a long token) is cut further, between two characters that
+no piece holds side by side. What is still longer, a run of letters that all join, doesn't enter the lattice, whose folds
+copy their state for each edge: its characters are merged by a queue in the task that holds its block, in time that grows
+with its length and the logarithm of it.
+
 Decoding joins pieces and bytes and drops the first blank. It gives the text back but for the character U+2581, which
 stands for a blank, and malformed bytes.
 
@@ -30,8 +35,9 @@ equal results; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,6 +55,8 @@ BLANK = "▁"
 BLOCK_BYTES, UNIT_BYTES = 32_000_000, 2_000_000
 #: Level of compression of the texts that wait for their units.
 PACKED = 6
+#: Characters of a unit in the lattice at most.
+LONG = 256
 #: Of a piece's own edge: nothing it becomes part of.
 NEVER = 2**31 - 1
 
@@ -87,6 +95,41 @@ class Pieces:
         self.single = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined and c != 32)
         self.pattern = f"{BLANK}+(?={BLANK})|[{self.single}]|{BLANK}?[^{BLANK}{self.single}]+|{BLANK}"
 
+        #: characters that stand side by side in some piece
+        self.pairs = {t[k : k + 2] for t in self.rank for k in range(len(t) - 1)}
+
+    def parts(self, unit: str) -> list[str]:
+        """A long unit cut where no piece crosses."""
+        if len(unit) <= LONG:
+            return [unit]
+        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.pairs]
+        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
+
+    def merged(self, unit: str) -> list[int]:
+        """The ids that merging gives: the best rank first, of equal ones the leftmost."""
+        n, rank, part = len(unit), self.rank, list(unit)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(rank[p], k, p) for k in range(n - 1) if (p := unit[k : k + 2]) in rank]
+        heapq.heapify(queue)
+        while queue:
+            _, k, p = heapq.heappop(queue)
+            right = after[k]
+            # a part that was merged away is empty
+            if not part[k] or right == n or part[k] + part[right] != p:
+                continue
+            part[k], part[right] = p, ""
+            after[k] = right = after[right]
+            if right < n:
+                before[right] = k
+                if (q := p + part[right]) in rank:
+                    heapq.heappush(queue, (rank[q], k, q))
+            if (left := before[k]) >= 0 and (q := part[left] + p) in rank:
+                heapq.heappush(queue, (rank[q], left, q))
+        out: list[int] = []
+        for p in filter(None, part):
+            out += [self.id[p]] if p in rank else [self.bytes[b] for b in p.encode()]
+        return out
+
     def split(self, piece: str) -> tuple[str, str] | None:
         """The two parts that merge into a piece last; None if merging its characters doesn't give the piece."""
         parts, last = list(piece), None
@@ -186,11 +229,16 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
     lossless (whether the text came back) of every document; `whole` false leaves pieces and decoded null."""
     pieces = Pieces(path or model_path())
     pattern, decoded, by_byte, blanks = pieces.pattern, pieces.decoded, pieces.bytes, pieces.blanks
+    cut_long, merged = pieces.parts, pieces.merged
     rows = io.texts(docs, "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found_by(pattern: str) -> Callable[[str], list[str]]:
         find = re.compile(pattern).findall
+        return lambda text: [x for u in find(text) for x in (cut_long(u) if len(u) > LONG and u.strip(BLANK) else (u,))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = found_by(pattern)
         for block, batch in _blocks(batches):
             seen: set[str] = set()
             for text in batch.column("text").to_pylist():
@@ -198,8 +246,8 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
             units = {BLANK}
             for word in seen:
                 units.update(find(BLANK + word))
-            # blanks before a blank are no units
-            found = [u for u in units if u == BLANK or u.strip(BLANK)]
+            # blanks before a blank are no units, and long ones are merged where they stand
+            found = [u for u in units if len(u) <= LONG and (u == BLANK or u.strip(BLANK))]
             for at in range(0, len(found), 50_000):
                 some = found[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays(
@@ -269,9 +317,14 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
                 name = b"".join([decoded[i] for i in flat[at : at + size // 4]])
                 table[name.decode().replace(" ", BLANK)] = raw[begin : begin + size]
                 begin, at = begin + size, at + size // 4
-        find, lone = re.compile(pattern).findall, np.int32(blanks[1]).tobytes()
+        find, lone = found_by(pattern), np.int32(blanks[1]).tobytes()
         out = []
 
+        def ids_of(unit: str) -> bytes:
+            if len(unit) > LONG and unit not in table:
+                table[unit] = np.array(merged(unit), np.int32).tobytes()
+            return table[unit]
+
         def run(k: int) -> bytes:
             """A run of blanks: the longest pieces from the left."""
             out, longest = [], max(blanks)
@@ -287,7 +340,7 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
                 if u.strip(BLANK) == "":
                     wait += len(u)
                     continue
-                own = table[u]
+                own = ids_of(u)
                 if wait and own[:4] == lone:
                     parts.append(run(wait + 1))
                     own = own[4:]
@@ -309,7 +362,7 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
                     own = text.split(" ")
                     for word in own:
                         if word not in coded:
-                            coded[word] = b"".join([table[u] for u in find(BLANK + word)])
+                            coded[word] = b"".join([ids_of(u) for u in find(BLANK + word)])
                     raw = b"".join(map(coded.__getitem__, own))
                 ids = np.frombuffer(raw, np.int32)
                 back = b"".join(map(decoded.__getitem__, ids.tolist()))[1:].decode(errors="replace")

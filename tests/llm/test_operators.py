@@ -129,6 +129,18 @@ def test_piece_encoding(docs, empty):
     assert piece_encoding.encode(empty).count() == 0
 
 
+def test_piece_encoding_of_long_units(spark):
+    r = random.Random(40)
+    texts = [
+        "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(100_000)), "a" * 100_001, "".join(r.choices("etaoinshr", k=100_000)),
+        "start  " + "".join(r.choices("abcXYZé-_/", k=3000)) + "   " + "e" * 700 + " end", " " + "中" * 300, "  " + "=" * 5000, "\u0301" * 1000, "🦀" * 400,
+        "".join(r.choices("日本語のテキスト。、", k=5000)) + " " * 300 + "x" * 257, "x" * 256, "th" * 128 + "e",
+    ]
+    rows = list(enumerate(texts))
+    got = piece_encoding.encode(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got, "doc_id n_pieces pieces_sha256", brute.pieces(rows, piece_encoding.model_path()))
+
+
 def test_sharding(docs, empty):
     got = sharding.shard(docs).collect()
     assert len(got) == len(ROWS) and {r["law"] for r in got} == {"rows"}
