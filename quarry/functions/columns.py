@@ -205,12 +205,38 @@ def _any_starts(terms: Column, prefix: Column) -> Column:
     return F.exists(terms, lambda t: F.startswith(t, prefix))
 
 
+#: Names that decode_entities knows.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à",
+    "ccedil": "ç", "ocirc": "ô", "ugrave": "ù", "icirc": "î", "laquo": "«", "raquo": "»", "hellip": "…", "mdash": "—", "ndash": "–",
+    "rsquo": "’", "lsquo": "‘", "euro": "€",
+}
+
+
+def decode_entities(text: Column) -> Column:
+    """Named entities and numeric references of at most ten characters between & and ;, from left to right; others stay."""
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^([^;]{1,10});", 1)
+        hexadecimal = F.regexp_extract(name, r"^#[xX]\+?([0-9a-fA-F]+)$", 1)
+        decimal = F.regexp_extract(name, r"^#\+?([0-9]+)$", 1)
+        point = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).when(decimal != "", decimal).cast("long")
+        valid = (point < 0xD800) | ((point > 0xDFFF) & (point <= 0x10FFFF))
+        # the decoder takes U+FEFF as a byte order mark
+        sign = F.when(point == 0xFEFF, F.lit("\ufeff")).when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+        found = F.coalesce(F.try_element_at(known, name), sign)
+        rest = F.substring(part, F.length(name) + 2, F.length(part))
+        return F.when(found.isNotNull(), F.concat(found, rest)).otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded), ""))
+
+
 def html_title(html: Column) -> Column:
-    """The text of <title>, with entities decoded by name and number where they are the common ones; null if empty."""
+    """The text of <title> with its entities decoded; null if empty."""
     raw = F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
-    for entity, text in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&eacute;", "é")):
-        raw = F.replace(raw, F.lit(entity), F.lit(text))
-    return F.nullif(F.replace(raw, F.lit("&amp;"), F.lit("&")), F.lit(""))
+    return F.nullif(decode_entities(raw), F.lit(""))
 
 
 def markdown_heading(line: Column) -> Column:

@@ -144,6 +144,11 @@ def q_html_title(spark, d):
     return read(spark, d, "pages").select("page_id", C.html_title(F.col("html")).alias("title"))
 
 
+@query()
+def q_entities(spark, d):
+    return read(spark, d, "pages").select("page_id", C.decode_entities(F.col("html")).alias("text"))
+
+
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def q_fingerprint(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
