@@ -14,6 +14,9 @@ from quarry.functions import columns as C
 from quarry.operators import index, messages, passages, retrieval
 from quarry.streaming import events as streams
 
+#: Passages of one document at most: the step from one document's keys to the next one's.
+PASSAGES = 1 << 24
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -42,6 +45,15 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus as passages: a key of document and ordinal, the document's source with the location."""
+    docs = _corpus(spark, d)
+    cut = passages.split(docs).join(docs.select("key", "lang", "source").dropDuplicates(["key"]), "key")
+    return cut.select(
+        (F.col("key") * PASSAGES + F.col("ordinal")).alias("key"), "lang", F.concat_ws(" ", "source", "location").alias("source"), F.col("passage").alias("text")
+    )
+
+
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 
@@ -434,19 +446,19 @@ def q_rrf(spark, d):
 
 @query()
 def q_hybrid_context(spark, d):
-    return retrieval.hybrid(_corpus(spark, d), _questions(spark, d))
+    return retrieval.hybrid(_passages(spark, d), _questions(spark, d))
 
 
 @query()
 def q_multi_collection(spark, d):
-    corpus = _corpus(spark, d).filter(F.col("lang").isin("en", "fr"))
+    corpus = _passages(spark, d).filter(F.col("lang").isin("en", "fr"))
     labelled = corpus.withColumn("source", F.concat("lang", F.lit(" › "), "source"))
     return retrieval.hybrid(labelled, _questions(spark, d))
 
 
 @query()
 def q_word_rerank(spark, d):
-    corpus, asked = _corpus(spark, d), _questions(spark, d)
+    corpus, asked = _passages(spark, d), _questions(spark, d)
     ranked = retrieval.keyword(corpus, asked, 20).join(corpus.select("key", "text"), "key")
     out = retrieval.word_rerank(ranked, asked)
     return out.select("question_id", "key", "hits", "place", "new_place")
