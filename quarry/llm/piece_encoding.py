@@ -3,33 +3,34 @@
 Texts are cut into units that no piece crosses: at every blank, and around characters that only occur as pieces of
 their own. Each distinct unit is encoded once:
 
-- lattice: substrings up to the longest piece are exploded and joined by equality with the piece table (its size is
-  the vocabulary's, so it is broadcast); the edges found are grouped by unit;
-- Viterbi: a forward fold (`aggregate`) over a unit's edges in order of their ends keeps one best last piece for each
-  prefix; a backward fold reads the path.
-
-The piece files are byte-pair models: an edge's score is the rank of its merge, and the path that a sum of scores
-prefers isn't the one that merging gives. The fold therefore admits an edge after a prefix's last piece only if no
-merge across their border would have come first: an edge of the lattice that crosses the border, made of a suffix of
-the one and a prefix of the other that both exist while merging, with a better rank than what they become part of.
+- lattice: substrings up to the longest piece are exploded and joined by equality with the piece table; the edges found
+  are grouped by unit. A single character is an edge between its two places without a row of its own;
+- path: a forward fold (`aggregate`) over a unit's edges in order of their ends keeps one last edge for each prefix; a
+  backward fold reads the path.
+
+The fold has the shape of Viterbi's, but sums no scores: the piece files are byte-pair models, whose scores are ranks of
+merges, and the path of the best sum isn't the one that merging gives. It admits an edge after a prefix's last edge only
+if no merge across their border would have come first: an edge of the lattice that crosses the border, made of a suffix
+of the one and a prefix of the other that both exist while merging, with a better rank than what they become part of.
 Exactly one edge passes for each prefix, and the path is the tokenizer's own.
 
-Documents are taken in blocks, the record batches of the scan: one pass gives each block's distinct units (and the
-packed texts), the encoded units go back to the blocks that need them, and each document's ids are put together there.
-A block's texts, units and ids are bounded by its bytes. Blanks before a blank, which merge last and from the left, are
-put together there too. A unit that its block doesn't find again (an input whose order changes between two reads)
-raises an error; checkpoint such an input first.
+Documents are taken in blocks of the scan, `BLOCK_BYTES` of text or one document more. One pass gives each block's
+distinct units, another the packed texts; both go to the block's partition, sorted so that a block's units come first, and
+its texts stream past them. What a task holds is one block's units and one slice of text. Should the two passes see
+different blocks (an input whose order changes between two reads), a unit that a block lacks is merged where it stands,
+with the same result. So are blanks before a blank, which merge last and from the left.
 
 A unit of more than `LONG` characters (prose without blanks, a long token) is cut further, between two characters that
-no piece holds side by side. What is still longer, a run of letters that all join, doesn't enter the lattice, whose folds
-copy their state for each edge: its characters are merged by a queue in the task that holds its block, in time that grows
-with its length and the logarithm of it.
+no piece holds side by side. What is still longer, a run of letters that all join, doesn't enter the lattice: its
+characters are merged by a queue in the task that holds its block, in time that grows with its length and the logarithm
+of it.
 
 Decoding joins pieces and bytes and drops the first blank. It gives the text back but for the character U+2581, which
 stands for a blank, and malformed bytes.
 
-Defined results: a null or empty text has no pieces and decodes to the empty text; ids may be null; repeated rows get
-equal results; other columns are ignored; an empty table gives an empty result. Unknown characters become bytes.
+Defined results: a null or empty text has no pieces and decodes to the empty text; ids may be null and of any type;
+repeated rows get equal results; other columns are ignored; an empty table gives an empty result. Unknown characters
+become bytes.
 """
 
 from __future__ import annotations
@@ -37,10 +38,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -51,13 +51,19 @@ from quarry.llm import io
 from quarry.llm.text import steps
 
 BLANK = "▁"
-#: Bytes of text in a block at most (or one document), and for each partition of the units: what a task sorts stays small.
-BLOCK_BYTES, UNIT_BYTES = 32_000_000, 2_000_000
+#: Bytes of text in a block, and for each partition of the units.
+BLOCK_BYTES, UNIT_BYTES = 32_000_000, 8_000_000
+#: Most partitions of the units; beyond, they grow and spill.
+MOST_PARTITIONS = 20_000
 #: Level of compression of the texts that wait for their units.
 PACKED = 6
 #: Characters of a unit in the lattice at most.
-LONG = 256
-#: Of a piece's own edge: nothing it becomes part of.
+LONG = 64
+#: Pairs of unit and block that a task packs at once.
+DEALT = 500_000
+#: A piece table up to this many rows is broadcast.
+BROADCAST_PIECES = 1_000_000
+#: Of a single character: no merge precedes it.
 NEVER = 2**31 - 1
 
 
@@ -90,10 +96,11 @@ class Pieces:
         self.rank = {t: int(-model.get_score(i)) for i, t in text.items() if len(t) == 1 or set(t) != {BLANK}}
         self.id = {t: i for i, t in text.items()}
         self.longest = max(map(len, self.rank))
-        joined = {c for t in self.rank if len(t) > 1 for c in t}
-        #: ASCII characters that stand alone
-        self.single = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined and c != 32)
-        self.pattern = f"{BLANK}+(?={BLANK})|[{self.single}]|{BLANK}?[^{BLANK}{self.single}]+|{BLANK}"
+        #: characters that join others; all others stand alone
+        joined = {c for t in self.rank if len(t) > 1 for c in t} - {BLANK}
+        letters = "".join(map(re.escape, sorted(joined)))
+        self.units = f"{BLANK}?[{letters}]+" if letters else BLANK
+        self.pattern = f"{BLANK}+(?={BLANK})|{self.units}|[^{letters}{BLANK}]|{BLANK}"
 
         #: characters that stand side by side in some piece
         self.pairs = {t[k : k + 2] for t in self.rank for k in range(len(t) - 1)}
@@ -143,12 +150,12 @@ class Pieces:
         return last
 
     def rows(self) -> list[tuple]:
-        """(piece, id, rank, prefixes, suffixes): under the length of each prefix (suffix) that merging makes on the way
-        stands the rank of the merge that ends it; 0 for other lengths."""
+        """(piece, id, rank, prefixes, suffixes) of each piece that merging makes: under the length of each prefix
+        (suffix) that it makes on the way stands the rank of the merge that ends it; 0 for other lengths."""
         split = {t: self.split(t) for t in self.rank if len(t) > 1}
         out = []
-        for t, rank in self.rank.items():
-            if len(t) > 1 and split[t] is None:
+        for t, parts in split.items():
+            if parts is None:
                 continue
             sides = []
             for side in (0, 1):
@@ -159,228 +166,287 @@ class Pieces:
                         break
                     until, now = self.rank[now], split[now][side]
                 sides.append(ends)
-            out.append((t, self.id[t], rank, *(sides if len(t) > 1 else (None, None))))
+            out.append((t, self.id[t], self.rank[t], *sides))
         return out
 
+    def single(self) -> np.ndarray:
+        """The id of each code point that is a piece, else -1."""
+        out = np.full(0x110000, -1, np.int32)
+        for t, i in self.id.items():
+            if len(t) == 1:
+                out[ord(t)] = i
+        return out
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit and ids (negative: a character without a piece, as -1 - its code point) for distinct units.
 
-    `units` is partitioned by unit, and nothing here shuffles.
-    """
-    table = units.sparkSession.createDataFrame(
-        pieces.rows(), "piece string, id int, rank int, prefixes array<int>, suffixes array<int>"
-    )
+def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit and ids (of a single character: -1 - its code point) of the distinct units that hold a piece of two or more
+    characters. `units` is partitioned by unit, and nothing here shuffles."""
+    rows = pieces.rows()
+    table = units.sparkSession.createDataFrame(rows, "piece string, id int, rank int, prefixes array<int>, suffixes array<int>")
+    # a join on one number is far cheaper than one on strings; the strings are compared after it
+    table = table.withColumn("key", F.xxhash64("piece"))
     edges = (
-        units.select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
-        .select("unit", "s", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(unit) - s))")).alias("size"))
-        .withColumn("piece", F.expr("substring(unit, s + 1, size)"))
-        .join(F.broadcast(table), "piece", "left")
-        .filter("id IS NOT NULL OR size = 1")
-        .select(
-            "unit",
-            F.struct(
-                (F.col("s") + F.col("size")).alias("e"),
-                "s",
-                F.coalesce("id", -1 - F.ascii("piece")).alias("id"),
-                F.coalesce("rank", F.lit(NEVER)).alias("rank"),
-                # null for single characters, which nothing is part of
-                "prefixes",
-                "suffixes",
-            ).alias("edge"),
-        )
+        units.filter("length(unit) > 1")
+        .select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 2)).alias("s"))
+        .select("unit", "s", F.explode(F.expr(f"sequence(2, least({pieces.longest}, length(unit) - s))")).alias("size"))
+        .withColumn("part", F.expr("substring(unit, s + 1, size)"))
+        .withColumn("key", F.xxhash64("part"))
+        .join(F.broadcast(table) if len(rows) <= BROADCAST_PIECES else table, "key")
+        # equality, in words that don't make it a second join key
+        .filter("piece >= part AND piece <= part")
+        .select("unit", F.struct((F.col("s") + F.col("size")).alias("e"), "s", "id", "rank", "prefixes", "suffixes").alias("edge"))
     )
     lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    # where the edges that end at each place begin in the sorted array; every place has one, its single character
-    begins = F.expr("transform(sequence(1, length(unit)), k -> array_position(transform(edges, x -> x.e), k))")
-    # only an edge that ends behind y's start and stands before y can cross y's border
+    # best: for each place the number of the edge that ends there, -1 for the single character
     forward = F.expr(f"""
         aggregate(
-          transform(edges, (x, i) -> named_struct('x', x, 'i', i)),
-          array(named_struct('s', -1, 'id', -1, 'suffixes', cast(null as array<int>))),
-          (best, y) -> if(
-            size(best) > y.x.e or (y.x.s > 0 and exists(
-              slice(edges, begins[y.x.s], y.i + 1 - begins[y.x.s]),
-              c -> c.s < y.x.s and c.s >= best[y.x.s].s
-                and c.rank < if(best[y.x.s].suffixes is null, {NEVER}, coalesce(get(best[y.x.s].suffixes, y.x.s - c.s), 0))
-                and c.rank <= if(y.x.prefixes is null, {NEVER}, coalesce(get(y.x.prefixes, c.e - y.x.s), 0)))),
+          transform(edges, (y, i) -> named_struct('y', y, 'i', i)),
+          array_repeat(-1, length(unit) + 1),
+          (best, n) -> if(
+            best[n.y.e] >= 0 or (n.y.s > 0 and exists(edges, c ->
+              c.s < n.y.s and c.e > n.y.s and c.e <= n.y.e
+              and c.s >= if(best[n.y.s] < 0, n.y.s - 1, edges[best[n.y.s]].s)
+              and c.rank < if(best[n.y.s] < 0, {NEVER}, coalesce(get(edges[best[n.y.s]].suffixes, n.y.s - c.s), 0))
+              and c.rank <= coalesce(get(n.y.prefixes, c.e - n.y.s), 0))),
             best,
-            array_append(best, named_struct('s', y.x.s, 'id', y.x.id, 'suffixes', y.x.suffixes))))
+            transform(best, (b, k) -> if(k = n.y.e, n.i, b))))
     """)
     backward = F.expr("""
         aggregate(
           sequence(1, length(unit)),
           named_struct('at', length(unit), 'ids', cast(array() as array<int>)),
-          (path, k) -> if(path.at = 0, path, named_struct('at', best[path.at].s, 'ids', array_append(path.ids, best[path.at].id))),
+          (path, k) -> if(path.at = 0, path, named_struct(
+            'at', if(best[path.at] < 0, path.at - 1, edges[best[path.at]].s),
+            'ids', array_append(path.ids,
+              if(best[path.at] < 0, -1 - ascii(substring(unit, path.at, 1)), edges[best[path.at]].id)))),
           path -> reverse(path.ids))
     """)
-    folded = lattice.withColumn("begins", begins.cast("array<int>")).select("unit", forward.alias("best"))
-    return folded.select("unit", backward.alias("ids"))
+    return lattice.withColumn("best", forward).select("unit", backward.alias("ids"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    task = TaskContext.get().partitionId()
-    for k, batch in enumerate(steps(batches, "text", BLOCK_BYTES)):
-        yield (task << 24) | k, batch
+    """Slices of the scan with the number of their block."""
+    block, size = TaskContext.get().partitionId() << 24, 0
+    for batch in steps(batches):
+        if size >= BLOCK_BYTES:
+            block, size = block + 1, 0
+        size += batch.column("text").nbytes
+        yield block, batch
+
+
+def _packed(blocks: np.ndarray, ids: np.ndarray, sizes: np.ndarray, wide: bool) -> Iterator[tuple[int, bytes]]:
+    """The units of each block, packed: their number, the length of each and their ids."""
+    order = np.argsort(blocks, kind="stable")
+    begin = (np.cumsum(sizes) - sizes)[order]
+    blocks, sizes = blocks[order], sizes[order]
+    ends = np.cumsum(sizes)
+    ids = ids[np.repeat(begin - (ends - sizes), sizes) + np.arange(len(ids))].astype("<u4" if wide else "<u2")
+    edges = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
+    for a, b in zip(edges.tolist(), np.append(edges[1:], len(blocks)).tolist(), strict=True):
+        part = ids[ends[a] - sizes[a] : ends[b - 1]]
+        body = (b - a).to_bytes(4, "little") + sizes[a:b].astype(np.uint8).tobytes() + part.tobytes()
+        yield int(blocks[a]), zstandard.ZstdCompressor(level=3).compress(body)
+
+
+class Block:
+    """The coded units of a block, and the ids of texts made of them."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.find = pieces, re.compile(pieces.pattern).findall
+        self.lengths = np.array([len(x.decode(errors="replace")) for x in pieces.decoded], np.int64)
+        self.wide = len(pieces.decoded) > 1 << 16
+        self.lone = np.int32(pieces.blanks[1]).tobytes()
+        #: by word, without the blank before it; and by unit, of those that no blank begins
+        self.words: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
+
+    def add(self, packed: bytes) -> None:
+        body = zstandard.ZstdDecompressor().decompress(packed)
+        n = int.from_bytes(body[:4], "little")
+        sizes = np.frombuffer(body, np.uint8, n, 4)
+        ids = np.frombuffer(body, "<u4" if self.wide else "<u2", -1, 4 + n)
+        last = np.cumsum(sizes, dtype=np.int64)
+        # a unit is what its ids decode to, so it isn't named
+        names = b"".join(map(self.pieces.decoded.__getitem__, ids.tolist())).decode()
+        upto = np.concatenate(([0], np.cumsum(self.lengths[ids])))[last].tolist()
+        raw, at, begin = ids.astype(np.int32).tobytes(), 0, 0
+        words, inner = self.words, self.inner
+        for a, b in zip(upto, (4 * last).tolist(), strict=True):
+            if names[at] == " ":
+                words[names[at + 1 : a]] = raw[begin:b]
+            else:
+                inner[names[at:a]] = raw[begin:b]
+            at, begin = a, b
+
+    def ids_of(self, unit: str) -> bytes:
+        table, key = (self.words, unit[1:]) if unit[0] == BLANK else (self.inner, unit)
+        found = table.get(key)
+        if found is None:
+            parts = self.pieces.parts(unit)
+            if len(parts) > 1:
+                found = b"".join(map(self.ids_of, parts))
+            else:
+                found = np.array(self.pieces.merged(unit), np.int32).tobytes()
+            table[key] = found
+        return found
+
+    def run(self, k: int) -> bytes:
+        """A run of blanks: the longest pieces from the left."""
+        out, longest = [], max(self.pieces.blanks)
+        while k > 0:
+            out.append(self.pieces.blanks[min(k, longest)])
+            k -= min(k, longest)
+        return np.array(out, np.int32).tobytes()
+
+    def slowly(self, text: str) -> bytes:
+        """Of a text with blanks in a row: a run takes in the blank that its next unit leaves alone."""
+        parts, wait = [], 0
+        for u in self.find(BLANK + text.replace(" ", BLANK)):
+            if u.strip(BLANK) == "":
+                wait += len(u)
+                continue
+            own = self.ids_of(u)
+            if wait and own[:4] == self.lone:
+                parts.append(self.run(wait + 1))
+                own = own[4:]
+            elif wait:
+                parts.append(self.run(wait))
+            parts.append(own)
+            wait = 0
+        return b"".join([*parts, self.run(wait)])
+
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers."""
+        if not text:
+            return b""
+        if text[0] == " " or "  " in text or BLANK in text:
+            return self.slowly(text)
+        words, own = self.words, text.split(" ")
+        for word in set(own).difference(words):
+            words[word] = b"".join(map(self.ids_of, self.find(BLANK + word)))
+        return b"".join(map(words.__getitem__, own))
 
 
 def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> DataFrame:
     """doc_id, n_pieces, pieces (ids), pieces_sha256 (of the ids as little-endian 32-bit integers), decoded (text) and
     lossless (whether the text came back) of every document; `whole` false leaves pieces and decoded null."""
-    pieces = Pieces(path or model_path())
-    pattern, decoded, by_byte, blanks = pieces.pattern, pieces.decoded, pieces.bytes, pieces.blanks
-    cut_long, merged = pieces.parts, pieces.merged
+    spark, pieces = docs.sparkSession, Pieces(path or model_path())
     rows = io.texts(docs, "doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def found_by(pattern: str) -> Callable[[str], list[str]]:
-        find = re.compile(pattern).findall
-        return lambda text: [x for u in find(text) for x in (cut_long(u) if len(u) > LONG and u.strip(BLANK) else (u,))]
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = found_by(pattern)
+        find = re.compile(pieces.units).findall
+
+        def units(block: int, seen: set[str]) -> Iterator[pa.RecordBatch]:
+            found = set(find(BLANK + BLANK.join(seen)))
+            # a single character has no lattice, and long runs are merged where they stand
+            parts = [x for u in found for x in (pieces.parts(u) if len(u) > LONG else (u,)) if 1 < len(x) <= LONG]
+            for at in range(0, len(parts), 50_000):
+                some = parts[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(np.full(len(some), block))], ["unit", "block"])
+
+        seen: set[str] = set()
+        now = None
         for block, batch in _blocks(batches):
-            seen: set[str] = set()
+            if now is not None and block != now:
+                yield from units(now, seen)
+                seen = set()
+            now = block
             for text in batch.column("text").to_pylist():
                 seen.update(text.split(" "))
-            units = {BLANK}
-            for word in seen:
-                units.update(find(BLANK + word))
-            # blanks before a blank are no units, and long ones are merged where they stand
-            found = [u for u in units if len(u) <= LONG and (u == BLANK or u.strip(BLANK))]
-            for at in range(0, len(found), 50_000):
-                some = found[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.string()), pa.array(np.full(len(some), block))], ["unit", "block"]
-                )
+        if now is not None:
+            yield from units(now, seen)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch in _blocks(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema) as out:
                 out.write_batch(batch)
-            packed = zstandard.ZstdCompressor(level=PACKED).compress(sink.getvalue())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), pa.array([packed], pa.binary())], ["block", "packed"]
-            )
+            yield _payload([(block, zstandard.ZstdCompressor(level=PACKED).compress(sink.getvalue()))], True)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The ids of units for each block that needs them, packed: one row for each block and batch.
+        single, wide = pieces.single(), len(pieces.decoded) > 1 << 16
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            lists = pa.concat_arrays([x.column("ids") for x in held])
+            ids = lists.flatten().to_numpy()
+            ids = np.where(ids < 0, single[np.where(ids < 0, -1 - ids, 0)], ids)
+            blocks = np.concatenate([x.column("block").to_numpy() for x in held])
+            return _payload(list(_packed(blocks, ids, lists.value_lengths().to_numpy().astype(np.int64), wide)), False)
 
-        A unit is what its ids decode to, so it needn't be named."""
         for batch in batches:
-            ids = np.empty(batch.num_rows, object)
-            for i, found in enumerate(batch.column("ids").to_pylist()):
-                flat: list[int] = []
-                for x in found:
-                    if x >= 0:
-                        flat.append(x)
-                    else:
-                        flat += [by_byte[b] for b in chr(-1 - x).encode()]
-                ids[i] = np.array(flat, np.int32).tobytes()
-            blocks = batch.column("blocks")
-            to = blocks.flatten().to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(ids)), np.asarray(blocks.value_lengths()))
-            order = np.argsort(to, kind="stable")
-            to, owner = to[order], owner[order]
-            edges = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.empty(0, np.int64)
-            out = []
-            for a, b in zip(edges, np.append(edges[1:], len(to)), strict=True):
-                mine = owner[a:b]
-                sizes = np.array([len(x) for x in ids[mine]], np.int32)
-                body = len(sizes).to_bytes(4, "little") + sizes.tobytes() + b"".join(ids[mine])
-                out.append((int(to[a]), zstandard.ZstdCompressor(level=3).compress(body)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["block", "units"]
-            )
-
-    # the same columns as below, so that both passes see the same blocks
-    seen = rows.mapInArrow(cut, "unit string, block long")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // UNIT_BYTES))
+            if batch.num_rows:
+                held.append(batch)
+            if sum(x.num_rows for x in held) >= DEALT:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
+
+    total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(shuffle, min(MOST_PARTITIONS, -(-total // UNIT_BYTES)))
     # each block names a unit once, so combining before the exchange would gain nothing
-    needed = seen.repartition(parts, "unit").groupBy("unit").agg(F.collect_list("block").alias("blocks"))
-    # a filter that holds for every unit keeps `blocks` on both sides of the join, so that they share one exchange
-    coded = needed.join(encode_units(needed.filter(F.size("blocks") > 0).select("unit"), pieces), "unit")
-    dealt = coded.mapInArrow(deal, "block long, units binary")
-    packed = rows.mapInArrow(pack, "block long, packed binary")
-
-    def build(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        table: dict[str, bytes] = {}
-        for body in right["units"]:
-            raw = zstandard.ZstdDecompressor().decompress(body)
-            n = int.from_bytes(raw[:4], "little")
-            begin = 4 + 4 * n
-            flat = np.frombuffer(raw, np.int32, -1, begin).tolist()
-            at = 0
-            for size in np.frombuffer(raw, np.int32, n, 4).tolist():
-                name = b"".join([decoded[i] for i in flat[at : at + size // 4]])
-                table[name.decode().replace(" ", BLANK)] = raw[begin : begin + size]
-                begin, at = begin + size, at + size // 4
-        find, lone = found_by(pattern), np.int32(blanks[1]).tobytes()
-        out = []
+    seen = rows.mapInArrow(cut, "unit string, block long").repartition(parts, "unit")
+    coded = encode_units(seen.groupBy("unit").agg(F.count("block").alias("n")).filter("n > 0").select("unit"), pieces)
+    dealt = seen.join(coded.hint("merge"), "unit").select("block", "ids").mapInArrow(deal, "block long, text boolean, payload binary")
+    packed = rows.mapInArrow(pack, "block long, text boolean, payload binary")
 
-        def ids_of(unit: str) -> bytes:
-            if len(unit) > LONG and unit not in table:
-                table[unit] = np.array(merged(unit), np.int32).tobytes()
-            return table[unit]
-
-        def run(k: int) -> bytes:
-            """A run of blanks: the longest pieces from the left."""
-            out, longest = [], max(blanks)
-            while k > 0:
-                out.append(blanks[min(k, longest)])
-                k -= min(k, longest)
-            return np.array(out, np.int32).tobytes()
-
-        def slowly(text: str) -> bytes:
-            """Of a text with blanks in a row: a run takes in the blank that its next unit leaves alone."""
-            parts, wait = [], 0
-            for u in find(BLANK + text.replace(" ", BLANK)):
-                if u.strip(BLANK) == "":
-                    wait += len(u)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, now = Block(pieces), None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, is_text = batch.column("block")[i].as_py(), batch.column("text")[i].as_py()
+                payload = batch.column("payload")[i].as_py()
+                if number != now:
+                    block, now = Block(pieces), number
+                if not is_text:
+                    block.add(payload)
                     continue
-                own = ids_of(u)
-                if wait and own[:4] == lone:
-                    parts.append(run(wait + 1))
-                    own = own[4:]
-                elif wait:
-                    parts.append(run(wait))
-                parts.append(own)
-                wait = 0
-            return b"".join([*parts, run(wait)])
-
-        coded: dict[str, bytes] = {}
-        for packed_ in left["packed"]:
-            batch = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(packed_)).read_all()
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                if not text:
-                    raw = b""
-                elif text[0] == " " or "  " in text or BLANK in text:
-                    raw = slowly(text)
-                else:
-                    own = text.split(" ")
-                    for word in own:
-                        if word not in coded:
-                            coded[word] = b"".join([ids_of(u) for u in find(BLANK + word)])
-                    raw = b"".join(map(coded.__getitem__, own))
-                ids = np.frombuffer(raw, np.int32)
-                back = b"".join(map(decoded.__getitem__, ids.tolist()))[1:].decode(errors="replace")
-                digest, same = hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), back == text
-                out.append((doc_id, len(ids), ids if whole else None, digest, back if whole else None, same))
-        columns = ["doc_id", "n_pieces", "pieces", "pieces_sha256", "decoded", "lossless"]
-        return pd.DataFrame(out, columns=columns).astype({"doc_id": object})
+                for docs_ in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)):
+                    yield answer(block, docs_)
+
+    def answer(block: Block, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, raws, back, same = batch.column("text").to_pylist(), [], [], []
+        for text in texts:
+            raw = block.encoded(text)
+            ids = np.frombuffer(raw, np.int32).tolist()
+            joined = b"".join(map(pieces.decoded.__getitem__, ids))[1:].decode(errors="replace")
+            raws.append(raw)
+            back.append(joined if whole else None)
+            same.append(joined == text)
+        sizes = np.array([len(x) // 4 for x in raws], np.int64)
+        ids = pa.array(np.frombuffer(b"".join(raws), np.int32), pa.int32())
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), ids)
+        columns = [
+            batch.column("doc_id"),
+            pa.array(sizes),
+            listed if whole else pa.nulls(len(raws), listed.type),
+            pa.array([hashlib.sha256(x).hexdigest() for x in raws], pa.string()),
+            pa.array(back, pa.string()),
+            pa.array(same, pa.bool_()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "pieces", "pieces_sha256", "decoded", "lossless"])
 
     return (
-        packed.groupBy("block")
-        .cogroup(dealt.groupBy("block"))
-        .applyInPandas(
-            build,
-            f"doc_id {kind}, n_pieces long, pieces array<int>, pieces_sha256 string, decoded string, lossless boolean",
+        dealt.unionByName(packed)
+        .repartition(max(shuffle, min(MOST_PARTITIONS, -(-2 * total // BLOCK_BYTES))), "block")
+        # a block's units before its texts
+        .sortWithinPartitions("block", "text")
+        .mapInArrow(
+            build, f"doc_id {kind}, n_pieces long, pieces array<int>, pieces_sha256 string, decoded string, lossless boolean"
         )
     )
 
 
+def _payload(rows: list[tuple[int, bytes]], is_text: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in rows], pa.int64()), pa.array([is_text] * len(rows), pa.bool_()), pa.array([x[1] for x in rows], pa.binary())],
+        ["block", "text", "payload"],
+    )
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(io.table(spark, sf_dir, "documents"), whole=False).select(
         "doc_id", "n_pieces", "pieces_sha256", "lossless"
