@@ -6,13 +6,15 @@ a learned vector; a document's vector is the average over its features, and a so
 probabilities. Vectors and layer are trained together by stochastic gradient descent in numpy.
 
 Training takes a bounded sample of labelled rows, `TRAIN_ROWS` documents of each label, chosen by a hash of the id among
-rows whose crc32(doc_id as text) mod 3 is not 1; the fitted parameters have a fixed size and go to every task. Scoring
+rows whose crc32(doc_id as text) mod 3 is not 1. Their whole texts become bags of buckets where they stand, and only the
+bags (at most `BUCKETS` counts each) come to the driver; the fitted parameters have a fixed size and go to every task. Scoring
 reads each whole text once, without a shuffle. As a softmax over an average is linear in the features, each bucket's
 vector is folded into one number for scoring.
 
 Inputs of a score are the text's features only. Defined results: a null or empty text has no features and gets the
 score of the layer's bias, which is learned from empty texts and otherwise the class prior; without training rows every
-score is 0.5; repeated rows get equal scores; a null doc_id isn't held out and never trains; other columns are ignored.
+score is 0.5; repeated rows get equal scores; a null doc_id isn't held out and never trains; of documents that share an
+id, the least text trains; an id with both labels trains as both; ids may be of any type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ BUCKETS, DIMENSIONS = 1 << 17, 8
 NGRAMS = (2, 3, 4)
 #: The bucket of a word that repeats the word before it.
 AGAIN = 0
-#: Documents of each label that training takes at most, and the bytes of each that it reads at most.
-TRAIN_ROWS, TRAIN_BYTES = 1500, 20_000
+#: Documents of each label that training takes at most.
+TRAIN_ROWS = 1500
 EPOCHS, RATE, SEED = 12, 0.5, 20260101
 
 
@@ -70,18 +72,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(buckets).astype(np.int64), np.concatenate(rows)
 
 
-def train(texts: list[str], labels: list[int]) -> np.ndarray:
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of a whole text and how often each occurs."""
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return np.unique(features(raw, np.array([0, len(raw)]))[0], return_counts=True)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> np.ndarray:
     """One number for each bucket, and the bias: class 1 minus class 0."""
     random = np.random.default_rng(SEED)
     vectors = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     layer, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
-    if not texts:
+    if not bags:
         return np.zeros(BUCKETS + 1)
-    docs = []
-    for text in texts:
-        raw = np.frombuffer(text.encode()[:TRAIN_BYTES], np.uint8)
-        found, count = np.unique(features(raw, np.array([0, len(raw)]))[0], return_counts=True)
-        docs.append((found, count / max(1, count.sum())))
+    docs = [(found, count / max(1, count.sum())) for found, count in bags]
     target, steps_ = np.eye(2)[labels], EPOCHS * len(docs)
     # both labels weigh the same
     weight = len(labels) / (2 * np.maximum(1, np.bincount(labels, minlength=2)))
@@ -102,24 +106,33 @@ def train(texts: list[str], labels: list[int]) -> np.ndarray:
     return np.append(vectors @ margin, bias[1] - bias[0])
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[str], list[int]]:
-    """At most TRAIN_ROWS texts of each label; only rows that aren't held out, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
+    """The bags of at most TRAIN_ROWS documents of each label; only rows that aren't held out, chosen by a hash of the id."""
+    known = labels.select("doc_id", "quality").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     chosen = []
     for label in (0, 1):
-        ids = labels.filter((F.col("quality") == label) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-        chosen += [
-            (r["doc_id"], label)
-            for r in ids.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(TRAIN_ROWS).select("doc_id").collect()
-        ]
+        ids = known.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
+        chosen += [(r["doc_id"], label) for r in ids.limit(TRAIN_ROWS).select("doc_id").collect()]
     if not chosen:
         return [], []
-    wanted = docs.sparkSession.createDataFrame(chosen, "chosen_id long, quality int")
+    kind = labels.schema["doc_id"].dataType.simpleString()
+    wanted = docs.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(i for i, _ in chosen)], f"chosen_id {kind}")
     # the sample's bound is the broadcast's bound
-    rows = docs.select("doc_id", F.coalesce(F.substring("text", 1, TRAIN_BYTES), F.lit("")).alias("text")).join(
-        F.broadcast(wanted), F.col("doc_id") == F.col("chosen_id")
-    )
-    found = sorted((r["doc_id"], r["quality"], r["text"]) for r in rows.collect())
-    return [r[2] for r in found], [r[1] for r in found]
+    rows = io.texts(docs, "doc_id").join(F.broadcast(wanted), F.col("doc_id") == F.col("chosen_id"))
+    one = rows.groupBy("chosen_id").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [bag(x) for x in batch.column("text").to_pylist()]
+            lists = [pa.array([list(x[k]) for x in found], pa.list_(pa.int64())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("chosen_id"), *lists], ["chosen_id", "buckets", "counts"])
+
+    bags = {
+        r["chosen_id"]: (np.array(r["buckets"], np.int64), np.array(r["counts"], np.int64))
+        for r in one.mapInArrow(run, f"chosen_id {kind}, buckets array<long>, counts array<long>").collect()
+    }
+    found = sorted((i, label) for i, label in chosen if i in bags)
+    return [bags[i] for i, _ in found], [label for _, label in found]
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:

@@ -215,8 +215,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no window, all columns as they are."""
     _, hits = decontaminate(docs, benchmark)
-    bad = hits.select(F.col("key").alias("bad_key"))
-    return docs.join(bad, F.md5(F.coalesce("text", F.lit(""))) == F.col("bad_key"), "left_anti")
+    # the row as one column, so that its names can't clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    return rows.join(hits.select("key"), "key", "left_anti").select("row.*")
 
 
 ORACLE_SQL = r"""

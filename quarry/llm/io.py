@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where spark.checkpoint.dir is unset, as in tests.
+#: Used only where spark.checkpoint.dir is unset and the master is local, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
@@ -20,18 +20,28 @@ def texts(docs: DataFrame, *ids: str) -> DataFrame:
     return docs.select(*[F.col(c) for c in ids], F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that all executors see."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return LOCAL_CHECKPOINTS
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder that all executors share."""
     context = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(LOCAL_CHECKPOINTS)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a compressed table in that folder: later readers take only the columns they need."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or LOCAL_CHECKPOINTS
-    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

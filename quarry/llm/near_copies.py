@@ -150,7 +150,7 @@ def links(marked: DataFrame, texts: DataFrame, common: np.ndarray) -> DataFrame:
     return first.unionByName(similar(texts, io.checkpointed(rest), common))
 
 
-def marks(docs: DataFrame, common: np.ndarray) -> DataFrame:
+def marks(rows: DataFrame, common: np.ndarray) -> DataFrame:
     """doc_id, h1, h2 (a hash of the whole row) and node of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,27 +161,33 @@ def marks(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 [*[batch.column(c) for c in ("doc_id", "h1", "h2")], pa.array(nodes, pa.int64())], ["doc_id", "h1", "h2", "node"]
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return keyed(docs).select("doc_id", "h1", "h2", "text").mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, node long")
+    some = rows.select(F.col("row.doc_id").alias("doc_id"), "h1", "h2", F.col("row.text").alias("text"))
+    return some.mapInArrow(run, f"doc_id {some.schema['doc_id'].dataType.simpleString()}, h1 long, h2 long, node long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """With a hash of the whole row in two columns; nulls count as values of their own."""
+    """row (all columns as one, so that names can't clash) with a hash of it in two columns; nulls count as values."""
     values = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
-    return docs.withColumns({"h1": F.xxhash64(F.lit(1), *values), "h2": F.xxhash64(F.lit(2), *values)})
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.xxhash64(F.lit(1), *values).alias("h1"),
+        F.xxhash64(F.lit(2), *values).alias("h2"),
+    )
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """One row of each class of near copies stays: the one with the least doc_id (null: last), then by a hash of the row;
     of equal rows, one."""
-    columns = docs.columns
     common = common_shingles(docs)
-    marked = io.checkpointed(marks(docs, common))
+    whole = keyed(docs)
+    marked = io.checkpointed(marks(whole, common))
     item = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
     own = io.checkpointed(marked.groupBy("node").agg(F.min(item).alias("least")))
     # one row for each node, and each node's text once
     stands = own.filter("node <> 0").select("node", F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2"))
-    texts = io.written(keyed(docs).select("h1", "h2", "text").join(stands, ["h1", "h2"]).select("node", "text").dropDuplicates(["node"]))
+    texts = io.written(
+        whole.select("h1", "h2", F.col("row.text").alias("text")).join(stands, ["h1", "h2"]).select("node", "text").dropDuplicates(["node"])
+    )
     roots = components(links(marked, texts, common))
     best = own.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = io.checkpointed(best.select(F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2")))
@@ -189,7 +195,6 @@ def keep(docs: DataFrame) -> DataFrame:
     twice = io.checkpointed(rows.filter("n > 1").select("h1", "h2").join(chosen, ["h1", "h2"], "left_semi"))
     lost = rows.select("h1", "h2").join(chosen, ["h1", "h2"], "left_anti")
     gone = io.checkpointed(lost.unionByName(twice))
-    whole = keyed(docs)
     single = whole.join(_few(gone), ["h1", "h2"], "left_anti")
     again = whole.join(_few(twice), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    return single.unionByName(again).select(*[F.col(f"`{c}`") for c in columns])
+    return single.unionByName(again).select("row.*")

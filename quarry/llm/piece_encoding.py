@@ -39,11 +39,11 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,6 +149,11 @@ class Pieces:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return last
 
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        """Characters that each id decodes to."""
+        return np.array([len(x.decode(errors="replace")) for x in self.decoded], np.int64)
+
     def rows(self) -> list[tuple]:
         """(piece, id, rank, prefixes, suffixes) of each piece that merging makes: under the length of each prefix
         (suffix) that it makes on the way stands the rank of the merge that ends it; 0 for other lengths."""
@@ -169,6 +174,7 @@ class Pieces:
             out.append((t, self.id[t], self.rank[t], *sides))
         return out
 
+    @cached_property
     def single(self) -> np.ndarray:
         """The id of each code point that is a piece, else -1."""
         out = np.full(0x110000, -1, np.int32)
@@ -182,7 +188,9 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """unit and ids (of a single character: -1 - its code point) of the distinct units that hold a piece of two or more
     characters. `units` is partitioned by unit, and nothing here shuffles."""
     rows = pieces.rows()
-    table = units.sparkSession.createDataFrame(rows, "piece string, id int, rank int, prefixes array<int>, suffixes array<int>")
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
+    table = units.sparkSession.createDataFrame(pa.table(columns, ["piece", "id", "rank", "prefixes", "suffixes"]))
     # a join on one number is far cheaper than one on strings; the strings are compared after it
     table = table.withColumn("key", F.xxhash64("piece"))
     edges = (
@@ -225,9 +233,12 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices of the scan with the number of their block."""
-    block, size = TaskContext.get().partitionId() << 24, 0
+    """Slices of the scan with the number of their block. `part` is the partition of the scan, which isn't the task's
+    own number where the scan runs under a union."""
+    block, size = -1, 0
     for batch in steps(batches):
+        if block < 0:
+            block = batch.column("part")[0].as_py() << 24
         if size >= BLOCK_BYTES:
             block, size = block + 1, 0
         size += batch.column("text").nbytes
@@ -253,7 +264,7 @@ class Block:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.find = pieces, re.compile(pieces.pattern).findall
-        self.lengths = np.array([len(x.decode(errors="replace")) for x in pieces.decoded], np.int64)
+        self.lengths = pieces.lengths
         self.wide = len(pieces.decoded) > 1 << 16
         self.lone = np.int32(pieces.blanks[1]).tobytes()
         #: by word, without the blank before it; and by unit, of those that no blank begins
@@ -331,10 +342,19 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
     """doc_id, n_pieces, pieces (ids), pieces_sha256 (of the ids as little-endian 32-bit integers), decoded (text) and
     lossless (whether the text came back) of every document; `whole` false leaves pieces and decoded null."""
     spark, pieces = docs.sparkSession, Pieces(path or model_path())
-    rows = io.texts(docs, "doc_id")
+    # plain values, which a worker reads once and not with every task
+    state = spark.sparkContext.broadcast(vars(pieces))
+
+    def shared() -> Pieces:
+        own = object.__new__(Pieces)
+        own.__dict__ = state.value
+        return own
+
+    rows = io.texts(docs, "doc_id").withColumn("part", F.spark_partition_id())
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = shared()
         find = re.compile(pieces.units).findall
 
         def units(block: int, seen: set[str]) -> Iterator[pa.RecordBatch]:
@@ -360,12 +380,12 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch in _blocks(batches):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch)
+            with pa.ipc.new_stream(sink, batch.select(["doc_id", "text"]).schema) as out:
+                out.write_batch(batch.select(["doc_id", "text"]))
             yield _payload([(block, zstandard.ZstdCompressor(level=PACKED).compress(sink.getvalue()))], True)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, wide = pieces.single(), len(pieces.decoded) > 1 << 16
+        single, wide = shared().single, len(state.value["decoded"]) > 1 << 16
         held: list[pa.RecordBatch] = []
 
         def flush() -> pa.RecordBatch:
@@ -384,9 +404,9 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
         if held:
             yield flush()
 
-    total = int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(shuffle, min(MOST_PARTITIONS, -(-total // UNIT_BYTES)))
+    total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    least = spark.sparkContext.defaultParallelism
+    parts = max(least, min(MOST_PARTITIONS, -(-total // UNIT_BYTES)))
     # each block names a unit once, so combining before the exchange would gain nothing
     seen = rows.mapInArrow(cut, "unit string, block long").repartition(parts, "unit")
     coded = encode_units(seen.groupBy("unit").agg(F.count("block").alias("n")).filter("n > 0").select("unit"), pieces)
@@ -394,13 +414,13 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
     packed = rows.mapInArrow(pack, "block long, text boolean, payload binary")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, now = Block(pieces), None
+        block, now = Block(shared()), None
         for batch in batches:
             for i in range(batch.num_rows):
                 number, is_text = batch.column("block")[i].as_py(), batch.column("text")[i].as_py()
                 payload = batch.column("payload")[i].as_py()
                 if number != now:
-                    block, now = Block(pieces), number
+                    block, now = Block(shared()), number
                 if not is_text:
                     block.add(payload)
                     continue
@@ -408,11 +428,11 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
                     yield answer(block, docs_)
 
     def answer(block: Block, batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, raws, back, same = batch.column("text").to_pylist(), [], [], []
+        texts, decoded, raws, back, same = batch.column("text").to_pylist(), state.value["decoded"], [], [], []
         for text in texts:
             raw = block.encoded(text)
             ids = np.frombuffer(raw, np.int32).tolist()
-            joined = b"".join(map(pieces.decoded.__getitem__, ids))[1:].decode(errors="replace")
+            joined = b"".join(map(decoded.__getitem__, ids))[1:].decode(errors="replace")
             raws.append(raw)
             back.append(joined if whole else None)
             same.append(joined == text)
@@ -431,7 +451,7 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
 
     return (
         dealt.unionByName(packed)
-        .repartition(max(shuffle, min(MOST_PARTITIONS, -(-2 * total // BLOCK_BYTES))), "block")
+        .repartition(max(least, min(MOST_PARTITIONS, -(-2 * total // BLOCK_BYTES))), "block")
         # a block's units before its texts
         .sortWithinPartitions("block", "text")
         .mapInArrow(

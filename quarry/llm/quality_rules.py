@@ -7,7 +7,7 @@ of at least `min_repeat` words are united; a document is rejected if they cover
 the longest of them is too long.
 
 Defined results: a null or empty text has zero words and fails the base rule; a repeated row is judged like the first;
-extra columns are ignored; an empty table gives an empty result.
+ids may be null and of any type; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
+#: The columns after doc_id, which keeps its type.
 SCHEMA = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, repeated_share double, longest_repeat long"
 )
 
@@ -148,7 +149,7 @@ def measure(
             share,
             top,
         ]
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        names = ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))]
         yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names)
 
 
@@ -160,7 +161,8 @@ def quality(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return measure(batches, min_repeat, max_covered, max_longest)
 
-    return io.texts(docs, "doc_id").mapInArrow(run, SCHEMA)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return io.texts(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,8 +310,8 @@ def removed_runs(settled: list, starts: list | None, length: int) -> list[tuple[
     return out
 
 
-def remainders(docs: DataFrame, length: int = LENGTH, bytes_too: bool = True) -> DataFrame:
-    """k1, k2, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary) of each distinct text that has repeats."""
+def remainders(docs: DataFrame, length: int = LENGTH, texts_too: bool = True) -> DataFrame:
+    """k1, k2, n_bytes, n_removed, n_spans, kept_sha256 and kept (text) of each distinct text that has repeats."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -325,7 +325,7 @@ def remainders(docs: DataFrame, length: int = LENGTH, bytes_too: bool = True) ->
                     parts.append(raw[at:a])
                     at = b
                 kept = b"".join([*parts, raw[at:]])
-                out.append((len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept if bytes_too else None))
+                out.append((len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), mended(raw, runs) if texts_too else None))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("k1"),
@@ -333,13 +333,13 @@ def remainders(docs: DataFrame, length: int = LENGTH, bytes_too: bool = True) ->
                     pa.array([x[0] for x in out], pa.int64()),
                     pa.array([x[1] for x in out], pa.int64()),
                     pa.array([x[2] for x in out], pa.string()),
-                    pa.array([x[3] for x in out], pa.binary()),
+                    pa.array([x[3] for x in out], pa.string()),
                 ],
                 ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
     return repeated(docs, length).mapInArrow(
-        cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+        cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
 
 
@@ -353,7 +353,7 @@ def report(docs: DataFrame) -> DataFrame:
     whole = docs.select(
         "doc_id", *text_key(F.col("text")), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own_sha256")
     )
-    return whole.join(remainders(docs, bytes_too=False), ["k1", "k2"], "left").select(
+    return whole.join(remainders(docs, texts_too=False), ["k1", "k2"], "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
@@ -362,20 +362,34 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+def mended(raw: bytes, runs: list[tuple[int, int]]) -> str:
+    """The text without the runs; what a cut leaves of a character at its edges goes too."""
+    parts, at = [], 0
+    for a, b in [*runs, (len(raw), len(raw))]:
+        # back to the character's first byte, on to the next character's
+        end, begin = a, at
+        while begin < end and at and raw[begin] & 0xC0 == 0x80:
+            begin += 1
+        if a < len(raw):
+            while end > begin and raw[end] & 0xC0 == 0x80 and raw[end - 1] & 0x80:
+                end -= 1
+        parts.append(raw[begin:end])
+        at = b
+    return b"".join(parts).decode()
+
+
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents without their repeated bytes (what is left of a cut character goes too); n_chars follows."""
-    columns = docs.columns
-    cut = remainders(docs, length).select(F.col("k1").alias("cut_1"), F.col("k2").alias("cut_2"), "kept")
-    key = text_key(F.col("text"))
-    joined = docs.alias("d").join(cut, (key[0] == F.col("cut_1")) & (key[1] == F.col("cut_2")), "left")
-    text = F.when(F.col("kept").isNotNull(), F.try_validate_utf8(F.col("kept").cast("string"))).otherwise(F.col("d.text"))
-    text = F.when(F.col("kept").isNotNull() & text.isNull(), F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))).otherwise(text)
-    out = joined.withColumn("new_text", text)
-    return out.select(
-        *[
-            F.col("new_text").alias("text") if c == "text"
-            else F.coalesce(F.length("new_text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
-            else F.col(f"d.`{c}`")
-            for c in columns
-        ]
-    )
+    cut = remainders(docs, length).select("k1", "k2", F.struct("kept").alias("cut"))
+    # the row as one column, so that its names can't clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *text_key(F.col("text")))
+    text = F.when(F.col("cut").isNotNull(), F.col("cut.kept")).otherwise(F.col("row.text"))
+    columns = []
+    for field in docs.schema.fields:
+        own = F.col("row").getField(field.name)
+        if field.name == "text":
+            own = text
+        elif field.name == "n_chars":
+            own = F.coalesce(F.length(text), F.lit(0)).cast(field.dataType)
+        columns.append(own.alias(field.name))
+    return rows.join(cut, ["k1", "k2"], "left").select(*columns)

@@ -5,7 +5,8 @@ that any match must contain. Token frequencies are counted over all URLs; each r
 The distinct tokens of a URL fetch candidate rules by an equality join, and only those rules' expressions run. Work is
 done once for each distinct URL and joined back, so a URL or host that holds much of the table costs one row.
 
-The longest fitting host rule decides; without one, any fitting pattern blocks, else the URL is allowed.
+The longest fitting host rule decides; without one, any fitting pattern blocks, else the URL is allowed. A rule in which
+no token is literal is filed under a token that every URL has. `read_rules` takes lists of any length from a file.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule and is allowed; repeated
 rows each get their verdict; columns other than `page_id` and `url` are ignored; an empty table gives an empty result.
@@ -40,6 +41,9 @@ BROADCAST_RULES = 10_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT = "[^a-z0-9]+"
+_FOLD = str.maketrans(_UPPER, _LOWER)
+#: The token of rules without a literal token; every URL has it, so they are always candidates.
+ANY = ""
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -56,20 +60,39 @@ def _compiled(rules: tuple, patterns: tuple) -> list[tuple]:
     out = []
     for text, verdict in rules:
         host, slash, path = text.partition("/")
+        host = host.translate(_FOLD)
         regex = rf"^([^/]*\.)?{re.escape(host)}{re.escape(slash + path)}"
         # a path prefix may end inside a token of the URL: only closed tokens are literal
-        tokens = [x for x in re.split(_SPLIT, host) if x] + [x for x in re.split(_SPLIT, path)[:-1] if x]
-        out.append((len(out), text, verdict, len(text), regex, tokens))
+        closed = [*re.split(_SPLIT, host), *re.split(_SPLIT, path.translate(_FOLD))[:-1]]
+        out.append((len(out), text, verdict, len(text), regex, sorted({x for x in closed if x}) or [ANY]))
     for regex, token in patterns:
-        out.append((len(out), None, "block", 0, regex, [token]))
+        found = sorted({x for x in re.split(_SPLIT, token.translate(_FOLD)) if x})
+        out.append((len(out), None, "block", 0, regex, found or [ANY]))
     return out
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[tuple, tuple]:
+    """Rules and patterns from a text file: `allow host/path` or `block host/path`, or `pattern token expression`; lines
+    that are empty or begin with # don't count. The list is a parameter of the call, so it comes to the driver."""
+    rules, patterns = [], []
+    for row in spark.read.text(path).collect():
+        kind, _, rest = row["value"].strip().partition(" ")
+        if kind in ("allow", "block"):
+            rules.append((rest.strip(), kind))
+        elif kind == "pattern":
+            token, _, regex = rest.strip().partition(" ")
+            patterns.append((regex.strip(), token))
+        elif kind and not kind.startswith("#"):
+            raise ValueError(f"not a rule: {row['value']}")
+    return tuple(rules), tuple(patterns)
+
+
 def judge(pages: DataFrame, rules: tuple = RULES, patterns: tuple = PATTERNS) -> DataFrame:
     """page_id, host, path, rule (of RULES, or null), verdict."""
     spark = pages.sparkSession
+    rows = _compiled(rules, patterns)
     compiled = spark.createDataFrame(
-        _compiled(rules, patterns),
+        rows,
         "number int, rule string, rule_verdict string, length int, regex string, tokens array<string>",
     )
     bounded = F.broadcast if len(rules) + len(patterns) <= BROADCAST_RULES else lambda df: df
@@ -80,9 +103,10 @@ def judge(pages: DataFrame, rules: tuple = RULES, patterns: tuple = PATTERNS) ->
         .select("url", host.alias("host"), path.alias("path"))
         .withColumn("target", F.concat("host", "path"))
     )
-    tokens = urls.select(
-        "url", "target", F.explode(F.array_distinct(F.split(F.lower("target"), _SPLIT))).alias("token")
-    ).filter("token <> ''")
+    own = F.array_remove(F.array_distinct(F.split(F.translate("target", _UPPER, _LOWER), _SPLIT)), "")
+    if any(ANY in row[-1] for row in rows):
+        own = F.array_append(own, ANY)
+    tokens = urls.select("url", "target", F.explode(own).alias("token"))
     literal = compiled.select("number", F.explode("tokens").alias("token"))
     seen = tokens.join(bounded(literal.select("token").distinct()), "token").groupBy("token").agg(
         F.count("*").alias("seen")
