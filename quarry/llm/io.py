@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Used only where spark.checkpoint.dir is unset and the master is local, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: A key with more than one in so many rows is heavy (so there are fewer than that many such keys); keys that it becomes.
+HEAVY, SALTS = 2_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +47,17 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def joined_evenly(many: DataFrame, few: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """`many` (with columns k1, k2 and span) and the columns of `few` that have its keys; `counts` says how many rows n
+    of `many` each key has. Heavy keys are dealt over SALTS keys: their rows of `few` are repeated, and each row of
+    `many` takes one by a hash of its own content."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    # fewer than HEAVY keys, whatever the size
+    heavy = F.broadcast(counts.filter(F.col("n") > max(1, total // HEAVY)).select(*keys, F.lit(True).alias("heavy")))
+    salt = F.pmod(F.xxhash64("k1", "k2", "span"), F.lit(SALTS)).cast("int")
+    left = many.join(heavy, keys, "left").withColumn("salt", F.when(F.col("heavy"), salt).otherwise(0)).drop("heavy")
+    copies = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = few.join(heavy, keys, "left").withColumn("salt", F.explode(copies)).drop("heavy")
+    return left.join(right, [*keys, "salt"]).drop("salt")

@@ -1,19 +1,24 @@
 """Operator 5, exact substring dedup by prefix-free parsing.
 
 Texts are read as UTF-8 bytes. A rolling hash over `PHRASE` bytes picks triggers: the least hash in each stretch that a
-string of `length` bytes spans. So every string of that length holds a trigger with its phrase, the choice depends on
-nothing but the string's own bytes, and equal strings are parsed alike wherever they stand. A trigger's phrase together
-with all bytes of the strings that it stands for is its context.
+string of `length` bytes spans. So every string of that length holds a trigger, the choice depends on nothing but the
+string's own bytes, and equal strings are parsed alike wherever they stand. The bytes at a trigger are its phrase; a phrase
+together with all bytes of the strings that one trigger stands for is a context.
 
-- Dictionary: phrases and contexts with their counts over the corpus. A phrase that occurs once rules out all its
-  strings; for mostly unique text that ends the work.
-- Parse: each text's sequence of triggers. A context that occurs twice settles all its strings at once.
-- Corpus order: strings of a repeated phrase whose contexts differ are compared to full depth. As the result depends
-  only on whether two suffixes agree on their first `length` bytes, their order is needed up to that depth only, and
-  equal 64-bit hashes of the strings (grouped, counted in each task first) stand for neighbours in it.
+- Parse: each text is a sequence of contexts. Phrases that occur once rule out all their strings; for mostly unique text
+  that ends the work.
+- Dictionary: the distinct contexts with their counts. A context that occurs twice settles all its strings at once. The
+  others are grouped by phrase and by half the bytes beside it, which any two equal strings share, and a suffix array of
+  each group's contexts is built by prefix doubling on their bytes (`suffix_ranks`): 8, 16, ... bytes, up to `length`.
+- Combined: as the result only asks whether two suffixes of the corpus agree on their first `length` bytes, order is
+  needed up to that depth only; there the array of each group is the corpus order of its strings, and neighbours of equal
+  rank are strings that occur twice. What lies in different groups differs.
 
-Counts, groupings and joins are by hash keys with
-partial aggregation, so no phrase, however common, collects in one task.
+Strings of a group are thus compared by their bytes. Phrases are told apart by 64 bits of hash (two phrases taken for
+one only cost time), contexts and the strings of very large groups by 128 bits.
+
+Counts, groupings and joins have partial aggregation, and keys that hold a large share of the rows are dealt over many
+where they are joined, so no phrase, however common, collects in one task.
 
 Defined results: a null or empty text has no bytes; copies of a text of `length` bytes or more lose everything; shorter
 texts stay; repeated rows count as copies; columns other than `doc_id` and `text` are ignored; ids may be null.
@@ -38,7 +43,7 @@ CROWD = 20_000
 
 #: A span packs the first start (from bit 24), the number of further starts (bits 12 to 23) and the trigger's distance
 #: from the first start (bits 0 to 11).
-_ANCHOR = "phrase long, context long, before int, after int, k1 long, k2 long, span long"
+_ANCHOR = "phrase long, context long, context_2 long, before int, after int, k1 long, k2 long, span long"
 
 
 def unpacked(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,19 +111,21 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
             place, low, high = triggers(grams, offsets[1:][row], length, PHRASE)
             owner = row[low]
             contexts = mix(ranges(low, high + length) + (place - low).astype(np.uint64))
+            contexts_2 = Ranges(data, 1)(low, high + length)
             before, after = sides(ranges, place, low, high + length, PHRASE, half)
             take, base = pa.array(owner), offsets[owner]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(signed(grams[place])),
                     pa.array(signed(contexts)),
+                    pa.array(signed(contexts_2)),
                     pa.array(before),
                     pa.array(after),
                     batch.column("k1").take(take),
                     batch.column("k2").take(take),
                     pa.array(packed(low - base, high - base, place - base)),
                 ],
-                ["phrase", "context", "before", "after", "k1", "k2", "span"],
+                ["phrase", "context", "context_2", "before", "after", "k1", "k2", "span"],
             )
 
     return texts.mapInArrow(run, _ANCHOR)
@@ -140,36 +147,39 @@ def phrases(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
 
 
-def marked_spans(found: DataFrame, number: Column, name: Column, most: int = 1) -> DataFrame:
-    """The rows of `found` with n (the occurrences of the row's context), whether the row `speaks` for its context (the
-    least by `name`), and the group of strings `left` and `right` of the middle that have to be compared: only where a
-    side is shared by several contexts of which one occurs `most` times at most, and only for the rows that speak. A
-    group is (id, contexts in it). A context belongs to one phrase and has one left and one right side.
-    """
-    keys = ["phrase", "context", "before", "after"]
-    one = found.groupBy(*keys).agg(number.alias("n"), F.min(name).alias("chosen"))
+def marked_spans(found: DataFrame) -> DataFrame:
+    """k1, k2, span, whether the row is `open` (its context occurs once), and the group of strings `left` and `right` of
+    the middle that have to be compared: only where a side is shared by several contexts of which one is open, and only
+    for one row of each context, which speaks for it. A group is (id, contexts in it). Rows without any are left out."""
+    keys = ["phrase", "context", "context_2"]
+    name = F.struct("k1", "k2", "span")
+    one = found.groupBy(*keys, "before", "after").agg(F.count("*").alias("n"), F.min(name).alias("speaker"))
     both = one.select(
-        "phrase", "context", "n",
+        *keys, "n",
         F.inline(F.array(F.struct(F.lit(True).alias("is_left"), F.col("before").alias("side")), F.struct(F.lit(False).alias("is_left"), F.col("after").alias("side")))),
     ).filter("side <> 0")
     shared = (
         both.groupBy("phrase", "is_left", "side")
         .agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
-        .filter(f"kinds > 1 AND fewest <= {most}")
+        .filter("kinds > 1 AND fewest = 1")
         .select("phrase", "is_left", "side", F.struct(F.xxhash64("phrase", "is_left", "side").alias("id"), "kinds").alias("group"))
     )
     compared = (
         both.join(shared, ["phrase", "is_left", "side"])
-        .groupBy("phrase", "context")
+        .groupBy(*keys)
         .agg(
             F.max(F.when(F.col("is_left"), F.col("group"))).alias("left"),
             F.max(F.when(~F.col("is_left"), F.col("group"))).alias("right"),
         )
     )
-    status = one.join(compared, ["phrase", "context"], "left")
-    marked = found.drop("before", "after").join(status.drop("before", "after"), ["phrase", "context"])
-    marked = marked.withColumn("speaks", name == F.col("chosen"))
-    return marked.withColumns({c: F.when(F.col("speaks"), F.col(c)) for c in ("left", "right")})
+    # an open context that shares no side with another has no repeated string
+    status = one.join(compared, keys, "left").filter("n > 1 OR left IS NOT NULL OR right IS NOT NULL")
+    status = io.written(status.select(*keys, "n", "speaker", "left", "right"))
+    marked = io.joined_evenly(found.select(*keys, "k1", "k2", "span"), status, keys, status.select(*keys, "n"))
+    speaks = name == F.col("speaker")
+    return marked.select(
+        "k1", "k2", "span", (F.col("n") == 1).alias("open"), *[F.when(speaks, F.col(c)).alias(c) for c in ("left", "right")]
+    )
 
 
 def to_compare(mark: dict, half: int) -> list[tuple[int, int, dict]]:
@@ -180,19 +190,40 @@ def to_compare(mark: dict, half: int) -> list[tuple[int, int, dict]]:
     return [(int(a), int(b), group) for a, b, group in parts if group is not None and a <= b]
 
 
+def suffix_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each suffix of `data` that starts at a place of `at`, by its first `depth` bytes (at least 8): equal
+    for equal bytes, in the order of the bytes otherwise. Prefix doubling: ranks by 2k bytes from two ranks by k."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    words = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | padded[k : k + len(data)]
+    used = np.zeros(len(data) + 1, np.int64)
+    np.add.at(used, at, 1)
+    np.add.at(used, np.minimum(at + depth, len(data)), -1)
+    # only places inside a suffix need a rank
+    live = np.flatnonzero(np.cumsum(used[:-1]) > 0)
+    ranks, width = np.zeros(len(data), np.uint64), 8
+    ranks[live] = np.unique(words[live], return_inverse=True)[1].astype(np.uint64)
+    while width < depth:
+        # the last step overlaps, so that both halves end within the depth
+        shift = min(width, depth - width)
+        second = ranks[np.minimum(live + shift, len(data) - 1)]
+        new = np.unique((ranks[live] << np.uint64(32)) | second, return_inverse=True)[1]
+        ranks[live] = new.astype(np.uint64)
+        width += shift
+    return ranks[at]
+
+
 def repeated(docs: DataFrame, length: int) -> DataFrame:
     """Each distinct text (k1, k2, text) with the starts of its repeated strings: `settled` spans, single `starts`."""
     rows = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     # most phrases occur once and end here; the anchors of the others are written, so that texts are parsed no more
-    again = phrases(rows, length).filter("n > 1").select("phrase")
-    found = io.written(anchors(rows, length).join(again, "phrase"))
-    name = F.struct("k1", "k2", "span")
+    again = io.written(phrases(rows, length).filter("n > 1"))
+    found = io.written(io.joined_evenly(anchors(rows, length), again.select("phrase"), ["phrase"], again))
     # copies of a text make equal marks: each is kept once, in each task first
     marks = (
-        marked_spans(found, F.count("*"), name)
-        # an open context that shares no side with another has no repeated string
-        .filter("n > 1 OR left IS NOT NULL OR right IS NOT NULL")
-        .select("k1", "k2", F.struct("span", (F.col("n") == 1).alias("open"), "left", "right").alias("mark"))
+        marked_spans(found)
+        .select("k1", "k2", F.struct("span", "open", "left", "right").alias("mark"))
         .groupBy("k1", "k2")
         .agg(F.collect_set("mark").alias("marks"))
     )
@@ -244,8 +275,10 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
             count = np.diff(offsets) - length + 1
             at = np.repeat(offsets[:-1], count) + ranges_of(count)
             row = np.repeat(np.arange(len(count)), count)
-            hashes = mix(Ranges(data)(at, at + length) ^ ready.column("group").to_numpy().view(np.uint64)[row])
-            _, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            # the group comes before the bytes in the order
+            _, group = np.unique(ready.column("group").to_numpy(), return_inverse=True)
+            ranks = suffix_ranks(data, at, length)
+            _, inverse, times = np.unique((group[row].astype(np.uint64) << np.uint64(32)) | ranks, return_inverse=True, return_counts=True)
             is_open = ready.column("open").to_numpy(zero_copy_only=False)
             hit = (times[inverse] > 1) & is_open[row]
             starts = (at - offsets[row] + ready.column("start").to_numpy()[row])[hit]
@@ -260,11 +293,12 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
             )
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["string", "k1", "k2", "start", "open"], [pa.int64()] * 4 + [pa.bool_()]
+        names, kinds = ["string", "string_2", "k1", "k2", "start", "open"], [pa.int64()] * 5 + [pa.bool_()]
         for k1, k2, is_open, _, a, b, raw in pieces(batches, True):
             at = np.arange(a, b + 1)
-            hashes = signed(Ranges(np.frombuffer(raw, np.uint8)[a : b + length])(at - a, at - a + length)).tolist()
-            yield _batch([(h, k1, k2, s, is_open) for h, s in zip(hashes, at.tolist(), strict=True)], names, kinds)
+            part = np.frombuffer(raw, np.uint8)[a : b + length]
+            hashes = [signed(Ranges(part, k)(at - a, at - a + length)).tolist() for k in (0, 1)]
+            yield _batch([(h, g, k1, k2, s, is_open) for h, g, s in zip(*hashes, at.tolist(), strict=True)], names, kinds)
 
     in_groups = (
         to_deal.mapInArrow(deal, "group long, k1 long, k2 long, open boolean, start long, bytes binary")
@@ -274,9 +308,10 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     )
     # groups of very many contexts: their strings are counted one by one, wherever they lie
     crowds = F.exists("marks", lambda m: (m["left"]["kinds"] > CROWD) | (m["right"]["kinds"] > CROWD))
-    strings = to_deal.filter(F.coalesce(crowds, F.lit(False))).mapInArrow(single, "string long, k1 long, k2 long, start long, open boolean")
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-    crowded = strings.filter("open").join(twice, "string").select("k1", "k2", F.array("start").alias("starts"))
+    strings = to_deal.filter(F.coalesce(crowds, F.lit(False))).mapInArrow(single, "string long, string_2 long, k1 long, k2 long, start long, open boolean")
+    name = ["string", "string_2"]
+    twice = strings.groupBy(*name).agg(F.count("*").alias("n")).filter("n > 1").select(*name)
+    crowded = strings.filter("open").join(twice, name).select("k1", "k2", F.array("start").alias("starts"))
     starts = (
         in_groups.unionByName(crowded).groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     )

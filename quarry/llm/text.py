@@ -15,9 +15,9 @@ import pyarrow.compute as pc
 #: Text bytes that one vectorised step takes (a longer document is a step of its own).
 STEP_BYTES = 1 << 20
 
-_M = 0x9E3779B97F4A7C15
-_IM = pow(_M, -1, 1 << 64)
-_BYTE = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Two independent hashes: their bases, and the value of each byte.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BYTES = np.random.default_rng(20260101).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def byte_table(separators: str | bytes) -> np.ndarray:
@@ -75,18 +75,20 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED) ->
     return start, end, np.searchsorted(start, offsets)
 
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20) + 1
-        for k, base in enumerate((_M, _IM)):
-            out = np.full(size, np.uint64(base))
-            out[0] = 1
-            np.multiply.accumulate(out, out=out)
-            _powers[k] = out
-    return _powers[0][:n], _powers[1][:n]
+def _power(n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of a base, and of its inverse modulo 2**64."""
+    if kind not in _powers or len(_powers[kind][0]) < n:
+        size, out = max(n, 1 << 20) + 1, []
+        for base in (_BASES[kind], pow(_BASES[kind], -1, 1 << 64)):
+            row = np.full(size, np.uint64(base))
+            row[0] = 1
+            np.multiply.accumulate(row, out=row)
+            out.append(row)
+        _powers[kind] = (out[0], out[1])
+    return _powers[kind][0][:n], _powers[kind][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,11 +99,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Ranges:
-    """Hashes of ranges of a sequence of bytes or of 64-bit values: equal content, equal hash."""
+    """Hashes of ranges of a sequence of bytes or of 64-bit values: equal content, equal hash. `kind` 0 or 1."""
 
-    def __init__(self, values: np.ndarray):
-        v = _BYTE[values] if values.dtype == np.uint8 else values
-        power, self._inverse = _power(len(v) + 1)
+    def __init__(self, values: np.ndarray, kind: int = 0):
+        v = _BYTES[kind][values] if values.dtype == np.uint8 else values
+        power, self._inverse = _power(len(v) + 1, kind)
         self._sum = np.zeros(len(v) + 1, np.uint64)
         np.cumsum(v * power[:-1], out=self._sum[1:])
 
