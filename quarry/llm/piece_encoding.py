@@ -204,7 +204,7 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
         .filter("piece >= part AND piece <= part")
         .select("unit", F.struct((F.col("s") + F.col("size")).alias("e"), "s", "id", "rank", "prefixes", "suffixes").alias("edge"))
     )
-    lattice = edges.groupBy("unit").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     # best: for each place the number of the edge that ends there, -1 for the single character
     forward = F.expr(f"""
         aggregate(
