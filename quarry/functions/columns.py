@@ -63,7 +63,10 @@ def words(text: Column) -> Column:
 
 
 def search_terms(question: Column) -> Column:
-    """Prefix terms of a question: long enough or code-like, no stop words, singular, each once, in order."""
+    """Prefix terms of a question: long enough or code-like, no stop words, singular, each once, in order.
+
+    Two letters count as code only in upper case, so words are folded after that test.
+    """
 
     def wanted(w: Column) -> Column:
         code = w.rlike("[0-9]") | w.rlike(r"^\p{Lu}+$")
@@ -71,7 +74,13 @@ def search_terms(question: Column) -> Column:
 
     lowered = F.transform(F.filter(words(question), wanted), F.lower)
     kept = F.filter(lowered, lambda w: ~w.isin(*STOP_WORDS))
-    return F.array_distinct(F.transform(kept, lambda w: F.regexp_replace(w, "^(.{4,})s$", "$1")))
+    singular = F.transform(kept, lambda w: F.regexp_replace(w, "^(.{4,})s$", "$1"))
+    return F.array_distinct(F.transform(singular, fold))
+
+
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def names(value: Column) -> Column:
@@ -89,6 +98,11 @@ def label(source: Column, location: Column) -> Column:
     return F.concat_ws(" ", source, F.nullif(location, F.lit("")))
 
 
+def collection_label(collection: Column, label_: Column, n_collections: int) -> Column:
+    """The collection is named only where a search covers several."""
+    return F.concat_ws(" › ", collection, label_) if n_collections > 1 else label_
+
+
 def slug(title: Column) -> Column:
     """A file name: ASCII words in lower case, joined by dashes, 50 characters at most."""
     dashed = F.regexp_replace(F.regexp_replace(fold(title), "[^a-z0-9]+", "-"), "^-", "")

@@ -6,6 +6,9 @@ step names its sort key.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +17,7 @@ from quarry.functions import columns as C
 
 def usable(text: Column, status: Column | None = None) -> Column:
     """Neither failed nor still streaming, and not blank."""
-    filled = F.trim(text) != ""
+    filled = text.rlike(r"(?U)\S")
     return filled if status is None else filled & ~status.isin("failed", "streaming")
 
 
@@ -84,18 +87,38 @@ def search_texts(messages: DataFrame, short: int = 6) -> DataFrame:
 
 
 def find_conversations(messages: DataFrame, titles: DataFrame, query: str, most: int = 200) -> DataFrame:
-    """Conversations with a message that has every word of the query as a prefix, or the query in their title."""
-    inside = messages.filter(C.matches_prefixes(F.col("text"), query)).select("conv_id").distinct()
+    """Conversations with a message that has every word of the query as a prefix, or the query in their title; a blank
+    query lists all, without a limit. `excerpt` is the start of the first such message (null: only the title fits)."""
+    if not query.strip():
+        return titles.orderBy(F.desc("updated_at"), F.desc("conv_id")).select(
+            "conv_id", "title", "updated_at", F.lit(False).alias("in_messages"), F.lit(None).cast("string").alias("excerpt")
+        )
+    inside = (
+        messages.filter(C.matches_prefixes(F.col("text"), query))
+        .groupBy("conv_id")
+        .agg(F.min_by(excerpt(F.col("text"), query), "turn").alias("excerpt"))
+    )
     plain = query.strip().replace("%", "").replace("_", "").lower()
     hit = titles.join(inside.withColumn("found", F.lit(True)), "conv_id", "left")
     return (
         hit.filter(F.col("found") | F.contains(F.lower("title"), F.lit(plain)))
         .orderBy(F.desc("updated_at"), F.desc("conv_id"))
         .limit(most)
-        .select("conv_id", "title", "updated_at", F.coalesce("found", F.lit(False)).alias("in_messages"))
+        .select("conv_id", "title", "updated_at", F.coalesce("found", F.lit(False)).alias("in_messages"), "excerpt")
     )
 
 
+def excerpt(text: Column, query: str, n_words: int = 10) -> Column:
+    """Up to `n_words` words from the first that a word of the query begins, with … where text is left out."""
+    words = F.filter(F.split(C.strip(text), r"(?U)\s+"), lambda w: w != "")
+    wanted = [w for w in re.split(r"[\W_]+", query.lower()) if w]
+    hit = lambda w: reduce(lambda a, b: a | b, [F.startswith(F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+", ""), F.lit(x)) for x in wanted])
+    at = F.array_position(F.transform(words, hit), True).cast("int")
+    first = F.greatest(F.lit(1), F.least(at, F.size(words) - n_words + 1))
+    cut = F.array_join(F.slice(words, first, n_words), " ")
+    return F.concat(F.when(first > 1, "…").otherwise(""), cut, F.when(first + n_words - 1 < F.size(words), "…").otherwise(""))
+
+
 def overview(messages: DataFrame) -> DataFrame:
     """Title (from the first question), first and last time, and number of messages of each conversation."""
     asked = F.when((F.col("role") == "user") & (F.trim("text") != ""), F.struct("turn", "text"))
@@ -136,17 +159,32 @@ def preview_anchor(messages: DataFrame, words: list[str]) -> DataFrame:
 
 
 def occurrences(messages: DataFrame, needle: str) -> DataFrame:
-    """Places of a folded word in folded text, not overlapping: start and end characters."""
-    parts = F.split(C.fold(F.col("text")), needle)
-    lengths = F.transform(parts, F.length)
-    n = len(needle)
-    return messages.select(
-        "conv_id", "turn",
-        F.posexplode(F.slice(lengths, 1, F.greatest(F.size(lengths) - 1, F.lit(0)))).alias("k", "size"), lengths.alias("lengths"),
-    ).select(
-        "conv_id", "turn", "k",
-        (F.aggregate(F.slice("lengths", 1, F.col("k") + 1), F.lit(0), lambda a, x: a + x) + F.col("k") * n).cast("long").alias("start"),
-    ).withColumn("end", F.col("start") + n)
+    """Places of a text in folded text, without regard to accents and case, not overlapping: conv_id, turn, k, and start
+    and end as characters of the text itself, where one character may fold to two."""
+    wanted = C.fold(F.lit(needle))
+    chars = F.split("text", "")
+    # how many folded characters there are before each character, and behind the last
+    sizes = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.length(C.fold(c)))
+    parts = F.split(C.fold(F.col("text")), F.concat(F.lit("\\Q"), F.replace(wanted, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), F.lit(-1))
+    found = messages.select("conv_id", "turn", "text", sizes.alias("sizes"), F.transform(parts, F.length).alias("lengths"))
+    found = found.filter((F.size("lengths") > 1) & (wanted != ""))
+    places = found.select(
+        "conv_id", "turn", "sizes", F.length(wanted).alias("n"), "lengths",
+        F.explode(F.sequence(F.lit(0), F.size("lengths") - 2)).alias("k"),
+    ).withColumn("at", F.aggregate(F.slice("lengths", F.lit(1), F.col("k") + 1), F.lit(0), lambda a, x: a + x) + F.col("k") * F.col("n"))
+
+    def original(folded: Column, end: bool) -> Column:
+        """The character that holds a folded place: the first that ends behind it, or reaches the end."""
+        start = F.struct(F.lit(0).alias("seen"), F.lit(0).alias("n"))
+        goes_on = (lambda s: s["seen"] < folded) if end else (lambda s: s["seen"] <= folded)
+        step = F.aggregate(
+            "sizes", start, lambda s, x: F.when(goes_on(s), F.struct((s["seen"] + x).alias("seen"), (s["n"] + 1).alias("n"))).otherwise(s)
+        )
+        return (step["n"] if end else step["n"] - 1).cast("long")
+
+    return places.select(
+        "conv_id", "turn", F.col("k").cast("int").alias("k"), original(F.col("at"), False).alias("start"), original(F.col("at") + F.col("n"), True).alias("end")
+    )
 
 
 def ordered_text(messages: DataFrame, line: Column, joiner: str, *order: str) -> DataFrame:

@@ -35,6 +35,7 @@ def _blocks(text: str, sections: bool, most: int) -> list[tuple]:
         run.clear()
 
     for number, line in enumerate(text.split("\n"), 1):
+        line = line.removesuffix("\r")
         found = HEADING.match(line) if sections else None
         if found or not line.strip():
             close(number - 1)
@@ -61,13 +62,12 @@ def pack(text: str, tokens: int, sections: bool) -> list[tuple[str, str]]:
     for block in _blocks(text, sections, most):
         size = sum(len(x[0]) + 2 for x in now)
         fresh = len(now) > carried
-        if fresh and (block[4] or size + len(block[0]) > most):
+        # two characters for each joint, the one before this block included
+        if fresh and (block[4] or size + len(block[0]) + 2 > most):
             emit()
             last = now[-1]
             carried = len(last[0]) <= most // 8 and not last[4] and not block[4]
             now = [last] if carried else []
-        elif block[4]:
-            now, carried = [], False
         now.append(block)
     if len(now) > carried:
         emit()

@@ -1,21 +1,22 @@
 """Hybrid retrieval: vector similarity and keyword search for a set of questions, fused, limited to a token budget.
 
 A set of questions is a parameter of a search: up to `BROADCAST_QUESTIONS` of them go to every task, more are taken in
-blocks of that size. Everything that grows with the corpus is partitioned: term counts are combined before the shuffle,
-prefixes meet the vocabulary by equality, and ranks are limited inside each task first.
+blocks of that size. Everything that grows with the corpus is partitioned: texts are tokenised once into postings, which
+are written; prefixes meet the vocabulary by equality; each task keeps its own `k` nearest vectors of a question, and
+rankings are limited before the exchange (the filter on `row_number` lets Spark do that).
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import tables
 from quarry.functions import columns as C
 
 #: Candidates of each ranking, the constant of rank fusion, dimensions of the hash embedder.
@@ -23,100 +24,162 @@ CANDIDATES, FUSION, DIMENSIONS = 50, 60, 64
 #: BM25's saturation and length weight, and the least idf.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BROADCAST_QUESTIONS = 10_000
-#: Runs of letters and digits.
-WORD = re.compile(r"[^\W_]+")
-
-
-def bucket(word: str) -> int:
-    """FNV-1a of the word's UTF-8 bytes modulo 64: the low six bits follow from low six bits alone."""
-    h = 37
-    for b in word.encode():
-        h = ((h ^ (b & 63)) * 51) & 63
+#: Fixed value: what a search without results says.
+NOTHING_FOUND = "Aucun passage ne correspond à cette recherche."
+
+#: (texts, name of the key column) -> key and vector; an embedding model enters as such a function.
+Embedder = Callable[[DataFrame, str], DataFrame]
+#: (question_id, question, key, text) -> the same with a score; a reranking model enters as such a function.
+Reranker = Callable[[DataFrame], DataFrame]
+
+
+def buckets(column: pa.Array) -> np.ndarray:
+    """FNV-1a of each word's UTF-8 bytes modulo 64: the low six bits follow from low six bits alone."""
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    size, h = np.diff(ends), np.full(len(column), 37, np.int64)
+    for k in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > k)
+        h[at] = ((h[at] ^ (data[ends[at] + k] & 63)) * 51) & 63
     return h
 
 
 def hash_vectors(texts: DataFrame, key: str) -> DataFrame:
     """key and vector (unit length, zero without words): counts of hashed words longer than two characters.
 
-    One pass in Arrow batches, without a shuffle; a batch hashes each of its distinct words once.
+    Words are split in the JVM and hashed a batch at a time, without a shuffle.
     """
+    long = F.filter(C.words(F.lower(F.coalesce("text", F.lit("")))), lambda w: F.length(w) > 2)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        for frame in frames:
-            if len(known) > 1_000_000:
-                known.clear()
-            vectors = []
-            for text in frame["text"]:
-                counts = np.zeros(DIMENSIONS)
-                for word in WORD.findall((text or "").lower()):
-                    if len(word) > 2:
-                        if word not in known:
-                            known[word] = bucket(word)
-                        counts[known[word]] += 1
-                norm = np.sqrt(counts @ counts)
-                vectors.append(counts / norm if norm else counts)
-            yield pd.DataFrame({key: frame[key], "vector": vectors})
-
-    return texts.select(key, "text").mapInPandas(run, f"{key} {texts.schema[key].dataType.simpleString()}, vector array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            n, sizes = batch.num_rows, np.asarray(lists.value_lengths()).astype(np.int64)
+            at = np.repeat(np.arange(n), sizes) * DIMENSIONS + buckets(lists.flatten())
+            counts = np.bincount(at, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS).astype(float)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            vectors = counts / np.where(norm > 0, norm, 1)
+            ends = pa.array(np.arange(n + 1) * DIMENSIONS, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))], [key, "vector"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, long.alias("words")).mapInArrow(run, f"{key} {kind}, vector array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """The places of the k highest scores; equal scores in order of key."""
+    if len(scores) > k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        some = np.flatnonzero(scores >= least)
+    else:
+        some = np.arange(len(scores))
+    return some[np.lexsort((keys[some], -scores[some]))][:k]
+
+
 def nearest(vectors: DataFrame, questions: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """question_id, key, score and place (from 0) of the k nearest vectors; equal scores in order of key.
 
-    `vectors`: key, vector; `questions`: question_id, question_vector. Vectors of another length are ignored.
+    `vectors`: key, vector; `questions`: question_id, question_vector. Vectors of another length are ignored. Each batch
+    of vectors is multiplied by a block of questions, and a task keeps the k best of each question.
     """
-    n = questions.count()
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "key")
+    kind, key_kind = questions.schema["question_id"].dataType.simpleString(), vectors.schema["key"].dataType.simpleString()
 
     def block(part: DataFrame) -> DataFrame:
+        asked = part.collect()  # a block of questions, BROADCAST_QUESTIONS at most
+        ids = [r["question_id"] for r in asked]
+        shared = vectors.sparkSession.sparkContext.broadcast([np.array(r["question_vector"], float) for r in asked])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_size: dict[int, list[int]] = {}
+            for i, v in enumerate(shared.value):
+                by_size.setdefault(len(v), []).append(i)
+            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for batch in batches:
+                sizes = np.asarray(batch.column("vector").value_lengths())
+                for size, mine in by_size.items():
+                    rows = np.flatnonzero(sizes == size)
+                    if not len(rows):
+                        continue
+                    take = pa.array(rows)
+                    keys = batch.column("key").take(take).to_numpy(zero_copy_only=False)
+                    matrix = batch.column("vector").take(take).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), size)
+                    scores = np.round(matrix @ np.array([shared.value[i] for i in mine]).T, 9)
+                    for column, i in enumerate(mine):
+                        own = _best(scores[:, column], keys, k)
+                        found = (scores[own, column], keys[own])
+                        if i in held:
+                            found = tuple(np.concatenate(x) for x in zip(held[i], found, strict=True))
+                            again = _best(*found, k)
+                            found = (found[0][again], found[1][again])
+                        held[i] = found
+            for i, (scores, keys) in held.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(keys), i)), pa.array(keys), pa.array(scores)], ["question", "key", "score"]
+                )
+
+        found = vectors.select("key", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(
+            run, f"question long, key {key_kind}, score double"
+        )
+        order = Window.partitionBy("question").orderBy(F.desc("score"), "key")
+        named = vectors.sparkSession.createDataFrame(list(enumerate(ids)), f"question long, question_id {kind}")
         return (
-            vectors.join(F.broadcast(part), F.size("vector") == F.size("question_vector"))
-            .select("question_id", "key", F.round(dot(F.col("vector"), F.col("question_vector")), 9).alias("score"))
-            .withColumn("place", F.row_number().over(order) - 1)
-            .filter(F.col("place") < k)
+            found.withColumn("n", F.row_number().over(order))
+            .filter(F.col("n") <= k)
+            .join(F.broadcast(named), "question")
+            .select("question_id", "key", "score", (F.col("n") - 1).alias("place"))
         )
 
-    blocks = max(1, -(-n // BROADCAST_QUESTIONS))
+    blocks = max(1, -(-questions.count() // BROADCAST_QUESTIONS))
     if blocks == 1:
         return block(questions)
     share = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
     return reduce(DataFrame.unionAll, [block(questions.filter(share == i)) for i in range(blocks)])
 
 
-def keyword(texts: DataFrame, questions: DataFrame, k: int | None = CANDIDATES) -> DataFrame:
+def postings(texts: DataFrame) -> DataFrame:
+    """key, size (words of the text), term and tf. `texts`: key, text; texts without words have no posting."""
+    cut = texts.select("key", C.words(C.fold(F.col("text"))).alias("words"))
+    return cut.select("key", F.size("words").alias("size"), F.explode("words").alias("term")).groupBy("key", "size", "term").agg(F.count("*").alias("tf"))
+
+
+def keyword(texts: DataFrame, questions: DataFrame, k: int = CANDIDATES, keep: Column | None = None) -> DataFrame:
     """question_id, key, score and place (from 0) by BM25; each search term is a prefix.
 
-    `texts`: key, text; `questions`: question_id, text. Statistics are those of all texts.
+    `texts`: key, text; `questions`: question_id, text. Statistics are those of all texts; `keep`, a condition on
+    `texts`, is applied before the limit, as a choice of collections is.
     """
-    tokens = texts.select("key", F.explode(C.words(C.fold(F.col("text")))).alias("term"))
-    postings = tokens.groupBy("key", "term").agg(F.count("*").alias("tf"))
-    lengths = texts.select("key", F.size(C.words(C.fold(F.col("text")))).alias("size"))
-    whole = lengths.agg(F.count("*").alias("n_texts"), F.avg("size").alias("mean_size"))
-    prefixes = questions.select("question_id", F.explode(C.search_terms(C.fold(F.col("text")))).alias("prefix")).distinct()
-    vocabulary = postings.select("term").distinct()
-    cut = F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
-    matched = vocabulary.select("term", F.explode(cut).alias("prefix")).join(prefixes.select("prefix").distinct(), "prefix")
-    found = postings.join(matched, "term").groupBy("prefix", "key").agg(F.sum("tf").alias("tf"))
+    index = tables.written(postings(texts))
+    # the texts without words count too
+    n_texts, total = texts.count(), index.agg(F.sum("tf")).first()[0] or 0
+    prefixes = questions.select("question_id", F.explode(C.search_terms(F.col("text"))).alias("prefix")).distinct()
+    # only prefixes as long as one that is asked for: a few numbers
+    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()]
+    cut = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
+    vocabulary = index.select("term").distinct().select("term", F.explode(cut).alias("prefix"))
+    matched = vocabulary.join(prefixes.select("prefix").distinct(), "prefix")
+    found = index.join(matched, "term").groupBy("prefix", "key", "size").agg(F.sum("tf").alias("tf"))
     seen = found.groupBy("prefix").agg(F.count("*").alias("n"))
-    idf = F.greatest(F.log((F.col("n_texts") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    scored = (
-        found.join(seen, "prefix")
-        .join(lengths, "key")
-        .join(F.broadcast(whole))  # one row
-        .select("prefix", "key", (idf * weight).alias("part"))
-        .join(prefixes, "prefix")
-        .groupBy("question_id", "key")
-        .agg(F.round(F.sum("part"), 6).alias("score"))
-    )
+    idf = F.greatest(F.log((n_texts - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(total / max(1, n_texts))))
+    scored = found.join(seen, "prefix").select("prefix", "key", (idf * weight).alias("part"))
+    if keep is not None:
+        scored = scored.join(texts.filter(keep).select("key"), "key", "left_semi")
+    scored = scored.join(prefixes, "prefix").groupBy("question_id", "key").agg(F.round(F.sum("part"), 6).alias("score"))
+    return ranked(scored, k)
+
+
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    """The first k of each question by score, then key, with their place from 0."""
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "key")
-    ranked = scored.withColumn("place", F.row_number().over(order) - 1)
-    return ranked if k is None else ranked.filter(F.col("place") < k)
+    return (
+        scored.withColumn("n", F.row_number().over(order))
+        .filter(F.col("n") <= k)
+        .select("question_id", "key", "score", (F.col("n") - 1).alias("place"))
+    )
 
 
 def fuse(meaning: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -132,10 +195,11 @@ def fuse(meaning: DataFrame, words: DataFrame, least: float) -> DataFrame:
 def limit(ranked: DataFrame, top_k: int, budget: int) -> DataFrame:
     """In rank order, up to `top_k` texts of each question: a text already taken or beyond the rest of the budget is skipped.
 
-    `ranked`: question_id, key, place, text; at most 2 * CANDIDATES rows of each question.
+    `ranked`: question_id, key, place, label, text; at most 2 * CANDIDATES rows of each question.
     """
-    item = F.struct("place", "key", C.tokens(F.col("text")).alias("tokens"), F.md5("text").alias("digest"))
-    empty = F.expr("named_struct('left', bigint(%d), 'taken', cast(array() as array<struct<place:int,key:bigint,tokens:bigint,digest:string>>))" % budget)
+    item = F.struct("place", "key", C.tokens(F.col("text")).alias("tokens"), F.md5("text").alias("digest"), "label")
+    kind = f"place:int,key:{ranked.schema['key'].dataType.simpleString()},tokens:bigint,digest:string,label:string"
+    empty = F.expr(f"named_struct('left', bigint({budget}), 'taken', cast(array() as array<struct<{kind}>>))")
 
     def step(state: Column, x: Column) -> Column:
         skip = (
@@ -151,26 +215,103 @@ def limit(ranked: DataFrame, top_k: int, budget: int) -> DataFrame:
         ranked.groupBy("question_id")
         .agg(F.array_sort(F.collect_list(item)).alias("items"))
         .select("question_id", F.posexplode(F.aggregate("items", empty, step)["taken"]).alias("number", "x"))
-        .select("question_id", (F.col("number") + 1).cast("long").alias("number"), F.col("x.key").alias("key"), F.col("x.tokens").alias("tokens"))
+        .select("question_id", (F.col("number") + 1).cast("long").alias("number"), "x.key", "x.label", "x.tokens")
     )
 
 
-def word_rerank(ranked: DataFrame, questions: DataFrame) -> DataFrame:
-    """Candidates of each question by how many of its words (of more than two characters) they hold, ties as ranked."""
-    asked = F.array_distinct(F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.length(w) > 2))
-    joined = ranked.join(questions.select("question_id", F.col("text").alias("question")), "question_id")
-    hits = F.size(F.filter(asked, lambda w: F.contains(F.lower("text"), w))).cast("long")
-    order = Window.partitionBy("question_id").orderBy(F.desc("hits"), "place")
-    return joined.withColumn("hits", hits).withColumn("new_place", F.row_number().over(order) - 1)
+def word_scores(asked: DataFrame) -> DataFrame:
+    """A reranker for tests: how many words of the question (of more than two bytes) the text holds."""
+    words = F.array_distinct(F.filter(F.split(F.lower("question"), r"\s+"), lambda w: F.octet_length(w) > 2))
+    return asked.withColumn("score", F.size(F.filter(words, lambda w: F.contains(F.lower("text"), w))).cast("double"))
 
 
-def hybrid(texts: DataFrame, questions: DataFrame, top_k: int = 5, budget: int = 3000, least: float = 0.3) -> DataFrame:
+def scores_in_order(items: DataFrame, scores: DataFrame) -> DataFrame:
+    """`items` (question_id, number, ...) with the score of their number, minus infinity where none came back.
+
+    `scores`: question_id, number, score. A score for a number that no item has makes the ranking unusable: `valid` is
+    false for the whole question then.
+    """
+    unknown = scores.join(items, ["question_id", "number"], "left_anti").select("question_id").distinct().withColumn("strange", F.lit(True))
+    return (
+        items.join(scores, ["question_id", "number"], "left")
+        .join(unknown, "question_id", "left")
+        .withColumn("score", F.coalesce("score", F.lit(float("-inf"))))
+        .withColumn("valid", F.col("strange").isNull())
+        .drop("strange")
+    )
+
+
+def rerank(candidates: DataFrame, questions: DataFrame, reranker: Reranker = word_scores) -> DataFrame:
+    """Candidates (question_id, key, place, text) with hits (the reranker's score) and new_place, ties as they were.
+
+    A question for which the reranker doesn't return one score for each candidate keeps its order.
+    """
+    asked = candidates.select("question_id", "key", "place", "text").join(questions.select("question_id", F.col("text").alias("question")), "question_id")
+    given = reranker(asked).select("question_id", "key", F.col("score").alias("hits"))
+    complete = given.filter("hits IS NOT NULL").groupBy("question_id").agg(F.count("*").alias("got"))
+    counted = candidates.groupBy("question_id").agg(F.count("*").alias("sent")).join(complete, "question_id", "left")
+    usable = counted.select("question_id", (F.col("got") == F.col("sent")).alias("usable"))
+    order = Window.partitionBy("question_id").orderBy(F.desc(F.when(F.col("usable"), F.col("hits"))), "place")
+    return (
+        candidates.join(given, ["question_id", "key"], "left")
+        .join(usable, "question_id")
+        .withColumn("new_place", F.row_number().over(order) - 1)
+        .drop("usable")
+    )
+
+
+def check_models(collections: DataFrame, names: list[str], model: str) -> None:
+    """Every named collection exists and was embedded by the model in use. `collections`: name, embedding_model."""
+    known = {r["name"]: r["embedding_model"] for r in collections.filter(F.col("name").isin(*names)).collect()}
+    for name in names:
+        if name not in known:
+            raise ValueError(f"unknown collection: {name}")
+        if known[name] != model:
+            raise ValueError(f"collection {name} was embedded with {known[name]}, not {model}: index it again")
+
+
+def embedding_text(source: Column, location: Column, text: Column) -> Column:
+    """What an embedder reads: `file — location`, a line feed, the text."""
+    file = F.regexp_extract(source, "([^/]*)$", 1)
+    return F.concat(F.concat_ws(" — ", file, F.nullif(location, F.lit(""))), F.lit("\n"), text)
+
+
+def hybrid(
+    texts: DataFrame,
+    questions: DataFrame,
+    top_k: int = 5,
+    budget: int = 3000,
+    least: float = 0.3,
+    embedder: Embedder = hash_vectors,
+    reranker: Reranker | None = None,
+    candidates: int = 20,
+    keep: Column | None = None,
+) -> DataFrame:
     """question_id, number, key, label, tokens: what each question takes from the corpus.
 
-    `texts`: key, source, text; `questions`: question_id, text.
+    `texts`: key, source, text (and what `keep`, a choice of collections, asks for); `questions`: question_id, text. With
+    a reranker, the `candidates` best of the fused ranking are put in its order before the limits.
     """
-    asked = hash_vectors(questions, "question_id").withColumnRenamed("vector", "question_vector")
-    fused = fuse(nearest(hash_vectors(texts, "key"), asked), keyword(texts, questions), least)
+    asked = embedder(questions, "question_id").withColumnRenamed("vector", "question_vector")
+    some = texts if keep is None else texts.filter(keep)
+    fused = fuse(nearest(embedder(some, "key"), asked), keyword(texts, questions, keep=keep), least)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "key")
-    ranked = fused.withColumn("place", F.row_number().over(order)).join(texts.select("key", "text"), "key")
-    return limit(ranked, top_k, budget).join(texts.select("key", F.col("source").alias("label")), "key")
+    # at most 2 * CANDIDATES rows of each question get their text and label, in one join
+    chosen = fused.withColumn("place", F.row_number().over(order)).select("question_id", "key", "place")
+    found = chosen.join(texts.select("key", "text", F.col("source").alias("label")), "key")
+    if reranker is not None:
+        wide = found.filter(F.col("place") <= max(candidates, top_k))
+        found = rerank(wide, questions, reranker).drop("place", "hits").withColumnRenamed("new_place", "place")
+    return limit(found, top_k, budget)
+
+
+def tool_output(found: DataFrame) -> DataFrame:
+    """question_id and the text that the search tool returns: numbered passages, or that there are none.
+
+    `found`: question_id, number, label, text; a question without passages has one row whose number is null.
+    """
+    block = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("] "), F.col("label"), F.lit("\n"), F.col("text"))
+    rows = F.array_sort(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", block.alias("block")))))
+    return found.groupBy("question_id").agg(
+        F.coalesce(F.nullif(F.array_join(F.transform(rows, lambda x: x["block"]), "\n\n"), F.lit("")), F.lit(NOTHING_FOUND)).alias("output")
+    )

@@ -31,6 +31,13 @@ def query(sql: str | None = None):
     return add
 
 
+def _fold(x: str) -> str:
+    return f"""lower(replace(replace(replace(replace(translate({x}, '{C.ACCENTED}', '{C.PLAIN}'), 'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE'))"""
+
+
+_FOLD = _fold("text")
+
+
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -115,11 +122,9 @@ def q_formats(spark, d):
 
 
 @query("""SELECT doc_id, CASE WHEN strip = '' THEN 'conversation.md' ELSE strip || '.md' END AS slug FROM (
-  SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(lower(replace(replace(replace(replace(
-    translate(substr(text, 1, 80), 'àáâäãåçéèêëîïíìôöóòõùûüúÿñÀÁÂÄÃÅÇÉÈÊËÎÏÍÌÔÖÓÒÕÙÛÜÚ', 'aaaaaaceeeeiiiiooooouuuuynAAAAAACEEEEIIIIOOOOOUUUU'),
-    'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE')), '[^a-z0-9]+', '-', 'g'), '^-', ''), 1, 50), '-+$', '') AS strip FROM documents)""")
+  SELECT doc_id, regexp_replace(substr(regexp_replace(regexp_replace(""" + _FOLD + """, '[^a-z0-9]+', '-', 'g'), '^-', ''), 1, 50), '-+$', '') AS strip FROM documents)""")
 def q_slug(spark, d):
-    return read(spark, d, "documents").select("doc_id", C.slug(F.substring("text", 1, 80)).alias("slug"))
+    return read(spark, d, "documents").select("doc_id", C.slug(F.col("text")).alias("slug"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(first) <= 60 THEN first ELSE substr(first, 1, 59) || '…' END AS title FROM (
@@ -219,8 +224,6 @@ def q_input_history(spark, d):
     return messages.input_history(_turns(spark, d))
 
 
-_FOLD = """lower(replace(replace(replace(replace(translate(text, 'àáâäãåçéèêëîïíìôöóòõùûüúÿñÀÁÂÄÃÅÇÉÈÊËÎÏÍÌÔÖÓÒÕÙÛÜÚ',
-  'aaaaaaceeeeiiiiooooouuuuynAAAAAACEEEEIIIIOOOOOUUUU'), 'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE'))"""
 
 
 @query(f"""SELECT * FROM (SELECT conv_id, coalesce(min(turn) FILTER (contains(f, 'the') AND contains(f, 'ent')), min(turn) FILTER (contains(f, 'the') OR contains(f, 'ent'))) AS turn
@@ -368,20 +371,24 @@ def q_replace_documents(spark, d):
 # --- retrieval ---------------------------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
-_TERMS = f"""SELECT item_id, list_distinct(list_transform(list_filter(list_transform(list_filter(string_split_regex({_FOLD}, '[^\\p{{L}}\\p{{N}}]+'),
+
+
+def _terms(table: str) -> str:
+    singular = _fold("regexp_replace(w, '^(.{4,})s$', '\\1')")
+    return f"""SELECT item_id, list_distinct(list_transform(list_filter(list_transform(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'),
   lambda w: length(w) >= 3 OR (length(w) = 2 AND (regexp_matches(w, '[0-9]') OR regexp_matches(w, '^\\p{{Lu}}+$')))), lambda w: lower(w)),
-  lambda w: w NOT IN ({_STOP})), lambda w: regexp_replace(w, '^(.{{4,}})s$', '\\1'))) AS terms FROM benchmark"""
+  lambda w: w NOT IN ({_STOP})), lambda w: {singular})) AS terms FROM {table}"""
 
 
-@query(f"SELECT item_id, array_to_string(list_sort(terms), ' ') AS terms FROM ({_TERMS})")
+@query(f"""SELECT item_id, array_to_string(list_sort(terms), ' ') AS terms FROM ({_terms("(SELECT item_id, text || ' XK of 4b Éa' AS text FROM benchmark)")})""")
 def q_fts_terms(spark, d):
-    terms = C.search_terms(C.fold(F.col("text")))
-    return read(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(terms), " ").alias("terms"))
+    text = F.concat("text", F.lit(" XK of 4b Éa"))
+    return read(spark, d, "benchmark").select("item_id", F.array_join(F.array_sort(C.search_terms(text)), " ").alias("terms"))
 
 
 _KEYWORD = f"""tok AS (SELECT doc_id, unnest(list_filter(string_split_regex({_FOLD}, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS term FROM documents),
 post AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY ALL), len AS (SELECT d.doc_id, count(t.term) AS size FROM documents d LEFT JOIN tok t ON d.doc_id = t.doc_id GROUP BY 1),
-pre AS (SELECT DISTINCT item_id, unnest(terms) AS prefix FROM ({_TERMS})), wanted AS (SELECT DISTINCT prefix FROM pre),
+pre AS (SELECT DISTINCT item_id, unnest(terms) AS prefix FROM ({_terms("benchmark")})), wanted AS (SELECT DISTINCT prefix FROM pre),
 vocab AS (SELECT term, prefix FROM (SELECT term, substr(term, 1, CAST(unnest(range(1, length(term) + 1)) AS INTEGER)) AS prefix FROM (SELECT DISTINCT term FROM post)) JOIN wanted USING (prefix)),
 found AS (SELECT prefix, doc_id, sum(tf) AS tf FROM post JOIN vocab USING (term) GROUP BY ALL), seen AS (SELECT prefix, count(*) AS n FROM found GROUP BY prefix),
 whole AS (SELECT count(*) AS nt, avg(size) AS mean FROM len),
@@ -404,15 +411,17 @@ def q_cosine_topk(spark, d):
     return retrieval.nearest(vectors, asked)
 
 
-_VECTOR = """WITH w AS (SELECT {key} AS key, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 2)) AS word FROM {table}),
-u AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM w),
-b AS (SELECT word, list_reduce(list_prepend(37, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 2) AS INTEGER))),
-  lambda x, y: (xor(x, y & 63) * 51) & 63) AS bucket FROM u),
-c AS (SELECT key, bucket, count(*) AS n FROM w JOIN b USING (word) GROUP BY ALL)
-SELECT key, CAST(bucket AS INTEGER) AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY key)), 9) AS weight FROM c"""
+def _vector(table: str, key: str, name: str) -> str:
+    """Relations {name}(key, bucket, x): the coordinates of each text's vector that aren't zero."""
+    return f"""{name}w AS (SELECT {key} AS key, unnest(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 2)) AS word FROM {table}),
+{name}u AS (SELECT DISTINCT word, hex(encode(word)) AS h FROM {name}w),
+{name}b AS (SELECT word, list_reduce(list_prepend(37, list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, CAST(i AS INTEGER), 2) AS INTEGER))),
+  lambda x, y: (xor(x, y & 63) * 51) & 63) AS bucket FROM {name}u),
+{name}c AS (SELECT key, bucket, count(*) AS n FROM {name}w JOIN {name}b USING (word) GROUP BY ALL),
+{name} AS (SELECT key, CAST(bucket AS INTEGER) AS bucket, n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS x FROM {name}c)"""
 
 
-@query(_VECTOR.format(key="doc_id", table="documents"))
+@query(f"WITH {_vector('documents', 'doc_id', 'v')} SELECT key, bucket, round(x, 9) AS weight FROM v")
 def q_hash_embed(spark, d):
     vectors = retrieval.hash_vectors(_corpus(spark, d), "key")
     return vectors.select("key", F.posexplode("vector").alias("bucket", "x")).filter("x > 0").select("key", "bucket", F.round("x", 9).alias("weight"))
@@ -424,44 +433,68 @@ def q_l2_norm(spark, d):
     return read(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(retrieval.dot(v, v)), 6).alias("norm"))
 
 
-@query(f"""WITH {_KEYWORD}, m AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 7919 + item_id * 31) % 100003, doc_id) - 1 AS place,
-  1 - ((doc_id * 7919 + item_id * 31) % 100003) / 100003.0 AS score FROM documents, benchmark),
-mr AS (SELECT * FROM m WHERE place < 50 AND score >= 0.3), kr AS (SELECT * FROM kwr WHERE place < 50)
-SELECT coalesce(mr.item_id, kr.item_id) AS question_id, coalesce(mr.doc_id, kr.doc_id) AS key,
-  round(coalesce(1.0 / (mr.place + 61), 0) + coalesce(1.0 / (kr.place + 61), 0), 9) AS score
-FROM mr FULL JOIN kr ON mr.item_id = kr.item_id AND mr.doc_id = kr.doc_id""")
+_MEANING = f"""{_vector("documents", "doc_id", "v")}, {_vector("benchmark", "item_id", "q")},
+m AS (SELECT q.key AS item_id, v.key AS doc_id, round(sum(v.x * q.x), 9) AS score FROM v JOIN q USING (bucket) GROUP BY ALL),
+mr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS place FROM m)"""
+_FUSED = f"""{_KEYWORD}, {_MEANING}, fused AS (SELECT coalesce(a.item_id, b.item_id) AS question_id, coalesce(a.doc_id, b.doc_id) AS key,
+  round(coalesce(1.0 / (a.place + 61), 0) + coalesce(1.0 / (b.place + 61), 0), 9) AS score
+  FROM (SELECT * FROM mr WHERE place < 50 AND score >= 0.3) a FULL JOIN (SELECT * FROM kwr WHERE place < 50) b ON a.item_id = b.item_id AND a.doc_id = b.doc_id)"""
+
+
+@query(f"WITH {_FUSED} SELECT * FROM fused")
 def q_rrf(spark, d):
-    """Fusion with a stated ranking of every document for every question in the place of the vectors."""
     corpus, asked = _corpus(spark, d), _questions(spark, d)
-    mixed = (F.col("key") * 7919 + F.col("question_id") * 31) % 100003
-    order = retrieval.Window.partitionBy("question_id").orderBy(F.desc("score"), "key")
-    meaning = (
-        corpus.select("key").join(F.broadcast(asked.select("question_id")))  # the question set against all rows
-        .withColumn("score", 1 - mixed / F.lit(100003.0))
-        .withColumn("place", F.row_number().over(order) - 1)
-        .filter("place < 50")
-    )
-    return retrieval.fuse(meaning, retrieval.keyword(corpus, asked), 0.3)
+    vectors = retrieval.hash_vectors(asked, "question_id").withColumnRenamed("vector", "question_vector")
+    return retrieval.fuse(retrieval.nearest(retrieval.hash_vectors(corpus, "key"), vectors), retrieval.keyword(corpus, asked), 0.3)
 
 
 @query()
 def q_hybrid_context(spark, d):
+    """Over passages, whose splitting SQL doesn't express; tests compare it with a plain version."""
     return retrieval.hybrid(_passages(spark, d), _questions(spark, d))
 
 
 @query()
 def q_multi_collection(spark, d):
-    corpus = _passages(spark, d).filter(F.col("lang").isin("en", "fr"))
-    labelled = corpus.withColumn("source", F.concat("lang", F.lit(" › "), "source"))
-    return retrieval.hybrid(labelled, _questions(spark, d))
+    """As above, over two of the collections, named in the label, with a reranker."""
+    labelled = _passages(spark, d).withColumn("source", C.collection_label(F.col("lang"), F.col("source"), 2))
+    return retrieval.hybrid(labelled, _questions(spark, d), reranker=retrieval.word_scores, keep=F.col("lang").isin("en", "fr"))
 
 
-@query()
+@query(f"""WITH {_KEYWORD}, c AS (SELECT k.item_id, k.doc_id, k.place, list_distinct(list_filter(string_split_regex(lower(b.text), '\\s+'), lambda w: octet_length(encode(w)) > 2)) AS w,
+  lower(d.text) AS t FROM kwr k JOIN documents d USING (doc_id) JOIN benchmark b ON k.item_id = b.item_id WHERE k.place < 20),
+h AS (SELECT *, CAST(len(list_filter(w, lambda x: contains(t, x))) AS DOUBLE) AS hits FROM c)
+SELECT item_id AS question_id, doc_id AS key, hits, CAST(place AS INTEGER) AS place,
+  CAST(row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, place) - 1 AS INTEGER) AS new_place FROM h""")
 def q_word_rerank(spark, d):
-    corpus, asked = _passages(spark, d), _questions(spark, d)
-    ranked = retrieval.keyword(corpus, asked, 20).join(corpus.select("key", "text"), "key")
-    out = retrieval.word_rerank(ranked, asked)
-    return out.select("question_id", "key", "hits", "place", "new_place")
+    corpus, asked = _corpus(spark, d), _questions(spark, d)
+    found = retrieval.keyword(corpus, asked, 20).join(corpus.select("key", "text"), "key")
+    return retrieval.rerank(found, asked).select("question_id", "key", "hits", "place", "new_place")
+
+
+@query(f"""WITH {_KEYWORD}, t AS (SELECT k.item_id, string_agg('[' || (place + 1) || '] ' || source || '/' || doc_id || '.md' || chr(10) || text, chr(10) || chr(10) ORDER BY place) AS output
+  FROM kwr k JOIN documents USING (doc_id) WHERE place < 5 AND k.item_id % 2 = 0 GROUP BY k.item_id)
+SELECT b.item_id AS question_id, coalesce(t.output, 'Aucun passage ne correspond à cette recherche.') AS output FROM benchmark b LEFT JOIN t ON b.item_id = t.item_id""")
+def q_search_tool(spark, d):
+    corpus, asked = _corpus(spark, d), _questions(spark, d)
+    found = retrieval.keyword(corpus, asked, 5).filter("question_id % 2 = 0").join(corpus.select("key", "text", F.col("source").alias("label")), "key")
+    numbered = found.select("question_id", (F.col("place") + 1).alias("number"), "label", "text")
+    return retrieval.tool_output(asked.select("question_id").join(numbered, "question_id", "left"))
+
+
+@query(f"""WITH {_KEYWORD} SELECT item_id AS question_id, place AS number, CASE WHEN place % 3 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(score AS DOUBLE) END AS score, item_id % 2 = 0 AS valid
+FROM kwr WHERE place < 10""")
+def q_rerank_scores(spark, d):
+    found = retrieval.keyword(_corpus(spark, d), _questions(spark, d), 10).select("question_id", F.col("place").alias("number"), "score")
+    strange = found.filter("question_id % 2 = 1 AND number = 0").withColumn("number", F.lit(99))
+    return retrieval.scores_in_order(found.drop("score"), found.filter("number % 3 <> 0").unionByName(strange))
+
+
+@query("SELECT doc_id, doc_id || '.md — § ' || lang || chr(10) || text AS text FROM documents")
+def q_embedding_text(spark, d):
+    docs = read(spark, d, "documents")
+    source = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return docs.select("doc_id", retrieval.embedding_text(source, F.concat(F.lit("§ "), "lang"), F.col("text")).alias("text"))
 
 
 # --- passages ----------------------------------------------------------------------------------------------------
@@ -545,3 +578,6 @@ def q_sse_frames(spark, d):
     return streams.sse(
         _turns(spark, d).select(F.col("conv_id").cast("string").alias("stream_id"), F.col("turn").alias("chunk_seq"), body.alias("bytes"))
     )
+
+
+from quarry.plans import more as _more  # noqa: E402,F401  (its queries register here)

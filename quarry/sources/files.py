@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
+from quarry.sources.office import ignored
 
 #: Largest text and office files in bytes.
 TEXT_LIMIT, OFFICE_LIMIT = 2 * 1024 * 1024, 50 * 1024 * 1024
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), size, mtime of the files that aren't hidden, without reading their content."""
+def scan(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
+    """path (relative), size, mtime of the files that are neither hidden nor ignored, by path, without reading them.
+    `ignore`: lines of ignore files and patterns to leave out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     inside = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
     relative = F.substring(inside, F.length(F.lit(root.rstrip("/"))) + 2, F.length(inside))
     return files.select(
         relative.alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime")
-    ).filter(~F.col("path").rlike(r"(^|/)\.[^/]"))
+    ).filter(~F.col("path").rlike(r"(^|/)\.[^/]") & ~ignored(F.col("path"), ignore or [])).orderBy("path")
 
 
 def accepted(path: Column, types: list[str]) -> Column:
