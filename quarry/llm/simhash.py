@@ -1,10 +1,15 @@
 """Operator 8, SimHash near-duplicates by deletion-variant signatures.
 
-A text's fingerprint is the bitwise majority of the 64-bit hashes of its word shingles. Two fingerprints that differ in
-at most `bits` = 4 bits are linked. Cut into 3 segments, one of the segments differs by at most one bit; if that bit is
-masked, both are equal. So every fingerprint is filed under each of its 64 one-wildcard segment variants (the masked
-bit's number and the rest of its segment); an equality grouping on the variant brings all links together, and each
-candidate is verified on all 64 bits. Components of the links give the classes.
+A text's fingerprint is the bitwise majority of the hashes of its word shingles. Two fingerprints that differ in at most
+`bits` bits are linked. Cut into segments, more than half as many as that, one of the segments differs by at most one
+bit; if that bit is masked, both are equal. So every fingerprint is filed under each of its one-wildcard segment variants
+(the masked bit's number and the rest of its segment), one for each bit; an equality grouping on the variant brings all
+links together, and each candidate is verified on all bits. Components of the links give the classes.
+
+A `Scheme` names the shingles, the hash, the segments and the distance. `CONTRACT` (4 words, 64 bits, 3 segments, 4 bits)
+is the query's. `SIMILAR` is for near copies of 5-word shingles and a similarity of 0.8 or more: such pairs differ by 17
+of 128 bits in the mean, so it takes up to 22 as candidates, with 12 segments, and `keep` verifies them on their whole
+sets of shingles; README says what share of such pairs it finds.
 
 Equal fingerprints are one class from the start, so only distinct fingerprints are filed, however many copies exist.
 Within a variant's bucket no list of all pairs is made: fingerprints already reached leave the search, which gives a
@@ -12,13 +17,14 @@ spanning forest of the bucket's links (at most one row per fingerprint) and the
 `BUCKET` fingerprints is cut into chunks that meet pairwise in tasks of bounded size.
 
 Defined results: a null or empty text, or one of separators only, has fingerprint zero and is linked like any other;
-texts below four words have one shingle; repeated rows get equal results; a null doc_id is classed like others and is
-never a component's name unless all its ids are null; other columns are ignored.
+texts with fewer words than a shingle have one shingle; repeated rows get equal results; a null doc_id is classed like
+others and is never a component's name unless all its ids are null; ids may be of any type; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,21 +34,44 @@ from pyspark.sql import functions as F
 
 from quarry.llm import io
 from quarry.llm.components import components
-from quarry.llm.text import SPACED, lower_ascii, signed, steps, utf8, words
+from quarry.llm.text import SPACED, Ranges, lower_ascii, mix, ranges_of, signed, steps, utf8, words
 
-SHINGLE, SEED, BITS = 4, 42, 4
-#: First bit of each segment; the last number ends the last segment.
-SEGMENTS = (0, 22, 43, 64)
 #: Most distinct fingerprints of a bucket that meet in one task at once.
 BUCKET = 1_000_000
 #: Buckets up to this size are compared by shifts, all of a batch together.
 SMALL = 12
+#: Pairs of a larger bucket that are compared at once.
+BLOCK = 1 << 18
+#: The least similarity of near copies is 4 / 5.
+SHARE = (4, 5)
+#: A table of keys up to this many rows is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Words of a shingle, seed, 64-bit words of a fingerprint (1: XXH64, 2: XXH3-128), the most bits that a link differs
+    by, and the first bit of each segment in each of those words, with the end of the last."""
+
+    shingle: int
+    seed: int
+    width: int
+    bits: int
+    segments: tuple[int, ...]
+
+    def __post_init__(self) -> None:
+        if self.bits // (self.width * (len(self.segments) - 1)) > 1:
+            raise ValueError("too few segments: each could differ by more than one bit")
+
 
+CONTRACT = Scheme(4, 42, 1, 4, (0, 22, 43, 64))
+SIMILAR = Scheme(5, 42, 2, 22, (0, 11, 22, 33, 44, 54, 64))
 
-def fingerprints_of(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """Unsigned 64-bit fingerprints of the texts of a column."""
+
+def fingerprints_of(column: pa.Array, scheme: Scheme = CONTRACT) -> np.ndarray:
+    """Unsigned fingerprints of the texts of a column, a row of 64-bit words each."""
     data, offsets = utf8(column)
-    out = np.zeros(len(column), np.uint64)
+    out = np.zeros((len(column), scheme.width), np.uint64)
     data = lower_ascii(data)
     start, end, first = words(data, offsets, SPACED)
     if not len(start):
@@ -55,52 +84,82 @@ def fingerprints_of(column: pa.Array, shingle: int = SHINGLE, seed: int = SEED)
     keep[end[inner]] = True
     place = np.cumsum(keep) - 1
     raw = data[keep].tobytes()
-    n = np.diff(first)
+    n, shingle = np.diff(first), scheme.shingle
     count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
     row = np.repeat(np.arange(len(n)), count)
     at = np.repeat(first[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     last = np.minimum(at + shingle, first[1:][row]) - 1
     a, b = place[start[at]].tolist(), (place[end[last] - 1] + 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(raw[x:y], seed) for x, y in zip(a, b, strict=True)), np.uint64, len(a))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    digest = xxhash.xxh64_digest if scheme.width == 1 else xxhash.xxh3_128_digest
+    seed = scheme.seed
+    hashes = np.frombuffer(b"".join([digest(raw[x:y], seed) for x, y in zip(a, b, strict=True)]), ">u8").astype(np.uint64)
     some = np.flatnonzero(count)
-    ones = np.add.reduceat(bits, (np.cumsum(count) - count)[some], axis=0, dtype=np.int64)
-    major = (2 * ones > count[some][:, None]).astype(np.uint8)
-    out[some] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
+    for k in range(scheme.width):
+        own = np.ascontiguousarray(hashes[k :: scheme.width])
+        bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, (np.cumsum(count) - count)[some], axis=0, dtype=np.int32)
+        major = (2 * ones > count[some][:, None]).astype(np.uint8)
+        out[some, k] = np.packbits(major, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long)."""
+def node_of(fps: np.ndarray) -> np.ndarray:
+    """One number for each fingerprint; of one word the fingerprint itself."""
+    return signed(np.ascontiguousarray(fps[:, 0]) if fps.shape[1] == 1 else mix(fps[:, 0] ^ mix(fps[:, 1] + np.uint64(1))))
+
+
+def _columns(scheme: Scheme) -> list[str]:
+    return [f"fp{k}" for k in range(scheme.width)]
+
+
+def _words(batch: pa.RecordBatch, scheme: Scheme) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy().view(np.uint64) for c in _columns(scheme)])
+
+
+def fingerprints(rows: DataFrame, ids: dict[str, str], scheme: Scheme = CONTRACT) -> DataFrame:
+    """The `ids` (column: type) of `rows`, node, and the fingerprint's words fp0, ... (as signed longs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
+            fps = fingerprints_of(batch.column("text"), scheme)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(signed(fingerprints_of(batch.column("text"))))], ["doc_id", "fp"]
+                [*[batch.column(c) for c in ids], pa.array(node_of(fps)), *[pa.array(signed(np.ascontiguousarray(fps[:, k]))) for k in range(scheme.width)]],
+                [*ids, "node", *_columns(scheme)],
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return io.texts(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, fp long")
+    schema = ", ".join([*[f"{c} {kind}" for c, kind in ids.items()], "node long", *[f"{c} long" for c in _columns(scheme)]])
+    return rows.select(*ids, "text").mapInArrow(run, schema)
 
 
-def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 64 one-wildcard segment variants of each fingerprint: (variant, fingerprint)."""
+def variants(fps: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """The one-wildcard segment variants of each fingerprint, bit after bit, all fingerprints for each."""
     keys = []
-    for low, high in zip(SEGMENTS[:-1], SEGMENTS[1:], strict=True):
-        part = (fps >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
-        for bit in range(high - low):
-            keys.append(np.uint64((low + bit) << 22) | (part & ~np.uint64(1 << bit)))
-    return np.concatenate(keys), np.tile(fps, SEGMENTS[-1])
+    for k in range(scheme.width):
+        for low, high in zip(scheme.segments[:-1], scheme.segments[1:], strict=True):
+            part = (fps[:, k] >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
+            for bit in range(high - low):
+                keys.append(np.uint64((64 * k + low + bit) << 22) | (part & ~np.uint64(1 << bit)))
+    return np.concatenate(keys)
 
 
 def near(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(x ^ y) <= bits
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= bits
+
 
+def linked(fps: np.ndarray, bits: int) -> np.ndarray:
+    """Which fingerprints have another one near; in blocks of bounded size."""
+    n = len(fps)
+    out, step = np.zeros(n, bool), max(1, BLOCK // n)
+    for a in range(0, n, step):
+        hits = near(fps[a : a + step, None, :], fps[None, :, :], bits)
+        hits[np.arange(len(hits)), np.arange(a, a + len(hits))] = False
+        out[a : a + step] = hits.any(axis=1)
+    return out
 
-def forest(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+
+def forest(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links that span the components among distinct fingerprints. Those reached leave the search at once."""
-    a, b, rest = [], [], fps
+    out, rest = [], fps
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
@@ -108,19 +167,17 @@ def forest(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarra
             hit = near(rest, x, bits)
             if hit.any():
                 found = rest[hit]
-                a.append(np.full(len(found), x))
-                b.append(found)
+                out.append((np.tile(x, (len(found), 1)), found))
                 queue.extend(found)
                 rest = rest[~hit]
-    return a, b
+    return out
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def bucket_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
     """Links within the buckets of a sorted partition; a bucket that goes on in the next batch waits for it."""
     held = None
-    for columns in _with_end(batches):
-        if columns is not None:
-            now = np.column_stack(columns)
+    for now in _with_end(batches, scheme):
+        if now is not None:
             held = now if held is None else np.vstack((held, now))
             same = (held[:, :2] == held[-1, :2]).all(axis=1)
             cut = len(held) - int(same.sum())
@@ -129,47 +186,45 @@ def bucket_links(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
             ready = held
         if ready is None or not len(ready):
             continue
-        fps = np.ascontiguousarray(ready[:, 2]).view(np.uint64)
+        fps = np.ascontiguousarray(ready[:, 2:]).view(np.uint64)
         new = np.ones(len(ready), bool)
         new[1:] = (ready[1:, :2] != ready[:-1, :2]).any(axis=1)
         begin = np.flatnonzero(new)
         size = np.diff(np.append(begin, len(fps)))
         run = np.repeat(np.arange(len(begin)), size)
-        a, b = [], []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         small = size[run] <= SMALL
         for shift in range(1, min(SMALL, len(fps))):
             x = np.flatnonzero(small[:-shift] & (run[:-shift] == run[shift:]))
-            x = x[near(fps[x], fps[x + shift], bits)]
-            a.append(fps[x])
-            b.append(fps[x + shift])
+            x = x[near(fps[x], fps[x + shift], scheme.bits)]
+            found.append((fps[x], fps[x + shift]))
         for i in np.flatnonzero(size > SMALL):
-            more = forest(np.unique(fps[begin[i] : begin[i] + size[i]]), bits)
-            a, b = a + more[0], b + more[1]
-        if a:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.concatenate(a))), pa.array(signed(np.concatenate(b)))], ["a", "b"]
-            )
+            own = fps[begin[i] : begin[i] + size[i]]
+            some = own[linked(own, scheme.bits)]
+            found += forest(np.unique(some, axis=0), scheme.bits) if len(some) else []
+        if found:
+            a, b = (node_of(np.concatenate(x)) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]):
+def _with_end(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[np.ndarray | None]:
     for batch in batches:
         if batch.num_rows:
-            yield [batch.column(c).to_numpy(zero_copy_only=False) for c in ("variant", "chunks", "fp")]
+            yield np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("variant", "chunks", *_columns(scheme))])
     yield None
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of distinct fingerprints `fp` at most `bits` bits apart."""
-    if bits // (len(SEGMENTS) - 1) > 1:
-        raise ValueError("with three segments one differs by at most one bit only up to five bits")
+def links(fps: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
+    """Links (a, b) of nodes whose components are those of all pairs of distinct fingerprints (fp0, ...) at most
+    `scheme.bits` bits apart."""
+    names = _columns(scheme)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, _ = variants(batch.column("fp").to_numpy().view(np.uint64))
-            found, n = np.unique(keys, return_counts=True)
+            found, n = np.unique(variants(_words(batch, scheme), scheme), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n)], ["variant", "n"])
 
-    # buckets above BUCKET: at most 64 * fingerprints / BUCKET keys, a few integers even for billions of documents
+    # buckets above BUCKET: fewer keys than bits x fingerprints / BUCKET, a few integers even for billions of documents
     heavy = {}
     if fps.count() > BUCKET:
         sizes = fps.mapInArrow(counted, "variant long, n long").groupBy("variant").agg(F.sum("n").alias("n"))
@@ -179,8 +234,9 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
         large = np.sort(np.array(list(heavy), np.int64))
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                keys, own = variants(batch.slice(at, 4096).column("fp").to_numpy().view(np.uint64))
-                keys = signed(keys)
+                some = _words(batch.slice(at, 4096), scheme)
+                keys = signed(variants(some, scheme))
+                own = np.tile(np.arange(len(some)), len(keys) // len(some))
                 chunks = np.zeros(len(keys), np.int64)
                 if len(large):
                     # a heavy bucket's fingerprint meets every chunk: one row for each pair of its chunk and another
@@ -188,43 +244,47 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
                     more_keys, more_own, more_chunks = [], [], []
                     for i in hot.tolist():
                         m = heavy[int(keys[i])]
-                        c = int(own[i] % np.uint64(m))
+                        c = int(node_of(some[own[i]][None])[0] % m)
                         for d in range(m):
                             more_keys.append(int(keys[i]))
                             more_own.append(int(own[i]))
                             more_chunks.append(min(c, d) * m + max(c, d))
                     cold = np.setdiff1d(np.arange(len(keys)), hot)
                     keys = np.concatenate((keys[cold], np.array(more_keys, np.int64)))
-                    own = np.concatenate((own[cold], np.array(more_own, np.uint64)))
+                    own = np.concatenate((own[cold], np.array(more_own, np.int64)))
                     chunks = np.concatenate((chunks[cold], np.array(more_chunks, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(chunks), pa.array(signed(own))], ["variant", "chunks", "fp"]
+                    [pa.array(keys), pa.array(chunks), *[pa.array(signed(np.ascontiguousarray(some[own, k]))) for k in range(scheme.width)]],
+                    ["variant", "chunks", *names],
                 )
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return bucket_links(batches, bits)
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return bucket_links(batches, scheme)
 
     return (
-        fps.mapInArrow(filed, "variant long, chunks long, fp long")
+        fps.select(*names)
+        .mapInArrow(filed, ", ".join(["variant long, chunks long", *[f"{c} long" for c in names]]))
         .repartition("variant", "chunks")
         .sortWithinPartitions("variant", "chunks")
-        .mapInArrow(linked, "a long, b long")
+        .mapInArrow(searched, "a long, b long")
         .distinct()
     )
 
 
-def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """doc_id, fp and component_id (the least doc_id reachable over links) of each document."""
-    marked = io.checkpointed(fingerprints(docs))
-    own = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = io.checkpointed(own)
-    roots = components(links(distinct.select("fp"), bits))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        F.col("fp").alias("own_fp"), F.coalesce("root", "fp").alias("root"), "least"
-    )
+def distinct_nodes(marked: DataFrame, scheme: Scheme) -> DataFrame:
+    return io.checkpointed(marked.select("node", *_columns(scheme)).dropDuplicates(["node"]))
+
+
+def classes(docs: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
+    """doc_id, the fingerprint's words and component_id (the least doc_id reachable over links) of each document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    marked = io.checkpointed(fingerprints(io.texts(docs, "doc_id"), {"doc_id": kind}, scheme))
+    own = marked.groupBy("node").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct_nodes(marked, scheme), scheme))
+    rooted = own.join(roots, "node", "left").select(F.col("node").alias("own_node"), F.coalesce("root", "node").alias("root"), "least")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("own_fp", "component_id")
-    return marked.join(named, F.col("fp") == F.col("own_fp")).select("doc_id", "fp", "component_id")
+    named = rooted.join(names, "root").select("own_node", "component_id")
+    return marked.join(named, F.col("node") == F.col("own_node")).select("doc_id", *_columns(scheme), "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,5 +294,94 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """One row per document."""
     return classes(docs).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """row (all columns as one, so that names can't clash) with a hash of it in two columns; nulls count as values."""
+    values = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.xxhash64(F.lit(1), *values).alias("h1"),
+        F.xxhash64(F.lit(2), *values).alias("h2"),
+    )
+
+
+def shingle_sets(column: pa.Array, shingle: int) -> pa.ListArray:
+    """Each text's distinct shingles, by 64-bit hashes."""
+    data, offsets = utf8(column)
+    data = lower_ascii(data)
+    start, end, first = words(data, offsets, SPACED)
+    n = np.diff(first)
+    count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
+    row = np.repeat(np.arange(len(n)), count)
+    at = np.repeat(first[:-1], count) + ranges_of(count)
+    hashes = Ranges(Ranges(data)(start, end))(at, np.minimum(at + shingle, first[1:][row])) if len(start) else np.empty(0, np.uint64)
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    ends = np.searchsorted(row[new], np.arange(len(column) + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(hashes[new])))
+
+
+def similar(pairs: DataFrame, texts: DataFrame, stands: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles have a similarity of SHARE or more. `texts`: h1, h2, text;
+    `stands`: node and the h1, h2 of the row that stands for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), shingle_sets(batch.column("text"), shingle)], ["node", "tokens"])
+
+    asked = io.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(stands, "node"))
+    own = texts.join(_few(asked), ["h1", "h2"]).select("node", "text").dropDuplicates(["node"])
+    sets = io.written(own.mapInArrow(run, "node long, tokens array<long>"))
+    one, other = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    both, (t, u) = F.size(F.array_intersect("x", "y")), SHARE
+    # both / (x + y - both) >= t / u; two sets without shingles are equal
+    return pairs.join(one, "a").join(other, "b").filter(both * (t + u) >= t * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def verified(candidates: DataFrame, texts: DataFrame, stands: DataFrame, shingle: int) -> DataFrame:
+    """Links among the candidates whose components are those of all candidates that are similar.
+
+    Each node is first compared with its least neighbour on either side; then only candidates remain whose ends aren't yet
+    of one class, so that a large group of near copies doesn't have all its candidates compared.
+    """
+    first = candidates.groupBy("a").agg(F.min("b").alias("b")).unionByName(candidates.groupBy("b").agg(F.max("a").alias("a")).select("a", "b"))
+    first = io.checkpointed(first.distinct())
+    found = io.checkpointed(similar(first, texts, stands, shingle))
+    named = components(found)
+    ends = [named.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
+    placed = candidates.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    rest = placed.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
+    return found.unionByName(similar(io.checkpointed(rest), texts, stands, shingle))
+
+
+def keep(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
+    """One row of each class stays: the one with the least doc_id (null: last), then by a hash of the row; of equal rows,
+    one. Rows are found again by that hash, so a repeated id or none doesn't matter."""
+    whole = keyed(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = whole.select(F.col("row.doc_id").alias("doc_id"), "h1", "h2", F.coalesce("row.text", F.lit("")).alias("text"))
+    marked = io.checkpointed(fingerprints(rows, {"doc_id": kind, "h1": "long", "h2": "long"}, scheme))
+    item = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    own = io.checkpointed(marked.groupBy("node").agg(F.min(item).alias("least")))
+    candidates = links(distinct_nodes(marked, scheme), scheme)
+    ordered = io.checkpointed(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    stands = own.select("node", F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2"))
+    roots = components(verified(ordered, rows.select("h1", "h2", "text"), stands, scheme.shingle))
+    best = own.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
+    chosen = io.checkpointed(best.select(F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2")))
+    counts = marked.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+    twice = io.checkpointed(counts.filter("n > 1").select("h1", "h2").join(chosen, ["h1", "h2"], "left_semi"))
+    lost = counts.select("h1", "h2").join(chosen, ["h1", "h2"], "left_anti")
+    gone = io.checkpointed(lost.unionByName(twice))
+    single = whole.join(_few(gone), ["h1", "h2"], "left_anti")
+    again = whole.join(_few(twice), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    return single.unionByName(again).select("row.*")

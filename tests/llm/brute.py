@@ -48,7 +48,12 @@ def suffix_cut(rows: list[tuple], length: int = 200) -> list[tuple]:
         for s in range(len(r) - length + 1):
             if seen[r[s : s + length]] > 1:
                 gone[s : s + length] = True
-        out.append((i, t if t is None else bytes(np.frombuffer(r, np.uint8)[~gone]).decode(errors="ignore")))
+        kept, at = "", 0
+        for c in t or "":
+            # a character goes with any of its bytes
+            size = len(c.encode())
+            kept, at = kept + ("" if gone[at : at + size].any() else c), at + size
+        out.append((i, t if t is None else kept))
     return out
 
 

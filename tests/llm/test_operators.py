@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quarry.llm import (
-    classifier, decontamination, html_extraction, io, near_copies, piece_encoding, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, url_filters,
+    classifier, decontamination, html_extraction, io, piece_encoding, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, url_filters,
 )
 from tests.llm import brute
 
@@ -73,16 +73,16 @@ def kept_rows(df, expected):
 
 
 def test_near_copies(spark, docs, empty):
-    assert near_copies.keep(docs).columns == docs.columns
-    kept_rows(near_copies.keep(docs), brute.near_copies(ROWS))
-    assert near_copies.keep(empty).count() == 0
+    assert simhash.keep(docs).columns == docs.columns
+    kept_rows(simhash.keep(docs), brute.near_copies(ROWS))
+    assert simhash.keep(empty).count() == 0
 
 
 def test_near_copies_beyond_four_bits(spark):
     base = prose(20, 100)
     rows = [(k, variant(base, *range(k * 7, k * 7 + 2))) for k in range(12)] + [(20, variant(base, 0, 20, 40, 60, 80)), (21, prose(21, 100))]
     assert len({x for _, _, x in brute.simhash(rows)}) > len(brute.near_copies(rows)) > 1
-    kept_rows(near_copies.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), brute.near_copies(rows))
+    kept_rows(simhash.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), brute.near_copies(rows))
 
 
 def test_near_copies_by_row(spark):
@@ -95,7 +95,7 @@ def test_near_copies_by_row(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     expected = brute.near_copies(rows)
     assert len(expected) == 6
-    kept_rows(near_copies.keep(df), expected)
+    kept_rows(simhash.keep(df), expected)
 
 
 def test_quality_rules(docs, empty):
@@ -200,7 +200,7 @@ def test_stages_on_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame(MORE, "doc_id long, text string").repartition(3)
     items = [(1, prose(34, 20)), (2, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    kept_rows(near_copies.keep(df), brute.near_copies(MORE))
+    kept_rows(simhash.keep(df), brute.near_copies(MORE))
     same(suffix_dedup.dedup(df), "doc_id text", brute.suffix_cut(MORE))
     marked = brute.decontaminate(MORE, items)
     same(decontamination.clean(df, bench), "doc_id text", [r for r, m in zip(MORE, marked, strict=True) if not m[-1]])
