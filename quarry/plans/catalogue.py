@@ -134,19 +134,22 @@ def q_title_from(spark, d):
     return read(spark, d, "documents").select("doc_id", C.title_from(F.col("text")).alias("title"))
 
 
-@query("""SELECT doc_id, ext, CASE WHEN ext = 'md' THEN 'markdown' WHEN ext = 'csv' THEN 'text' WHEN ext IN ('rs', 'py', 'makefile') THEN 'code'
-  WHEN ext = 'pdf' THEN 'pdf' END AS kind FROM (
-  SELECT doc_id, ['md', 'csv', 'rs', 'py', 'pdf', 'bin', 'makefile'][CAST(doc_id % 7 AS INTEGER) + 1] AS ext FROM documents)""")
+@query("""SELECT doc_id, kind FROM (SELECT doc_id, source || '/' || replace(coalesce(regexp_extract(text, '[A-Za-z]+', 0), 'x'), '.', '') || '.' || e AS path,
+  CASE WHEN e IN ('md', 'markdown') THEN 'markdown' WHEN e IN ('csv', 'log') THEN 'text' WHEN e IN ('rs', 'Py', 'YAML') THEN 'code' WHEN e IN ('pdf', 'docx', 'odt') THEN e END AS kind FROM (
+  SELECT *, ['md', 'csv', 'rs', 'Py', 'pdf', 'bin', 'markdown', 'log', 'YAML', 'docx', 'odt', 'exe'][CAST(length(text) % 12 AS INTEGER) + 1] AS e FROM documents))""")
 def q_file_kind(spark, d):
-    ext = F.get(F.array(*map(F.lit, ["md", "csv", "rs", "py", "pdf", "bin", "makefile"])), F.col("doc_id") % 7)
-    path = F.when(ext == "makefile", F.lit("a/Makefile")).otherwise(F.concat(F.lit("a.b/x."), F.upper(ext)))
-    return read(spark, d, "documents").select("doc_id", ext.alias("ext"), C.file_kind(path).alias("kind"))
+    ext = F.get(F.array(*map(F.lit, "md csv rs Py pdf bin markdown log YAML docx odt exe".split())), (F.length("text") % 12).cast("int"))
+    path = F.concat("source", F.lit("/"), F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("."), ext)
+    return read(spark, d, "documents").select("doc_id", C.file_kind(path).alias("kind"))
 
 
-@query("""SELECT doc_id, doc_id % 5 IN (0, 1, 2) AS secret FROM documents""")
+@query(r"""SELECT doc_id, regexp_matches(lower(source || '/' || f || '/' || w), '(^|/)(\.ssh|\.aws|\.env[^/]*|id_rsa[^/]*|[^/]*credentials[^/]*|[^/]*secret[^/]*|[^/]*\.(pem|key|p12|pfx|kdbx))(/|$)') AS secret
+FROM (SELECT doc_id, source, ['.ssh', 'docs', 'my-Secrets', '.env.local', 'keyboard', 'src'][CAST(length(text) % 6 AS INTEGER) + 1] AS f, regexp_extract(text, '[A-Za-z]+', 0) || CASE WHEN length(text) % 5 = 0 THEN '.PEM' ELSE '.md' END AS w FROM documents)""")
 def q_sensitive_path(spark, d):
-    paths = F.array(*map(F.lit, ["home/.ssh/config", "app/.env.local", "my-Secrets/a.txt", "src/main.rs", "keyboard/readme.md"]))
-    return read(spark, d, "documents").select("doc_id", C.is_secret(F.get(paths, F.col("doc_id") % 5)).alias("secret"))
+    n = F.length("text")
+    folder = F.get(F.array(*map(F.lit, [".ssh", "docs", "my-Secrets", ".env.local", "keyboard", "src"])), (n % 6).cast("int"))
+    name = F.concat(F.regexp_extract("text", "[A-Za-z]+", 0), F.when(n % 5 == 0, ".PEM").otherwise(".md"))
+    return read(spark, d, "documents").select("doc_id", C.is_secret(F.concat_ws("/", "source", folder, name)).alias("secret"))
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'a') AND contains(lower(p_name), 're')")
@@ -171,17 +174,21 @@ def q_fingerprint(spark, d):
     return read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query("""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '1,2,3,4' WHEN 1 THEN '' ELSE '7' END AS cited FROM conversations""")
+@query("""SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN length(text) % 2 = 0 THEN CAST(turn AS VARCHAR) END, CAST(length(text) AS VARCHAR), CAST(conv_id AS VARCHAR)], lambda x: x IS NOT NULL), ',') AS cited FROM conversations""")
 def q_cited_numbers(spark, d):
-    text = F.get(F.array(F.lit("voir [1], [2,3] et [x] ou [ 4 ]"), F.lit("[a] [1, b] rien"), F.lit("fin [7].")), F.col("turn") % 3)
+    """Brackets in the messages themselves: one number (or a word), then two."""
+    first = F.when(F.length("text") % 2 == 0, F.col("turn").cast("string")).otherwise(F.concat(F.col("turn").cast("string"), F.lit(", x")))
+    text = F.concat("text", F.lit(" ["), first, F.lit("] "), "text", F.lit("[ "), F.length("text"), F.lit(" ;"), "conv_id", F.lit("]"))
     numbers = F.transform(C.cited_numbers(text), lambda n: n.cast("string"))
     return _turns(spark, d).select("conv_id", "turn", F.array_join(numbers, ",").alias("cited"))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-  CASE WHEN event_id % 3 = 0 THEN 'down' WHEN event_id % 3 = 1 THEN 'late' ELSE 'plain' END AS message FROM events""")
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 2 THEN event_type || ' ' || props ELSE event_type || event_id END AS message FROM events""")
 def q_json(spark, d):
-    body = F.get(F.array(F.lit('{"error":{"message":"down"}}'), F.lit('{"error":"late"}'), F.lit(" plain ")), F.col("event_id") % 3)
+    own = F.concat("event_type", "event_id")
+    nested = F.to_json(F.struct(F.struct(own.alias("message")).alias("error")))
+    flat = F.to_json(F.struct(own.alias("error")))
+    body = F.get(F.array(nested, flat, F.concat(F.lit(" "), "event_type", F.lit(" "), "props", F.lit(" "))), (F.col("event_id") % 3).cast("int"))
     return read(spark, d, "events").select(
         "event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), C.error_message(body).alias("message")
     )
@@ -215,7 +222,23 @@ SELECT o.conv_id, title, updated_at, hit.conv_id IS NOT NULL AS in_messages FROM
 WHERE hit.conv_id IS NOT NULL OR contains(lower(title), 'the an') ORDER BY updated_at DESC, o.conv_id DESC LIMIT 200""")
 def q_message_search(spark, d):
     turns = _turns(spark, d)
-    return messages.find_conversations(turns, messages.overview(turns), "the an")
+    return messages.find_conversations(turns, messages.overview(turns), "the an").drop("excerpt")
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM conversations),
+m AS (SELECT conv_id, arg_min(text, turn) AS text FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'the'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'an'))) > 0 GROUP BY conv_id),
+s AS (SELECT conv_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM m),
+p AS (SELECT conv_id, w, greatest(1, least(list_position(list_transform(w, lambda x: regexp_matches(lower(x), '^[^\\p{L}\\p{N}]*(the|an)')), true), len(w) - 9)) AS first FROM s)
+SELECT conv_id, CASE WHEN first > 1 THEN '…' ELSE '' END || array_to_string(w[first : first + 9], ' ') || CASE WHEN first + 9 < len(w) THEN '…' ELSE '' END AS excerpt FROM p""")
+def q_search_excerpt(spark, d):
+    turns = _turns(spark, d)
+    return messages.find_conversations(turns, messages.overview(turns), "the an").filter("excerpt IS NOT NULL").select("conv_id", "excerpt")
+
+
+@query(_OVERVIEW.replace("SELECT conv_id,", "SELECT conv_id, false AS in_messages,", 1).replace("created_at, updated_at, n_messages FROM", "updated_at FROM", 1))
+def q_blank_search(spark, d):
+    turns = _turns(spark, d)
+    return messages.find_conversations(turns, messages.overview(turns), "  ").drop("excerpt")
 
 
 @query("""WITH l AS (SELECT conv_id * 1000 + turn AS time, text FROM conversations WHERE role = 'user' AND trim(text) <> '' ORDER BY time DESC LIMIT 500)
@@ -232,12 +255,13 @@ def q_preview_anchor(spark, d):
     return messages.preview_anchor(_turns(spark, d), ["the", "ent"])
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, string_split({_FOLD}, 'en') AS parts FROM conversations),
+@query(f"""WITH p AS (SELECT conv_id, turn, string_split({_FOLD}, 'en.') AS parts FROM conversations),
 e AS (SELECT conv_id, turn, parts, unnest(range(0, len(parts) - 1)) AS k FROM p)
-SELECT conv_id, turn, CAST(k AS INTEGER) AS k, CAST(length(array_to_string(parts[1 : k + 1], '')) + 2 * k AS BIGINT) AS start,
-  CAST(length(array_to_string(parts[1 : k + 1], '')) + 2 * k + 2 AS BIGINT) AS "end" FROM e""")
+SELECT conv_id, turn, CAST(k AS INTEGER) AS k, CAST(length(array_to_string(parts[1 : k + 1], '')) + 3 * k AS BIGINT) AS start,
+  CAST(length(array_to_string(parts[1 : k + 1], '')) + 3 * k + 3 AS BIGINT) AS "end" FROM e""")
 def q_find(spark, d):
-    return messages.occurrences(_turns(spark, d), "en")
+    """No text of the table folds one character to two, so folded places are its own; tests have the others."""
+    return messages.occurrences(_turns(spark, d), "Én.")
 
 
 @query("""SELECT conv_id, string_agg(CASE role WHEN 'user' THEN '## Vous' WHEN 'assistant' THEN '## Assistant' ELSE '## Système' END
@@ -296,10 +320,12 @@ def q_truncate(spark, d):
     return messages.truncate(turns, cuts)[0]
 
 
-@query("""SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'a,c' WHEN 1 THEN NULL ELSE 'a' END AS collections FROM (SELECT DISTINCT conv_id FROM conversations)""")
+@query("""WITH l AS (SELECT conv_id, list_distinct(list(role ORDER BY turn)) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, nullif(array_to_string(list_sort(list_filter(n, lambda x: x <> 'user')), ','), '') AS collections FROM l""")
 def q_delete_collection(spark, d):
-    lists = F.get(F.array(F.lit("a, b,c"), F.lit("b"), F.lit("a,a")), F.col("conv_id") % 3)
-    return messages.forget_collection(_turns(spark, d).select("conv_id").distinct().withColumn("collections", lists), "b")
+    """The roles of each conversation stand for the collections that it searches."""
+    lists = _turns(spark, d).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("role")), " , ").alias("collections"))
+    return messages.forget_collection(lists, "user")
 
 
 # --- index maintenance -------------------------------------------------------------------------------------------
@@ -482,7 +508,7 @@ def q_search_tool(spark, d):
     return retrieval.tool_output(asked.select("question_id").join(numbered, "question_id", "left"))
 
 
-@query(f"""WITH {_KEYWORD} SELECT item_id AS question_id, place AS number, CASE WHEN place % 3 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(score AS DOUBLE) END AS score, item_id % 2 = 0 AS valid
+@query(f"""WITH {_KEYWORD} SELECT item_id AS question_id, CAST(place AS INTEGER) AS number, CASE WHEN place % 3 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(score AS DOUBLE) END AS score, item_id % 2 = 0 AS valid
 FROM kwr WHERE place < 10""")
 def q_rerank_scores(spark, d):
     found = retrieval.keyword(_corpus(spark, d), _questions(spark, d), 10).select("question_id", F.col("place").alias("number"), "score")
@@ -572,7 +598,7 @@ def q_until_error(spark, d):
     )
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, role AS data FROM conversations""")
+@query("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role AS data FROM conversations""")
 def q_sse_frames(spark, d):
     body = F.encode(F.concat(F.lit(": c\r\ndata: "), "role", F.lit("\r\n\r\n")), "UTF-8")
     return streams.sse(

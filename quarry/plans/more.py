@@ -168,7 +168,7 @@ def q_compactable(spark, d):
 
 # --- versions ----------------------------------------------------------------------------------------------------
 
-_TAILS = """tails AS (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 1 END AS after_seq, 2 AS number, turn, role, 'old ' || text AS text FROM conversations WHERE conv_id % 3 <> 2 AND turn BETWEEN 2 AND 3)"""
+_TAILS = """tails AS (SELECT conv_id, CAST(CASE WHEN conv_id % 2 = 0 THEN 1 END AS BIGINT) AS after_seq, CAST(2 AS BIGINT) AS number, turn, role, 'old ' || text AS text FROM conversations WHERE conv_id % 3 <> 2 AND turn BETWEEN 2 AND 3)"""
 
 
 def _tails(spark, d):
@@ -201,7 +201,7 @@ def q_branch_points(spark, d):
     return versions.branch_points(_turns(spark, d), _tails(spark, d))
 
 
-@query(f"""WITH {_TAILS} SELECT * FROM tails UNION ALL SELECT conv_id, 1, CASE WHEN conv_id % 3 <> 2 AND conv_id % 2 = 0 AND EXISTS (SELECT 1 FROM tails t WHERE t.conv_id = c.conv_id) THEN 1 ELSE 1 END, turn, role, text FROM conversations c WHERE turn = 3 AND conv_id % 2 = 0""")
+@query(f"""WITH {_TAILS} SELECT * FROM tails UNION ALL SELECT conv_id, 1, 1, turn, role, text FROM conversations WHERE turn = 3 AND conv_id % 2 = 0""")
 def q_keep_reply(spark, d):
     pairs = _turns(spark, d).filter("conv_id % 2 = 0").select("conv_id").distinct().select(
         "conv_id", F.lit(1).cast("long").alias("question"), F.lit(2).cast("long").alias("chosen"), F.lit(3).cast("long").alias("other")
