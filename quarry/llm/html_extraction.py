@@ -1,8 +1,8 @@
 """Operator 3, main-text extraction by a tree-structured graphical model.
 
 Each page's block elements (and inline elements that carry a class, id or role) are the nodes of a tree. A node's state
-says whether its own text belongs to the article. Node potentials are log-linear in features of tag, attribute words,
-text length and link share; a parent-child potential connects neighbours. Sum-product messages pass upward from the
+says whether its own text belongs to the article. Node potentials are log-linear in features of tag, the parent's tag,
+attribute words, text length and link share; a parent-child potential connects neighbours. Sum-product messages pass upward from the
 leaves and downward from the root, which gives the exact marginal of each node; text of nodes with a marginal of at
 least one half is kept. The weights are fitted on labelled pages (`labelled_pages`, built from templates) by gradient
 ascent on the exact likelihood, whose gradient needs the same marginals.
@@ -162,7 +162,7 @@ class Page:
             out.append([
                 "any", f"tag {self.tag[i]}", *{f"mark {x}" for x in self.marks[i]},
                 f"own {min(4, len(str(own[i])) if own[i] else 0)}", f"links {0 if share < 0.05 else 1 if share < 0.5 else 2}",
-                f"stops {min(2, stops[i])}",
+                f"stops {min(2, stops[i])}", f"in {self.tag[self.parent[i]] if i else ''} {self.tag[i]}",
             ])
         return out
 

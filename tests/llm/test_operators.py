@@ -226,3 +226,265 @@ def test_pipeline_on_repeated_rows_and_null_ids(spark, tmp_path):
         cut = [r for r, m in zip(cut, brute.decontaminate(cut, items), strict=True) if not m[-1]]
         fits.append(sorted(brute.pieces(cut, piece_encoding.model_path()), key=repr))
     assert sorted(((r["doc_id"], r["n_pieces"], r["pieces_sha256"]) for r in out), key=repr) in fits
+
+
+# --- parameters set so that rare paths are taken, ids of other types, names that clash, hard inputs
+
+
+def named(spark, rows):
+    """The rows with text ids, and columns whose names the operators use themselves."""
+    names = "row cut kept h1 h2 node k1 k2 key fp0 kept_id cut_1 cut_2 new_text bad_key least chosen_id part".split()
+    data = [(None if i is None else f"{i:03d}", t, len(t or ""), *["x"] * len(names)) for i, t in rows]
+    return spark.createDataFrame(data, "doc_id string, text string, n_chars int, " + ", ".join(f"{c} string" for c in names)).repartition(3)
+
+
+def texted(rows):
+    return [(None if i is None else f"{i:03d}", *rest) for i, *rest in rows]
+
+
+def test_text_ids_and_clashing_names(spark):
+    df = named(spark, MORE)
+    rows = texted(MORE)
+    items = [(1, prose(34, 20))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    same(suffix_dedup.dedup(df), "doc_id text n_chars", [(i, t, len(t or "")) for i, t in brute.suffix_cut(rows)])
+    kept_rows(simhash.keep(df), brute.near_copies(rows))
+    marked = brute.decontaminate(rows, items)
+    same(decontamination.clean(df, bench), "doc_id text", [r for r, m in zip(rows, marked, strict=True) if not m[-1]])
+    for out in (suffix_dedup.dedup(df), simhash.keep(df), decontamination.clean(df, bench), quality_rules.keep(df)):
+        assert out.columns == df.columns and out.schema["cut"] == df.schema["cut"]
+    same(quality_rules.quality(df), "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed", brute.quality(rows))
+    same(substring_dedup.dedup(df), "doc_id n_words n_removed kept_sha256", brute.substring_dedup(rows))
+    labels = spark.createDataFrame([(f"{k:03d}", k % 2) for k in range(1, 15)], "doc_id string, quality int")
+    assert classifier.classify(df, labels).count() == len(rows)
+    assert sharding.shard(df).count() == len(rows)
+
+
+def test_suffix_dedup_by_single_strings(docs, monkeypatch):
+    """Groups above CROWD have their strings counted one by one, wherever they lie."""
+    rows = [*ROWS, *[(50 + k, prose(60 + k, 20) + prose(2, 60) + prose(80 + k, 20)) for k in range(6)]]
+    df = docs.sparkSession.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for crowd in (suffix_dedup.CROWD, 1):
+        monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+        same(suffix_dedup.report(df), "doc_id n_bytes n_removed n_spans kept_sha256", brute.suffix_dedup(rows))
+
+
+def test_substring_dedup_with_a_line_in_all_documents(spark):
+    line = prose(70, 55)
+    rows = [(k, f"{prose(100 + k, 30)} {line} {prose(200 + k, 30)}" + (" " + prose(100 + k // 2, 60)) * (k % 2)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    same(substring_dedup.dedup(df), "doc_id n_words n_removed kept_sha256", brute.substring_dedup(rows))
+
+
+def test_substring_dedup_in_small_pieces(docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "PIECE", 3)
+    same(substring_dedup.dedup(docs), "doc_id n_words n_removed kept_sha256", brute.substring_dedup(ROWS))
+
+
+def test_simhash_in_chunks(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 1)
+    same(simhash.report(docs), "doc_id fingerprint component_id", brute.simhash(ROWS))
+
+
+def test_simhash_links_all_near_fingerprints(spark):
+    """Many fingerprints in few buckets: classes by links equal those by all pairs."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 6, dtype=np.uint64)
+    fps = np.unique(np.concatenate([b ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 40, (60, 3), dtype=np.uint64), axis=1) for b in base]))
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp0 long").repartition(3)
+    from quarry.llm.components import components
+
+    got = {r["node"]: r["root"] for r in components(simhash.links(df)).collect()}
+    root = {int(x): int(x) for x in fps.view(np.int64)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, x in enumerate(fps):
+        for y in fps[k + 1 :][np.bitwise_count(fps[k + 1 :] ^ x) <= 4]:
+            root[find(int(y.view(np.int64)))] = find(int(x.view(np.int64)))
+    members = {}
+    for x in root:
+        members.setdefault(find(x), set()).add(x)
+    mine = {}
+    for x in root:
+        mine.setdefault(got.get(x, x), set()).add(x)
+    assert sorted(map(sorted, members.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_decontamination_without_a_broadcast(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+    items = [(1, prose(2, 30)), (2, "one"), (3, None), (4, prose(9, 30)), (5, "a b A"), (6, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    same(decontamination.report(docs, bench), "doc_id n_words n_hit n_items items_sha256 contaminated", brute.decontaminate(ROWS, items))
+
+
+def test_hypergeometric_by_inversion(monkeypatch):
+    """The draw for large populations has the law of numpy's, and of a huge population its moments."""
+    import numpy as np
+
+    r = np.random.default_rng(11)
+    monkeypatch.setattr(sharding, "SAMPLER_LIMIT", 0)
+    for good, bad, draws in ((5, 7, 6), (40, 3, 41), (1, 1, 1), (300, 900, 100)):
+        mine = [sharding.hypergeometric(r, good, bad, draws) for _ in range(4000)]
+        theirs = r.hypergeometric(good, bad, draws, 4000)
+        width = np.arange(min(good, draws) + 2)
+        gap = np.abs(np.searchsorted(np.sort(mine), width) - np.searchsorted(np.sort(theirs), width)).max() / 4000
+        assert gap < 0.05, (good, bad, draws, gap)
+    good, bad, draws = 10**11, 15 * 10**11, 10**7
+    some = np.array([sharding.hypergeometric(r, good, bad, draws) for _ in range(400)], float)
+    mean, var = draws / 16, draws * (1 / 16) * (15 / 16)
+    assert abs(some.mean() - mean) < 5 * (var / 400) ** 0.5 and 0.75 < some.var() / var < 1.3
+
+
+def test_sharding_of_equal_rows_and_null_ids(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(sharding, "COPIES", 50)
+    monkeypatch.setattr(sharding, "PARTITION_ROWS", 10)
+    rows = [(None, "same")] * 900 + [(None, f"t{k}") for k in range(400)] + [(k, "x") for k in range(300)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert sum(sizes) == 1600 and max(sizes) - min(sizes) <= 1
+    slots = got.groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.max("slot").alias("most")).collect()
+    assert all(r["n"] == r["most"] + 1 for r in slots)
+    # each shard takes its share of the equal rows: 56 in the mean, deviation below 7
+    copies = [r["count"] for r in got.filter("size = 5 AND doc_id IS NULL").groupBy("shard").count().collect()]
+    assert len(copies) == 16 and 20 < min(copies) and max(copies) < 95
+
+
+def test_url_rules_of_all_kinds(spark, tmp_path):
+    """Some hundred rules from a file, upper-case and without a token, against every rule's expression tried on every URL."""
+    import re
+
+    r = random.Random(50)
+    words_ = ["Docs", "casino", "a", "x1", "news", "ads", "été", "B"]
+    hosts = [".".join(r.choices(["shop", "Mail", "www", "cdn", "b2"], k=r.randint(1, 2))) + r.choice([".com", ".Net", ".org"]) for _ in range(40)]
+    lines = [f"{r.choice(['allow', 'block'])} {h}/{'/'.join(r.choices(words_, k=r.randint(0, 2)))}" for h in hosts for _ in range(5)]
+    lines = list({x.split()[1]: x for x in lines}.values()) + ["# note", "", "pattern Casino (?i)casino[.-]", "pattern - /é+t", "block é/"]
+    (tmp_path / "rules.txt").write_text("\n".join(lines))
+    rules, patterns = url_filters.read_rules(spark, str(tmp_path / "rules.txt"))
+    assert len(rules) > 100 and len(patterns) == 2
+    urls = [f"http://{r.choice(['', 'a.', 'casino-'])}{r.choice(hosts)}/{'/'.join(r.choices(words_, k=r.randint(0, 3)))}{r.choice(['', '?q=1', '/'])}" for _ in range(300)] + ["http://é/x", "http://q.org/éét"]
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    expected = []
+    for k, u in enumerate(urls):
+        host, path, _, _ = brute.verdict(u)
+        fitting = []
+        for rule, v in rules:
+            own, _, start = rule.partition("/")
+            own = own.translate(fold)
+            if (host == own or host.endswith("." + own)) and path.startswith("/" + start):
+                fitting.append((len(rule), rule, v))
+        best = max(fitting) if fitting else None
+        hit = any(re.search(p, host + path) for p, _ in patterns)
+        expected.append((k, best[1] if best else None, best[2] if best else "block" if hit else "allow"))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    same(url_filters.judge(pages, rules, patterns), "page_id rule verdict", expected)
+
+
+def test_marginals_against_all_states():
+    """Sum-product on small trees equals the sum over all labellings."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for _ in range(20):
+        n = int(r.integers(1, 8))
+        parent = [-1, *[int(r.integers(0, k)) for k in range(1, n)]]
+        unary, pair = r.normal(0, 2, n), r.normal(0, 1, (2, 2))
+        total, ones = 0.0, np.zeros(n)
+        for state in itertools.product((0, 1), repeat=n):
+            weight = np.exp(sum(unary[i] * s for i, s in enumerate(state)) + sum(pair[state[parent[i]], state[i]] for i in range(1, n)))
+            total, ones = total + weight, ones + weight * np.array(state)
+        assert np.allclose(html_extraction.marginals(parent, unary, pair), ones / total)
+
+
+def test_html_extraction_on_pages_not_trained_on():
+    """Share of the characters of other templated pages that get the right label."""
+    import numpy as np
+
+    weight, pair = html_extraction.fit()
+    right = whole = 0
+    for page, label in html_extraction.labelled_pages(seed=99):
+        unary = np.array([sum(weight.get(f, 0.0) for f in row) for row in page.features()])
+        found = html_extraction.marginals(page.parent, unary, pair) >= 0.5
+        for piece in filter(None, page.pieces):
+            size = len(piece[1].strip())
+            right, whole = right + size * (found[piece[0]] == label[piece[0]]), whole + size
+    assert right >= 0.97 * whole, right / whole
+
+
+def test_html_extraction_of_hard_pages(spark):
+    import time
+
+    deep = "<div>" * 20_000 + "<p>" + "Text of it. " * 30 + "</p>"
+    rows = [(1, "u", deep, "c"), (2, "u", "<p>a<p>b</div></p></span>" * 2000, "c"), (2, "u", "<table><tr><td>" + "<div>" * 3000 + "<tr>" * 3000, "c"), (3, None, None, "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    began = time.time()
+    got = html_extraction.extract(pages).collect()
+    assert len(got) == 4 and time.time() - began < 60
+    assert html_extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_classifier_scores_by_hand(spark):
+    """Scores are the softmax of the mean of the features' weights; training reads whole texts."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    fitted = r.normal(0, 1, classifier.BUCKETS + 1)
+    rows = [(1, "a b"), (2, None), (3, prose(5, 30)), (3, prose(5, 30)), (None, "x x x")]
+    df = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, score string")
+    expected = []
+    for i, t in rows:
+        buckets, counts = classifier.bag(t)
+        mean = float((fitted[buckets] * counts).sum() / max(1, counts.sum()))
+        expected.append((i, round(1 / (1 + np.exp(-(mean + fitted[-1]))), 9)))
+    got = [(x["doc_id"], round(x["score"], 9)) for x in classifier.score(df, fitted).collect()]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert classifier.score(df.limit(0), fitted).count() == 0
+    labels = spark.createDataFrame([(1, 1), (3, 0), (3, 0)], "doc_id long, quality int")
+    bags, values = classifier.sample(df, labels)
+    assert len(bags) == len(values) <= 2
+    long = "good " * 30_000 + "bad"
+    assert classifier.bag(long)[1].sum() > 150_000
+    none = classifier.classify(df, labels.limit(0)).collect()
+    assert {x["score"] for x in none} == {0.5}
+
+
+def test_quality_verdict_by_all_spans():
+    """Covered share and longest repeat against every pair of places compared."""
+    rows = [(k, t) for k, (_, t) in enumerate([*ROWS, (0, prose(3, 20) + " " + prose(3, 20) + " " + prose(8, 100)), (0, (prose(9, 70) + " ") * 2 + prose(10, 900))]) if len(t or "") < 9000]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] or "" for r in rows])], ["doc_id", "text"])
+    for got in quality_rules.measure(iter([batch]), 6, 0.3, 60):
+        for x in got.to_pylist():
+            w = brute.words(dict(rows)[x["doc_id"]])
+            top, each = brute.longest_repeat(w)
+            gone = [False] * len(w)
+            for at, size in enumerate(each):
+                if size >= 6:
+                    gone[at : at + size] = [True] * size
+            share = sum(gone) / max(1, len(w))
+            assert abs(x["repeated_share"] - share) < 1e-12 and x["longest_repeat"] == (top if top >= 6 else 0)
+            assert x["kept"] == (not x["base_failed"] and share <= 0.3 and x["longest_repeat"] <= 60)
+
+
+def test_piece_encoding_recovers_from_other_blocks(spark, monkeypatch):
+    """Units that a block doesn't find are merged where they stand: the same ids."""
+    monkeypatch.setattr(piece_encoding, "LONG", 1)
+    rows = [(k, prose(k, 40)) for k in range(5)]
+    got = piece_encoding.encode(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got, "doc_id n_pieces pieces_sha256", brute.pieces(rows, piece_encoding.model_path()))
+
+
+def test_piece_encoding_of_a_table(spark):
+    df = io.table(spark, DATA, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    out = piece_encoding.encode(df)
+    same(out, "doc_id n_pieces pieces_sha256", brute.pieces(rows, piece_encoding.model_path()))
+    same(out, "doc_id decoded", rows)
