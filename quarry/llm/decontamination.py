@@ -8,8 +8,8 @@ is some window's prefix; an equality join brings both together, the shingle's pl
 that the window would take (bounded by the document's length), and the words are compared exactly.
 
 Shingles are recognised by 64-bit hashes; every hit is verified by its words, so collisions cost time, not results.
-The set of prefix hashes goes to every task only below `BROADCAST_SHINGLES`; beyond, documents emit every shingle and
-the join alone filters. Equal texts are judged once.
+The hashes that documents look for go to every task in blocks of about `BROADCAST_SHINGLES`, one pass over the
+documents for each block; one block holds the windows of tens of thousands of items. Equal texts are judged once.
 
 Defined results: a null or empty text has no words, as has a null item, which has no window; repeated items and rows
 count as given; a null item_id can contaminate but isn't listed; other columns are ignored; without benchmark rows
@@ -19,6 +19,7 @@ nothing is hit.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from quarry.llm import io
 from quarry.llm.text import ALNUM, Ranges, lower_ascii, signed, steps, utf8, words
 
 WINDOW, SHINGLE = 10, 3
-#: Prefix hashes up to this many (8 bytes each) are sent to the tasks to filter early.
+#: Hashes of a block (8 bytes each).
 BROADCAST_SHINGLES = 1_000_000
 
 
@@ -78,9 +79,7 @@ def _hashes(batch: pa.RecordBatch, widths: list[int]) -> tuple:
     return data, start, end, first, out
 
 
-def _among(values: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
-    if wanted is None:
-        return np.arange(len(values))
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(wanted):
         return np.empty(0, np.int64)
     # a table of the hashes' low 20 bits first: nearly all shingles stop there
@@ -91,7 +90,15 @@ def _among(values: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
     return at[wanted[place] == values[at]]
 
 
-def frequencies(texts: DataFrame, wanted: np.ndarray | None, widths: list[int]) -> DataFrame:
+def blocks_of(shingles: DataFrame) -> list[np.ndarray]:
+    """The distinct hashes, sorted, in blocks."""
+    distinct = io.checkpointed(shingles.select("shingle").distinct())
+    n = max(1, -(-distinct.count() // BROADCAST_SHINGLES))
+    block = F.pmod(F.xxhash64("shingle"), F.lit(n))
+    return [np.sort(np.array([r[0] for r in distinct.filter(block == i).collect()], np.int64)) for i in range(n)]
+
+
+def frequencies(texts: DataFrame, wanted: np.ndarray, widths: list[int]) -> DataFrame:
     """How often each wanted shingle occurs over all texts; counted in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +110,7 @@ def frequencies(texts: DataFrame, wanted: np.ndarray | None, widths: list[int])
     return texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def occurrences(texts: DataFrame, prefixes: np.ndarray | None, widths: list[int], reach: int) -> DataFrame:
+def occurrences(texts: DataFrame, prefixes: np.ndarray, widths: list[int], reach: int) -> DataFrame:
     """One row per text: key, n_words, and its prefix shingles with the words around (`reach` on either side)."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,13 +139,10 @@ _FOUND = pa.list_(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """key (md5 of the text), spans (array of start and end word) and items (ids) of every text that contains a window."""
     windows = shingle_windows(benchmark, window)
-    shingles = windows.select(F.explode("shingles").alias("shingle")).distinct()
-    some = [r["shingle"] for r in shingles.limit(BROADCAST_SHINGLES + 1).collect()]
-    fits = len(some) <= BROADCAST_SHINGLES
-    wanted = np.sort(np.array(some, np.int64)) if fits else None
     widths = [int(r["w"]) for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("w")).distinct().collect()]
     texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rarity = frequencies(texts, wanted, widths)
+    shingles = windows.select(F.explode("shingles").alias("shingle"))
+    rarity = reduce(DataFrame.unionAll, [frequencies(texts, block, widths) for block in blocks_of(shingles)])
     listed = windows.select("item_id", "words", "size", F.posexplode("shingles").alias("place", "shingle"))
     rank = Window.partitionBy("words").orderBy(F.coalesce("n", F.lit(0)), "shingle", "place")
     prefix = (
@@ -151,8 +155,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         .select("shingle", "words", "size", "place", "item_ids")
     )
     prefix = io.checkpointed(prefix)
-    keys = np.sort(np.array([r[0] for r in prefix.select("shingle").distinct().collect()], np.int64)) if fits else None
-    found = occurrences(texts, keys, widths, window)
+    # written, as both the hits and the numbers of words are read from it
+    found = io.written(reduce(DataFrame.unionAll, [occurrences(texts, block, widths, window) for block in blocks_of(prefix)]))
     around = F.split("around", " ")
     hits = (
         found.filter(F.size("found") > 0)

@@ -143,7 +143,11 @@ def variants(fps: np.ndarray, scheme: Scheme) -> np.ndarray:
 
 
 def near(x: np.ndarray, y: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= bits
+    counts = np.bitwise_count(x ^ y)
+    total = counts[..., 0]
+    for k in range(1, counts.shape[-1]):
+        total = total + counts[..., k]
+    return total <= bits
 
 
 def linked(fps: np.ndarray, bits: int) -> np.ndarray:

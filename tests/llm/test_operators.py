@@ -316,8 +316,8 @@ def test_simhash_links_all_near_fingerprints(spark):
     assert sorted(map(sorted, members.values())) == sorted(map(sorted, mine.values()))
 
 
-def test_decontamination_without_a_broadcast(spark, docs, monkeypatch):
-    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 0)
+def test_decontamination_in_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", 15)
     items = [(1, prose(2, 30)), (2, "one"), (3, None), (4, prose(9, 30)), (5, "a b A"), (6, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     same(decontamination.report(docs, bench), "doc_id n_words n_hit n_items items_sha256 contaminated", brute.decontaminate(ROWS, items))
