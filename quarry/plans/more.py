@@ -465,7 +465,7 @@ def q_chat_messages(spark, d):
 
 @query()
 def q_html_text(spark, d):
-    return read(spark, d, "pages").select("page_id", markup.html_to_text("html").alias("text"))
+    return read(spark, d, "pages").select("page_id", markup.html_to_text(F.col("html")).alias("text"))
 
 
 @query("""SELECT doc_id, doc_id || chr(10) || lang || chr(10) AS code FROM documents""")
