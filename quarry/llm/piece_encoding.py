@@ -60,7 +60,7 @@ PACKED = 6
 #: Characters of a unit in the lattice at most.
 LONG = 64
 #: Pairs of unit and block that a task packs at once.
-DEALT = 500_000
+DEALT = 200_000
 #: A piece table up to this many rows is broadcast.
 BROADCAST_PIECES = 1_000_000
 #: Of a single character: no merge precedes it.
@@ -358,12 +358,17 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
         find = re.compile(pieces.units).findall
 
         def units(block: int, seen: set[str]) -> Iterator[pa.RecordBatch]:
-            found = set(find(BLANK + BLANK.join(seen)))
+            found: set[str] = set()
+            words = list(seen)
+            for at in range(0, len(words), 20_000):
+                found.update(find(BLANK + BLANK.join(words[at : at + 20_000])))
             # a single character has no lattice, and long runs are merged where they stand
             parts = [x for u in found for x in (pieces.parts(u) if len(u) > LONG else (u,)) if 1 < len(x) <= LONG]
             for at in range(0, len(parts), 50_000):
                 some = parts[at : at + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(np.full(len(some), block))], ["unit", "block"])
+            # what the block's texts took goes back to the system, for the tasks beside this one
+            pa.default_memory_pool().release_unused()
 
         seen: set[str] = set()
         now = None
