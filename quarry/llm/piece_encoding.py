@@ -40,6 +40,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,8 @@ MOST_PARTITIONS = 20_000
 PACKED = 6
 #: Characters of a unit in the lattice at most.
 LONG = 64
+#: Words that a task holds until it looks for their units.
+SEEN = 100_000
 #: Pairs of unit and block that a task packs at once.
 DEALT = 200_000
 #: A piece table up to this many rows is broadcast.
@@ -357,30 +360,37 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
         pieces = shared()
         find = re.compile(pieces.units).findall
 
-        def units(block: int, seen: set[str]) -> Iterator[pa.RecordBatch]:
-            found: set[str] = set()
+        def gather(found: set[str], seen: set[str]) -> None:
+            """Adds the units of the words seen, which are then forgotten."""
             words = list(seen)
+            seen.clear()
             for at in range(0, len(words), 20_000):
                 found.update(find(BLANK + BLANK.join(words[at : at + 20_000])))
+
+        def rows_of(block: int, found: set[str]) -> Iterator[pa.RecordBatch]:
             # a single character has no lattice, and long runs are merged where they stand
-            parts = [x for u in found for x in (pieces.parts(u) if len(u) > LONG else (u,)) if 1 < len(x) <= LONG]
-            for at in range(0, len(parts), 50_000):
-                some = parts[at : at + 50_000]
+            parts = (x for u in found for x in (pieces.parts(u) if len(u) > LONG else (u,)) if 1 < len(x) <= LONG)
+            while some := list(islice(parts, 20_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(np.full(len(some), block))], ["unit", "block"])
             # what the block's texts took goes back to the system, for the tasks beside this one
             pa.default_memory_pool().release_unused()
 
         seen: set[str] = set()
+        found: set[str] = set()
         now = None
         for block, batch in _blocks(batches):
             if now is not None and block != now:
-                yield from units(now, seen)
-                seen = set()
+                gather(found, seen)
+                yield from rows_of(now, found)
+                found = set()
             now = block
             for text in batch.column("text").to_pylist():
                 seen.update(text.split(" "))
+            if len(seen) > SEEN:
+                gather(found, seen)
         if now is not None:
-            yield from units(now, seen)
+            gather(found, seen)
+            yield from rows_of(now, found)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch in _blocks(batches):
