@@ -3,8 +3,10 @@
 from quarry.llm import (
     classifier,
     decontamination,
+    fill_in_middle,
     html_extraction,
     piece_encoding,
+    prefix_trie,
     quality_rules,
     sharding,
     simhash,
@@ -24,9 +26,13 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
 ORACLES = {
     "op4_url_filters": url_filters.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
