@@ -171,7 +171,7 @@ def finished(local: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
 
-        def done() -> pa.RecordBatch:
+        def done() -> list[tuple]:
             ids = [np.array([t["id"] for t in r["turns"]], np.int64) for r in held]
             chars = [np.array([t["chars"] for t in r["turns"]], np.int64) for r in held]
             least, n = (np.array([r[c] for r in held], np.int64) for c in ("least", "n"))
@@ -225,11 +225,9 @@ def split(opened: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def trie(conversations: DataFrame) -> DataFrame:
     """One row for each node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
-    spark = conversations.sparkSession
-    opened = items(conversations).select("least", "n", "ends", "turns")
-    opened = io.written(opened)
-    root = opened.agg(F.min("least")).first()[0]
-    opened = opened.select("*", F.lit(root).cast("long").alias("bucket"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.array().cast("array<string>").alias("path"))
+    root = conversations.agg(F.min(F.col("conv_id").cast("long"))).first()[0]
+    above = [F.lit(root).cast("long").alias("bucket"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.array().cast("array<string>").alias("path")]
+    opened = io.written(items(conversations).select("least", "n", "ends", "turns", *above))
     locals_, chains, children, ends = [], [], [], []
     while True:
         local, large, going = split(opened)

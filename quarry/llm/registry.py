@@ -5,6 +5,7 @@ from quarry.llm import (
     decontamination,
     fill_in_middle,
     html_extraction,
+    jaccard_join,
     piece_encoding,
     prefix_trie,
     quality_rules,
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_jaccard_join": jaccard_join.op12_jaccard_join,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
@@ -34,5 +36,6 @@ ORACLES = {
     "op4_url_filters": url_filters.ORACLE_SQL,
     "op10_decontamination": decontamination.ORACLE_SQL,
     "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op12_jaccard_join": jaccard_join.ORACLE_SQL,
     "op13_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }

@@ -214,3 +214,78 @@ def verdict(url: str | None) -> tuple[str, str, str | None, str]:
         rule = max(fitting, key=len)
         return host, path, rule, rules[rule]
     return host, path, None, "block" if re.search(r"(^|[.-])(casino|pills|spam|ads)[.-]", host) else "allow"
+
+
+def jaccard(rows: list[tuple], size: int = 3, share: tuple[int, int] = (9, 10)) -> list[tuple]:
+    """doc_id, n_shingles, component_id"""
+    sets = []
+    for _, t in rows:
+        w = words((t or "").translate(LOWER))
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets[:a]):
+            if x and y and share[1] * len(x & y) >= share[0] * len(x | y):
+                root[find(a)] = find(b)
+    least: dict[int, object] = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return [(i, len(s), least.get(find(k)) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+def trie(rows: list[tuple]) -> list[tuple]:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 from (conv_id, turn, role, text)"""
+    import zlib
+
+    own = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            own[c].append((turn is not None, turn or 0, hashlib.md5(f"{len(role)}:{role}{text}".encode()).hexdigest(), role, text))
+    own = {c: [x[3:] for x in sorted(t)] for c, t in own.items()}
+    whole = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - (c % 100 if c >= 0 else -(-c % 100))
+        whole[c] = tuple(own.get(base, [])[:h] + turns[h:])
+    members = defaultdict(list)
+    for c, turns in sorted(whole.items()):
+        for d in range(len(turns) + 1):
+            members[turns[:d]].append(c)
+    children = Counter(p[:-1] for p in members if p)
+    leaves, saved = Counter(), Counter()
+    for p, who in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(who) - 1) * len(p[-1][1]) if p else 0
+    out = []
+    for p, who in members.items():
+        ends = ",".join(str(c) for c in who if len(whole[c]) == len(p))
+        out.append((who[0], len(p), members[p[:-1]][0] if p else None, len(who), children[p], leaves[p], saved[p], sha256(ends.encode())))
+    return out
+
+
+def fill_in_middle(rows: list[tuple], seed: int = 7, rate: int = 100, spm: int = 50) -> list[tuple]:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256"""
+    out = []
+    for i, t in rows:
+        t = t or ""
+        units = re.findall(r"[^\n]*\n|[^\n]+", t)
+        drawn = sha256(f"{seed}:{'' if i is None else i}".encode())
+        h1, h2, h3, h4 = (int(drawn[k : k + 8], 16) for k in (0, 8, 16, 24))
+        a, b = (len("".join(units[:k])) for k in sorted((h1 % (len(units) + 1), h2 % (len(units) + 1))))
+        p, m, s = t[:a], t[a:b], t[b:]
+        if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h3 % 100 >= rate:
+            out.append((i, len(units), "plain", None, None, sha256(t.encode()), sha256(t.encode())))
+        elif h4 % 100 < spm:
+            out.append((i, len(units), "spm", len(p), len(m), sha256(f"<S>{s}<P>{p}<M>{m}".encode()), sha256(t.encode())))
+        else:
+            out.append((i, len(units), "psm", len(p), len(m), sha256(f"<P>{p}<S>{s}<M>{m}".encode()), sha256(t.encode())))
+    return out
