@@ -35,8 +35,9 @@ def write_skipped(documents: DataFrame, chunks: DataFrame, skipped: DataFrame) -
 
 
 def touch_documents(documents: DataFrame, touched: DataFrame) -> DataFrame:
-    """New times of documents whose content is the same. `touched`: collection, path, new_mtime."""
-    return documents.join(touched, KEY, "left").withColumn("mtime", F.coalesce("new_mtime", "mtime")).select(*documents.columns)
+    """New times of documents whose content is the same. `touched`: collection, path, new_mtime; the latest counts."""
+    latest = touched.groupBy(*KEY).agg(F.max("new_mtime").alias("new_mtime"))
+    return documents.join(latest, KEY, "left").withColumn("mtime", F.coalesce("new_mtime", "mtime")).select(*documents.columns)
 
 
 def remove_documents(documents: DataFrame, chunks: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,8 +47,10 @@ def remove_documents(documents: DataFrame, chunks: DataFrame, removed: DataFrame
 
 def open_collections(collections: DataFrame, documents: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Collections and documents once the wanted ones exist: a new one is empty, one with another embedding model loses its
-    documents and its number of dimensions. `collections`: name, root, embedding_model, dims; `wanted`: name, root, model."""
-    joined = collections.join(wanted.select("name", F.col("root").alias("new_root"), "model"), "name", "full_outer")
+    documents and its number of dimensions. `collections`: name, root, embedding_model, dims; `wanted`: name, root, model; of
+    several rows of a name the greatest root, then model, counts."""
+    single = wanted.groupBy("name").agg(F.max(F.struct(F.col("root").alias("new_root"), "model")).alias("x")).select("name", "x.*")
+    joined = collections.join(single, "name", "full_outer")
     reset = F.coalesce(F.col("embedding_model") != F.col("model"), F.lit(False))
     opened = joined.select(
         "name",
@@ -61,8 +64,8 @@ def open_collections(collections: DataFrame, documents: DataFrame, wanted: DataF
 
 
 def set_dims(collections: DataFrame, measured: DataFrame) -> DataFrame:
-    """The number of dimensions of collections that have none yet. `measured`: name, found."""
-    joined = collections.join(measured, "name", "left")
+    """The number of dimensions of collections that have none yet. `measured`: name, found; the greatest counts."""
+    joined = collections.join(measured.groupBy("name").agg(F.max("found").alias("found")), "name", "left")
     return joined.withColumn("dims", F.when(F.col("dims") == 0, F.coalesce("found", F.lit(0))).otherwise(F.col("dims"))).select(*collections.columns)
 
 

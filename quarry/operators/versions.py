@@ -6,7 +6,7 @@ for each archived message. Branch points are compared so that null equals null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEPT = ["conv_id", "after_seq", "number", "turn", "role", "text"]
@@ -30,9 +30,16 @@ def _same_branch(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     return left.join(r, on, how).drop("own_conv", "own_after")
 
 
+def _first(rows: DataFrame, *rest: str) -> DataFrame:
+    """One row for each conversation, that of its earliest branch point (null: the start)."""
+    least = F.min(F.struct(F.col("after_seq").isNotNull().alias("later"), "after_seq", *rest))
+    return rows.groupBy("conv_id").agg(least.alias("x")).select("conv_id", *[F.col(f"x.{c}").alias(c) for c in ("after_seq", *rest)])
+
+
 def archive(messages: DataFrame, tails: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Messages and tails after what follows each branch point was put away under its number. `cuts`: conv_id, after_seq."""
-    named = _same_branch(cuts, free_numbers(tails), "left").select(
+    """Messages and tails after what follows each branch point was put away under its number. `cuts`: conv_id, after_seq;
+    of several cuts of a conversation the earliest leaves nothing for the others."""
+    named = _same_branch(_first(cuts), free_numbers(tails), "left").select(
         "conv_id", "after_seq", F.coalesce("shown", F.lit(1)).alias("number"), F.lit(True).alias("cut")
     )
     marked = messages.join(named, "conv_id", "left")
@@ -43,9 +50,10 @@ def archive(messages: DataFrame, tails: DataFrame, cuts: DataFrame) -> tuple[Dat
 
 def switch(messages: DataFrame, tails: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages and tails after another version is shown: the present tail is archived and the target's messages return.
-    `targets`: conv_id, after_seq, number of an archived version; others are ignored."""
+    `targets`: conv_id, after_seq, number of an archived version; others are ignored, as are all but the earliest branch
+    point (then the least number) of a conversation."""
     known = _same_branch(targets.withColumnRenamed("number", "target"), tails.select("conv_id", "after_seq", F.col("number").alias("n")).distinct(), "inner")
-    known = known.filter("n = target").select("conv_id", "after_seq", "target")
+    known = _first(known.filter("n = target"), "target")
     kept, archived = archive(messages, tails, known.select("conv_id", "after_seq"))
     back = _same_branch(archived, known, "left")
     shown = F.coalesce(F.col("number") == F.col("target"), F.lit(False))
@@ -56,25 +64,24 @@ def switch(messages: DataFrame, tails: DataFrame, targets: DataFrame) -> tuple[D
 def branch_points(messages: DataFrame, tails: DataFrame) -> DataFrame:
     """conv_id, after_seq and the first message after it, of the branch points whose message is still there."""
     points = tails.select("conv_id", "after_seq").distinct()
-    own = messages.select(F.col("conv_id").alias("own_conv"), F.col("turn").alias("own_turn"))
-    present = points.filter("after_seq IS NULL").unionByName(
-        points.join(own, (F.col("conv_id") == F.col("own_conv")) & (F.col("after_seq") == F.col("own_turn")), "left_semi")
-    )
-    after = present.join(messages.select("conv_id", "turn"), "conv_id", "left").withColumn("later", F.when(_after(F.col("after_seq")), F.col("turn")))
-    return after.groupBy("conv_id", "after_seq").agg(F.min("later").alias("mark"))
+    turns = messages.select("conv_id", "turn").distinct()
+    start = turns.groupBy("conv_id").agg(F.min("turn").alias("mark"))
+    following = turns.select("conv_id", F.col("turn").alias("after_seq"), F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn")).alias("mark"))
+    whole = points.filter("after_seq IS NULL").join(start, "conv_id", "left").select("conv_id", "after_seq", "mark")
+    return whole.unionByName(points.join(following, ["conv_id", "after_seq"]))
 
 
 def keep_reply(messages: DataFrame, tails: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of two replies that were compared, the chosen one stays and the other becomes a version after the question.
-    `pairs`: conv_id, question, chosen, other (turns)."""
-    marked = messages.join(pairs, "conv_id", "left")
-    lost = F.coalesce(F.col("turn") == F.col("other"), F.lit(False))
+    `pairs`: conv_id, question, chosen, other (turns); of several pairs of a question the one with the least other counts."""
+    single = pairs.groupBy("conv_id", "question").agg(F.min("other").alias("turn"))
+    gone = single.groupBy("conv_id", "turn").agg(F.min("question").alias("question"))
     number = free_numbers(tails).withColumnRenamed("after_seq", "question_").withColumnRenamed("conv_id", "conv_")
-    put = marked.filter(lost).join(
+    put = messages.join(gone, ["conv_id", "turn"]).join(
         number, (F.col("conv_id") == F.col("conv_")) & F.col("question").eqNullSafe(F.col("question_")), "left"
     )
     put = put.select("conv_id", F.col("question").alias("after_seq"), F.coalesce("shown", F.lit(1)).alias("number"), "turn", "role", "text")
-    return marked.filter(~lost).select(*messages.columns), tails.select(*KEPT).unionByName(put)
+    return messages.join(gone, ["conv_id", "turn"], "left_anti").select(*messages.columns), tails.select(*KEPT).unionByName(put)
 
 
 def delete_conversations(gone: DataFrame, *tables: DataFrame) -> list[DataFrame]:

@@ -54,8 +54,7 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def _passages(spark: SparkSession, d: str) -> DataFrame:
     """The corpus as passages: a key of document and ordinal, the document's source with the location."""
-    docs = _corpus(spark, d)
-    cut = passages.split(docs).join(docs.select("key", "lang", "source").dropDuplicates(["key"]), "key")
+    cut = passages.split(_corpus(spark, d), keep=("lang", "source"))
     return cut.select(
         (F.col("key") * PASSAGES + F.col("ordinal")).alias("key"), "lang", F.concat_ws(" ", "source", "location").alias("source"), F.col("passage").alias("text")
     )

@@ -13,7 +13,7 @@ from quarry.functions import columns as C
 from quarry.functions import markup, wire
 from quarry.operators import passages, prompts, store, versions
 from quarry.plans.catalogue import _corpus, _turns, query, read
-from quarry.sources import files, office
+from quarry.sources import files, ignore, office
 from quarry.streaming import events as streams
 
 # --- prompts -----------------------------------------------------------------------------------------------------
@@ -511,7 +511,7 @@ def q_ignore_rules(spark, d):
     tail = F.get(F.array(*map(F.lit, ["target/a.py", "b/c.log", "keep.log", "x/y/build/z.md", "src/m.rs", "photo.bin"])), n.cast("int"))
     path = F.concat("source", F.lit("/"), tail)
     rules = ["# built", "target/", "*.log", "!keep.log", "**/build"]
-    return read(spark, d, "documents").select("doc_id", office.ignored(path, rules).alias("ignored"), (files.accepted(path, ["code", "log"]) & ~office.ignored(path, rules)).alias("accepted"))
+    return read(spark, d, "documents").select("doc_id", ignore.ignored(path, rules).alias("ignored"), (files.accepted(path, ["code", "log"]) & ~ignore.ignored(path, rules)).alias("accepted"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'unsupported' WHEN n_chars * 300 > CASE WHEN doc_id % 3 = 1 THEN 52428800 ELSE 2097152 END THEN 'too large' END AS reason FROM documents""")

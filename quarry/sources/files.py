@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
-from quarry.sources.office import ignored
+from quarry.sources.ignore import ignored
 
 #: Largest text and office files in bytes.
 TEXT_LIMIT, OFFICE_LIMIT = 2 * 1024 * 1024, 50 * 1024 * 1024

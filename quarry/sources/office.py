@@ -136,34 +136,3 @@ def listings(entries: DataFrame) -> DataFrame:
         entries.select("folder").distinct().join(text, "folder", "left").join(count, "folder", "left")
         .select("folder", F.coalesce(F.concat("text", more), F.lit("(dossier vide)")).alias("text"))
     )
-
-
-def ignore_regex(rule: str) -> str | None:
-    """The regular expression, over paths with slashes, of one line of an ignore file; null for comments and blank lines."""
-    body = rule.rstrip().removeprefix("!").removeprefix("\\")
-    if not body or rule.startswith("#") or body == "/":
-        return None
-    folder, body = body.endswith("/"), body.rstrip("/")
-    anchored, body = "/" in body, body.removeprefix("/")
-    out, i = "", 0
-    while i < len(body):
-        if body.startswith("**/", i):
-            out, i = out + "(?:[^/]+/)*", i + 3
-        elif body.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif body[i] in "*?":
-            out, i = out + ("[^/]*" if body[i] == "*" else "[^/]"), i + 1
-        elif body[i] == "[" and (m := re.match(r"\[(!?)([^\]]+)\]", body[i:])):
-            out, i = out + f"[{'^' if m[1] else ''}{m[2]}]", i + m.end()
-        else:
-            out, i = out + re.escape(body[i]), i + 1
-    return ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if folder else "(?:/.*)?$")
-
-
-def ignored(path: Column, rules: list[str]) -> Column:
-    """Whether the rules leave a file out: the last that fits decides, one with `!` takes it in again."""
-    out = F.lit(False)
-    for rule in rules:
-        if (regex := ignore_regex(rule)) is not None:
-            out = F.when(path.rlike(regex), F.lit(not rule.startswith("!"))).otherwise(out)
-    return out
