@@ -1,5 +1,6 @@
-"""Event streams: server-sent frames, tool-call deltas, debounce, throttle. The same functions serve batch and stream
-where the operator needs no order across batches; sessions take a watermark when their input is a stream."""
+"""Event streams: server-sent frames, tool-call deltas, debounce, throttle. The same functions serve batch and stream:
+sessions take a watermark when their input is a stream, and what depends on earlier items of a request keeps them as state
+(`folds`); `clock` has what waits for a time without events."""
 
 from __future__ import annotations
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.streaming import folds
+
 
 def debounce(events: DataFrame, gap: str = "3 seconds", late: str = "1 minute") -> DataFrame:
     """One row for each burst of a key's events: key, first, last, n. `events`: key, ts."""
@@ -46,7 +49,11 @@ def stream_text(tokens: DataFrame) -> DataFrame:
 
 
 def tool_calls(deltas: DataFrame) -> DataFrame:
-    """Calls put together from fragments. `deltas`: request_id, round, pos, call_index, call_id, call_name, arguments."""
+    """Calls put together from fragments. `deltas`: request_id, round, pos, call_index, call_id, call_name, arguments. A call
+    without an id is named by its round and its place among the round's calls. Of a stream, whose items have a kind, the
+    calls of a round come when it is done."""
+    if deltas.isStreaming:
+        return folds.folded(deltas, folds.Calls)
 
     def joined(c: str):
         rows = F.array_sort(F.collect_list(F.struct("pos", F.coalesce(c, F.lit("")).alias("part"))))
@@ -55,7 +62,8 @@ def tool_calls(deltas: DataFrame) -> DataFrame:
     found = deltas.groupBy("request_id", "round", "call_index").agg(
         joined("call_id").alias("id"), joined("call_name").alias("name"), joined("arguments").alias("args")
     )
-    own = F.concat(F.lit("call_"), F.col("round").cast("string"), F.lit("_"), F.col("call_index").cast("string"))
+    place = F.row_number().over(Window.partitionBy("request_id", "round").orderBy("call_index")) - 1
+    own = F.concat(F.lit("call_"), F.col("round").cast("string"), F.lit("_"), place.cast("string"))
     return found.select(
         "request_id", "round", "call_index",
         F.when(F.col("id") == "", own).otherwise(F.col("id")).alias("call_id"),
@@ -199,6 +207,8 @@ def message_items(frames: DataFrame) -> DataFrame:
 
 def phases_shown(items: DataFrame) -> DataFrame:
     """Without the phases that come after a request's first token. `items`: request_id, pos, kind, ..."""
+    if items.isStreaming:
+        return folds.folded(items, folds.Phases)
     first = F.min(F.when(F.col("kind") == "text", F.col("pos"))).over(Window.partitionBy("request_id"))
     return items.withColumn("first", first).filter("kind <> 'phase' OR first IS NULL OR pos < first").drop("first")
 
@@ -210,7 +220,9 @@ def limited_rounds(rounds: DataFrame, most: int = 8) -> DataFrame:
 
 def timings(items: DataFrame, ms: int = 500) -> DataFrame:
     """request_id, first_ms (from the start to the first item), n (timings sent: one in each stretch of `ms`, and the last).
-    `items`: request_id, at_ms (since the request's start)."""
+    `items`: request_id, at_ms (since the request's start). Of a stream, each timing when it is due: first_ms, elapsed_ms, final."""
+    if items.isStreaming:
+        return folds.folded(items, folds.Timings)
     last = F.max("at_ms").over(Window.partitionBy("request_id"))
     slots = items.withColumn("last", last).groupBy("request_id", "last", F.expr(f"at_ms div {ms}").alias("slot")).agg(F.min("at_ms").alias("at_ms"))
     return slots.groupBy("request_id").agg(
@@ -220,5 +232,7 @@ def timings(items: DataFrame, ms: int = 500) -> DataFrame:
 
 def until_done(items: DataFrame) -> DataFrame:
     """Items of each request before the first that ends it. `items`: request_id, pos, kind, ..."""
+    if items.isStreaming:
+        return folds.folded(items, folds.UntilDone)
     ended = F.min(F.when(F.col("kind").isin("done", "error"), F.col("pos"))).over(Window.partitionBy("request_id"))
     return items.withColumn("end", ended).filter("end IS NULL OR pos < end OR (pos = end AND kind = 'error')").drop("end")

@@ -165,4 +165,4 @@ def test_passages_of_pages_and_other_keys(spark):
     pages = spark.createDataFrame([("k1", ["Page un.", None, "Page deux."], "s"), (None, None, "t")], "key string, pages array<string>, source string")
     assert rows(passages.split(pages, keep=("source",))) == [("k1", "s", 0, "p. 1", "Page un."), ("k1", "s", 1, "p. 3", "Page deux.")]
     texts = spark.createDataFrame([("k", "# T\nx"), ("k", "# T\nx"), (None, None)], "key string, text string")
-    assert rows(passages.split(texts, sections=True)) == [("k", 0, "§ T", "# T\nx")] * 2
+    assert rows(passages.split(texts, sections=True)) == [("k", 0, "§ T", "# T\n\nx")] * 2
