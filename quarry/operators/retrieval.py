@@ -2,8 +2,8 @@
 
 A set of questions is a parameter of a search: up to `BROADCAST_QUESTIONS` of them go to every task, more are taken in
 blocks of that size. Everything that grows with the corpus is partitioned: texts are tokenised once into postings, which
-are written; prefixes meet the vocabulary by equality; each task keeps its own `k` nearest vectors of a question, and
-rankings are limited before the exchange (the filter on `row_number` lets Spark do that).
+are written (`postings`); each task keeps its own `k` nearest vectors and best texts of a question, and rankings are limited
+before the exchange (the filter on `row_number` lets Spark do that).
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import columns as C
+from quarry.operators import postings
 
 #: Candidates of each ranking, the constant of rank fusion, dimensions of the hash embedder.
 CANDIDATES, FUSION, DIMENSIONS = 50, 60, 64
-#: BM25's saturation and length weight, and the least idf.
-K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 BROADCAST_QUESTIONS = 10_000
 #: Fixed value: what a search without results says.
 NOTHING_FOUND = "Aucun passage ne correspond à cette recherche."
@@ -140,36 +139,17 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = CANDIDATES) -> Da
     return reduce(DataFrame.unionAll, [block(questions.filter(share == i)) for i in range(blocks)])
 
 
-def postings(texts: DataFrame) -> DataFrame:
-    """key, size (words of the text), term and tf. `texts`: key, text; texts without words have no posting."""
-    cut = texts.select("key", C.words(C.fold(F.col("text"))).alias("words"))
-    return cut.select("key", F.size("words").alias("size"), F.explode("words").alias("term")).groupBy("key", "size", "term").agg(F.count("*").alias("tf"))
-
-
-def keyword(texts: DataFrame, questions: DataFrame, k: int = CANDIDATES, keep: Column | None = None) -> DataFrame:
+def keyword(texts: DataFrame, questions: DataFrame, k: int = CANDIDATES, keep: Column | None = None, index: postings.Index | None = None) -> DataFrame:
     """question_id, key, score and place (from 0) by BM25; each search term is a prefix.
 
-    `texts`: key, text; `questions`: question_id, text. Statistics are those of all texts; `keep`, a condition on
-    `texts`, is applied before the limit, as a choice of collections is.
+    `texts`: key, text; `questions`: question_id, text. Statistics are those of all texts; `keep`, a condition on `texts`, is
+    applied before the limit, as a choice of collections is. An `index` that is at hand stands for the texts.
     """
-    index = tables.written(postings(texts))
-    # the texts without words count too
-    n_texts, total = texts.count(), index.agg(F.sum("tf")).first()[0] or 0
-    prefixes = questions.select("question_id", F.explode(C.search_terms(F.col("text"))).alias("prefix")).distinct()
-    # only prefixes as long as one that is asked for: a few numbers
-    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().collect()]
-    cut = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))
-    vocabulary = index.select("term").distinct().select("term", F.explode(cut).alias("prefix"))
-    matched = vocabulary.join(prefixes.select("prefix").distinct(), "prefix")
-    found = index.join(matched, "term").groupBy("prefix", "key", "size").agg(F.sum("tf").alias("tf"))
-    seen = found.groupBy("prefix").agg(F.count("*").alias("n"))
-    idf = F.greatest(F.log((n_texts - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(total / max(1, n_texts))))
-    scored = found.join(seen, "prefix").select("prefix", "key", (idf * weight).alias("part"))
-    if keep is not None:
-        scored = scored.join(texts.filter(keep).select("key"), "key", "left_semi")
-    scored = scored.join(prefixes, "prefix").groupBy("question_id", "key").agg(F.round(F.sum("part"), 6).alias("score"))
-    return ranked(scored, k)
+    index = index or postings.build(texts, keep)
+    blocks = max(1, -(-questions.count() // BROADCAST_QUESTIONS))
+    share = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    parts = [postings.search(index, questions.filter(share == i) if blocks > 1 else questions, k) for i in range(blocks)]
+    return ranked(reduce(DataFrame.unionAll, parts), k)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -286,15 +266,22 @@ def hybrid(
     reranker: Reranker | None = None,
     candidates: int = 20,
     keep: Column | None = None,
+    index: postings.Index | None = None,
+    vectors: DataFrame | None = None,
 ) -> DataFrame:
     """question_id, number, key, label, tokens: what each question takes from the corpus.
 
     `texts`: key, source, text (and what `keep`, a choice of collections, asks for); `questions`: question_id, text. With
-    a reranker, the `candidates` best of the fused ranking are put in its order before the limits.
+    a reranker, the `candidates` best of the fused ranking are put in its order before the limits. An `index` and `vectors`
+    (key, vector) that are at hand stand for those of the texts; what `keep` would leave out isn't in them then.
     """
+    if index is None or vectors is None:
+        # read by the postings, the vectors and the answers
+        texts = tables.written(texts)
     asked = embedder(questions, "question_id").withColumnRenamed("vector", "question_vector")
     some = texts if keep is None else texts.filter(keep)
-    fused = fuse(nearest(embedder(some, "key"), asked), keyword(texts, questions, keep=keep), least)
+    vectors = embedder(some, "key") if vectors is None else vectors
+    fused = fuse(nearest(vectors, asked), keyword(texts, questions, keep=keep, index=index), least)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "key")
     # at most 2 * CANDIDATES rows of each question get their text and label, in one join
     chosen = fused.withColumn("place", F.row_number().over(order)).select("question_id", "key", "place")
