@@ -10,11 +10,13 @@ the other, so the first token that both have is among the first a + 1 of each:
   (a + b + 1) * (`COMBINATION` - 1) common tokens in it. At most a + b other tokens stand between these, so some
   `COMBINATION` common tokens follow each other in both sets: frequent tokens are indexed by such runs.
 
-So all similar pairs share a key, whatever the frequencies are. Equal sets are one node from the start. Within a key's
-bucket not all pairs are candidates. First each node meets the bucket's least one; then, across the classes that this has
-joined, nodes that lengths and a 256-bit parity sketch (its differing bits never outnumber the differing tokens) allow to
-be similar, as a forest; and last, all such pairs that are still in different classes and haven't been compared. Candidates
-are verified on whole texts. Buckets of more than `BUCKET` nodes are cut into chunks that meet pairwise in separate tasks.
+Sets of `LARGE` tokens or more, which share single tokens with many others, are indexed by runs of any tokens in the same
+way; sets up to a similar one's size above that are indexed both ways. So all similar pairs share a key, whatever the
+frequencies are. Equal sets are one node from the start. Within a key's bucket not all pairs are candidates. First each
+node meets the bucket's least one; then, across the classes that this has joined, nodes that lengths and a parity sketch
+(its differing bits never outnumber the differing tokens) allow to be similar, as a forest; and last, all such pairs that
+are still in different classes and haven't been compared. Candidates are verified on whole texts. Buckets of more than
+`BUCKET` nodes are cut into chunks that meet pairwise in separate tasks.
 
 Defined results: a text without words has no shingle and links with nothing; fewer words than a shingle are one token;
 repeated rows get equal results; a null doc_id is linked like others but never names a component unless all its ids are
@@ -41,6 +43,8 @@ SHARE = (9, 10)
 CLASSES, CHUNK = 1 << 20, 1 << 12
 #: Frequent tokens that one key combines.
 COMBINATION = 2
+#: Sets from this size on are indexed by runs alone; a sketch of 256 bits tells smaller ones apart.
+LARGE = 800
 #: Nodes of a bucket that meet in one task at once, and pairs that it compares at once.
 BUCKET, BLOCK = 50_000, 1 << 18
 #: A table of the asked texts' hashes up to this many rows is broadcast.
@@ -112,6 +116,11 @@ def lacking(n: np.ndarray) -> np.ndarray:
     return n - -(-n * t // u)
 
 
+def lacking_size(n: np.ndarray) -> np.ndarray:
+    """The least size of a set that may be similar to one of n."""
+    return n - lacking(n)
+
+
 def index_keys(tokens: np.ndarray, row: np.ndarray, n: np.ndarray, level: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and key of every rare token of the prefixes, and of every run of frequent tokens of the extended prefixes."""
     own_level = level[class_of(tokens)]
@@ -123,12 +132,12 @@ def index_keys(tokens: np.ndarray, row: np.ndarray, n: np.ndarray, level: np.nda
     # a set that may lack nothing, and of which the other may lack nothing, has no other partner than its equals
     some = (a + b > 0)[row]
     often = own_level >= frequent
-    single = some & ~often & (place <= a[row])
+    single = some & ~often & (place <= a[row]) & (lacking_size(n) < LARGE)[row]
     k = COMBINATION
     reach = a + (a + b + 1) * (k - 1) + 1
     if len(tokens) >= k:
         last = len(tokens) - k + 1
-        run = some[:last] & often[:last] & (place[:last] + k <= reach[row[:last]]) & (row[:last] == row[k - 1 :])
+        run = some[:last] & (often | (n >= LARGE)[row])[:last] & (place[:last] + k <= reach[row[:last]]) & (row[:last] == row[k - 1 :])
         at = np.flatnonzero(run)
         keys = tokens[at]
         for j in range(1, k):
@@ -138,16 +147,27 @@ def index_keys(tokens: np.ndarray, row: np.ndarray, n: np.ndarray, level: np.nda
     return np.concatenate((row[single], row[at])), np.concatenate((mix(tokens[single]), mix(keys + np.uint64(1))))
 
 
-def sketches(tokens: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """256 parities of each set: four 64-bit words a row."""
-    bit = (tokens >> np.uint64(8)).astype(np.int64) & 255
-    odd = (np.bincount(row * 256 + bit, minlength=rows * 256) & 1).astype(np.uint8).reshape(rows, 256)
-    return np.packbits(odd, axis=1).view(np.int64)
+def parities(tokens: np.ndarray, row: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The parities of each set, `width` bits (a power of two) for each row, as bytes one row after the other."""
+    start = np.cumsum(width) - width
+    bit = (tokens >> np.uint64(8)).astype(np.int64) & (width[row] - 1)
+    return np.packbits((np.bincount(start[row] + bit, minlength=int(width.sum())) & 1).astype(np.uint8))
+
+
+def wide_enough(n: np.ndarray) -> np.ndarray:
+    """Bits of a sketch that isn't full with n tokens: half as many, 256 at least."""
+    return 1 << np.maximum(8, np.ceil(np.log2(np.maximum(n, 2) / 2)).astype(np.int64))
+
+
+def folded(sketch: bytes, size: int) -> np.ndarray:
+    """A sketch as one of fewer bytes."""
+    bits = np.frombuffer(sketch, np.uint8)
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
 def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Written, one row per document: row, doc_id, the text's hashes k1 and k2, the set's hashes h1 and h2, its size n,
-    keys and sketch."""
+    keys, and its sketch, of 256 bits (in four columns) and as wide as its size asks for."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = io.texts(docs, "doc_id")
     counts = class_counts(texts, shingle)
@@ -164,7 +184,9 @@ def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             of, keys = index_keys(tokens, row, n, level, frequent)
             order = np.argsort(of, kind="stable")
             bounds = np.searchsorted(of[order], np.arange(len(n) + 1))
-            sketch = sketches(tokens, row, len(n))
+            width = wide_enough(n)
+            sketch = parities(tokens, row, np.full(len(n), 256)).view(np.int64).reshape(-1, 4)
+            wide = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(width // 8))).astype(np.int32)), pa.py_buffer(parities(tokens, row, width))])
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in ("doc_id", "k1", "k2")],
@@ -172,28 +194,40 @@ def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     pa.array(n),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(keys[order]))),
                     *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)],
+                    wide,
                 ],
-                ["doc_id", "k1", "k2", "h1", "h2", "n", "keys", *SKETCH],
+                ["doc_id", "k1", "k2", "h1", "h2", "n", "keys", *SKETCH, "sketch"],
             )
 
-    schema = f"doc_id {kind}, k1 long, k2 long, h1 long, h2 long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
+    schema = f"doc_id {kind}, k1 long, k2 long, h1 long, h2 long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in SKETCH) + ", sketch binary"
     named = texts.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
     return io.written(named.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
-def possible(n: str, m: str, differing):
+def allowed(n: np.ndarray, m: np.ndarray, differing: np.ndarray) -> np.ndarray:
     """Whether sizes n and m and a bound on the differing tokens allow the least similarity t / u: the differing tokens
     are at most (u - t) / (u + t) of both sizes together."""
     t, u = SHARE
-    return (F.least(n, m) * u >= F.greatest(n, m) * t) & (differing * (u + t) <= (F.col(n) + F.col(m)) * (u - t))
+    return (np.minimum(n, m) * u >= np.maximum(n, m) * t) & (differing * (u + t) <= (n + m) * (u - t))
 
 
 def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches allow to be similar."""
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in SKETCH])
-    other = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in SKETCH])
-    bits = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in SKETCH), F.lit(0))
-    return pairs.join(one, "a").join(other, "b").filter(possible("n_a", "n_b", bits)).select("a", "b")
+    """The pairs (a, b) that sizes and whole sketches allow to be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            differing = np.zeros(batch.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), strict=True)):
+                size = min(len(x), len(y))
+                differing[k] = np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()
+            n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            yield batch.select(["a", "b"]).filter(pa.array(allowed(n, m, differing)))
+
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    other = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    t, u = SHARE
+    near = F.least("n_a", "n_b") * u >= F.greatest("n_a", "n_b") * t
+    return pairs.join(one, "a").join(other, "b").filter(near).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -274,8 +308,7 @@ def bucket_pairs(rows: np.ndarray, whole: bool) -> Iterator[np.ndarray]:
         low = np.searchsorted(n, -(-n[i[0]] * t // u))
         high = np.searchsorted(n, n[i[-1]] * u // t, "right")
         differing = np.bitwise_count(sketch[i, None, :] ^ sketch[None, low:high, :]).sum(axis=2, dtype=np.int64)
-        both = n[i, None] + n[None, low:high]
-        hit = (differing * (u + t) <= both * (u - t)) & (root[i, None] != root[None, low:high])
+        hit = allowed(n[i, None], n[None, low:high], differing) & (root[i, None] != root[None, low:high])
         x, y = np.nonzero(hit)
         if not len(x):
             continue
@@ -297,15 +330,15 @@ def links(rows: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> tuple[Dat
     """`rows`: as `marked` returns. Nodes (written): h1, h2, node, least, n ...; links (a, b) of nodes, all verified, whose
     components are those of all similar pairs."""
     own = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.min("row").alias("node"), F.first("n").alias("n"))
-    stands = rows.select(F.col("row").alias("node"), "k1", "k2", *SKETCH)
+    stands = rows.select(F.col("row").alias("node"), "k1", "k2", *SKETCH, "sketch")
     nodes = io.written(own.join(stands, "node"))
     spread = rows.filter(F.size("keys") > 0).join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.explode("keys").alias("key"), F.col("row").alias("node"))
     one = Window.partitionBy("key")
     buckets = spread.distinct().withColumn("center", F.min("node").over(one)).withColumn("z", F.max("node").over(one))
     buckets = io.written(buckets.filter("center <> z").select("key", "node", "center"))
     first = buckets.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    tested = io.checkpointed(sketched(first, nodes))
-    found = verified(tested, nodes, docs, shingle)
+    tested = io.checkpointed(first)
+    found = verified(sketched(tested, nodes), nodes, docs, shingle)
     for whole in (False, True):
         roots = components(found)
         classed = buckets.select("key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -325,7 +358,7 @@ def links(rows: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> tuple[Dat
             .join(tested, ["a", "b"], "left_anti")
         )
         pairs = io.checkpointed(pairs)
-        found = io.checkpointed(found.unionByName(verified(pairs, nodes, docs, shingle)))
+        found = io.checkpointed(found.unionByName(verified(sketched(pairs, nodes), nodes, docs, shingle)))
         tested = io.checkpointed(tested.unionByName(pairs))
     return nodes, found
 

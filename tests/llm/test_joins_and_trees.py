@@ -104,7 +104,7 @@ FAMILIES += [(600 + k, f"{prose(310, 40)} {prose(320 + k, 6)}") for k in range(1
 FAMILIES += [(800, "One two"), (801, "one TWO"), (802, "one two three"), (803, "one"), (804, " ONE\t")]
 
 
-@pytest.mark.parametrize("path", ["as it is", "all frequent", "none frequent", "runs of three", "chunks", "joined"])
+@pytest.mark.parametrize("path", ["as it is", "all frequent", "none frequent", "runs of three", "chunks", "joined", "all runs", "some runs"])
 def test_jaccard_join(spark, monkeypatch, path):
     whole = jaccard_join.levels_of
     if path in ("all frequent", "runs of three"):
@@ -116,6 +116,8 @@ def test_jaccard_join(spark, monkeypatch, path):
     if path == "chunks":
         monkeypatch.setattr(jaccard_join, "BUCKET", 4)
         monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    if path.endswith("runs"):
+        monkeypatch.setattr(jaccard_join, "LARGE", 1 if path == "all runs" else 110)
     if path == "joined":
         monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     df = spark.createDataFrame([(i, t, "c", "c") for i, t in FAMILIES], "doc_id long, text string, node string, keys string").repartition(3)
@@ -129,10 +131,24 @@ def test_jaccard_join_of_hard_inputs(spark, empty):  # noqa: F811
     same(jaccard_join.classes(named(spark, MORE)), JACCARD, brute.jaccard(texted(MORE)))
 
 
-def test_every_similar_pair_shares_a_key():
+def test_sketches_never_exceed_the_differing_tokens():
+    r = np.random.default_rng(8)
+    for _ in range(100):
+        sets = [np.unique(r.integers(0, 1 << 20, int(r.integers(1, 3000))).astype(np.uint64) << np.uint64(8)) for _ in range(2)]
+        n = np.array([len(x) for x in sets])
+        width = jaccard_join.wide_enough(n)
+        raw = jaccard_join.parities(np.concatenate(sets), np.repeat([0, 1], n), width).tobytes()
+        x, y = raw[: width[0] // 8], raw[width[0] // 8 :]
+        size = min(len(x), len(y))
+        assert np.bitwise_count(jaccard_join.folded(x, size) ^ jaccard_join.folded(y, size)).sum() <= len(np.setxor1d(*sets))
+        assert (jaccard_join.folded(x, 32) == np.frombuffer(jaccard_join.parities(sets[0], np.zeros(n[0], int), np.array([256])).tobytes(), np.uint8)).all()
+
+
+def test_every_similar_pair_shares_a_key(monkeypatch):
     """The prefixes by themselves, on random sets around the least similarity and any classes of tokens."""
     r = np.random.default_rng(6)
-    for _ in range(300):
+    for large in (jaccard_join.LARGE, 60, 1) * 100:
+        monkeypatch.setattr(jaccard_join, "LARGE", large)
         size = int(r.integers(2, 120))
         x = r.choice(10_000, size, replace=False)
         more = r.integers(0, size // 9 + 1)
