@@ -109,12 +109,32 @@ def find_conversations(messages: DataFrame, titles: DataFrame, query: str, most:
 
 
 def excerpt(text: Column, query: str, n_words: int = 10) -> Column:
-    """Up to `n_words` words from the first that a word of the query begins, with … where text is left out."""
+    """The `n_words` words that hold the most words of the query (as prefixes); of equally good places the one where these
+    stand closest, then the first. … marks text that is left out."""
     words = F.filter(F.split(C.strip(text), r"(?U)\s+"), lambda w: w != "")
-    wanted = [w for w in re.split(r"[\W_]+", query.lower()) if w]
-    hit = lambda w: reduce(lambda a, b: a | b, [F.startswith(F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+", ""), F.lit(x)) for x in wanted])
-    at = F.array_position(F.transform(words, hit), True).cast("int")
-    first = F.greatest(F.lit(1), F.least(at, F.size(words) - n_words + 1))
+    wanted = list(dict.fromkeys(w for w in re.split(r"[\W_]+", query.lower()) if w))
+
+    def found(w: Column) -> Column:
+        """Which words of the query a word begins with, a bit for each."""
+        plain = F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+", "")
+        return reduce(lambda a, b: a + b, [F.when(F.startswith(plain, F.lit(x)), 1 << k).otherwise(0) for k, x in enumerate(wanted)]).cast("long")
+
+    # the text's postings: places of words that count
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), found(w).alias("mask"))), lambda h: h["mask"] > 0)
+
+    def window(h: Column, i: Column) -> Column:
+        # so many words hold as many hits at most
+        inside = F.filter(F.slice(hits, i + 1, F.lit(n_words)), lambda x: x["at"] < h["at"] + n_words)
+        covered = F.aggregate(inside, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x["mask"]))
+        # the last word that adds to what is covered
+        needed = F.aggregate(
+            inside, F.struct(F.lit(0).cast("long").alias("seen"), h["at"].alias("last")),
+            lambda s, x: F.when(s["seen"].bitwiseOR(x["mask"]) > s["seen"], F.struct(s["seen"].bitwiseOR(x["mask"]).alias("seen"), x["at"].alias("last"))).otherwise(s),
+        )["last"]
+        return F.struct(F.bit_count(covered).alias("covered"), (h["at"] - needed).alias("closeness"), (-h["at"]).alias("early"))
+
+    best = F.array_max(F.transform(hits, window))
+    first = F.greatest(F.lit(1), F.least(1 - best["early"], F.size(words) - n_words + 1))
     cut = F.array_join(F.slice(words, first, n_words), " ")
     return F.concat(F.when(first > 1, "…").otherwise(""), cut, F.when(first + n_words - 1 < F.size(words), "…").otherwise(""))
 
@@ -265,6 +285,24 @@ def truncate(messages: DataFrame, cuts: DataFrame) -> tuple[DataFrame, DataFrame
     return marked.filter(~gone).drop("from_turn"), marked.filter(gone).drop("from_turn")
 
 
+def after(messages: DataFrame, marks: DataFrame) -> DataFrame:
+    """Messages that follow each conversation's mark. `marks`: conv_id, turn; of several the last counts."""
+    last = marks.groupBy("conv_id").agg(F.max("turn").alias("mark"))
+    return messages.join(last, "conv_id").filter("turn > mark").select(*messages.columns)
+
+
+def before(messages: DataFrame, marks: DataFrame) -> DataFrame:
+    """Messages that come before each conversation's mark; of several marks the first counts."""
+    first = marks.groupBy("conv_id").agg(F.min("turn").alias("mark"))
+    return messages.join(first, "conv_id").filter("turn < mark").select(*messages.columns)
+
+
+def delete_collection(name: str, collections: DataFrame, documents: DataFrame, chunks: DataFrame, conversations: DataFrame) -> list[DataFrame]:
+    """The four tables without a collection: its row, its documents with their passages, and its name in the conversations."""
+    own = [t.filter(~F.col("collection").eqNullSafe(F.lit(name))) for t in (documents, chunks)]
+    return [collections.filter(~F.col("name").eqNullSafe(F.lit(name))), *own, forget_collection(conversations, name)]
+
+
 def forget_collection(conversations: DataFrame, name: str) -> DataFrame:
     """The name leaves every conversation's comma list; an empty list becomes null."""
     left = F.array_remove(C.names(F.col("collections")), name)

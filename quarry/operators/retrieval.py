@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,6 +66,26 @@ def hash_vectors(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, long.alias("words")).mapInArrow(run, f"{key} {kind}, vector array<double>")
 
 
+def vector_bytes(vector: Column) -> Column:
+    """A vector as 32-bit floats, least byte first."""
+
+    def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in column:
+            yield part.map(lambda v: np.asarray(v, "<f4").tobytes(), na_action="ignore")
+
+    return F.pandas_udf(run, "binary")(vector.cast("array<float>"))
+
+
+def vector_of(raw: Column) -> Column:
+    """The vector of such bytes; bytes at the end that make no float are dropped."""
+
+    def run(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in column:
+            yield part.map(lambda b: np.frombuffer(bytes(b)[: len(b) // 4 * 4], "<f4").astype(np.float32), na_action="ignore")
+
+    return F.pandas_udf(run, "array<float>")(raw)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import columns as C
-from quarry.operators import index, messages, passages, retrieval
+from quarry.operators import clusters, index, messages, passages, providers, retrieval
 from quarry.streaming import events as streams
 
 #: Passages of one document at most: the step from one document's keys to the next one's.
@@ -227,7 +227,12 @@ def q_message_search(spark, d):
 @query("""WITH t AS (SELECT conv_id, turn, text, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM conversations),
 m AS (SELECT conv_id, arg_min(text, turn) AS text FROM t WHERE len(list_filter(w, lambda x: starts_with(x, 'the'))) > 0 AND len(list_filter(w, lambda x: starts_with(x, 'an'))) > 0 GROUP BY conv_id),
 s AS (SELECT conv_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM m),
-p AS (SELECT conv_id, w, greatest(1, least(list_position(list_transform(w, lambda x: regexp_matches(lower(x), '^[^\\p{L}\\p{N}]*(the|an)')), true), len(w) - 9)) AS first FROM s)
+k AS (SELECT conv_id, w, list_transform(w, lambda x: CASE WHEN regexp_matches(lower(x), '^[^\\p{L}\\p{N}]*the') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(lower(x), '^[^\\p{L}\\p{N}]*an') THEN 2 ELSE 0 END) AS m FROM s),
+i AS (SELECT conv_id, w, m, unnest(range(1, len(w) + 1)) AS i FROM k),
+v AS (SELECT conv_id, w, i, m[i : i + 9] AS m FROM i WHERE m[i] > 0),
+c AS (SELECT conv_id, w, i, bit_count(CAST(list_reduce(m, lambda a, b: a | b) AS INTEGER)) AS covered,
+  CASE WHEN list_reduce(m, lambda a, b: a | b) = m[1] THEN 1 ELSE list_position(list_transform(m, lambda x: x | m[1] = 3), true) END AS span FROM v),
+p AS (SELECT conv_id, w, greatest(1, least(i, len(w) - 9)) AS first FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY covered DESC, span, i) = 1)
 SELECT conv_id, CASE WHEN first > 1 THEN '…' ELSE '' END || array_to_string(w[first : first + 9], ' ') || CASE WHEN first + 9 < len(w) THEN '…' ELSE '' END AS excerpt FROM p""")
 def q_search_excerpt(spark, d):
     turns = _turns(spark, d)
@@ -319,6 +324,17 @@ def q_truncate(spark, d):
     return messages.truncate(turns, cuts)[0]
 
 
+@query("""WITH m AS (SELECT conv_id, max(turn) FILTER (role = 'user') AS last, min(turn) FILTER (role = 'assistant') AS first FROM conversations GROUP BY conv_id)
+SELECT c.conv_id, c.turn, CASE WHEN c.turn > m.last THEN 'after' ELSE 'before' END AS side FROM conversations c JOIN m ON c.conv_id = m.conv_id WHERE c.turn > m.last
+UNION ALL SELECT c.conv_id, c.turn, 'before' FROM conversations c JOIN m ON c.conv_id = m.conv_id WHERE c.turn < m.first""")
+def q_around_message(spark, d):
+    """What follows the last question of a conversation, and what comes before its first answer."""
+    turns = _turns(spark, d)
+    late = messages.after(turns, turns.filter("role = 'user'").select("conv_id", "turn")).withColumn("side", F.lit("after"))
+    early = messages.before(turns, turns.filter("role = 'assistant'").select("conv_id", "turn")).withColumn("side", F.lit("before"))
+    return late.unionByName(early).select("conv_id", "turn", "side")
+
+
 @query("""WITH l AS (SELECT conv_id, list_distinct(list(role ORDER BY turn)) AS n FROM conversations GROUP BY conv_id)
 SELECT conv_id, nullif(array_to_string(list_sort(list_filter(n, lambda x: x <> 'user')), ','), '') AS collections FROM l""")
 def q_delete_collection(spark, d):
@@ -452,6 +468,22 @@ def q_hash_embed(spark, d):
     return vectors.select("key", F.posexplode("vector").alias("bucket", "x")).filter("x > 0").select("key", "bucket", F.round("x", 9).alias("weight"))
 
 
+@query(ORACLES["q_cosine_topk"])
+def q_cosine_clusters(spark, d):
+    """The same rows, from the clusters that a question can't do without."""
+    vectors = read(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = vectors.filter("key % 100 = 0").select(F.col("key").alias("question_id"), F.col("vector").alias("question_vector"))
+    return clusters.nearest(clusters.build(vectors), asked)[0]
+
+
+@query("SELECT vec_id, CAST(4 * len(embedding) AS BIGINT) AS n_bytes, embedding AS vector FROM embeddings")
+def q_vector_bytes(spark, d):
+    """Vectors as bytes and back; the two bytes too many are dropped."""
+    raw = retrieval.vector_bytes(F.col("embedding"))
+    stored = read(spark, d, "embeddings").select("vec_id", raw.alias("raw"))
+    return stored.select("vec_id", F.octet_length("raw").cast("long").alias("n_bytes"), retrieval.vector_of(F.concat("raw", F.unhex(F.lit("0102")))).alias("vector"))
+
+
 @query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings""")
 def q_l2_norm(spark, d):
     v = F.col("embedding").cast("array<double>")
@@ -515,6 +547,14 @@ def q_rerank_scores(spark, d):
     return retrieval.scores_in_order(found.drop("score"), found.filter("number % 3 <> 0").unionByName(strange))
 
 
+@query()
+def q_context_providers(spark, d):
+    """Two sources under one numbering and one budget: documents by their words, embeddings' texts by their meaning."""
+    docs = _corpus(spark, d)
+    own = [providers.Words(docs.filter("lang = 'en'"), "words"), providers.Meaning(docs.filter("lang <> 'en'"), "meaning")]
+    return providers.gather(own, _questions(spark, d))[0]
+
+
 @query("SELECT doc_id, doc_id || '.md — § ' || lang || chr(10) || text AS text FROM documents")
 def q_embedding_text(spark, d):
     docs = read(spark, d, "documents")

@@ -18,8 +18,9 @@ def folder(spark: SparkSession) -> str:
     return out or LOCAL
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared folder."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows from a table in the shared folder, in a folder for each value of the columns `by`."""
     path = f"{folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(*by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
