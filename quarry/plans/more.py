@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions import columns as C
 from quarry.functions import markup, wire
 from quarry.operators import passages, prompts, store, versions
-from quarry.plans.catalogue import _corpus, _turns, query, read
+from quarry.plans.catalogue import _corpus, _split, _turns, query, read
 from quarry.sources import files, ignore, office
 from quarry.streaming import events as streams
 
@@ -602,7 +602,7 @@ def q_timings(spark, d):
     return streams.timings(read(spark, d, "events").select(F.col("user_id").alias("request_id"), (F.col("event_id") * 7919 % 5000).alias("at_ms")))
 
 
-@query()
+@query(_split(400))
 def q_passages_packed(spark, d):
     """Passages whose blocks meet the limit exactly; tests compare them with a plain version."""
     return passages.split(_corpus(spark, d), 100)

@@ -171,3 +171,17 @@ def test_the_last_event_is_sent_by_the_clock(spark, tmp_path):
         run.stop()
     assert {(k, e) for k, e, _ in got} == {(r["key"], r["event_id"]) for r in clock.throttle(whole, 500).collect()}
     assert {(k, e) for k, e, final in got if final} == {("a", 5), ("b", 6)}
+
+
+def test_the_query_of_replies_against_a_fold_by_hand(spark):
+    from quarry.plans import catalogue, checked
+
+    items = sorted((r.asDict() for r in checked._items(spark, "/root/testdata/sf0.001").collect()), key=lambda x: x["pos"])
+    expected, now = [], {}
+    for x in items:
+        one = now.setdefault(x["request_id"], folds.Reply())
+        if one is not None:
+            expected += [(x["request_id"], *y) for y in one.step(x)]
+            now[x["request_id"]] = None if one.over else one
+    got = catalogue.QUERIES["q_reply"](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(expected, key=repr)
