@@ -368,16 +368,20 @@ def q_dominant_type(spark, d):
     return store.dominant_type(read(spark, d, "events").select(F.col("user_id").alias("model"), (F.col("event_id") * 7 % 5).alias("tensor_type")))
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 3 THEN NULL ELSE 'o' || page_id || '/n' END AS repo, CASE page_id % 4 WHEN 1 THEN 'main' WHEN 2 THEN 'v' || page_id END AS revision, CASE page_id % 4 WHEN 1 THEN 'm.gguf' END AS file FROM pages""")
+@query(r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages),
+t AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN p WHEN 1 THEN p || ['blob', 'main', host] WHEN 2 THEN p || ['tree', 'v' || page_id] WHEN 3 THEN [host] || p ELSE p || ['issues'] END AS p FROM u),
+k AS (SELECT page_id, p, len(p) AS n, p[3] AS kind FROM t),
+s AS (SELECT page_id, p, n = 2 OR (n = 3 AND kind = 'tree') OR (n = 4 AND kind = 'tree') OR (n = 5 AND kind IN ('blob', 'resolve')) AS ok, (n = 4 AND kind = 'tree') OR (n = 5 AND kind IN ('blob', 'resolve')) AS revised, n = 5 AND kind IN ('blob', 'resolve') AS filed FROM k)
+SELECT page_id, CASE WHEN ok THEN p[1] || '/' || p[2] END AS repo, CASE WHEN revised THEN p[4] END AS revision, CASE WHEN filed THEN p[5] END AS file FROM s""")
 def q_parse_target(spark, d):
-    n, repo = F.col("page_id") % 4, F.concat(F.lit("o"), "page_id", F.lit("/n"))
-    target = (
-        F.when(n == 0, F.concat(F.lit(" "), repo, F.lit(" ")))
-        .when(n == 1, F.concat(F.lit("https://hub.example/"), repo, F.lit("/resolve/main/m.gguf?download=true#x")))
-        .when(n == 2, F.concat(F.lit("hub.example/"), repo, F.lit("/tree/v"), "page_id"))
-        .otherwise(F.concat(repo, F.lit("/issues/1")))
+    """Owner and name are the folders of the pages' URLs."""
+    n = F.col("page_id")
+    host, inside = F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1)
+    shapes = F.array(
+        inside, F.concat(F.lit("https://hub.example/"), inside, F.lit("/blob/main/"), host), F.concat(F.lit("http://hub.example/"), inside, F.lit("/tree/v"), n, F.lit("?x#y")), F.col("url"), F.concat(F.lit("hub.example/"), inside, F.lit("/issues/"))
     )
-    return read(spark, d, "pages").select("page_id", store.parsed_target(target, ("hub.example",)).alias("x")).select("page_id", "x.repo", "x.revision", "x.file")
+    found = store.parsed_target(F.get(shapes, (n % 5).cast("int")), ("hub.example",))
+    return read(spark, d, "pages").select("page_id", found["repo"].alias("repo"), found["revision"].alias("revision"), found["file"].alias("file"))
 
 
 # --- wire formats ------------------------------------------------------------------------------------------------
@@ -468,9 +472,11 @@ def q_html_text(spark, d):
     return read(spark, d, "pages").select("page_id", markup.html_to_text(F.col("html")).alias("text"))
 
 
-@query("""SELECT doc_id, doc_id || chr(10) || lang || chr(10) AS code FROM documents""")
+@query("""WITH t AS (SELECT doc_id, regexp_replace(text, '(^|\\n)\\s*$', '') AS code, text FROM documents)
+SELECT doc_id, CASE WHEN code = '' THEN '' ELSE code || chr(10) END AS code FROM t UNION ALL SELECT doc_id, doc_id || chr(10) FROM documents""")
 def q_code_blocks(spark, d):
-    text = F.concat(F.lit("# t\n\n```py\n"), "doc_id", F.lit("\n"), "lang", F.lit("\n```\ntext `x`\n"))
+    """Each document's text in a fence, and its number as an indented block."""
+    text = F.concat(F.lit("# t\n\n~~~py\n"), "text", F.lit("\n~~~\ntext `x`\n\n    "), "doc_id", F.lit("\n\nend"))
     return read(spark, d, "documents").select("doc_id", F.explode(markup.code_blocks(text)).alias("code"))
 
 
@@ -505,13 +511,18 @@ def q_list_dir(spark, d):
     return office.listings(read(spark, d, "documents").select(F.col("source").alias("folder"), name.alias("name"), (F.col("doc_id") % 3 == 0).alias("is_folder")))
 
 
-@query("""SELECT doc_id, doc_id % 6 IN (0, 1, 3) AS ignored, doc_id % 6 IN (2, 4) AS accepted FROM documents""")
+@query(r"""WITH p AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
+f AS (SELECT page_id, parts || [CASE WHEN page_id % 3 = 0 THEN 'note.md' ELSE 'data.log' END] AS parts FROM p),
+i AS (SELECT page_id, parts, len(list_filter(range(1, len(parts) + 1), lambda k: CASE WHEN parts[k] = 'note.md' AND k = 3 AND parts[1] = 'es' THEN true WHEN ends_with(parts[k], '25') THEN false
+  WHEN regexp_matches(parts[k], '[0-4]$') THEN true WHEN k < len(parts) AND parts[k] = 'fr' THEN true ELSE false END)) > 0 AS ignored FROM f)
+SELECT page_id, ignored, NOT ignored AND parts[len(parts)] = 'note.md' AS accepted FROM i""")
 def q_ignore_rules(spark, d):
-    n = F.col("doc_id") % 6
-    tail = F.get(F.array(*map(F.lit, ["target/a.py", "b/c.log", "keep.log", "x/y/build/z.md", "src/m.rs", "photo.bin"])), n.cast("int"))
-    path = F.concat("source", F.lit("/"), tail)
-    rules = ["# built", "target/", "*.log", "!keep.log", "**/build"]
-    return read(spark, d, "documents").select("doc_id", ignore.ignored(path, rules).alias("ignored"), (files.accepted(path, ["code", "log"]) & ~ignore.ignored(path, rules)).alias("accepted"))
+    """Files below the folders that the pages' URLs name."""
+    folder = F.filter(F.split(F.regexp_extract("url", "^[a-z]+://[^/]+/([^?#]*)", 1), "/"), lambda x: x != "")
+    path = F.array_join(F.array_append(folder, F.when(F.col("page_id") % 3 == 0, "note.md").otherwise("data.log")), "/")
+    rules = ["# by name", "fr/", "*[0-4]", "!*25", "/es/?*/note.md", "[z-a]"]
+    left_out = ignore.ignored(path, rules)
+    return read(spark, d, "pages").select("page_id", left_out.alias("ignored"), (files.accepted(path, ["md"]) & ~left_out).alias("accepted"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'unsupported' WHEN n_chars * 300 > CASE WHEN doc_id % 3 = 1 THEN 52428800 ELSE 2097152 END THEN 'too large' END AS reason FROM documents""")
@@ -520,11 +531,9 @@ def q_skip_reason(spark, d):
     return read(spark, d, "documents").select("doc_id", files.skip_reason(path, F.col("n_chars") * 300).alias("reason"))
 
 
-@query("""SELECT doc_id, 'srv_' || lang || '_x' AS name, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || chr(10) || '[…]' ELSE text END AS cut FROM documents""")
+@query("""SELECT doc_id, substr(regexp_replace(source || '_' || text, '[^A-Za-z0-9_-]', '_', 'g'), 1, 64) AS name, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || chr(10) || '[…]' ELSE text END AS cut FROM documents""")
 def q_cut_and_name(spark, d):
-    return read(spark, d, "documents").select(
-        "doc_id", C.exposed_name(F.lit("srv"), F.concat("lang", F.lit("éx"))).alias("name"), C.truncated(F.col("text"), 200).alias("cut")
-    ).withColumn("name", F.regexp_replace("name", "_+x$", "_x"))
+    return read(spark, d, "documents").select("doc_id", C.exposed_name(F.col("source"), F.col("text")).alias("name"), C.truncated(F.col("text"), 200).alias("cut"))
 
 
 @query("""SELECT doc_id, CASE WHEN b < 1024 THEN b || ' o' WHEN b < 1048576 THEN (b + 512) // 1024 || ' ko' ELSE '-' END AS size, replace(printf('%.4f', doc_id * 100 / 1000000.0), '.', ',') || ' €' AS cost

@@ -105,3 +105,14 @@ def test_a_collection_goes_everywhere(spark):
     turns = spark.createDataFrame([(c, t) for c in (1, 2) for t in range(4)], "conv_id long, turn long")
     marks = spark.createDataFrame([(1, 1), (1, 2), (3, 0)], "conv_id long, turn long")
     assert sorted(map(tuple, messages.after(turns, marks).collect())) == [(1, 3)] and sorted(map(tuple, messages.before(turns, marks).collect())) == [(1, 0)]
+
+
+def test_targets_in_all_shapes(spark):
+    from quarry.operators import store
+
+    shapes = {
+        " o/n ": ("o/n", None, None), "https://hub.example/o/n/resolve/main/m.gguf?download=true#x": ("o/n", "main", "m.gguf"), "hub.example/o/n/tree/v1/": ("o/n", "v1", None),
+        "o/n/tree": ("o/n", None, None), "o/n/issues/1": None, "https://other.example/o/n": None, "o": None, "": None,
+    }
+    df = spark.createDataFrame([(t,) for t in shapes], "t string").select("t", store.parsed_target(F.col("t"), ("hub.example",)).alias("x"))
+    assert {r["t"]: tuple(r["x"]) if r["x"] else None for r in df.collect()} == shapes
