@@ -8,8 +8,9 @@ is some window's prefix; an equality join brings both together, the shingle's pl
 that the window would take (bounded by the document's length), and the words are compared exactly.
 
 Shingles are recognised by 64-bit hashes; every hit is verified by its words, so collisions cost time, not results.
-The hashes that documents look for go to every task in blocks of about `BROADCAST_SHINGLES`, one pass over the
-documents for each block; one block holds the windows of tens of thousands of items. Equal texts are judged once.
+What documents look for goes to every task as a bit table of a fixed size (two bits for each shingle); the shingles that
+pass it, all that are looked for and few others, meet the shingle table by a join. Documents are read twice, however many
+items there are. Equal texts of a batch are parsed once.
 
 Defined results: a null or empty text has no words, as has a null item, which has no window; repeated items and rows
 count as given; a null item_id can contaminate but isn't listed; other columns are ignored; without benchmark rows
@@ -19,7 +20,6 @@ nothing is hit.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from quarry.llm import io
 from quarry.llm.text import ALNUM, Ranges, lower_ascii, signed, steps, utf8, words
 
 WINDOW, SHINGLE = 10, 3
-#: Hashes of a block (8 bytes each).
-BROADCAST_SHINGLES = 1_000_000
+#: Bits of the table that goes to every task, and bytes of it that one row carries.
+BITS, CHUNK = 1 << 26, 1 << 12
 
 
 def shingle_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -79,46 +79,74 @@ def _hashes(batch: pa.RecordBatch, widths: list[int]) -> tuple:
     return data, start, end, first, out
 
 
-def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(wanted):
-        return np.empty(0, np.int64)
-    # a table of the hashes' low 20 bits first: nearly all shingles stop there
-    low = np.zeros(1 << 20, bool)
-    low[wanted & 0xFFFFF] = True
-    at = np.flatnonzero(low[values & 0xFFFFF])
-    place = np.minimum(np.searchsorted(wanted, values[at]), len(wanted) - 1)
-    return at[wanted[place] == values[at]]
+def _places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash."""
+    h = values.view(np.uint64)
+    return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) * np.uint64(0x9E3779B1) % np.uint64(bits)).astype(np.int64)
 
 
-def blocks_of(shingles: DataFrame) -> list[np.ndarray]:
-    """The distinct hashes, sorted, in blocks."""
-    distinct = io.checkpointed(shingles.select("shingle").distinct())
-    n = max(1, -(-distinct.count() // BROADCAST_SHINGLES))
-    block = F.pmod(F.xxhash64("shingle"), F.lit(n))
-    return [np.sort(np.array([r[0] for r in distinct.filter(block == i).collect()], np.int64)) for i in range(n)]
+def _among(values: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The places of the hashes whose bits are set."""
+    one, other = _places(values, 8 * len(marks))
+    at = np.flatnonzero(marks[one >> 3] >> (one & 7).astype(np.uint8) & 1)
+    other = other[at]
+    return at[(marks[other >> 3] >> (other & 7).astype(np.uint8) & 1).astype(bool)]
 
 
-def frequencies(texts: DataFrame, wanted: np.ndarray, widths: list[int]) -> DataFrame:
-    """How often each wanted shingle occurs over all texts; counted in each task first."""
+def marks_of(shingles: DataFrame) -> np.ndarray:
+    """The bit table of a column of hashes; tasks set bits, and BITS of them reach the driver."""
+    bits = BITS
+    size = min(CHUNK, bits // 8)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            for places in _places(batch.column("shingle").to_numpy(), bits):
+                np.bitwise_or.at(table, places >> 3, (1 << (places & 7)).astype(np.uint8))
+        chunks = table.reshape(-1, size)
+        some = np.flatnonzero(chunks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([chunks[k].tobytes() for k in some], pa.binary())], ["chunk", "bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column("chunk").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                own[k] = own.get(k, 0) | np.frombuffer(raw, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["chunk", "bits"])
+
+    parts = shingles.select("shingle").mapInArrow(mark, "chunk long, bits binary").repartition("chunk")
+    out = np.zeros((bits // 8 // size, size), np.uint8)
+    for r in parts.mapInArrow(unite, "chunk long, bits binary").collect():
+        out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def frequencies(texts: DataFrame, marks: np.ndarray, widths: list[int]) -> DataFrame:
+    """How often each marked shingle (and a few others) occurs over all texts; counted in each task first."""
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             for _, hashes in _hashes(batch, widths)[-1]:
-                found, n = np.unique(hashes[_among(hashes, wanted)], return_counts=True)
+                found, n = np.unique(hashes[_among(hashes, shared.value)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
 
     return texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def occurrences(texts: DataFrame, prefixes: np.ndarray, widths: list[int], reach: int) -> DataFrame:
-    """One row per text: key, n_words, and its prefix shingles with the words around (`reach` on either side)."""
+def occurrences(texts: DataFrame, marks: np.ndarray, widths: list[int], reach: int) -> DataFrame:
+    """One row per distinct text of a batch: key, n_words, and its marked shingles with the words around (`reach` on either
+    side)."""
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for whole in steps(batches):
+            _, first_of = np.unique(np.array(whole.column("key").to_pylist(), object), return_index=True)
+            batch = whole.take(pa.array(np.sort(first_of)))
             data, start, end, first, found = _hashes(batch, widths)
             raw, per_row = data.tobytes(), [[] for _ in range(batch.num_rows)]
             for at, hashes in found:
-                for j in _among(hashes, prefixes).tolist():
+                for j in _among(hashes, shared.value).tolist():
                     word = int(at[j])
                     row = int(np.searchsorted(first, word, "right")) - 1
                     a, b = max(int(first[row]), word - reach), min(int(first[row + 1]), word + reach)
@@ -142,7 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     widths = [int(r["w"]) for r in windows.select(F.least("size", F.lit(SHINGLE)).alias("w")).distinct().collect()]
     texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     shingles = windows.select(F.explode("shingles").alias("shingle"))
-    rarity = reduce(DataFrame.unionAll, [frequencies(texts, block, widths) for block in blocks_of(shingles)])
+    rarity = frequencies(texts, marks_of(shingles), widths)
     listed = windows.select("item_id", "words", "size", F.posexplode("shingles").alias("place", "shingle"))
     rank = Window.partitionBy("words").orderBy(F.coalesce("n", F.lit(0)), "shingle", "place")
     prefix = (
@@ -156,7 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )
     prefix = io.checkpointed(prefix)
     # written, as both the hits and the numbers of words are read from it
-    found = io.written(reduce(DataFrame.unionAll, [occurrences(texts, block, widths, window) for block in blocks_of(prefix)]))
+    found = io.written(occurrences(texts, marks_of(prefix), widths, window))
     around = F.split("around", " ")
     hits = (
         found.filter(F.size("found") > 0)

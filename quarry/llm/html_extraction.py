@@ -236,13 +236,20 @@ CONTENT = (
     '<article y=1><h1>{m}</h1><p>{s}</p></article>',
     '<article y=1>{l}</article>',
     '<div y=1 class="post">{l}<br>{m}</div>',
+    '<article y=1><h1>{s}</h1><dl><dt>{s}</dt><dd>{m}</dd><dt>{s}</dt><dd>{l}</dd></dl><p>{m}</p></article>',
+    '<div y=1 class="page-body"><h1>{s}</h1><table><tr><th>{s}</th><th>{s}</th></tr><tr><td>{m}</td><td>{m}</td></tr></table><p>{l}</p></div>',
+    '<article y=1><h1>{s}</h1><p>{l}</p><p>{m}</p><section y=0 class="replies"><h3>{s}</h3><div><p>{l}</p></div><div><p>{m}</p></div></section></article>',
+    '<main y=1><article><h1>{s}</h1><p>{l}</p></article><div y=0 class="responses"><ol><li>{m}</li><li>{m}</li></ol></div></main>',
+    '<div y=1><h1>{s}</h1><p>{l}</p><div>{m}</div><p>{l}</p></div>',
+    '<main y=1><p>{l}</p><h3>{s}</h3><ul><li>{m}</li><li>{m}</li><li>{s}</li></ul><section><h3>{s}</h3><p>{l}</p></section></main>',
 )
 BEFORE = (
     "<nav>{n}</nav>", '<header><p>{s}</p>{n}</header>', '<div class="header top">{s}</div>', '<div class="menu nav">{n}</div>',
     '<div class="ad">{m}</div>', '<div class="banner advert promo"><p>{m}</p></div>', '<div id="cookie-notice" class="notice consent"><p>{m}</p></div>',
     '<ul class="breadcrumb"><li>{a}</li><li>{a}</li></ul>', '<form class="search"><label>{s}</label></form>', '<div class="ads sponsor">{l}</div>',
     '<div role="navigation">{n}</div>', '<header class="masthead"><h1>{s}</h1><p>{m}</p></header>', '<div class="cookie banner">{m} {a}</div>',
-    '<div class="alert notice">{m}</div>', '<div class="advertisement"><p>{l}</p></div>',
+    '<div class="alert notice">{m}</div>', '<div class="advertisement"><p>{l}</p></div>', '<div>{s} {a} {a}</div>', '<p>{a} {s} {a}</p>',
+    '<div class="box">{a} {s}</div>', '<div role="alert">{m}</div>',
 )
 AFTER = (
     "<footer>&copy; {s} {m}</footer>", "<footer><p>{m}</p>{n}</footer>", '<aside><h3>{s}</h3>{n}</aside>', '<div class="sidebar"><h3>{s}</h3><p>{m}</p>{n}</div>',
@@ -251,10 +258,13 @@ AFTER = (
     '<form class="newsletter subscribe"><p>{m}</p></form>', '<div class="related">{n}</div>', '<aside class="sidebar widget"><p>{l}</p></aside>',
     '<div class="pagination">{a} {a}</div>', '<form><p>{m}</p><label>{s}</label></form>', '<div class="copyright legal">{m}</div>',
     '<section id="reader-comments" class="discussion responses"><article class="comment"><p>{l}</p></article></section>',
+    '<div>{n}</div>', '<p>{s} {a}</p>', '<div class="meta">{a} {s} {a}</div>', '<div role="contentinfo">{m}</div>', '<div class="discussion"><div><p>{m}</p></div><div><p>{l}</p></div></div>',
 )
 
 
-def labelled_pages(seed: int = 7) -> Iterator[tuple[Page, np.ndarray]]:
+def labelled_pages(
+    seed: int = 7, content: tuple = CONTENT, before_it: tuple = BEFORE, after_it: tuple = AFTER
+) -> Iterator[tuple[Page, np.ndarray]]:
     """Pages of the templates with the label of each node; other seeds give other words and other neighbours."""
     random = np.random.default_rng(seed)
 
@@ -274,9 +284,9 @@ def labelled_pages(seed: int = 7) -> Iterator[tuple[Page, np.ndarray]]:
         return re.sub(r"\{(\w)\}", lambda m: kinds[m[1]](), template)
 
     for k in range(8):
-        for body in CONTENT:
-            before = "".join(BEFORE[i] for i in random.permutation(len(BEFORE))[: random.integers(0, 4)])
-            after = "".join(AFTER[i] for i in random.permutation(len(AFTER))[: random.integers(0, 4)])
+        for body in content:
+            before = "".join(before_it[i] for i in random.permutation(len(before_it))[: random.integers(0, 4)])
+            after = "".join(after_it[i] for i in random.permutation(len(after_it))[: random.integers(0, 4)])
             inner = fill(before + body + after)
             page = Page(f"<html><body>{inner}</body></html>" if k % 3 else f'<html><body><div id="page" class="wrapper">{inner}</div></body></html>')
             label = np.zeros(len(page.tag))
@@ -286,9 +296,12 @@ def labelled_pages(seed: int = 7) -> Iterator[tuple[Page, np.ndarray]]:
             yield page, label
 
 
-def fit(rounds: int = 60, rate: float = 1.5, decay: float = 0.002) -> tuple[dict[str, float], np.ndarray]:
-    """Weights of the features and the pair potential, by gradient ascent on the likelihood of the labelled pages."""
-    pages = [(p.parent, p.features(), y) for p, y in labelled_pages()]
+def fit(
+    labelled: list[tuple[Page, np.ndarray]] | None = None, rounds: int = 60, rate: float = 1.5, decay: float = 0.002
+) -> tuple[dict[str, float], np.ndarray]:
+    """Weights of the features and the pair potential, by gradient ascent on the likelihood of the labelled pages (those of
+    all templates)."""
+    pages = [(p.parent, p.features(), y) for p, y in (labelled_pages() if labelled is None else labelled)]
     names = {x: i for i, x in enumerate(sorted({f for _, fs, _ in pages for row in fs for f in row}))}
     rows = [[np.array([names[f] for f in row]) for row in fs] for _, fs, _ in pages]
     flat = [(np.concatenate(r), np.repeat(np.arange(len(r)), [len(x) for x in r])) for r in rows]

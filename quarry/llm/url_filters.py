@@ -29,13 +29,19 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: (expression over host and path, literal token that every match contains): gambling, pills, spam, trackers.
-PATTERNS = (
-    (r"^([^/]*[.-])?casino[.-][^/]*", "casino"),
-    (r"^([^/]*[.-])?pills[.-][^/]*", "pills"),
-    (r"^([^/]*[.-])?spam[.-][^/]*", "spam"),
-    (r"^([^/]*[.-])?ads[.-][^/]*", "ads"),
-)
+#: Words of hosts that nobody wants to learn from: gambling, medicine, loans, adult sites, pirated files, trackers, spam.
+WORDS = (
+    "casino casinos poker roulette blackjack baccarat jackpot slots slot betting sportsbet bookmaker bookmakers lotto lottery bingo gamble gambling "
+    "pills pill pharmacy viagra cialis levitra xanax tramadol steroids dietpills weightloss "
+    "payday cashadvance quickloan quickloans fastcash easymoney getrich forex binaryoptions cryptodoubler giveaway freegift "
+    "porn porno xxx sexcam sexcams livesex escorts milf hentai camgirls nudes "
+    "warez crackz keygen keygens serialz nulled torrent torrents rapidgator "
+    "ads adserver adservers adclick adsystem adtrack banner banners popunder popads clicktrack doubleclick tracker trackers pixel "
+    "spam spammer bulkmail linkfarm seolinks backlinks autoblog doorway phishing malware ransomware spyware toolbar"
+).split()
+#: (expression over host and path, literal token that every match contains): a label of the host, or a part of one between
+#: dashes, that isn't its last, is one of the words.
+PATTERNS = tuple((rf"^([^/]*[.-])?{word}[.-][^/]*", word) for word in WORDS)
 #: Rules are a parameter of the call; up to so many go to every executor, more are joined by a shuffle.
 BROADCAST_RULES = 10_000
 
@@ -159,7 +165,7 @@ p AS (SELECT row_number() OVER () AS n, page_id,
 fit AS (SELECT n, rule, v, row_number() OVER (PARTITION BY n ORDER BY length(rule) DESC, rule DESC) AS k
   FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT p.page_id, p.host, p.path, f.rule,
-  coalesce(f.v, CASE WHEN regexp_matches(p.host, '(^|[.-])(casino|pills|spam|ads)[.-]') THEN 'block' ELSE 'allow' END)
+  coalesce(f.v, CASE WHEN regexp_matches(p.host, '(^|[.-])(WORDS)[.-]') THEN 'block' ELSE 'allow' END)
     AS verdict
 FROM p LEFT JOIN fit f ON p.n = f.n AND f.k = 1
-"""
+""".replace("WORDS", "|".join(WORDS))

@@ -199,7 +199,7 @@ def pieces(rows: list[tuple], path: str) -> list[tuple]:
     return [(i, len(x), sha256(np.array(x, "<i4").tobytes())) for (i, _), x in zip(rows, encoded, strict=True)]
 
 
-def verdict(url: str | None) -> tuple[str, str, str | None, str]:
+def verdict(url: str | None, words: tuple[str, ...] = ()) -> tuple[str, str, str | None, str]:
     """host, path, rule, verdict"""
     rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
     rest = url.split("://", 1)[1] if url and "://" in url else ""
@@ -213,7 +213,7 @@ def verdict(url: str | None) -> tuple[str, str, str | None, str]:
     if fitting:
         rule = max(fitting, key=len)
         return host, path, rule, rules[rule]
-    return host, path, None, "block" if re.search(r"(^|[.-])(casino|pills|spam|ads)[.-]", host) else "allow"
+    return host, path, None, "block" if set(re.split("[.-]", host)[:-1]) & set(words) else "allow"
 
 
 def jaccard(rows: list[tuple], size: int = 3, share: tuple[int, int] = (9, 10)) -> list[tuple]:
