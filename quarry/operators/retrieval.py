@@ -157,7 +157,8 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = CANDIDATES) -> Da
     if blocks == 1:
         return block(questions)
     share = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    return reduce(DataFrame.unionAll, [block(questions.filter(share == i)) for i in range(blocks)])
+    # one block's questions are held at a time
+    return reduce(DataFrame.unionAll, [tables.written(block(questions.filter(share == i))) for i in range(blocks)])
 
 
 def keyword(texts: DataFrame, questions: DataFrame, k: int = CANDIDATES, keep: Column | None = None, index: postings.Index | None = None) -> DataFrame:
@@ -169,7 +170,10 @@ def keyword(texts: DataFrame, questions: DataFrame, k: int = CANDIDATES, keep: C
     index = index or postings.build(texts, keep)
     blocks = max(1, -(-questions.count() // BROADCAST_QUESTIONS))
     share = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    parts = [postings.search(index, questions.filter(share == i) if blocks > 1 else questions, k) for i in range(blocks)]
+    if blocks == 1:
+        return ranked(postings.search(index, questions, k), k)
+    # one block's questions are held at a time
+    parts = [tables.written(postings.search(index, questions.filter(share == i), k)) for i in range(blocks)]
     return ranked(reduce(DataFrame.unionAll, parts), k)
 
 

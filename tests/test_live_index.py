@@ -165,3 +165,12 @@ def test_prefixes_are_ranges_of_the_dictionary(spark):
     assert got == sorted((t, k) for t in terms for k, p in enumerate(prefixes) if t.startswith(p))
     plan = postings.lookup(postings.dictionary(df), ["a"])._jdf.queryExecution().toString()
     assert "Generate" not in plan and "NestedLoop" not in plan
+
+
+def test_questions_in_blocks(spark, monkeypatch):
+    texts = [(k, words(k, 30), "s") for k in range(60)]
+    df = spark.createDataFrame(texts, "key long, text string, source string").repartition(3)
+    asked = spark.createDataFrame([(q, words(700 + q, 6)) for q in range(11)], "question_id long, text string")
+    whole = answers(retrieval.hybrid(df, asked))
+    monkeypatch.setattr(retrieval, "BROADCAST_QUESTIONS", 3)
+    assert answers(retrieval.hybrid(df, asked)) == whole
