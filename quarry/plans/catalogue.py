@@ -573,29 +573,34 @@ def q_blocks(spark, d):
     )
 
 
-def _split(most: int) -> str:
+def _split(most: int, sections: bool = False, table: str = "documents") -> str:
     """Lines into blocks, blocks into passages of up to `most` characters, one step of a recursion for each."""
-    return f"""WITH RECURSIVE l AS (SELECT doc_id AS key, regexp_replace(unnest(string_split(text, chr(10))), '\\r$', '') AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-g AS (SELECT *, sum(CASE WHEN regexp_matches(line, '\\S') THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY n) AS run FROM l),
-o AS (SELECT key, n, run, length(line) > {most} AS long, unnest(range(0, greatest(1, length(line)), {most})) AS start, line FROM g WHERE regexp_matches(line, '\\S')),
-e AS (SELECT key, n, run, long, substr(line, CAST(start + 1 AS BIGINT), {most}) AS piece, row_number() OVER w AS i, lead(run) OVER w IS DISTINCT FROM run AS last FROM o WINDOW w AS (PARTITION BY key ORDER BY n, start)),
-walk AS (SELECT key, i, piece AS cur, n AS beg, n, last, CAST(NULL AS VARCHAR) AS done, n AS a, n AS b FROM e WHERE i = 1
-  UNION ALL SELECT e.key, e.i, CASE WHEN w.last OR length(w.cur) + 1 + length(e.piece) > {most} THEN e.piece ELSE w.cur || chr(10) || e.piece END,
-    CASE WHEN w.last OR length(w.cur) + 1 + length(e.piece) > {most} THEN e.n ELSE w.beg END, e.n, e.last,
-    CASE WHEN w.last OR length(w.cur) + 1 + length(e.piece) > {most} THEN w.cur END, w.beg, CASE WHEN w.last THEN w.n WHEN e.long THEN e.n ELSE e.n - 1 END
+    head = "regexp_matches(line, '^\\s*#{1,6} .*\\S')" if sections else "false"
+    fresh = f"(w.last OR length(w.cur) + 1 + length(e.piece) > {most})"
+    place = "CASE WHEN {0}.title IS NULL THEN 'début' ELSE '§ ' || {0}.title END" if sections else "'L' || {0}.first || '-' || {0}.last"
+    return f"""WITH RECURSIVE l AS (SELECT doc_id AS key, regexp_replace(unnest(string_split(text, chr(10))), '\\r$', '') AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM {table}),
+h AS (SELECT *, {head} AS head FROM l),
+g AS (SELECT *, sum(CASE WHEN head OR before OR NOT regexp_matches(line, '\\S') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY n) AS run FROM (SELECT *, coalesce(lag(head) OVER (PARTITION BY key ORDER BY n), false) AS before FROM h)),
+o AS (SELECT key, n, run, head, NOT head AND length(line) > {most} AS long, unnest(range(0, CASE WHEN head THEN 1 ELSE greatest(1, length(line)) END, {most})) AS start, line FROM g WHERE regexp_matches(line, '\\S')),
+e AS (SELECT key, n, run, long, CASE WHEN head THEN trim(line) ELSE substr(line, CAST(start + 1 AS BIGINT), {most}) END AS piece, row_number() OVER w AS i, lead(run) OVER w IS DISTINCT FROM run AS last,
+  last_value(CASE WHEN head THEN trim(regexp_extract(line, '^\\s*#{{1,6}} (.*)$', 1)) END IGNORE NULLS) OVER (PARTITION BY key ORDER BY n, start ROWS UNBOUNDED PRECEDING) AS title,
+  head AND regexp_matches(line, '^\\s*#{{1,2}} ') AS opens FROM o WINDOW w AS (PARTITION BY key ORDER BY n, start)),
+walk AS (SELECT key, i, piece AS cur, n AS beg, n, last, title, opens, CAST(NULL AS VARCHAR) AS done, n AS a, n AS b, title AS done_title, opens AS done_opens FROM e WHERE i = 1
+  UNION ALL SELECT e.key, e.i, CASE WHEN {fresh} THEN e.piece ELSE w.cur || chr(10) || e.piece END, CASE WHEN {fresh} THEN e.n ELSE w.beg END, e.n, e.last, e.title, e.opens,
+    CASE WHEN {fresh} THEN w.cur END, w.beg, CASE WHEN w.last THEN w.n WHEN e.long THEN e.n ELSE e.n - 1 END, w.title, w.opens
   FROM walk w JOIN e ON e.key = w.key AND e.i = w.i + 1),
 ends AS (SELECT key, max(i) AS i FROM e GROUP BY key),
-blocks AS (SELECT key, text, a, b, row_number() OVER (PARTITION BY key ORDER BY i) AS j FROM (SELECT key, i, done AS text, a, b FROM walk WHERE done IS NOT NULL
-  UNION ALL SELECT w.key, w.i + 1, w.cur, w.beg, w.n FROM walk w JOIN ends ON ends.key = w.key AND ends.i = w.i) WHERE regexp_matches(text, '\\S')),
-pack AS (SELECT key, j, text AS held, length(text) + 2 AS size, 1 AS n, 0 AS old, a AS first, b AS last, text AS tail, a AS tail_a, CAST(NULL AS VARCHAR) AS done, '' AS place FROM blocks WHERE j = 1
+blocks AS (SELECT key, text, a, b, title, opens, row_number() OVER (PARTITION BY key ORDER BY i) AS j FROM (SELECT key, i, done AS text, a, b, done_title AS title, done_opens AS opens FROM walk WHERE done IS NOT NULL
+  UNION ALL SELECT w.key, w.i + 1, w.cur, w.beg, w.n, w.title, w.opens FROM walk w JOIN ends ON ends.key = w.key AND ends.i = w.i) WHERE regexp_matches(text, '\\S')),
+pack AS (SELECT key, j, text AS held, length(text) + 2 AS size, 1 AS n, 0 AS old, a AS first, b AS last, title, text AS tail, a AS tail_a, title AS tail_title, opens AS tail_opens, CAST(NULL AS VARCHAR) AS done, '' AS place FROM blocks WHERE j = 1
   UNION ALL SELECT key, j, CASE WHEN again THEN tail || chr(10) || chr(10) || text WHEN full_ THEN text ELSE held || chr(10) || chr(10) || text END,
     length(text) + 2 + CASE WHEN again THEN length(tail) + 2 WHEN full_ THEN 0 ELSE size END, CASE WHEN again THEN 2 WHEN full_ THEN 1 ELSE n + 1 END, CASE WHEN again THEN 1 WHEN full_ THEN 0 ELSE old END,
-    CASE WHEN again THEN tail_a WHEN full_ THEN a ELSE first END, b, text, a, CASE WHEN full_ THEN held END, 'L' || first || '-' || last
-  FROM (SELECT *, full_ AND length(tail) <= {most // 8} AS again FROM (SELECT p.* EXCLUDE (key, j, done, place), x.key, x.j, x.text, x.a, x.b, p.n > p.old AND p.size + length(x.text) + 2 > {most} AS full_
-    FROM pack p JOIN blocks x ON x.key = p.key AND x.j = p.j + 1))),
+    CASE WHEN again THEN tail_a WHEN full_ THEN a ELSE first END, b, CASE WHEN again THEN tail_title WHEN full_ THEN own ELSE title END, text, a, own, opens, CASE WHEN full_ THEN held END, {place.format("s")}
+  FROM (SELECT *, full_ AND NOT opens AND NOT tail_opens AND length(tail) <= {most // 8} AS again FROM (SELECT p.* EXCLUDE (key, j, done, place), x.key, x.j, x.text, x.a, x.b, x.title AS own, x.opens, p.n > p.old AND (x.opens OR p.size + length(x.text) + 2 > {most}) AS full_
+    FROM pack p JOIN blocks x ON x.key = p.key AND x.j = p.j + 1)) s),
 stops AS (SELECT key, max(j) AS j FROM blocks GROUP BY key),
 cut AS (SELECT key, j, place AS location, done AS passage FROM pack WHERE done IS NOT NULL
-  UNION ALL SELECT p.key, p.j + 1, 'L' || p.first || '-' || p.last, p.held FROM pack p JOIN stops ON stops.key = p.key AND stops.j = p.j WHERE p.n > p.old)
+  UNION ALL SELECT p.key, p.j + 1, {place.format("p")}, p.held FROM pack p JOIN stops ON stops.key = p.key AND stops.j = p.j WHERE p.n > p.old)
 SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY j) - 1 AS INTEGER) AS ordinal, location, passage FROM cut"""
 
 
@@ -604,9 +609,15 @@ def q_chunks_text(spark, d):
     return passages.split(_corpus(spark, d), 250)
 
 
-@query()
+_HEADED = "(SELECT doc_id, replace(text, '. ', '.' || chr(10) || repeat('#', CAST(doc_id % 4 + 1 AS INTEGER)) || ' ' || source || chr(10)) AS text FROM documents)"
+
+
+@query(_split(1000, True, _HEADED))
 def q_chunks_sections(spark, d):
-    return passages.split(_corpus(spark, d), 250, sections=True)
+    """Between its sentences each document gets headings, whose level goes by its number."""
+    mark = F.concat(F.lit(".\n"), F.repeat(F.lit("#"), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" "), "source", F.lit("\n"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.replace("text", F.lit(". "), mark).alias("text"))
+    return passages.split(docs, 250, sections=True)
 
 
 # --- streams -----------------------------------------------------------------------------------------------------
