@@ -96,7 +96,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     total = docs.count()
     partitions = min(MOST_PARTITIONS, max(64, -(-total // PARTITION_ROWS)))
     ranges = max(1, -(-total // (shards * RANGE_ROWS)))
-    homed = numbered.withColumn("home", F.pmod(_key(seed, *own, "copy"), F.lit(partitions)).cast("int"))
+    # written, as the counts and the ranks are both taken from it
+    homed = io.written(numbered.withColumn("home", F.pmod(_key(seed, *own, "copy"), F.lit(partitions)).cast("int")))
     counts = {r["home"]: r["count"] for r in homed.groupBy("home").count().collect()}
     matrix = communication_matrix([counts.get(p, 0) for p in range(partitions)], shards, seed)
     bounds = spark.createDataFrame(
@@ -112,6 +113,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
         .withColumn("range", (F.shiftrightunsigned("again", 11) * F.lit(ranges) / F.lit(1 << 53)).cast("int"))
         .select(*own, "copy", "shard", "range", "again")
     )
+    placed = io.written(placed)
     sizes = placed.groupBy("shard", "range").count()
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))

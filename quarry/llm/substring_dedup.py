@@ -170,7 +170,7 @@ def distinct_texts(own: DataFrame) -> DataFrame:
 
 
 def windows(marked: DataFrame, window: int) -> DataFrame:
-    """The windows that have to be compared: string (a hash), cid, and where the context speaks."""
+    """The windows that have to be compared: string and string_2 (128 bits of hash), cid, and where the context speaks."""
     half = (window - PHRASE) // 2
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def windows(marked: DataFrame, window: int) -> DataFrame:
             column = pa.array([_text(x) for x in batch.column("payload").to_pylist()], pa.string())
             data, offsets = utf8(column)
             start, end, first = words(data, offsets, SPACED)
-            chain = Ranges(Ranges(data)(start, end))
+            chains = [Ranges(Ranges(data, kind)(start, end), kind) for kind in (0, 1)]
             rows, starts, cids, times = [], [], [], []
             for i, marks in enumerate(batch.column("marks").to_pylist()):
                 for m in marks:
@@ -193,18 +193,18 @@ def windows(marked: DataFrame, window: int) -> DataFrame:
             place, take = first[row] + at, pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(signed(chain(place, place + window))),
+                    *[pa.array(signed(chain(place, place + window))) for chain in chains],
                     pa.array(np.concatenate(cids)),
                     *[batch.column(c).take(take) for c in ("k1", "k2", "least")],
                     pa.array(at.astype(np.int32)),
                     pa.array(np.concatenate(times)),
                 ],
-                ["string", "cid", "k1", "k2", "least", "start", "n"],
+                ["string", "string_2", "cid", "k1", "k2", "least", "start", "n"],
             )
 
     kind = marked.schema["least"].dataType.simpleString()
     return marked.select("k1", "k2", "least", "payload", "marks").mapInArrow(
-        compare, f"string long, cid long, k1 long, k2 long, least {kind}, start int, n long"
+        compare, f"string long, string_2 long, cid long, k1 long, k2 long, least {kind}, start int, n long"
     )
 
 
@@ -336,12 +336,12 @@ def dedup(docs: DataFrame, window: int = WINDOW, texts_too: bool = True) -> Data
     marks = contexts.groupBy("k1", "k2").agg(F.collect_list(F.struct("cid", "span", "twice", "left", "right")).alias("marks"))
     compared = io.written(windows(texts.join(marks.filter(F.exists("marks", lambda m: m["left"] | m["right"])), ["k1", "k2"]), window))
     owners = (
-        compared.groupBy("string")
+        compared.groupBy("string", "string_2")
         .agg(F.sum("n").alias("n"), F.min(F.struct("least", "k1", "k2", "start")).alias("owner"))
         .filter("n > 1")
-        .select("string", "owner.k1", "owner.k2", "owner.start")
+        .select("string", "string_2", "owner.k1", "owner.k2", "owner.start")
     )
-    owned = io.written(compared.select("string", "cid").join(owners, "string").groupBy("cid", "k1", "k2").agg(F.collect_set("start").alias("starts")))
+    owned = io.written(compared.select("string", "string_2", "cid").join(owners, ["string", "string_2"]).groupBy("cid", "k1", "k2").agg(F.collect_set("start").alias("starts")))
 
     calm = contexts.filter("twice").select("cid", "k1", "k2", settled(half).alias("run")).filter("run.a <= run.b")
     runs = calm.groupBy("k1", "k2").agg(F.collect_list("run").alias("runs"))
