@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where spark.checkpoint.dir is unset and the master is local, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Bytes of a batch of texts.
+ARROW_BYTES = 8_000_000
 #: A key with more than one in so many rows is heavy (so there are fewer than that many such keys); keys that it becomes.
 HEAVY, SALTS = 2_000, 64
 
@@ -49,6 +53,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let a session that has no limit of its own hand texts to Python in batches of `ARROW_BYTES` at most: both sides hold
+    some at a time, and the JVM twice as much while a batch grows."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(name) == default:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system, for the tasks beside it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def joined_evenly(many: DataFrame, few: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
     """`many` (with columns k1, k2 and span) and the columns of `few` that have its keys; `counts` says how many rows n
     of `many` each key has. Heavy keys are dealt over SALTS keys: their rows of `few` are repeated, and each row of

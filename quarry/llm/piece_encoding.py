@@ -8,8 +8,9 @@ their own. Each distinct unit is encoded once:
 - path: a forward fold (`aggregate`) over a unit's edges in order of their ends keeps one last edge for each prefix; a
   backward fold reads the path.
 
-The fold has the shape of Viterbi's, but sums no scores: the piece files are byte-pair models, whose scores are ranks of
-merges, and the path of the best sum isn't the one that merging gives. It admits an edge after a prefix's last edge only
+For unigram models the fold is Viterbi's: it keeps the best sum of scores of each prefix. For byte-pair models, as the
+public piece file is one, it has that shape but sums no scores, which are ranks of merges there; the path of the best sum
+isn't the one that merging gives. It admits an edge after a prefix's last edge only
 if no merge across their border would have come first: an edge of the lattice that crosses the border, made of a suffix
 of the one and a prefix of the other that both exist while merging, with a better rank than what they become part of.
 Exactly one edge passes for each prefix, and the path is the tokenizer's own.
@@ -78,9 +79,10 @@ def model_path() -> str:
 
 
 class Pieces:
-    """The pieces of a model, with the merges that make each of them."""
+    """The pieces of a model, with the merges that make each of them, or the scores of a `unigram` model. Of the latter, every
+    character that is inside a piece has to be one itself, and no piece may be of several blanks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, unigram: bool = False):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -98,6 +100,9 @@ class Pieces:
         self.blanks = {len(t): i for i, t in text.items() if set(t) == {BLANK}}
         self.rank = {t: int(-model.get_score(i)) for i, t in text.items() if len(t) == 1 or set(t) != {BLANK}}
         self.id = {t: i for i, t in text.items()}
+        self.unigram, self.score = unigram, {t: model.get_score(i) for i, t in text.items()}
+        if unigram and (max(self.blanks, default=0) != 1 or any(c not in self.id for t in self.id for c in t)):
+            raise ValueError("a unigram model needs a piece for each character, and none of several blanks")
         self.longest = max(map(len, self.rank))
         #: characters that join others; all others stand alone
         joined = {c for t in self.rank if len(t) > 1 for c in t} - {BLANK}
@@ -115,8 +120,25 @@ class Pieces:
         cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.pairs]
         return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
 
+    def best(self, unit: str) -> list[int]:
+        """The ids of the path with the best sum of scores (32-bit floats); of equal ones the longest last piece."""
+        if len(unit) == 1:
+            return [self.id[unit]] if unit in self.id else [self.bytes[b] for b in unit.encode()]
+        sums, last = [np.float32(0)] + [np.float32(-np.inf)] * len(unit), [0] * (len(unit) + 1)
+        for e in range(1, len(unit) + 1):
+            for s in range(max(0, e - self.longest), e):
+                if (p := unit[s:e]) in self.score and (total := sums[s] + np.float32(self.score[p])) > sums[e]:
+                    sums[e], last[e] = total, s
+        out, e = [], len(unit)
+        while e:
+            out.append(self.id[unit[last[e] : e]])
+            e = last[e]
+        return out[::-1]
+
     def merged(self, unit: str) -> list[int]:
         """The ids that merging gives: the best rank first, of equal ones the leftmost."""
+        if self.unigram:
+            return self.best(unit)
         n, rank, part = len(unit), self.rank, list(unit)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(rank[p], k, p) for k in range(n - 1) if (p := unit[k : k + 2]) in rank]
@@ -187,9 +209,46 @@ class Pieces:
         return out
 
 
+def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit and ids of the distinct units, by the scores of a unigram model: the lattice's path with the best sum."""
+    rows = [(t, pieces.id[t], pieces.score[t]) for t in pieces.rank]
+    table = units.sparkSession.createDataFrame(rows, "piece string, id int, score float").withColumn("key", F.xxhash64("piece"))
+    edges = (
+        units.filter("length(unit) > 1")
+        .select("unit", F.explode(F.sequence(F.lit(0), F.length("unit") - 1)).alias("s"))
+        .select("unit", "s", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length(unit) - s))")).alias("size"))
+        .withColumn("part", F.expr("substring(unit, s + 1, size)"))
+        .withColumn("key", F.xxhash64("part"))
+        .join(F.broadcast(table) if len(rows) <= BROADCAST_PIECES else table, "key")
+        .filter("piece >= part AND piece <= part")
+        .select("unit", F.struct((F.col("s") + F.col("size")).alias("e"), "s", "id", "score").alias("edge"))
+    )
+    lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    # edges come in order of their ends, then of their starts: of equal sums the first stays
+    forward = F.expr("""
+        aggregate(
+          transform(edges, (y, i) -> named_struct('y', y, 'i', i)),
+          named_struct('sums', transform(sequence(0, length(unit)), k -> if(k = 0, float(0), float('-infinity'))), 'best', array_repeat(-1, length(unit) + 1)),
+          (now, n) -> if(now.sums[n.y.s] + n.y.score > now.sums[n.y.e],
+            named_struct('sums', transform(now.sums, (x, k) -> if(k = n.y.e, now.sums[n.y.s] + n.y.score, x)), 'best', transform(now.best, (x, k) -> if(k = n.y.e, n.i, x))),
+            now),
+          now -> now.best)
+    """)
+    backward = F.expr("""
+        aggregate(
+          sequence(1, length(unit)),
+          named_struct('at', length(unit), 'ids', cast(array() as array<int>)),
+          (path, k) -> if(path.at = 0, path, named_struct('at', edges[best[path.at]].s, 'ids', array_append(path.ids, edges[best[path.at]].id))),
+          path -> reverse(path.ids))
+    """)
+    return lattice.withColumn("best", forward).select("unit", backward.alias("ids"))
+
+
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """unit and ids (of a single character: -1 - its code point) of the distinct units that hold a piece of two or more
     characters. `units` is partitioned by unit, and nothing here shuffles."""
+    if pieces.unigram:
+        return best_paths(units, pieces)
     rows = pieces.rows()
     kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
@@ -341,10 +400,12 @@ class Block:
         return b"".join(map(words.__getitem__, own))
 
 
-def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram: bool = False) -> DataFrame:
     """doc_id, n_pieces, pieces (ids), pieces_sha256 (of the ids as little-endian 32-bit integers), decoded (text) and
-    lossless (whether the text came back) of every document; `whole` false leaves pieces and decoded null."""
-    spark, pieces = docs.sparkSession, Pieces(path or model_path())
+    lossless (whether the text came back) of every document; `whole` false leaves pieces and decoded null. `unigram` says
+    that the model at `path` is one."""
+    spark, pieces = docs.sparkSession, Pieces(path or model_path(), unigram)
+    io.small_batches(spark)
     # plain values, which a worker reads once and not with every task
     state = spark.sparkContext.broadcast(vars(pieces))
 
@@ -372,9 +433,10 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
             parts = (x for u in found for x in (pieces.parts(u) if len(u) > LONG else (u,)) if 1 < len(x) <= LONG)
             while some := list(islice(parts, 20_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(np.full(len(some), block))], ["unit", "block"])
-            # what the block's texts took goes back to the system, for the tasks beside this one
-            pa.default_memory_pool().release_unused()
+            found.clear()
+            io.release()
 
+        io.release()
         seen: set[str] = set()
         found: set[str] = set()
         now = None
@@ -393,6 +455,7 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
             yield from rows_of(now, found)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        io.release()
         for block, batch in _blocks(batches):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.select(["doc_id", "text"]).schema) as out:
@@ -418,6 +481,7 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
                 held = []
         if held:
             yield flush()
+        io.release()
 
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     least = spark.sparkContext.defaultParallelism
@@ -430,11 +494,14 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True) -> Data
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, now = Block(shared()), None
+        io.release()
         for batch in batches:
             for i in range(batch.num_rows):
                 number, is_text = batch.column("block")[i].as_py(), batch.column("text")[i].as_py()
                 payload = batch.column("payload")[i].as_py()
                 if number != now:
+                    block = None
+                    io.release()
                     block, now = Block(shared()), number
                 if not is_text:
                     block.add(payload)

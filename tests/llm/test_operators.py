@@ -513,6 +513,49 @@ def test_piece_encoding_recovers_from_other_blocks(spark, monkeypatch):
     same(got, "doc_id n_pieces pieces_sha256", brute.pieces(rows, piece_encoding.model_path()))
 
 
+def unigram_model(path, scores):
+    """A unigram piece file with byte fallback: its messages written out field by field."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(number, value):
+        if isinstance(value, bytes):
+            return varint(number << 3 | 2) + varint(len(value)) + value
+        if isinstance(value, float):
+            return varint(number << 3 | 5) + struct.pack("<f", value)
+        return varint(number << 3) + varint(value)
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *[(f"<0x{b:02X}>", 0.0, 6) for b in range(256)], *[(t, s, 1) for t, s in scores.items()]]
+    pieces = b"".join(field(1, field(1, t.encode()) + field(2, float(s)) + field(3, kind)) for t, s, kind in rows)
+    # unigram with byte fallback; blanks before the text and in a row stay, and stand as U+2581
+    path.write_bytes(pieces + field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)))
+
+
+@pytest.mark.parametrize("long", [piece_encoding.LONG, 3])
+def test_unigram_encoding_by_the_best_sum(spark, tmp_path, monkeypatch, long):
+    r = random.Random(17)
+    scores = {c: -r.uniform(3, 9) for c in "abcdeé▁🦀"}
+    while len(scores) < 120:
+        scores["▁" * r.randint(0, 1) + "".join(r.choices("abcdeé", k=r.randint(1, 6)))] = -round(r.uniform(2, 12), 1)
+    unigram_model(tmp_path / "u.model", {t: s for t, s in scores.items() if t})
+    rows = [(k, prose(700 + k, 40)) for k in range(12)] + [(20, ""), (21, None), (22, "  a   b 🦀x zz"), (23, "abcdeé" * 60), (24, "a"), (25, " "), (26, "é z\nb\tc")]
+    path = str(tmp_path / "u.model")
+    expected = brute.pieces(rows, path)
+    assert sum(n for _, n, _ in expected) < sum(len(t or "") for _, t in rows)
+    monkeypatch.setattr(piece_encoding, "LONG", long)
+    got = piece_encoding.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, unigram=True)
+    same(got, "doc_id n_pieces pieces_sha256", expected)
+    assert got.filter("not lossless").count() == 0
+    with pytest.raises(ValueError):
+        unigram_model(tmp_path / "v.model", {"▁": -1.0, "ab": -2.0})
+        piece_encoding.Pieces(str(tmp_path / "v.model"), True)
+
+
 def test_piece_encoding_of_a_table(spark):
     df = io.table(spark, DATA, "documents")
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
