@@ -26,10 +26,11 @@ null; ids may be of any type; other columns are ignored; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import io
@@ -165,6 +166,10 @@ def folded(sketch: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
+def text_hashes() -> list[Column]:
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
+
+
 def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Written, one row per document: row, doc_id, the text's hashes k1 and k2, the set's hashes h1 and h2, its size n,
     keys, and its sketch, of 256 bits (in four columns) and as wide as its size asks for."""
@@ -200,14 +205,14 @@ def marked(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             )
 
     schema = f"doc_id {kind}, k1 long, k2 long, h1 long, h2 long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in SKETCH) + ", sketch binary"
-    named = texts.select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
+    named = texts.select("doc_id", "text", *text_hashes())
     return io.written(named.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
 
 
-def allowed(n: np.ndarray, m: np.ndarray, differing: np.ndarray) -> np.ndarray:
+def allowed(n: np.ndarray, m: np.ndarray, differing: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
     """Whether sizes n and m and a bound on the differing tokens allow the least similarity t / u: the differing tokens
     are at most (u - t) / (u + t) of both sizes together."""
-    t, u = SHARE
+    t, u = share
     return (np.minimum(n, m) * u >= np.maximum(n, m) * t) & (differing * (u + t) <= (n + m) * (u - t))
 
 
@@ -230,19 +235,34 @@ def sketched(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").filter(near).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs whose sets are similar. Each pair has its texts brought together, first the second one's."""
+def texts_of(asked: DataFrame, docs: DataFrame, name: str, text: str) -> DataFrame:
+    """A text of each asked node (node, k1, k2), under the given names."""
+    asked = io.checkpointed(asked)
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    texts = io.texts(docs).select("text", *text_hashes())
+    return texts.join(asked, ["k1", "k2"]).select(F.col("node").alias(name), F.col("text").alias(text)).dropDuplicates([name])
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches of 256 bits allow to be similar. `nodes`: node, n and SKETCH."""
+    one, other = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(x).alias(f"{x}_{c}") for x in SKETCH]) for c in ("a", "b"))
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{x}_a").bitwiseXOR(F.col(f"{x}_b"))) for x in SKETCH])
+    t, u = share
+    fits = (F.least("n_a", "n_b") * u >= F.greatest("n_a", "n_b") * t) & (bits * (u + t) <= (F.col("n_a") + F.col("n_b")) * (u - t))
+    return pairs.join(one, "a").join(other, "b").filter(fits).select("a", "b")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, share: tuple[int, int] = SHARE) -> DataFrame:
+    """The pairs whose sets of shingles have a similarity of `share` or more; sets without shingles are equal. Each pair has
+    its texts brought together, first the second one's. `nodes`: node, and the hashes k1 and k2 of its text."""
     pairs = io.checkpointed(pairs)
-    texts = io.texts(docs).select("text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"))
 
     def of(side: str) -> DataFrame:
         asked = pairs.select(F.col(side).alias("node")).distinct().join(nodes.select("node", "k1", "k2"), "node")
-        asked = io.checkpointed(asked)
-        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
-        return texts.join(asked, ["k1", "k2"]).select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")).dropDuplicates([side])
+        return texts_of(asked, docs, side, f"text_{side}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, u = SHARE
+        t, u = share
         for batch in steps(batches, "text_b"):
             for part in steps(iter([batch]), "text_a"):
                 x, row_x, n = token_sets(part.column("text_a"), shingle)
@@ -291,12 +311,6 @@ def bucket_pairs(rows: np.ndarray, whole: bool) -> Iterator[np.ndarray]:
     rows = rows[np.argsort(rows[:, 2], kind="stable")]
     node, root, n, sketch = rows[:, 0], rows[:, 1], rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
     joined: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while joined.get(x, x) != x:
-            x = joined[x]
-        return x
-
     # rows of a class that has nearly all of the bucket needn't be compared with each other
     values, counts = np.unique(root, return_counts=True)
     if len(values) < 2:
@@ -314,18 +328,30 @@ def bucket_pairs(rows: np.ndarray, whole: bool) -> Iterator[np.ndarray]:
             continue
         x, y = i[x], y + low
         if not whole:
-            _, one = np.unique(np.sort(np.column_stack((root[x], root[y])), axis=1), axis=0, return_index=True)
-            keep = []
-            for k in one.tolist():
-                p, q = top(int(root[x[k]])), top(int(root[y[k]]))
-                if p != q:
-                    joined[p] = q
-                    keep.append(k)
+            keep = joining(root[x], root[y], joined)
             x, y = x[keep], y[keep]
         if len(x):
             yield np.column_stack((node[x], node[y]))
 
 
+def joining(one: np.ndarray, other: np.ndarray, joined: dict[int, int]) -> list[int]:
+    """Which pairs of classes join two that weren't joined yet; `joined` keeps what is."""
+
+    def top(x: int) -> int:
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
+    _, first = np.unique(np.sort(np.column_stack((one, other)), axis=1), axis=0, return_index=True)
+    keep = []
+    for k in first.tolist():
+        p, q = top(int(one[k])), top(int(other[k]))
+        if p != q:
+            joined[p] = q
+            keep.append(k)
+    return keep
+
+
 def links(rows: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """`rows`: as `marked` returns. Nodes (written): h1, h2, node, least, n ...; links (a, b) of nodes, all verified, whose
     components are those of all similar pairs."""

@@ -8,8 +8,9 @@ links together, and each candidate is verified on all bits. Components of the li
 
 A `Scheme` names the shingles, the hash, the segments and the distance. `CONTRACT` (4 words, 64 bits, 3 segments, 4 bits)
 is the query's. `SIMILAR` is for near copies of 5-word shingles and a similarity of 0.8 or more: such pairs differ by 17
-of 128 bits in the mean, so it takes up to 22 as candidates, with 12 segments, and `keep` verifies them on their whole
-sets of shingles; README says what share of such pairs it finds.
+of 128 bits in the mean, so it takes up to 25 as candidates, with 13 segments, and `keep` verifies them on their whole
+sets of shingles; README says what share of such pairs it finds. Every pair of candidates whose ends aren't yet of one class
+is verified, also one that a bucket's spanning forest leaves out.
 
 Equal fingerprints are one class from the start, so only distinct fingerprints are filed, however many copies exist.
 Within a variant's bucket no list of all pairs is made: fingerprints already reached leave the search, which gives a
@@ -32,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import io
+from quarry.llm import io, jaccard_join
 from quarry.llm.components import components
-from quarry.llm.text import SPACED, Ranges, lower_ascii, mix, ranges_of, signed, steps, utf8, words
+from quarry.llm.text import SPACED, lower_ascii, mix, signed, steps, utf8, words
 
 #: Most distinct fingerprints of a bucket that meet in one task at once.
 BUCKET = 1_000_000
@@ -46,12 +47,14 @@ BLOCK = 1 << 18
 SHARE = (4, 5)
 #: A table of keys up to this many rows is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: What a node of a class carries besides its fingerprint.
+CLASSED = ["root", "n", *jaccard_join.SKETCH]
 
 
 @dataclass(frozen=True)
 class Scheme:
     """Words of a shingle, seed, 64-bit words of a fingerprint (1: XXH64, 2: XXH3-128), the most bits that a link differs
-    by, and the first bit of each segment in each of those words, with the end of the last."""
+    by, and the first bit of each segment, with the end of the last; a segment lies in one of those words."""
 
     shingle: int
     seed: int
@@ -60,12 +63,14 @@ class Scheme:
     segments: tuple[int, ...]
 
     def __post_init__(self) -> None:
-        if self.bits // (self.width * (len(self.segments) - 1)) > 1:
+        if self.bits // (len(self.segments) - 1) > 1:
             raise ValueError("too few segments: each could differ by more than one bit")
+        if self.segments[-1] != 64 * self.width or not set(range(0, 64 * self.width, 64)) <= set(self.segments):
+            raise ValueError("segments must cover each 64-bit word")
 
 
 CONTRACT = Scheme(4, 42, 1, 4, (0, 22, 43, 64))
-SIMILAR = Scheme(5, 42, 2, 22, (0, 11, 22, 33, 44, 54, 64))
+SIMILAR = Scheme(5, 42, 2, 25, (0, 10, 19, 28, 37, 46, 55, 64, 75, 86, 97, 107, 118, 128))
 
 
 def fingerprints_of(column: pa.Array, scheme: Scheme = CONTRACT) -> np.ndarray:
@@ -116,29 +121,34 @@ def _words(batch: pa.RecordBatch, scheme: Scheme) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy().view(np.uint64) for c in _columns(scheme)])
 
 
-def fingerprints(rows: DataFrame, ids: dict[str, str], scheme: Scheme = CONTRACT) -> DataFrame:
-    """The `ids` (column: type) of `rows`, node, and the fingerprint's words fp0, ... (as signed longs)."""
+def fingerprints(rows: DataFrame, ids: dict[str, str], scheme: Scheme = CONTRACT, sketched: bool = False) -> DataFrame:
+    """The `ids` (column: type) of `rows`, node, and the fingerprint's words fp0, ... (as signed longs); if `sketched`, also n,
+    the number of distinct shingles, and their sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             fps = fingerprints_of(batch.column("text"), scheme)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ids], pa.array(node_of(fps)), *[pa.array(signed(np.ascontiguousarray(fps[:, k]))) for k in range(scheme.width)]],
-                [*ids, "node", *_columns(scheme)],
-            )
-
-    schema = ", ".join([*[f"{c} {kind}" for c, kind in ids.items()], "node long", *[f"{c} long" for c in _columns(scheme)]])
+            more = []
+            if sketched:
+                tokens, row, n = jaccard_join.token_sets(batch.column("text"), scheme.shingle)
+                sketch = jaccard_join.parities(tokens, row, np.full(len(n), 256)).view(np.int64).reshape(-1, 4)
+                more = [pa.array(n), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)]]
+            words_ = [pa.array(signed(np.ascontiguousarray(fps[:, k]))) for k in range(scheme.width)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ids], pa.array(node_of(fps)), *words_, *more], names)
+
+    numbers = ["node", *_columns(scheme), *(CLASSED[1:] if sketched else [])]
+    names = [*ids, *numbers]
+    schema = ", ".join([*[f"{c} {kind}" for c, kind in ids.items()], *[f"{c} long" for c in numbers]])
     return rows.select(*ids, "text").mapInArrow(run, schema)
 
 
 def variants(fps: np.ndarray, scheme: Scheme) -> np.ndarray:
     """The one-wildcard segment variants of each fingerprint, bit after bit, all fingerprints for each."""
     keys = []
-    for k in range(scheme.width):
-        for low, high in zip(scheme.segments[:-1], scheme.segments[1:], strict=True):
-            part = (fps[:, k] >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)
-            for bit in range(high - low):
-                keys.append(np.uint64((64 * k + low + bit) << 22) | (part & ~np.uint64(1 << bit)))
+    for low, high in zip(scheme.segments[:-1], scheme.segments[1:], strict=True):
+        part = (fps[:, low // 64] >> np.uint64(low % 64)) & np.uint64((1 << (high - low)) - 1)
+        for bit in range(high - low):
+            keys.append(np.uint64((low + bit) << 22) | (part & ~np.uint64(1 << bit)))
     return np.concatenate(keys)
 
 
@@ -177,19 +187,57 @@ def forest(fps: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """Links within the buckets of a sorted partition; a bucket that goes on in the next batch waits for it."""
+def first_variant(x: np.ndarray, y: np.ndarray, scheme: Scheme) -> np.ndarray:
+    """The masked bit of the first variant that two near fingerprints share, of the many that they may share."""
+    out = np.full(len(x), -1)
+    for low, high in zip(scheme.segments[:-1], scheme.segments[1:], strict=True):
+        differing = ((x[:, low // 64] ^ y[:, low // 64]) >> np.uint64(low % 64)) & np.uint64((1 << (high - low)) - 1)
+        n = np.bitwise_count(differing)
+        bit = low + np.where(n == 1, np.bitwise_count(differing - np.uint64(1)), 0).astype(np.int64)
+        out = np.where((out < 0) & (n <= 1), bit, out)
+    return out
+
+
+def across(rows: np.ndarray, masked: int, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links of a bucket (whose variants mask the bit `masked`) between different classes. A link is found in the first bucket that holds both ends, and in no other; sizes and sketches have to allow
+    its ends to be similar. `rows`: fingerprint, root, number of shingles and sketch."""
+    fps, root, n = np.ascontiguousarray(rows[:, : scheme.width]).view(np.uint64), rows[:, scheme.width], rows[:, scheme.width + 1]
+    sketch = np.ascontiguousarray(rows[:, scheme.width + 2 :]).view(np.uint64)
+    values, counts = np.unique(root, return_counts=True)
+    if len(values) < 2:
+        return
+    # the members of the largest class needn't be compared with each other
+    few = np.flatnonzero(root != values[np.argmax(counts)])
+    for at in range(0, len(few), max(1, BLOCK // len(fps))):
+        i = few[at : at + max(1, BLOCK // len(fps))]
+        x, y = np.nonzero(near(fps[i, None, :], fps[None, :, :], scheme.bits) & (root[i, None] != root[None, :]))
+        x = i[x]
+        own = first_variant(fps[x], fps[y], scheme) == masked
+        x, y = x[own], y[own]
+        own = jaccard_join.allowed(n[x], n[y], np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64), SHARE)
+        if own.any():
+            yield fps[x[own]], fps[y[own]]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[np.ndarray]:
+    """The rows of some buckets (the first two columns name them) of a sorted partition; one that goes on in the next
+    batch waits for it."""
     held = None
-    for now in _with_end(batches, scheme):
-        if now is not None:
+    for batch in batches:
+        if batch.num_rows:
+            now = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
             held = now if held is None else np.vstack((held, now))
-            same = (held[:, :2] == held[-1, :2]).all(axis=1)
-            cut = len(held) - int(same.sum())
-            ready, held = held[:cut], held[cut:]
-        else:
-            ready = held
-        if ready is None or not len(ready):
-            continue
+            cut = len(held) - int((held[:, :2] == held[-1, :2]).all(axis=1).sum())
+            if cut:
+                yield held[:cut]
+            held = held[cut:]
+    if held is not None:
+        yield held
+
+
+def bucket_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    """Links within the buckets of a sorted partition."""
+    for ready in _buckets(batches, ["variant", "chunks", *_columns(scheme)]):
         fps = np.ascontiguousarray(ready[:, 2:]).view(np.uint64)
         new = np.ones(len(ready), bool)
         new[1:] = (ready[1:, :2] != ready[:-1, :2]).any(axis=1)
@@ -211,17 +259,22 @@ def bucket_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _with_end(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[np.ndarray | None]:
-    for batch in batches:
-        if batch.num_rows:
-            yield np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("variant", "chunks", *_columns(scheme))])
-    yield None
+def class_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
+    """Links between the classes of each bucket of a sorted partition."""
+    for ready in _buckets(batches, ["variant", "chunks", *_columns(scheme), *CLASSED]):
+        new = np.flatnonzero(np.concatenate(([True], (ready[1:, :2] != ready[:-1, :2]).any(axis=1))))
+        for first, last in zip(new, [*new[1:], len(ready)], strict=True):
+            own = ready[first:last]
+            masked = int(own[0, 0].view(np.uint64) >> np.uint64(22))
+            for x, y in across(own[:, 2:], masked, scheme):
+                ends = np.sort(np.column_stack((node_of(x), node_of(y))), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
-def links(fps: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
+def links(fps: DataFrame, scheme: Scheme = CONTRACT, across_classes: bool = False) -> DataFrame:
     """Links (a, b) of nodes whose components are those of all pairs of distinct fingerprints (fp0, ...) at most
-    `scheme.bits` bits apart."""
-    names = _columns(scheme)
+    `scheme.bits` bits apart; or all links between different classes (columns CLASSED) whose ends may be similar."""
+    names = [*_columns(scheme), *(CLASSED if across_classes else [])]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,6 +294,7 @@ def links(fps: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
                 some = _words(batch.slice(at, 4096), scheme)
                 keys = signed(variants(some, scheme))
                 own = np.tile(np.arange(len(some)), len(keys) // len(some))
+                rest = [batch.column(c).slice(at, 4096).to_numpy() for c in CLASSED] if across_classes else []
                 chunks = np.zeros(len(keys), np.int64)
                 if len(large):
                     # a heavy bucket's fingerprint meets every chunk: one row for each pair of its chunk and another
@@ -258,12 +312,12 @@ def links(fps: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
                     own = np.concatenate((own[cold], np.array(more_own, np.int64)))
                     chunks = np.concatenate((chunks[cold], np.array(more_chunks, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(chunks), *[pa.array(signed(np.ascontiguousarray(some[own, k]))) for k in range(scheme.width)]],
+                    [pa.array(keys), pa.array(chunks), *[pa.array(signed(np.ascontiguousarray(some[own, k]))) for k in range(scheme.width)], *[pa.array(x[own]) for x in rest]],
                     ["variant", "chunks", *names],
                 )
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return bucket_links(batches, scheme)
+        return class_links(batches, scheme) if across_classes else bucket_links(batches, scheme)
 
     return (
         fps.select(*names)
@@ -316,55 +370,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def shingle_sets(column: pa.Array, shingle: int) -> pa.ListArray:
-    """Each text's distinct shingles, by 64-bit hashes."""
-    data, offsets = utf8(column)
-    data = lower_ascii(data)
-    start, end, first = words(data, offsets, SPACED)
-    n = np.diff(first)
-    count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
-    row = np.repeat(np.arange(len(n)), count)
-    at = np.repeat(first[:-1], count) + ranges_of(count)
-    hashes = Ranges(Ranges(data)(start, end))(at, np.minimum(at + shingle, first[1:][row])) if len(start) else np.empty(0, np.uint64)
-    order = np.lexsort((hashes, row))
-    hashes, row = hashes[order], row[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
-    ends = np.searchsorted(row[new], np.arange(len(column) + 1))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(hashes[new])))
-
-
-def similar(pairs: DataFrame, texts: DataFrame, stands: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets of shingles have a similarity of SHARE or more. `texts`: h1, h2, text;
-    `stands`: node and the h1, h2 of the row that stands for it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("node"), shingle_sets(batch.column("text"), shingle)], ["node", "tokens"])
-
-    asked = io.checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(stands, "node"))
-    own = texts.join(_few(asked), ["h1", "h2"]).select("node", "text").dropDuplicates(["node"])
-    sets = io.written(own.mapInArrow(run, "node long, tokens array<long>"))
-    one, other = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    both, (t, u) = F.size(F.array_intersect("x", "y")), SHARE
-    # both / (x + y - both) >= t / u; two sets without shingles are equal
-    return pairs.join(one, "a").join(other, "b").filter(both * (t + u) >= t * (F.size("x") + F.size("y"))).select("a", "b")
-
-
-def verified(candidates: DataFrame, texts: DataFrame, stands: DataFrame, shingle: int) -> DataFrame:
-    """Links among the candidates whose components are those of all candidates that are similar.
+def similar_links(fps: DataFrame, nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links whose components are those of all pairs of nodes that are at most `scheme.bits` apart and similar. `fps`: node
+    and fingerprint.
 
-    Each node is first compared with its least neighbour on either side; then only candidates remain whose ends aren't yet
-    of one class, so that a large group of near copies doesn't have all its candidates compared.
+    The forest of each bucket comes first. Where its links hold nodes together that turn out to be of several classes, the
+    buckets are searched again, among these nodes alone, for all links between the classes.
     """
-    first = candidates.groupBy("a").agg(F.min("b").alias("b")).unionByName(candidates.groupBy("b").agg(F.max("a").alias("a")).select("a", "b"))
-    first = io.checkpointed(first.distinct())
-    found = io.checkpointed(similar(first, texts, stands, shingle))
-    named = components(found)
-    ends = [named.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in ("a", "b")]
-    placed = candidates.join(ends[0], "a", "left").join(ends[1], "b", "left")
-    rest = placed.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first, ["a", "b"], "left_anti")
-    return found.unionByName(similar(io.checkpointed(rest), texts, stands, shingle))
+    ordered = lambda pairs: io.checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    tested = ordered(links(fps, scheme))
+    found = jaccard_join.verified(jaccard_join.possible(tested, nodes, SHARE), nodes, docs, scheme.shingle, SHARE)
+    groups = components(tested).select("node", F.col("root").alias("near"))
+    classed = io.checkpointed(groups.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # two nodes have been compared by their one link
+    mixed = classed.groupBy("near").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("n > 2 AND lo <> hi")
+    open_ = classed.join(mixed.select("near"), "near", "left_semi").select("node", "root")
+    again = io.checkpointed(fps.join(open_, "node").join(nodes.select("node", *CLASSED[1:]), "node"))
+    more = ordered(links(again, scheme, across_classes=True)).join(tested, ["a", "b"], "left_anti")
+    return found.unionByName(jaccard_join.verified(more, nodes, docs, scheme.shingle, SHARE))
 
 
 def keep(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
@@ -373,13 +396,13 @@ def keep(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     whole = keyed(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = whole.select(F.col("row.doc_id").alias("doc_id"), "h1", "h2", F.coalesce("row.text", F.lit("")).alias("text"))
-    marked = io.checkpointed(fingerprints(rows, {"doc_id": kind, "h1": "long", "h2": "long"}, scheme))
-    item = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    rows = rows.select("*", *jaccard_join.text_hashes())
+    marked = io.checkpointed(fingerprints(rows, {"doc_id": kind, "h1": "long", "h2": "long", "k1": "long", "k2": "long"}, scheme, sketched=True))
+    rest = ["k1", "k2", *CLASSED[1:]]
+    item = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", *rest)
     own = io.checkpointed(marked.groupBy("node").agg(F.min(item).alias("least")))
-    candidates = links(distinct_nodes(marked, scheme), scheme)
-    ordered = io.checkpointed(candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    stands = own.select("node", F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2"))
-    roots = components(verified(ordered, rows.select("h1", "h2", "text"), stands, scheme.shingle))
+    nodes = own.select("node", *[F.col(f"least.{c}").alias(c) for c in rest])
+    roots = components(similar_links(distinct_nodes(marked, scheme), nodes, docs, scheme))
     best = own.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = io.checkpointed(best.select(F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2")))
     counts = marked.groupBy("h1", "h2").agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ import pytest
 
 from quarry.llm import fill_in_middle, io, jaccard_join, prefix_trie
 from tests.llm import brute
-from tests.llm.test_operators import DATA, MORE, ROWS, docs, empty, named, prose, same, texted, variant  # noqa: F401
+from tests.llm.test_operators import MORE, docs, empty, named, prose, same, texted, variant  # noqa: F401  (empty needs docs)
 
 TRIE = "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256"
 JACCARD = "doc_id n_shingles component_id"
@@ -207,3 +207,61 @@ def test_elias_fano_lists():
         packed = fill_in_middle.EliasFano(values.astype(np.int64), most)
         assert [packed[i] for i in range(n)] == values.tolist()
         assert (packed.low.nbytes + packed.high.nbytes) * 8 <= n * (2 + max(0, np.ceil(np.log2(most / n)))) + 64
+
+
+# --- near copies of the pipeline
+
+
+def test_no_similar_candidate_is_left_out(spark, monkeypatch):
+    """Classes by all pairs of texts that are near by their fingerprints and similar, in families around the least
+    similarity: a bucket's forest alone would join texts over others that aren't similar."""
+    import pyarrow as pa
+
+    from quarry.llm import simhash
+
+    r = random.Random(77)
+    rows = []
+    for family in range(6):
+        base = prose(900 + family, 60)
+        for _ in range(30):
+            rows.append((len(rows), variant(base, *r.sample(range(60), r.randint(0, 5)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fps = simhash.fingerprints_of(pa.array([t for _, t in rows]), simhash.SIMILAR)
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            close = np.bitwise_count(fps[a] ^ fps[b]).sum() <= simhash.SIMILAR.bits
+            if close and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    expected = sorted({find(x) for x in range(len(rows))})
+    assert 6 < len(expected) < len(rows) - 10
+    assert sorted(x["doc_id"] for x in simhash.keep(df).collect()) == expected
+    monkeypatch.setattr(simhash, "BUCKET", 3)
+    assert sorted(x["doc_id"] for x in simhash.keep(df).collect()) == expected
+
+
+def test_the_first_variant_is_the_first_that_both_have():
+    from quarry.llm import simhash
+
+    r = np.random.default_rng(12)
+    for scheme in (simhash.SIMILAR, simhash.CONTRACT):
+        x = r.integers(0, 1 << 63, (200, scheme.width), dtype=np.uint64)
+        y = x.copy()
+        for k in range(len(y)):
+            for bit in r.choice(64 * scheme.width, r.integers(1, scheme.bits + 1), replace=False):
+                y[k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        mine = simhash.first_variant(x, y, scheme)
+        one, other = (simhash.variants(v, scheme).reshape(-1, len(x)) for v in (x, y))
+        for k in range(len(x)):
+            shared = [int(v >> np.uint64(22)) for v in np.intersect1d(one[:, k], other[:, k])]
+            assert mine[k] == min(shared)
