@@ -86,9 +86,10 @@ def search_texts(messages: DataFrame, short: int = 6) -> DataFrame:
     )
 
 
-def find_conversations(messages: DataFrame, titles: DataFrame, query: str, most: int = 200) -> DataFrame:
-    """Conversations with a message that has every word of the query as a prefix, or the query in their title; a blank
-    query lists all, without a limit. `excerpt` is the start of the first such message (null: only the title fits)."""
+def find_conversations(messages: DataFrame, titles: DataFrame, query: str, most: int | None = 200) -> DataFrame:
+    """The latest `most` conversations (None: all) with a message that has every word of the query as a prefix, or the query
+    in their title; a blank query lists all, without a limit. `excerpt` is of the first such message (null: only the title
+    fits)."""
     if not query.strip():
         return titles.orderBy(F.desc("updated_at"), F.desc("conv_id")).select(
             "conv_id", "title", "updated_at", F.lit(False).alias("in_messages"), F.lit(None).cast("string").alias("excerpt")
@@ -100,12 +101,9 @@ def find_conversations(messages: DataFrame, titles: DataFrame, query: str, most:
     )
     plain = query.strip().replace("%", "").replace("_", "").lower()
     hit = titles.join(inside.withColumn("found", F.lit(True)), "conv_id", "left")
-    return (
-        hit.filter(F.col("found") | F.contains(F.lower("title"), F.lit(plain)))
-        .orderBy(F.desc("updated_at"), F.desc("conv_id"))
-        .limit(most)
-        .select("conv_id", "title", "updated_at", F.coalesce("found", F.lit(False)).alias("in_messages"), "excerpt")
-    )
+    fits = hit.filter(F.col("found") | F.contains(F.lower("title"), F.lit(plain))).orderBy(F.desc("updated_at"), F.desc("conv_id"))
+    latest = fits if most is None else fits.limit(most)
+    return latest.select("conv_id", "title", "updated_at", F.coalesce("found", F.lit(False)).alias("in_messages"), "excerpt")
 
 
 def excerpt(text: Column, query: str, n_words: int = 10) -> Column:

@@ -24,3 +24,9 @@ def test_file_kinds_of_texts_without_letters(spark, tmp_path):
     rows = [(k, "1" * k, None if k % 5 == 0 else "web") for k in range(24)] + [(99, "é 12", "web"), (100, None, "web"), (101, "", None)]
     got = same_as_sql(spark, tmp_path, "q_file_kind", documents=(rows, "doc_id long, text string, source string"))
     assert "(0, 'markdown')" in got
+
+
+def test_excerpts_of_more_conversations_than_a_list_shows(spark, tmp_path):
+    rows = [(k, t, "user", f"w{k} the and {'of ' * (k % 20)}") for k in range(300) for t in range(2)]
+    got = same_as_sql(spark, tmp_path, "q_search_excerpt", conversations=(rows, "conv_id long, turn int, role string, text string"))
+    assert len(got) == 300
