@@ -540,7 +540,7 @@ def q_cut_and_name(spark, d):
 FROM (SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars ELSE 10240 + n_chars END AS b FROM documents) WHERE b < 1048576""")
 def q_sizes_and_costs(spark, d):
     b = F.when(F.col("n_chars") < 1024, F.col("n_chars")).otherwise(F.col("n_chars") + 10240)
-    return read(spark, d, "documents").filter(b < 1048576).select("doc_id", C.format_bytes(b).alias("size"), C.format_cost(F.col("doc_id") * 100, "€").alias("cost"))
+    return read(spark, d, "documents").filter(b < 1048576).select("doc_id", C.format_bytes(b).alias("size"), C.format_cost(F.col("doc_id") * 100, "€", 4).alias("cost"))
 
 
 # --- streams -----------------------------------------------------------------------------------------------------

@@ -30,3 +30,9 @@ def test_excerpts_of_more_conversations_than_a_list_shows(spark, tmp_path):
     rows = [(k, t, "user", f"w{k} the and {'of ' * (k % 20)}") for k in range(300) for t in range(2)]
     got = same_as_sql(spark, tmp_path, "q_search_excerpt", conversations=(rows, "conv_id long, turn int, role string, text string"))
     assert len(got) == 300
+
+
+def test_costs_of_one_and_more(spark, tmp_path):
+    rows = [(k, n) for k in (0, 1, 9_999, 10_000, 123_456, 98_765_432) for n in (0, 1023, 1024, 1535, 1536, 1_000_000)]
+    got = same_as_sql(spark, tmp_path, "q_sizes_and_costs", documents=(rows, "doc_id long, n_chars long"))
+    assert "('12,3456 €', 123456, '0 o')" in got
