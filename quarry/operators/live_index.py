@@ -1,4 +1,4 @@
-"""An index that is kept: documents, passages, postings, terms and vectors of a collection as one versioned set of tables.
+"""An index that is kept: documents, passages, postings and vectors of a collection as one versioned set of tables.
 
 An update compares a listing with what is indexed and writes a delta segment of each table with the rows of the documents
 that changed; all of them become visible together. Rows of documents that changed later or went away stay in their
@@ -16,9 +16,8 @@ from quarry.sources.versioned import Conflict, Versioned
 
 DOCUMENTS = "path string, size long, mtime long, hash string, skipped string, content long, since long, removed boolean"
 PASSAGES = "key string, path string, content long, location string, text string"
-POSTINGS = "path string, content long, key string, kept boolean, size int, term string, tf long"
+POSTINGS = "path string, content long, key string, kept boolean, size int, terms array<string>, tf array<int>"
 VECTORS = "path string, content long, key string, vector array<double>"
-TERMS = "term string"
 #: Documents whose rows are left out are broadcast up to this many.
 BROADCAST_ROWS = 1_000_000
 
@@ -59,7 +58,7 @@ class LiveIndex:
         facts = self.tables.entry(version)["facts"]
         texts = self.passages(version).select("key", F.concat_ws(" ", "path", "location").alias("source"), "text")
         own = postings.Index(
-            self._current("postings", POSTINGS, version).drop("path", "content"), self.tables.table("terms", TERMS, version), facts.get("n_texts", 0), facts.get("n_words", 0)
+            self._current("postings", POSTINGS, version).drop("path", "content"), facts.get("n_texts", 0), facts.get("n_words", 0)
         )
         vectors = self._current("vectors", VECTORS, version).select("key", "vector")
         return retrieval.hybrid(texts, questions, embedder=self.embedder, index=own, vectors=vectors, **limits)
@@ -104,8 +103,7 @@ class LiveIndex:
         written = change.append("passages", keyed)
         path = F.expr("left(key, length(key) - 9)").alias("path")
         content = F.lit(change.version).cast("long").alias("content")
-        found = change.append("postings", postings.postings(written.select("key", "text")).select(path, content, "key", "kept", "size", "term", "tf"))
-        change.append("terms", postings.dictionary(found))
+        found = change.append("postings", postings.postings(written.select("key", "text")).select(path, content, "key", "kept", "size", "terms", "tf"))
         change.append("vectors", self.embedder(written.select("key", "text"), "key").select(path, content, "key", "vector"))
         self._count(change, written, found, known, planned)
         change.commit()
@@ -117,9 +115,9 @@ class LiveIndex:
         """Passages and words of the whole index: those of before, without the documents that changed, and the new ones."""
         gone = known.select("path", "content").join(planned.filter(F.col("action").isin("added", "updated", "removed")).select("path"), "path", "left_semi")
         lost = self.tables.table("passages", PASSAGES, change.base).join(gone, ["path", "content"], "left_semi").count()
-        words = self.tables.table("postings", POSTINGS, change.base).join(gone, ["path", "content"], "left_semi").agg(F.sum("tf")).first()[0] or 0
+        words = self.tables.table("postings", POSTINGS, change.base).join(gone, ["path", "content"], "left_semi").agg(F.sum("size")).first()[0] or 0
         change.facts["n_texts"] = change.facts.get("n_texts", 0) - lost + written.count()
-        change.facts["n_words"] = change.facts.get("n_words", 0) - words + (found.agg(F.sum("tf")).first()[0] or 0)
+        change.facts["n_words"] = change.facts.get("n_words", 0) - words + (found.agg(F.sum("size")).first()[0] or 0)
 
     def merge(self) -> None:
         """One segment of each table, with the rows that count."""
@@ -129,7 +127,5 @@ class LiveIndex:
         rows = {name: self._current(name, schema, base) for name, schema in tables.items()}
         rows["documents"] = self.documents(base).withColumn("removed", F.lit(False))
         for name, df in rows.items():
-            new = change.replace(name, df)
-            if name == "postings":
-                change.replace("terms", postings.dictionary(new))
+            change.replace(name, df)
         change.commit()

@@ -11,6 +11,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quarry import tables
 from quarry.functions import columns as C
 from quarry.operators import messages, retrieval
 from quarry.plans.catalogue import _FUSED, _KEYWORD, _corpus, _questions, _turns, query, read
@@ -128,7 +129,7 @@ SELECT item_id AS question_id, doc_id AS key, CAST(row_number() OVER (PARTITION
 def q_rerank_incomplete(spark, d):
     """A reranker that has no score for some texts: their questions keep their order."""
     corpus, asked = _corpus(spark, d), _questions(spark, d)
-    found = retrieval.keyword(corpus, asked, 10).join(corpus.select("key", "text"), "key")
+    found = tables.with_texts(retrieval.keyword(corpus, asked, 10), corpus.select("key", "text"))
     some = lambda rows: retrieval.word_scores(rows).filter("key % 7 <> 0")
     return retrieval.rerank(found, asked, some).select("question_id", "key", "new_place")
 
