@@ -128,16 +128,18 @@ def _compared(clusters: Clusters, matrix: np.ndarray, wanted: list[np.ndarray] |
                 mine, take = by_cluster.get(c, []), pa.array(np.flatnonzero(near == c))
                 rows = batch.column("vector").take(take).flatten().to_numpy(zero_copy_only=False).reshape(len(take), -1)
                 keys = batch.column("key").take(take).to_numpy(zero_copy_only=False)
-                scores = np.round(rows @ matrix[mine].T, 9)
-                for column, q in enumerate(mine):
-                    own, names = scores[:, column], keys
-                    if q in held:
-                        own, names = np.concatenate((held[q][0], own)), np.concatenate((held[q][1], names))
-                    order = retrieval._best(own, names, k)
-                    held[q] = (own[order], names[order])
+                for part in (mine[i : i + retrieval.QUESTIONS_AT_ONCE] for i in range(0, len(mine), retrieval.QUESTIONS_AT_ONCE)):
+                    scores = np.round(rows @ matrix[part].T, 9)
+                    for column, q in enumerate(part):
+                        own, names = scores[:, column], keys
+                        if q in held:
+                            own, names = np.concatenate((held[q][0], own)), np.concatenate((held[q][1], names))
+                        order = retrieval._best(own, names, k)
+                        held[q] = (own[order], names[order])
         for q, (scores, keys) in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), q, np.int32)), pa.array(keys), pa.array(scores)], ["question", "key", "score"])
 
+    tables.small_batches(clusters.vectors.sparkSession)
     # a condition on the partition column: other clusters' files aren't opened
     some = clusters.vectors.filter(F.col("cluster").isin(sorted(by_cluster)))
     return some.select("key", "vector", "cluster").mapInArrow(run, f"question int, key {kind}, score double")
