@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import tables
 from quarry.functions import columns as C
 
 #: Reasons why a file has no text, and the largest attachments in bytes.
@@ -99,6 +100,7 @@ def extract(files: DataFrame) -> DataFrame:
             found = [text_of(kind, bytes(raw)) for kind, raw in zip(frame["kind"], frame["content"], strict=True)]
             yield frame[["path", "kind"]].assign(text=[x[0] for x in found], reason=[x[1] for x in found])
 
+    tables.small_batches(files.sparkSession)
     known = files.select("path", C.file_kind(F.col("path")).alias("kind"), "content").filter("kind IS NOT NULL AND kind <> 'pdf'")
     return known.mapInPandas(run, "path string, kind string, text string, reason string")
 

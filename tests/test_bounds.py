@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.operators import clusters, postings, retrieval
+from quarry.sources import office
 
 TEXTS = "key long, text string"
 
@@ -29,10 +30,11 @@ def test_nearest_with_many_questions(spark, monkeypatch):
 @pytest.mark.parametrize(
     "step",
     [
+        lambda df: office.extract(df.select(F.lit("a.txt").alias("path"), F.col("text").cast("binary").alias("content"))),
         lambda df: postings.postings(df),
         lambda df: retrieval.nearest(df.select("key", F.array(F.lit(1.0)).alias("vector")), df.select(F.col("key").alias("question_id"), F.array(F.lit(1.0)).alias("question_vector"))),
     ],
-    ids="postings nearest".split(),
+    ids="office postings nearest".split(),
 )
 def test_python_gets_small_batches(spark, step):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
