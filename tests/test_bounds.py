@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import tables
 from quarry.functions import markup
-from quarry.operators import clusters, postings, retrieval
+from quarry.operators import clusters, passages, postings, retrieval
 from quarry.sources import office
 
 TEXTS = "key long, text string"
@@ -34,10 +34,11 @@ def test_nearest_with_many_questions(spark, monkeypatch):
         lambda df: office.extract(df.select(F.lit("a.txt").alias("path"), F.col("text").cast("binary").alias("content"))),
         lambda df: df.select(markup.html_to_text(F.col("text"))),
         lambda df: df.select(markup.code_blocks(F.col("text"))),
+        lambda df: passages.split(df),
         lambda df: postings.postings(df),
         lambda df: retrieval.nearest(df.select("key", F.array(F.lit(1.0)).alias("vector")), df.select(F.col("key").alias("question_id"), F.array(F.lit(1.0)).alias("question_vector"))),
     ],
-    ids="office html code postings nearest".split(),
+    ids="office html code passages postings nearest".split(),
 )
 def test_python_gets_small_batches(spark, step):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
