@@ -35,10 +35,11 @@ def test_nearest_with_many_questions(spark, monkeypatch):
         lambda df: df.select(markup.html_to_text(F.col("text"))),
         lambda df: df.select(markup.code_blocks(F.col("text"))),
         lambda df: passages.split(df),
+        lambda df: retrieval.hash_vectors(df, "key"),
         lambda df: postings.postings(df),
         lambda df: retrieval.nearest(df.select("key", F.array(F.lit(1.0)).alias("vector")), df.select(F.col("key").alias("question_id"), F.array(F.lit(1.0)).alias("question_vector"))),
     ],
-    ids="office html code passages postings nearest".split(),
+    ids="office html code passages hash postings nearest".split(),
 )
 def test_python_gets_small_batches(spark, step):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
