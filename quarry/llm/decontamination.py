@@ -63,7 +63,7 @@ def shingle_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
     return benchmark.select("item_id", "text").mapInArrow(
-        cut, f"item_id {kind}, words string, size int, shingles array<long>"
+        io.releasing(cut), f"item_id {kind}, words string, size int, shingles array<long>"
     )
 
 
@@ -114,9 +114,9 @@ def marks_of(shingles: DataFrame) -> np.ndarray:
                 own[k] = own.get(k, 0) | np.frombuffer(raw, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["chunk", "bits"])
 
-    parts = shingles.select("shingle").mapInArrow(mark, "chunk long, bits binary").repartition("chunk")
+    parts = shingles.select("shingle").mapInArrow(io.releasing(mark), "chunk long, bits binary").repartition("chunk")
     out = np.zeros((bits // 8 // size, size), np.uint8)
-    for r in parts.mapInArrow(unite, "chunk long, bits binary").collect():
+    for r in parts.mapInArrow(io.releasing(unite), "chunk long, bits binary").collect():
         out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 
@@ -131,7 +131,7 @@ def frequencies(texts: DataFrame, marks: np.ndarray, widths: list[int]) -> DataF
                 found, n = np.unique(hashes[_among(hashes, shared.value)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["shingle", "n"])
 
-    return texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(io.releasing(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 def occurrences(texts: DataFrame, marks: np.ndarray, widths: list[int], reach: int) -> DataFrame:
@@ -156,7 +156,7 @@ def occurrences(texts: DataFrame, marks: np.ndarray, widths: list[int], reach: i
                 [batch.column("key"), pa.array(np.diff(first)), pa.array(per_row, _FOUND)], ["key", "n_words", "found"]
             )
 
-    return texts.mapInArrow(find, "key string, n_words long, found array<struct<shingle:long,word:long,left:int,around:string>>")
+    return texts.mapInArrow(io.releasing(find), "key string, n_words long, found array<struct<shingle:long,word:long,left:int,around:string>>")
 
 
 _FOUND = pa.list_(

@@ -487,10 +487,10 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram
     least = spark.sparkContext.defaultParallelism
     parts = max(least, min(MOST_PARTITIONS, -(-total // UNIT_BYTES)))
     # each block names a unit once, so combining before the exchange would gain nothing
-    seen = rows.mapInArrow(cut, "unit string, block long").repartition(parts, "unit")
+    seen = rows.mapInArrow(io.releasing(cut), "unit string, block long").repartition(parts, "unit")
     coded = encode_units(seen.groupBy("unit").agg(F.count("block").alias("n")).filter("n > 0").select("unit"), pieces)
-    dealt = seen.join(coded.hint("merge"), "unit").select("block", "ids").mapInArrow(deal, "block long, text boolean, payload binary")
-    packed = rows.mapInArrow(pack, "block long, text boolean, payload binary")
+    dealt = seen.join(coded.hint("merge"), "unit").select("block", "ids").mapInArrow(io.releasing(deal), "block long, text boolean, payload binary")
+    packed = rows.mapInArrow(io.releasing(pack), "block long, text boolean, payload binary")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, now = Block(shared()), None
@@ -537,7 +537,7 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram
         # a block's units before its texts
         .sortWithinPartitions("block", "text")
         .mapInArrow(
-            build, f"doc_id {kind}, n_pieces long, pieces array<int>, pieces_sha256 string, decoded string, lossless boolean"
+            io.releasing(build), f"doc_id {kind}, n_pieces long, pieces array<int>, pieces_sha256 string, decoded string, lossless boolean"
         )
     )
 

@@ -162,7 +162,7 @@ def quality(
         return measure(batches, min_repeat, max_covered, max_longest)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return io.texts(docs, "doc_id").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return io.texts(docs, "doc_id").mapInArrow(io.releasing(run), f"doc_id {kind}, {SCHEMA}")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +179,7 @@ def keep(docs: DataFrame) -> DataFrame:
             for part, verdict in _paired(batch, measure(iter([narrow]), MIN_REPEAT, MAX_COVERED, MAX_LONGEST)):
                 yield part.filter(verdict)
 
-    return docs.mapInArrow(run, docs.schema).select(*columns)
+    return docs.mapInArrow(io.releasing(run), docs.schema).select(*columns)
 
 
 def _paired(batch: pa.RecordBatch, measured: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

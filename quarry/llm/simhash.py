@@ -139,7 +139,7 @@ def fingerprints(rows: DataFrame, ids: dict[str, str], scheme: Scheme = CONTRACT
     numbers = ["node", *_columns(scheme), *(CLASSED[1:] if sketched else [])]
     names = [*ids, *numbers]
     schema = ", ".join([*[f"{c} {kind}" for c, kind in ids.items()], *[f"{c} long" for c in numbers]])
-    return rows.select(*ids, "text").mapInArrow(run, schema)
+    return rows.select(*ids, "text").mapInArrow(io.releasing(run), schema)
 
 
 def variants(fps: np.ndarray, scheme: Scheme) -> np.ndarray:
@@ -284,7 +284,7 @@ def links(fps: DataFrame, scheme: Scheme = CONTRACT, across_classes: bool = Fals
     # buckets above BUCKET: fewer keys than bits x fingerprints / BUCKET, a few integers even for billions of documents
     heavy = {}
     if fps.count() > BUCKET:
-        sizes = fps.mapInArrow(counted, "variant long, n long").groupBy("variant").agg(F.sum("n").alias("n"))
+        sizes = fps.mapInArrow(io.releasing(counted), "variant long, n long").groupBy("variant").agg(F.sum("n").alias("n"))
         heavy = {r["variant"]: -(-r["n"] // BUCKET) for r in sizes.filter(F.col("n") > BUCKET).collect()}
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,10 +321,10 @@ def links(fps: DataFrame, scheme: Scheme = CONTRACT, across_classes: bool = Fals
 
     return (
         fps.select(*names)
-        .mapInArrow(filed, ", ".join(["variant long, chunks long", *[f"{c} long" for c in names]]))
+        .mapInArrow(io.releasing(filed), ", ".join(["variant long, chunks long", *[f"{c} long" for c in names]]))
         .repartition("variant", "chunks")
         .sortWithinPartitions("variant", "chunks")
-        .mapInArrow(searched, "a long, b long")
+        .mapInArrow(io.releasing(searched), "a long, b long")
         .distinct()
     )
 

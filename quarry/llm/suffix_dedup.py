@@ -128,7 +128,7 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
                 ["phrase", "context", "context_2", "before", "after", "k1", "k2", "span"],
             )
 
-    return texts.mapInArrow(run, _ANCHOR)
+    return texts.mapInArrow(io.releasing(run), _ANCHOR)
 
 
 def phrases(texts: DataFrame, length: int) -> DataFrame:
@@ -144,7 +144,7 @@ def phrases(texts: DataFrame, length: int) -> DataFrame:
             found, n = np.unique(grams[place], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n)], ["phrase", "n"])
 
-    return texts.select("text").mapInArrow(run, "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(io.releasing(run), "phrase long, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
 
 
 def marked_spans(found: DataFrame) -> DataFrame:
@@ -301,14 +301,14 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
             yield _batch([(h, g, k1, k2, s, is_open) for h, g, s in zip(*hashes, at.tolist(), strict=True)], names, kinds)
 
     in_groups = (
-        to_deal.mapInArrow(deal, "group long, k1 long, k2 long, open boolean, start long, bytes binary")
+        to_deal.mapInArrow(io.releasing(deal), "group long, k1 long, k2 long, open boolean, start long, bytes binary")
         .repartition("group")
         .sortWithinPartitions("group")
-        .mapInArrow(compare, "k1 long, k2 long, starts array<long>")
+        .mapInArrow(io.releasing(compare), "k1 long, k2 long, starts array<long>")
     )
     # groups of very many contexts: their strings are counted one by one, wherever they lie
     crowds = F.exists("marks", lambda m: (m["left"]["kinds"] > CROWD) | (m["right"]["kinds"] > CROWD))
-    strings = to_deal.filter(F.coalesce(crowds, F.lit(False))).mapInArrow(single, "string long, string_2 long, k1 long, k2 long, start long, open boolean")
+    strings = to_deal.filter(F.coalesce(crowds, F.lit(False))).mapInArrow(io.releasing(single), "string long, string_2 long, k1 long, k2 long, start long, open boolean")
     name = ["string", "string_2"]
     twice = strings.groupBy(*name).agg(F.count("*").alias("n")).filter("n > 1").select(*name)
     crowded = strings.filter("open").join(twice, name).select("k1", "k2", F.array("start").alias("starts"))
@@ -374,7 +374,7 @@ def remainders(docs: DataFrame, length: int = LENGTH, texts_too: bool = True) ->
             )
 
     return repeated(docs, length).mapInArrow(
-        cut, "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string"
+        io.releasing(cut), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept string"
     )
 
 
