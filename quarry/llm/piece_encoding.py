@@ -57,6 +57,9 @@ BLANK = "▁"
 BLOCK_BYTES, UNIT_BYTES = 32_000_000, 8_000_000
 #: Most partitions of the units; beyond, they grow and spill.
 MOST_PARTITIONS = 20_000
+#: Partitions of the units of a smaller corpus, if it has as many times `FEW_BYTES` of text. It has more distinct units for
+#: its size, and a task sorts the edges of all its units at once.
+FEW_PARTITIONS, FEW_BYTES = 96, 1_000_000
 #: Level of compression of the texts that wait for their units.
 PACKED = 6
 #: Characters of a unit in the lattice at most.
@@ -294,6 +297,11 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     return lattice.withColumn("best", forward).select("unit", backward.alias("ids"))
 
 
+def unit_partitions(total: int, least: int) -> int:
+    """Partitions of the units of `total` bytes of text."""
+    return max(least, min(FEW_PARTITIONS, -(-total // FEW_BYTES)), min(MOST_PARTITIONS, -(-total // UNIT_BYTES)))
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """Slices of the scan with the number of their block. `part` is the partition of the scan, which isn't the task's
     own number where the scan runs under a union."""
@@ -485,7 +493,7 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram
 
     total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     least = spark.sparkContext.defaultParallelism
-    parts = max(least, min(MOST_PARTITIONS, -(-total // UNIT_BYTES)))
+    parts = unit_partitions(total, least)
     # each block names a unit once, so combining before the exchange would gain nothing
     seen = rows.mapInArrow(io.releasing(cut), "unit string, block long").repartition(parts, "unit")
     coded = encode_units(seen.groupBy("unit").agg(F.count("block").alias("n")).filter("n > 0").select("unit"), pieces)

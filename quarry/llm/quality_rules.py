@@ -27,6 +27,8 @@ MIN_REPEAT, MAX_COVERED, MAX_LONGEST = 6, 0.3, 60
 #: The base rule: fewest words, and words in repeated windows of this many words, as a percentage of all.
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 
+#: Bytes of text that a task works on at a time.
+STEP_BYTES = 1 << 18
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
@@ -123,7 +125,7 @@ def repeated_lines(text: str | None) -> int:
 def measure(
     batches: Iterator[pa.RecordBatch], min_repeat: int, max_covered: float, max_longest: int
 ) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches):
+    for batch in steps(batches, limit=STEP_BYTES):
         data, offsets = utf8(batch.column("text"))
         start, end, first = words(data, offsets, SPACED)
         n_words = np.diff(first)
@@ -171,6 +173,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns as they are."""
+    io.small_batches(docs.sparkSession)
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

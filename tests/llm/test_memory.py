@@ -1,6 +1,8 @@
 """Workers are kept from task to task, and give their memory back in between."""
 
-from quarry.llm import io
+import pyarrow as pa
+
+from quarry.llm import io, piece_encoding, quality_rules
 
 
 def test_memory_goes_back_at_the_end_of_a_task(monkeypatch):
@@ -19,3 +21,29 @@ def test_memory_goes_back_at_the_end_of_a_task(monkeypatch):
     assert next(some) == 2
     some.close()
     assert seen == ["released"]
+
+
+def test_texts_are_sliced(spark):
+    text = " ".join(f"word{k}" for k in range(10_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array([text] * 12)], ["doc_id", "text"])
+    out = list(quality_rules.measure(iter([batch]), 3, 0.2, 100))
+    assert sum((x.column("doc_id").to_pylist() for x in out), []) == list(range(12))
+    assert max(x.num_rows for x in out) * len(text) <= 1 << 18
+    # both sides of an exchange with Python hold a batch
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for step in (quality_rules.keep,):
+        before = spark.conf.get(name)
+        try:
+            spark.conf.unset(name)
+            step(docs)
+            assert spark.conf.get(name) == str(io.ARROW_BYTES)
+        finally:
+            spark.conf.set(name, before)
+
+
+def test_a_small_corpus_has_small_partitions_of_units():
+    # sorting the edges of a sixteenth of 0.1 GB's units filled an executor's heap
+    assert piece_encoding.unit_partitions(130_000_000, 6) == 96
+    assert piece_encoding.unit_partitions(5_000_000, 6) == 6
+    assert piece_encoding.unit_partitions(40_000_000_000, 6) == 5000
