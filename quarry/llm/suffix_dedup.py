@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ from quarry.llm import io
 from quarry.llm.text import Ranges, mix, ranges_of, signed, steps, utf8, window_minimum
 
 LENGTH, PHRASE = 200, 32
+#: Bytes of text, and of strings to compare, that a task works on at a time: arrays of some hundred bytes for each of them.
+STEP_BYTES = 1 << 18
 #: Contexts that meet in one task at most; strings of larger groups are counted row by row.
 CROWD = 20_000
 
@@ -102,7 +105,7 @@ def anchors(texts: DataFrame, length: int) -> DataFrame:
     half = (length - PHRASE) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP_BYTES):
             data, offsets = utf8(batch.column("text"))
             row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             n, ranges = len(data), Ranges(data)
@@ -135,7 +138,7 @@ def phrases(texts: DataFrame, length: int) -> DataFrame:
     """Every phrase that a trigger picks and how often; counted in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP_BYTES):
             data, offsets = utf8(batch.column("text"))
             row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
             places = np.arange(max(0, len(data) - PHRASE + 1))
@@ -193,29 +196,44 @@ def to_compare(mark: dict, half: int) -> list[tuple[int, int, dict]]:
 def suffix_ranks(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The rank of each suffix of `data` that starts at a place of `at`, by its first `depth` bytes (at least 8): equal
     for equal bytes, in the order of the bytes otherwise. Prefix doubling: ranks by 2k bytes from two ranks by k."""
-    padded = np.append(data, np.zeros(8, np.uint8))
-    words = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        words = (words << np.uint64(8)) | padded[k : k + len(data)]
-    used = np.zeros(len(data) + 1, np.int64)
+    used = np.zeros(len(data) + 1, np.int32)
     np.add.at(used, at, 1)
     np.add.at(used, np.minimum(at + depth, len(data)), -1)
     # only places inside a suffix need a rank
     live = np.flatnonzero(np.cumsum(used[:-1]) > 0)
-    ranks, width = np.zeros(len(data), np.uint64), 8
-    ranks[live] = np.unique(words[live], return_inverse=True)[1].astype(np.uint64)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    keys = np.zeros(len(live), np.uint64)
+    for k in range(8):
+        keys <<= np.uint64(8)
+        keys |= padded[live + k]
+    ranks, width = np.zeros(len(data), np.uint32), 8
+    ranks[live] = dense_ranks(keys)
     while width < depth:
         # the last step overlaps, so that both halves end within the depth
         shift = min(width, depth - width)
-        second = ranks[np.minimum(live + shift, len(data) - 1)]
-        new = np.unique((ranks[live] << np.uint64(32)) | second, return_inverse=True)[1]
-        ranks[live] = new.astype(np.uint64)
+        keys = ranks[live].astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= ranks[np.minimum(live + shift, len(data) - 1)]
+        ranks[live] = dense_ranks(keys)
         width += shift
     return ranks[at]
 
 
+def dense_ranks(keys: np.ndarray) -> np.ndarray:
+    """The number of smaller distinct keys of each: what np.unique's inverse says, with half its memory."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.zeros(len(keys), np.uint32)
+    new[1:] = ordered[1:] != ordered[:-1]
+    del ordered
+    out = np.empty(len(keys), np.uint32)
+    out[order] = np.cumsum(new, out=new)
+    return out
+
+
 def repeated(docs: DataFrame, length: int) -> DataFrame:
     """Each distinct text (k1, k2, text) with the starts of its repeated strings: `settled` spans, single `starts`."""
+    io.small_batches(docs.sparkSession)
     rows = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     # most phrases occur once and end here; the anchors of the others are written, so that texts are parsed no more
     again = io.written(phrases(rows, length).filter("n > 1"))
@@ -237,7 +255,7 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
 
     def pieces(batches: Iterator[pa.RecordBatch], crowded: bool) -> Iterator[tuple]:
         """(k1, k2, open, group, first start, last start, UTF-8 text) of all strings in crowded groups, or in others."""
-        for batch in batches:
+        for batch in steps(batches, limit=STEP_BYTES):
             columns = [batch.column(c).to_pylist() for c in ("k1", "k2", "text", "marks")]
             for k1, k2, text, marks_ in zip(*columns, strict=True):
                 raw = None
@@ -260,27 +278,16 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Starts of the open strings that occur twice in their group; a sorted partition's groups, whole ones at a time."""
-        held = None
-        for batch in _with_last(batches):
-            if batch is not None:
-                held = batch if held is None else pa.concat_batches([held, batch])
-                group = held.column("group").to_numpy()
-                cut = int(np.searchsorted(group, group[-1]))
-                ready, held = held.slice(0, cut), held.slice(cut)
-            else:
-                ready = held
-            if ready is None or not ready.num_rows:
-                continue
+        for ready in whole_groups(batches, STEP_BYTES):
             data, offsets = utf8(ready.column("bytes"))
             count = np.diff(offsets) - length + 1
             at = np.repeat(offsets[:-1], count) + ranges_of(count)
             row = np.repeat(np.arange(len(count)), count)
             # the group comes before the bytes in the order
             _, group = np.unique(ready.column("group").to_numpy(), return_inverse=True)
-            ranks = suffix_ranks(data, at, length)
-            _, inverse, times = np.unique((group[row].astype(np.uint64) << np.uint64(32)) | ranks, return_inverse=True, return_counts=True)
+            strings = dense_ranks((group[row].astype(np.uint64) << np.uint64(32)) | suffix_ranks(data, at, length))
             is_open = ready.column("open").to_numpy(zero_copy_only=False)
-            hit = (times[inverse] > 1) & is_open[row]
+            hit = (np.bincount(strings)[strings] > 1) & is_open[row]
             starts = (at - offsets[row] + ready.column("start").to_numpy()[row])[hit]
             some, first = np.unique(row[hit], return_index=True)
             yield pa.RecordBatch.from_arrays(
@@ -324,11 +331,26 @@ def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+def whole_groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition sorted by group, in slices of whole groups: of at most `limit` of `bytes` and one group."""
+    held: list[pa.RecordBatch] = []
+    size, last = 0, None
     for batch in batches:
-        if batch.num_rows:
-            yield batch
-    yield None
+        if not batch.num_rows:
+            continue
+        group = batch.column("group").to_numpy()
+        sizes = np.concatenate(([0], np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy())))
+        edges = np.concatenate(([0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]))
+        begin = 0
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = int(sizes[b] - sizes[a])
+            if size and group[a] != last and size + own > limit:
+                yield pa.concat_batches([*held, batch.slice(begin, a - begin)])
+                held, size, begin = [], 0, a
+            size, last = size + own, group[a]
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.concat_batches(held)
 
 
 def removed_runs(settled: list, starts: list | None, length: int) -> list[tuple[int, int]]:
@@ -349,7 +371,7 @@ def remainders(docs: DataFrame, length: int = LENGTH, texts_too: bool = True) ->
     """k1, k2, n_bytes, n_removed, n_spans, kept_sha256 and kept (text) of each distinct text that has repeats."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP_BYTES):
             out = []
             for text, settled, starts in zip(
                 batch.column("text").to_pylist(), batch.column("settled").to_pylist(), batch.column("starts").to_pylist(), strict=True

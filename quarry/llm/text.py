@@ -81,7 +81,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def _power(n: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of a base, and of its inverse modulo 2**64."""
     if kind not in _powers or len(_powers[kind][0]) < n:
-        size, out = max(n, 1 << 20) + 1, []
+        size, out = (1 << max(18, (n - 2).bit_length())) + 1, []
         for base in (_BASES[kind], pow(_BASES[kind], -1, 1 << 64)):
             row = np.full(size, np.uint64(base))
             row[0] = 1
