@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import io, jaccard_join
-from quarry.llm.components import components
+from quarry.llm.components import components, contracted, stars
 from quarry.llm.text import SPACED, lower_ascii, mix, signed, steps, utf8, words
 
 #: Most distinct fingerprints of a bucket that meet in one task at once.
@@ -380,14 +380,16 @@ def similar_links(fps: DataFrame, nodes: DataFrame, docs: DataFrame, scheme: Sch
     ordered = lambda pairs: io.checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
     tested = ordered(links(fps, scheme))
     found = jaccard_join.verified(jaccard_join.possible(tested, nodes, SHARE), nodes, docs, scheme.shingle, SHARE)
-    groups = components(tested).select("node", F.col("root").alias("near"))
-    classed = io.checkpointed(groups.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    # a node has many links within its class, so those between classes are few
+    roots = io.checkpointed(components(found))
+    near_ = components(contracted(tested, roots)).select(F.col("node").alias("root"), F.col("root").alias("near"))
+    classed = io.checkpointed(near_.join(roots, "root", "left").select(F.coalesce("node", "root").alias("node"), "root", "near"))
     # two nodes have been compared by their one link
-    mixed = classed.groupBy("near").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("n > 2 AND lo <> hi")
+    mixed = classed.groupBy("near").agg(F.count("*").alias("n")).filter("n > 2")
     open_ = classed.join(mixed.select("near"), "near", "left_semi").select("node", "root")
     again = io.checkpointed(fps.join(open_, "node").join(nodes.select("node", *CLASSED[1:]), "node"))
     more = ordered(links(again, scheme, across_classes=True)).join(tested, ["a", "b"], "left_anti")
-    return found.unionByName(jaccard_join.verified(more, nodes, docs, scheme.shingle, SHARE))
+    return stars(roots).unionByName(jaccard_join.verified(more, nodes, docs, scheme.shingle, SHARE))
 
 
 def keep(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:

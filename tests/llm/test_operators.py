@@ -9,6 +9,7 @@ import pytest
 from quarry.llm import (
     classifier, decontamination, html_extraction, io, piece_encoding, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, url_filters,
 )
+from quarry.llm.components import components, contracted, stars
 from tests.llm import brute
 
 DATA = "/root/testdata/sf0.001"
@@ -86,6 +87,38 @@ def test_near_copies_beyond_four_bits(spark):
     kept_rows(simhash.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), brute.near_copies(rows))
 
 
+@pytest.mark.parametrize("n", [30, 60])
+def test_links_of_near_copies_grow_with_the_group(spark, monkeypatch, n):
+    """What is known of classes goes on as one link for each node, not as all links found."""
+    base, given = prose(27, 120), []
+    rows = [(k, variant(base, k + 20)) for k in range(n)]
+
+    def counted(links):
+        given.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(simhash, "components", counted)
+    kept_rows(simhash.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), brute.near_copies(rows))
+    assert given[0] > 2 * n and all(x < n for x in given[1:])
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_chains_and_stars(spark, monkeypatch, few):
+    monkeypatch.setattr("quarry.llm.components.LEAST_TASKS", 1 if few else 1000)
+    chains = [(k, k + 1) for k in range(40) if k % 8] + [(k, 1000 - k) for k in range(0, 40, 8)]
+    links = chains + [(100, k) for k in range(101, 160)] + [(7, 7), (9, 10)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    root = {x: x for link in links for x in link if link != (7, 7)}
+    for _ in root:
+        for x, y in links:
+            root[x] = root[y] = min(root.get(x, x), root.get(y, y))
+    got = components(df)
+    assert {r["node"]: r["root"] for r in got.collect()} == root and got.count() == len(root)
+    assert {(r["a"], r["b"]) for r in stars(got).collect()} == {(x, y) for x, y in root.items() if x != y}
+    more = spark.createDataFrame([(5, 39), (3, 4), (500, 150), (39, 5), (600, 601)], "a long, b long")
+    assert {(r["a"], r["b"]) for r in contracted(more, got).collect()} == {(root[5], root[39]), (500, 100), (root[39], root[5]), (600, 601)}
+
+
 def test_near_copies_by_row(spark):
     base = prose(22, 100)
     rows = [
