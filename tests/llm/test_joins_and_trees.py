@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quarry.llm import fill_in_middle, io, jaccard_join, prefix_trie
+from quarry.llm.components import components
 from tests.llm import brute
 from tests.llm.test_operators import MORE, docs, empty, named, prose, same, texted, variant  # noqa: F401  (empty needs docs)
 
@@ -126,6 +127,19 @@ def test_jaccard_join(spark, monkeypatch, path):
     same(jaccard_join.classes(df), JACCARD, expected)
 
 
+def test_links_of_near_texts_are_kept_as_one_for_each(spark, monkeypatch):
+    base, given, n = prose(340, 120), [], 40
+    rows = [(k, variant(base, k + 20)) for k in range(n)]
+
+    def counted(links):
+        given.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(jaccard_join, "components", counted)
+    same(jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), JACCARD, brute.jaccard(rows))
+    assert given[0] > n and all(x < n for x in given[1:])
+
+
 def test_jaccard_join_of_hard_inputs(spark, empty):  # noqa: F811
     assert jaccard_join.classes(empty).count() == 0
     same(jaccard_join.classes(named(spark, MORE)), JACCARD, brute.jaccard(texted(MORE)))
