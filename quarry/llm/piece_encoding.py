@@ -408,6 +408,16 @@ class Block:
         return b"".join(map(words.__getitem__, own))
 
 
+def decoded_texts(ids: np.ndarray, sizes: np.ndarray, decoded: pa.Array) -> list[str]:
+    """The texts of lists of ids, one after the other, of `sizes` ids each. `decoded`: the bytes of each id."""
+    taken = decoded.take(pa.array(ids))
+    _, ends, data = taken.buffers()
+    data = memoryview(data if data is not None else b"")
+    at = np.frombuffer(ends, np.int32, len(ids) + 1)[np.concatenate(([0], np.cumsum(sizes)))].tolist() if len(ids) else [0] * (len(sizes) + 1)
+    # without the first blank
+    return [str(data[a + 1 : b], "utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+
+
 def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram: bool = False) -> DataFrame:
     """doc_id, n_pieces, pieces (ids), pieces_sha256 (of the ids as little-endian 32-bit integers), decoded (text) and
     lossless (whether the text came back) of every document; `whole` false leaves pieces and decoded null. `unigram` says
@@ -502,6 +512,7 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, now = Block(shared()), None
+        table = pa.array(state.value["decoded"], pa.binary())
         io.release()
         for batch in batches:
             for i in range(batch.num_rows):
@@ -515,26 +526,22 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram
                     block.add(payload)
                     continue
                 for docs_ in pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)):
-                    yield answer(block, docs_)
-
-    def answer(block: Block, batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, decoded, raws, back, same = batch.column("text").to_pylist(), state.value["decoded"], [], [], []
-        for text in texts:
-            raw = block.encoded(text)
-            ids = np.frombuffer(raw, np.int32).tolist()
-            joined = b"".join(map(decoded.__getitem__, ids))[1:].decode(errors="replace")
-            raws.append(raw)
-            back.append(joined if whole else None)
-            same.append(joined == text)
+                    yield answer(block, docs_, table)
+
+    def answer(block: Block, batch: pa.RecordBatch, table: pa.Array) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist()
+        raws = [block.encoded(text) for text in texts]
         sizes = np.array([len(x) // 4 for x in raws], np.int64)
-        ids = pa.array(np.frombuffer(b"".join(raws), np.int32), pa.int32())
-        listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), ids)
+        ids = np.frombuffer(b"".join(raws), np.int32)
+        back = decoded_texts(ids, sizes, table)
+        same = [x == y for x, y in zip(back, texts, strict=True)]
+        listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
         columns = [
             batch.column("doc_id"),
             pa.array(sizes),
             listed if whole else pa.nulls(len(raws), listed.type),
             pa.array([hashlib.sha256(x).hexdigest() for x in raws], pa.string()),
-            pa.array(back, pa.string()),
+            pa.array(back if whole else [None] * len(back), pa.string()),
             pa.array(same, pa.bool_()),
         ]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pieces", "pieces", "pieces_sha256", "decoded", "lossless"])

@@ -589,6 +589,18 @@ def test_unigram_encoding_by_the_best_sum(spark, tmp_path, monkeypatch, long):
         piece_encoding.Pieces(str(tmp_path / "v.model"), True)
 
 
+def test_decoding_of_lists_of_ids():
+    """All texts of a batch at once: empty ones, blanks, bytes that are no text."""
+    import pyarrow as pa
+
+    decoded = [b" ", b"ab", "é".encode(), b"\xff", b"\xc3", b"\xa9", b""]
+    lists = [[0, 1, 2], [], [0], [0, 3, 1], [0, 4, 5], [0, 4], [6], [0, 0, 1]]
+    expected = [b"".join(decoded[i] for i in x)[1:].decode(errors="replace") for x in lists]
+    flat, sizes = np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists])
+    assert piece_encoding.decoded_texts(flat, sizes, pa.array(decoded, pa.binary())) == expected
+    assert piece_encoding.decoded_texts(flat[:0], np.zeros(2, int), pa.array(decoded, pa.binary())) == ["", ""]
+
+
 def test_piece_encoding_of_a_table(spark):
     df = io.table(spark, DATA, "documents")
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
