@@ -1,12 +1,12 @@
 """Operator 2, SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units that no piece crosses: at every blank, and around characters that only occur as pieces of
-their own. Each distinct unit is encoded once:
+Texts are cut into units that no piece crosses: at every blank, and between two characters that no piece holds side by
+side. Each distinct unit is encoded once:
 
 - lattice: substrings up to the longest piece are exploded and joined by equality with the piece table; the edges found
   are grouped by unit. A single character is an edge between its two places without a row of its own;
-- path: a forward fold (`aggregate`) over a unit's edges in order of their ends keeps one last edge for each prefix; a
-  backward fold reads the path.
+- path: a forward fold over a unit's edges in order of their ends keeps one last edge for each prefix; a backward fold
+  reads the path. Byte-pair models fold all units of a record batch at once, place by place.
 
 For unigram models the fold is Viterbi's: it keeps the best sum of scores of each prefix. For byte-pair models, as the
 public piece file is one, it has that shape but sums no scores, which are ranks of merges there; the path of the best sum
@@ -21,10 +21,8 @@ its texts stream past them. What a task holds is one block's units and one slice
 different blocks (an input whose order changes between two reads), a unit that a block lacks is merged where it stands,
 with the same result. So are blanks before a blank, which merge last and from the left.
 
-A unit of more than `LONG` characters (prose without blanks, a long token) is cut further, between two characters that
-no piece holds side by side. What is still longer, a run of letters that all join, doesn't enter the lattice: its
-characters are merged by a queue in the task that holds its block, in time that grows with its length and the logarithm
-of it.
+A unit of more than `LONG` characters, a run of letters that all join, doesn't enter the lattice: its characters are merged
+by a queue in the task that holds its block, in time that grows with its length and the logarithm of it.
 
 Decoding joins pieces and bytes and drops the first blank. It gives the text back but for the character U+2581, which
 stands for a blank, and malformed bytes.
@@ -38,19 +36,19 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import io
-from quarry.llm.text import steps
+from quarry.llm.text import ranges_of, steps
 
 BLANK = "▁"
 #: Bytes of text in a block, and for each partition of the units.
@@ -66,8 +64,12 @@ PACKED = 6
 LONG = 64
 #: Words that a task holds until it looks for their units.
 SEEN = 100_000
+#: Characters that are cut into units at once.
+CUT = 1 << 18
 #: Pairs of unit and block that a task packs at once.
 DEALT = 200_000
+#: Of the units that are folded at once, the sum of the squares of their numbers of edges (or one unit).
+FOLDED = 1_000_000
 #: A piece table up to this many rows is broadcast.
 BROADCAST_PIECES = 1_000_000
 #: Of a single character: no merge precedes it.
@@ -107,21 +109,29 @@ class Pieces:
         if unigram and (max(self.blanks, default=0) != 1 or any(c not in self.id for t in self.id for c in t)):
             raise ValueError("a unigram model needs a piece for each character, and none of several blanks")
         self.longest = max(map(len, self.rank))
-        #: characters that join others; all others stand alone
-        joined = {c for t in self.rank if len(t) > 1 for c in t} - {BLANK}
-        letters = "".join(map(re.escape, sorted(joined)))
-        self.units = f"{BLANK}?[{letters}]+" if letters else BLANK
-        self.pattern = f"{BLANK}+(?={BLANK})|{self.units}|[^{letters}{BLANK}]|{BLANK}"
-
-        #: characters that stand side by side in some piece
-        self.pairs = {t[k : k + 2] for t in self.rank for k in range(len(t) - 1)}
-
-    def parts(self, unit: str) -> list[str]:
-        """A long unit cut where no piece crosses."""
-        if len(unit) <= LONG:
-            return [unit]
-        cuts = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.pairs]
-        return [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)], strict=True)]
+        #: characters that stand side by side in some piece; a blank only begins one
+        self.pairs = {t[k : k + 2] for t in self.rank for k in range(len(t) - 1) if t[k + 1] != BLANK}
+
+    @cached_property
+    def beside(self) -> tuple[np.ndarray, int, np.ndarray]:
+        """The number of each code point among those of the pairs (0: it is in none), how many numbers there are, and a bit for
+        each two of them: whether they are a pair."""
+        chars = sorted({ord(c) for pair in self.pairs for c in pair})
+        numbers, n = np.zeros(0x110000, np.int32), len(chars) + 1
+        numbers[chars] = np.arange(1, n)
+        at = np.array([int(numbers[ord(a)]) * n + int(numbers[ord(b)]) for a, b in self.pairs], np.int64)
+        bits = np.zeros(n * n // 8 + 1, np.uint8)
+        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        return numbers, n, bits
+
+    def ends(self, text: str) -> np.ndarray:
+        """Where the units of a text with `BLANK` for each blank end."""
+        (numbers, n, bits), out = self.beside, []
+        for at in range(0, len(text) - 1, CUT):
+            kinds = numbers[np.frombuffer(text[at : at + CUT + 1].encode("utf-32-le"), "<u4")].astype(np.int64)
+            pair = kinds[:-1] * n + kinds[1:]
+            out.append(np.flatnonzero(bits[pair >> 3] >> (pair & 7) & 1 ^ 1) + at + 1)
+        return np.concatenate([*out, [len(text)]])
 
     def best(self, unit: str) -> list[int]:
         """The ids of the path with the best sum of scores (32-bit floats); of equal ones the longest last piece."""
@@ -202,6 +212,16 @@ class Pieces:
             out.append((t, self.id[t], self.rank[t], *sides))
         return out
 
+    @cached_property
+    def merges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By id the rank, and where its prefixes and suffixes begin in the lists of all; these two lists."""
+        rows = self.rows()
+        rank, at = np.zeros(len(self.decoded), np.int64), np.zeros(len(self.decoded), np.int64)
+        ids = [row[1] for row in rows]
+        rank[ids] = [row[2] for row in rows]
+        at[ids] = np.cumsum([0, *(len(row[3]) for row in rows)])[:-1]
+        return rank, at, *(np.array([x for row in rows for x in row[side]], np.int32) for side in (3, 4))
+
     @cached_property
     def single(self) -> np.ndarray:
         """The id of each code point that is a piece, else -1."""
@@ -247,15 +267,13 @@ def best_paths(units: DataFrame, pieces: Pieces) -> DataFrame:
     return lattice.withColumn("best", forward).select("unit", backward.alias("ids"))
 
 
-def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """unit and ids (of a single character: -1 - its code point) of the distinct units that hold a piece of two or more
-    characters. `units` is partitioned by unit, and nothing here shuffles."""
-    if pieces.unigram:
-        return best_paths(units, pieces)
-    rows = pieces.rows()
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
-    table = units.sparkSession.createDataFrame(pa.table(columns, ["piece", "id", "rank", "prefixes", "suffixes"]))
+def lattices(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """unit and edges of the distinct units that hold a piece of two or more characters, in order of their ends and then of
+    their starts. An edge is its end, its start and the id of its piece, in 8, 8 and 32 bits. `units` is partitioned by
+    unit, and nothing here shuffles."""
+    rows = [row[:2] for row in pieces.rows()]
+    columns = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate([pa.string(), pa.int32()])]
+    table = units.sparkSession.createDataFrame(pa.table(columns, ["piece", "id"]))
     # a join on one number is far cheaper than one on strings; the strings are compared after it
     table = table.withColumn("key", F.xxhash64("piece"))
     edges = (
@@ -267,34 +285,69 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
         .join(F.broadcast(table) if len(rows) <= BROADCAST_PIECES else table, "key")
         # equality, in words that don't make it a second join key
         .filter("piece >= part AND piece <= part")
-        .select("unit", F.struct((F.col("s") + F.col("size")).alias("e"), "s", "id", "rank", "prefixes", "suffixes").alias("edge"))
+        .select("unit", F.expr("shiftleft(bigint(s + size), 40) + shiftleft(bigint(s), 32) + id").alias("edge"))
     )
-    lattice = edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    # best: for each place the number of the edge that ends there, -1 for the single character
-    forward = F.expr(f"""
-        aggregate(
-          transform(edges, (y, i) -> named_struct('y', y, 'i', i)),
-          array_repeat(-1, length(unit) + 1),
-          (best, n) -> if(
-            best[n.y.e] >= 0 or (n.y.s > 0 and exists(edges, c ->
-              c.s < n.y.s and c.e > n.y.s and c.e <= n.y.e
-              and c.s >= if(best[n.y.s] < 0, n.y.s - 1, edges[best[n.y.s]].s)
-              and c.rank < if(best[n.y.s] < 0, {NEVER}, coalesce(get(edges[best[n.y.s]].suffixes, n.y.s - c.s), 0))
-              and c.rank <= coalesce(get(n.y.prefixes, c.e - n.y.s), 0))),
-            best,
-            transform(best, (b, k) -> if(k = n.y.e, n.i, b))))
-    """)
-    backward = F.expr("""
-        aggregate(
-          sequence(1, length(unit)),
-          named_struct('at', length(unit), 'ids', cast(array() as array<int>)),
-          (path, k) -> if(path.at = 0, path, named_struct(
-            'at', if(best[path.at] < 0, path.at - 1, edges[best[path.at]].s),
-            'ids', array_append(path.ids,
-              if(best[path.at] < 0, -1 - ascii(substring(unit, path.at, 1)), edges[best[path.at]].id)))),
-          path -> reverse(path.ids))
-    """)
-    return lattice.withColumn("best", forward).select("unit", backward.alias("ids"))
+    return edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
+def paths(pieces: Pieces, units: pa.Array, edges: pa.Array) -> pa.Array:
+    """The ids of each unit of a byte-pair model, from its edges."""
+    weight = np.cumsum(edges.value_lengths().to_numpy().astype(np.int64) ** 2)
+    out, first = [], 0
+    while first < len(units):
+        last = max(first + 1, int(np.searchsorted(weight, (weight[first - 1] if first else 0) + FOLDED, "right")))
+        out.append(_paths(pieces, units[first:last].to_pylist(), edges[first:last]))
+        first = last
+    return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+
+def _paths(pieces: Pieces, units: list[str], edges: pa.Array) -> pa.Array:
+    rank, at, prefixes, suffixes = pieces.merges
+    packed = edges.flatten().to_numpy()
+    end, start, ids = packed >> 40, packed >> 32 & 255, packed & 0xFFFFFFFF
+    unit = np.repeat(np.arange(len(units)), edges.value_lengths().to_numpy())
+    size = np.array([len(x) for x in units])
+    width = int(size.max())
+    # what may keep out an edge n: an edge c that crosses its start and ends inside of it, with a better rank than what the
+    # prefix of n that c takes becomes part of
+    key = unit << 8 | end
+    low = np.searchsorted(key, unit << 8 | start, "right")
+    some = np.where(start > 0, np.searchsorted(key, key, "right") - low, 0)
+    n, c = np.repeat(np.arange(len(end)), some), np.repeat(low, some) + ranges_of(some)
+    crosses = start[c] < start[n]
+    n, c = n[crosses], c[crosses]
+    first = rank[ids[c]] <= prefixes[at[ids[n]] + end[c] - start[n]]
+    n, c = n[first], c[first]
+    # forward: for each place the number of the edge that ends there, -1 for the single character
+    best, out = np.full((len(units), width + 1), -1), np.zeros(len(end), bool)
+    places = np.arange(width + 2)
+    edge, pair = np.argsort(end, kind="stable"), np.argsort(end[n], kind="stable")
+    n, c = n[pair], c[pair]
+    upto, pairs_upto = np.searchsorted(end[edge], places), np.searchsorted(end[n], places)
+    for place in range(2, width + 1):
+        here, x, y = edge[upto[place] : upto[place + 1]], *(v[pairs_upto[place] : pairs_upto[place + 1]] for v in (n, c))
+        before = best[unit[x], start[x]]
+        # the last edge of the prefix has to hold the start of c, and to have a suffix from there on while c's rank comes
+        holds = start[y] >= np.where(before < 0, start[x] - 1, start[before])
+        x, y, before = x[holds], y[holds], before[holds]
+        until = np.where(before < 0, NEVER, suffixes[at[ids[before]] + start[x] - start[y]])
+        out[x[rank[ids[y]] < until]] = True
+        # of several the longest, which is written last
+        free = here[~out[here]][::-1]
+        best[unit[free], place] = free
+    # backward
+    codes = np.frombuffer("".join(units).encode("utf-32-le"), "<u4")
+    begin, now, path, taken = np.cumsum(size) - size, size.copy(), np.zeros((len(units), width), np.int32), np.zeros(len(units), np.int64)
+    live = np.arange(len(units))
+    while len(live):
+        place = now[live]
+        last = best[live, place]
+        path[live, width - 1 - taken[live]] = np.where(last < 0, pieces.single[codes[begin[live] + place - 1]], ids[last])
+        taken[live] += 1
+        now[live] = np.where(last < 0, place - 1, start[last])
+        live = live[now[live] > 0]
+    flat = path[np.arange(width) >= width - taken[:, None]]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(taken))), pa.int32()), pa.array(flat, pa.int32()))
 
 
 def unit_partitions(total: int, least: int) -> int:
@@ -333,7 +386,7 @@ class Block:
     """The coded units of a block, and the ids of texts made of them."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.find = pieces, re.compile(pieces.pattern).findall
+        self.pieces = pieces
         self.lengths = pieces.lengths
         self.wide = len(pieces.decoded) > 1 << 16
         self.lone = np.int32(pieces.blanks[1]).tobytes()
@@ -359,17 +412,30 @@ class Block:
                 inner[names[at:a]] = raw[begin:b]
             at, begin = a, b
 
-    def ids_of(self, unit: str) -> bytes:
-        table, key = (self.words, unit[1:]) if unit[0] == BLANK else (self.inner, unit)
-        found = table.get(key)
-        if found is None:
-            parts = self.pieces.parts(unit)
-            if len(parts) > 1:
-                found = b"".join(map(self.ids_of, parts))
-            else:
-                found = np.array(self.pieces.merged(unit), np.int32).tobytes()
-            table[key] = found
-        return found
+    def found(self, table: dict[str, bytes], blank: str, units: list[str]) -> Iterator[bytes]:
+        """The ids of units of a table; what the lattice didn't have is merged here."""
+        ids = list(map(table.get, units))
+        if None in ids:
+            for unit in {unit for unit, x in zip(units, ids, strict=True) if x is None}:
+                table[unit] = np.array(self.pieces.merged(blank + unit), np.int32).tobytes()
+            ids = map(table.__getitem__, units)
+        return iter(ids)
+
+    def learn(self, new: set[str]) -> None:
+        """Puts words together of their units."""
+        if not new:
+            return
+        text = BLANK + BLANK.join(new)
+        ends = self.pieces.ends(text)
+        begin = np.append(0, ends[:-1])
+        # where each word begins, at its blank
+        at = np.cumsum([0, *map(len, new)])[:-1] + np.arange(len(new))
+        first = np.searchsorted(begin, at)
+        rest = np.delete(np.arange(len(begin)), first)
+        lead = self.found(self.words, BLANK, [text[a:b] for a, b in zip((at + 1).tolist(), ends[first].tolist(), strict=True)])
+        others = self.found(self.inner, "", [text[a:b] for a, b in zip(begin[rest].tolist(), ends[rest].tolist(), strict=True)])
+        for word, ids, n in zip(new, lead, np.diff(np.append(first, len(begin))).tolist(), strict=True):
+            self.words[word] = ids if n == 1 else ids + b"".join(islice(others, n - 1))
 
     def run(self, k: int) -> bytes:
         """A run of blanks: the longest pieces from the left."""
@@ -379,33 +445,37 @@ class Block:
             k -= min(k, longest)
         return np.array(out, np.int32).tobytes()
 
-    def slowly(self, text: str) -> bytes:
-        """Of a text with blanks in a row: a run takes in the blank that its next unit leaves alone."""
+    def with_runs(self, own: list[str]) -> bytes:
+        """Of words with blanks in a row: a run takes in the blank that its next word leaves alone."""
         parts, wait = [], 0
-        for u in self.find(BLANK + text.replace(" ", BLANK)):
-            if u.strip(BLANK) == "":
-                wait += len(u)
+        for word in own:
+            if not word:
+                wait += 1
                 continue
-            own = self.ids_of(u)
-            if wait and own[:4] == self.lone:
+            ids = self.words[word]
+            if wait and ids[:4] == self.lone:
                 parts.append(self.run(wait + 1))
-                own = own[4:]
+                ids = ids[4:]
             elif wait:
                 parts.append(self.run(wait))
-            parts.append(own)
+            parts.append(ids)
             wait = 0
         return b"".join([*parts, self.run(wait)])
 
-    def encoded(self, text: str) -> bytes:
-        """The ids of a text as 32-bit integers."""
-        if not text:
-            return b""
-        if text[0] == " " or "  " in text or BLANK in text:
-            return self.slowly(text)
-        words, own = self.words, text.split(" ")
-        for word in set(own).difference(words):
-            words[word] = b"".join(map(self.ids_of, self.find(BLANK + word)))
-        return b"".join(map(words.__getitem__, own))
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as 32-bit integers."""
+        texts = [text.replace(BLANK, " ") for text in texts]
+        owns = [text.split(" ") for text in texts]
+        self.learn(set().union(*owns).difference(self.words))
+        word, out = self.words.__getitem__, []
+        for text, own in zip(texts, owns, strict=True):
+            if not text:
+                out.append(b"")
+            elif text[0] == " " or "  " in text:
+                out.append(self.with_runs(own))
+            else:
+                out.append(b"".join(map(word, own)))
+        return out
 
 
 def decoded_texts(ids: np.ndarray, sizes: np.ndarray, decoded: pa.Array) -> list[str]:
@@ -424,6 +494,9 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram
     that the model at `path` is one."""
     spark, pieces = docs.sparkSession, Pieces(path or model_path(), unigram)
     io.small_batches(spark)
+    if not unigram:
+        # made here, once
+        _ = pieces.merges
     # plain values, which a worker reads once and not with every task
     state = spark.sparkContext.broadcast(vars(pieces))
 
@@ -437,19 +510,22 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared()
-        find = re.compile(pieces.units).findall
 
         def gather(found: set[str], seen: set[str]) -> None:
             """Adds the units of the words seen, which are then forgotten."""
             words = list(seen)
             seen.clear()
             for at in range(0, len(words), 20_000):
-                found.update(find(BLANK + BLANK.join(words[at : at + 20_000])))
+                text = BLANK + BLANK.join(words[at : at + 20_000])
+                ends = pieces.ends(text)
+                begin = np.append(0, ends[:-1])
+                # a single character has no lattice, and long runs are merged where they stand
+                own = (ends - begin > 1) & (ends - begin <= LONG)
+                found.update([text[a:b] for a, b in zip(begin[own].tolist(), ends[own].tolist(), strict=True)])
 
         def rows_of(block: int, found: set[str]) -> Iterator[pa.RecordBatch]:
-            # a single character has no lattice, and long runs are merged where they stand
-            parts = (x for u in found for x in (pieces.parts(u) if len(u) > LONG else (u,)) if 1 < len(x) <= LONG)
-            while some := list(islice(parts, 20_000)):
+            units = iter(found)
+            while some := list(islice(units, 20_000)):
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(np.full(len(some), block))], ["unit", "block"])
             found.clear()
             io.release()
@@ -481,20 +557,25 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram
             yield _payload([(block, zstandard.ZstdCompressor(level=PACKED).compress(sink.getvalue()))], True)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, wide = shared().single, len(state.value["decoded"]) > 1 << 16
-        held: list[pa.RecordBatch] = []
+        pieces, wide = shared(), len(state.value["decoded"]) > 1 << 16
+        held: list[tuple[pa.Array, pa.Array]] = []
 
         def flush() -> pa.RecordBatch:
-            lists = pa.concat_arrays([x.column("ids") for x in held])
-            ids = lists.flatten().to_numpy()
-            ids = np.where(ids < 0, single[np.where(ids < 0, -1 - ids, 0)], ids)
-            blocks = np.concatenate([x.column("block").to_numpy() for x in held])
-            return _payload(list(_packed(blocks, ids, lists.value_lengths().to_numpy().astype(np.int64), wide)), False)
+            lists = pa.concat_arrays([x[1] for x in held])
+            blocks = np.concatenate([x[0].to_numpy() for x in held])
+            return _payload(list(_packed(blocks, lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64), wide)), False)
 
         for batch in batches:
             if batch.num_rows:
-                held.append(batch)
-            if sum(x.num_rows for x in held) >= DEALT:
+                ids = batch.column(2)
+                if not pieces.unigram:
+                    # a unit's rows come one after the other
+                    units = batch.column(1)
+                    new = np.append(True, pc.not_equal(units[1:], units[:-1]).to_numpy(zero_copy_only=False))
+                    rows = pa.array(np.flatnonzero(new))
+                    ids = paths(pieces, units.take(rows), ids.take(rows)).take(pa.array(np.cumsum(new) - 1))
+                held.append((batch.column(0), ids))
+            if sum(len(x[0]) for x in held) >= DEALT:
                 yield flush()
                 held = []
         if held:
@@ -506,8 +587,9 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram
     parts = unit_partitions(total, least)
     # each block names a unit once, so combining before the exchange would gain nothing
     seen = rows.mapInArrow(io.releasing(cut), "unit string, block long").repartition(parts, "unit")
-    coded = encode_units(seen.groupBy("unit").agg(F.count("block").alias("n")).filter("n > 0").select("unit"), pieces)
-    dealt = seen.join(coded.hint("merge"), "unit").select("block", "ids").mapInArrow(io.releasing(deal), "block long, text boolean, payload binary")
+    distinct = seen.groupBy("unit").agg(F.count("block").alias("n")).filter("n > 0").select("unit")
+    coded = best_paths(distinct, pieces) if unigram else lattices(distinct, pieces)
+    dealt = seen.join(coded.hint("merge"), "unit").select("block", *coded.columns).mapInArrow(io.releasing(deal), "block long, text boolean, payload binary")
     packed = rows.mapInArrow(io.releasing(pack), "block long, text boolean, payload binary")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -530,7 +612,7 @@ def encode(docs: DataFrame, path: str | None = None, whole: bool = True, unigram
 
     def answer(block: Block, batch: pa.RecordBatch, table: pa.Array) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        raws = [block.encoded(text) for text in texts]
+        raws = block.encoded(texts)
         sizes = np.array([len(x) // 4 for x in raws], np.int64)
         ids = np.frombuffer(b"".join(raws), np.int32)
         back = decoded_texts(ids, sizes, table)

@@ -538,6 +538,41 @@ def test_quality_verdict_by_all_spans():
             assert x["kept"] == (not x["base_failed"] and share <= 0.3 and x["longest_repeat"] <= 60)
 
 
+def test_piece_encoding_of_words_that_share_units(spark, monkeypatch):
+    """A word enters the lattice once, whatever stands beside it that no piece joins to it; blanks in a row and U+2581 too."""
+    seen, whole = [], piece_encoding.lattices
+    monkeypatch.setattr(piece_encoding, "lattices", lambda units, pieces: seen.append(units) or whole(units, pieces))
+    marks = ["", "é", "中", "§", ",é", "\u0301", "%&", "\n"]
+    rows = [(k, f"house{m} {m}house{m}{m}  house{m}▁house{m} ") for k, m in enumerate(marks)] + [(20, "  "), (21, "▁"), (22, " é "), (23, None)]
+    path = piece_encoding.model_path()
+    got = piece_encoding.encode(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(got, "doc_id n_pieces pieces_sha256", brute.pieces(rows, path))
+    pairs = piece_encoding.Pieces(path).pairs
+    units = [r["unit"] for df in seen for r in df.collect()]
+    assert len(set(units)) == len(units) and {"▁house", "house"} <= set(units)
+    assert all(u[k : k + 2] in pairs for u in units for k in range(len(u) - 1)), units
+
+
+@pytest.mark.parametrize("folded", [piece_encoding.FOLDED, 1])
+def test_paths_of_many_units_at_once(monkeypatch, folded):
+    """The fold gives what merging gives, for all units of a batch."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(piece_encoding, "FOLDED", folded)
+    pieces = piece_encoding.Pieces(piece_encoding.model_path())
+    number = {row[0]: row[1] for row in pieces.rows()}
+    r = random.Random(71)
+    units = ["".join(r.choices("etaoinshrdl", k=r.randint(2, 64))) for _ in range(150)] + ["▁" + "".join(r.choices("étinge", k=r.randint(1, 20))) for _ in range(150)]
+    units += [c * n for c in ("=", "th", "a", "ing") for n in (2, 7, 16)]
+    edges = [
+        sorted((s + n << 40) + (s << 32) + number[u[s : s + n]] for s in range(len(u)) for n in range(2, len(u) - s + 1) if u[s : s + n] in number)
+        for u in units
+    ]
+    some = [k for k, x in enumerate(edges) if x]
+    got = piece_encoding.paths(pieces, pa.array([units[k] for k in some]), pa.array([edges[k] for k in some], pa.list_(pa.int64())))
+    assert got.to_pylist() == [pieces.merged(units[k]) for k in some] and len(some) > 250
+
+
 def test_piece_encoding_recovers_from_other_blocks(spark, monkeypatch):
     """Units that a block doesn't find are merged where they stand: the same ids."""
     monkeypatch.setattr(piece_encoding, "LONG", 1)
