@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import messages, providers, retrieval
+from quarry.plans import catalogue
 from quarry.sources import export
 
 
@@ -116,3 +117,13 @@ def test_targets_in_all_shapes(spark):
     }
     df = spark.createDataFrame([(t,) for t in shapes], "t string").select("t", store.parsed_target(F.col("t"), ("hub.example",)).alias("x"))
     assert {r["t"]: tuple(r["x"]) if r["x"] else None for r in df.collect()} == shapes
+
+
+def test_the_search_tool_answers_every_question(spark, tmp_path):
+    texts = ["red apple pie", "green apple", "red car", "blue sky over a lake"]
+    documents = [(k, t, "en", "s") for k, t in enumerate(texts)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "apple"), (2, "car"), (3, "sky"), (4, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["question_id"]: r["output"] for r in catalogue.QUERIES["q_search_tool"](spark, str(tmp_path)).collect()}
+    assert "apple pie" in got[1] and "green apple" in got[1] and got[2] == "[1] s/2.md\nred car" and got[3] == "[1] s/3.md\nblue sky over a lake"
+    assert got[4] == retrieval.NOTHING_FOUND
