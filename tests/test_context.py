@@ -127,3 +127,13 @@ def test_the_search_tool_answers_every_question(spark, tmp_path):
     got = {r["question_id"]: r["output"] for r in catalogue.QUERIES["q_search_tool"](spark, str(tmp_path)).collect()}
     assert "apple pie" in got[1] and "green apple" in got[1] and got[2] == "[1] s/2.md\nred car" and got[3] == "[1] s/3.md\nblue sky over a lake"
     assert got[4] == retrieval.NOTHING_FOUND
+
+
+@pytest.mark.parametrize("step", ["keyword", "nearest"])
+def test_a_context_whose_provider_failed_is_no_result(spark, monkeypatch, step):
+    def broken(*args, **more):
+        raise ConnectionError("no answer")
+
+    monkeypatch.setattr(retrieval, step, broken)
+    with pytest.raises(RuntimeError, match=f"^{'words' if step == 'keyword' else 'meaning'}: ConnectionError: no answer$"):
+        catalogue.QUERIES["q_context_providers"](spark, "/root/testdata/sf0.001")
