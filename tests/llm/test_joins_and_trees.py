@@ -180,6 +180,61 @@ def test_every_similar_pair_shares_a_key(monkeypatch):
         assert np.intersect1d(keys[row == 0], keys[row == 1]).size
 
 
+def bucket_rows(monkeypatch):
+    """The rows of every table of buckets that is written from now on."""
+    counts, whole = [], io.written
+
+    def counted(df):
+        out = whole(df)
+        if out.columns == ["key", "node", "center"]:
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(io, "written", counted)
+    return counts
+
+
+def test_keys_of_the_same_nodes_are_one_bucket(spark, monkeypatch):
+    rows, pairs = [], 20
+    for k in range(pairs):
+        base = prose(350 + k, 100)
+        rows += [(2 * k, base), (2 * k + 1, variant(base, 50))]
+    counts = bucket_rows(monkeypatch)
+    same(jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), JACCARD, brute.jaccard(rows))
+    assert len(counts) == 1 and 2 * pairs <= counts[0] <= 4 * pairs
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_small_buckets_are_compared_together(monkeypatch, whole):
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    n_buckets, names = 500, ["key", "chunk", "node", "root", "n", *jaccard_join.SKETCH]
+    size = r.integers(1, 14, n_buckets)
+    key = np.repeat(np.arange(n_buckets), size)
+    node = np.concatenate([r.choice(300, k, replace=False) for k in size])
+    n = r.integers(80, 120, 300)
+    # near and far sketches, the first bit of a word among them
+    sketch = r.integers(-(1 << 63), 1 << 63, (4, 4))[r.integers(0, 4, 300)] ^ np.where(r.random((300, 4)) < 0.5, np.int64(-(1 << 63)), 0)
+    columns = [key, np.zeros(len(key), np.int64), node, node % 40, n[node], *sketch[node].T]
+    rows = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
+    alone, one = [], jaccard_join.bucket_pairs
+    monkeypatch.setattr(jaccard_join, "bucket_pairs", lambda rows, *more: alone.append(len(rows)) or one(rows, *more))
+    batches = [rows.slice(k, 100) for k in range(0, len(key), 100)]
+    got = {(int(a), int(b)) for x in jaccard_join.across(iter(batches), whole) for a, b in zip(*x.columns, strict=True) for a, b in [(a.as_py(), b.as_py())]}
+    expected = set()
+    for k in range(n_buckets):
+        own = node[key == k]
+        for a in own:
+            for b in own:
+                differing = sum(int(x).bit_count() for x in (sketch[a] ^ sketch[b]).view(np.uint64))
+                fits = 10 * min(n[a], n[b]) >= 9 * max(n[a], n[b]) and 19 * differing <= n[a] + n[b]
+                if a < b and a % 40 != b % 40 and fits and (whole or len(own) <= 12):
+                    expected.add((int(a), int(b)))
+    assert len(expected) > 100 and (got == expected if whole else got >= expected)
+    assert len(alone) == (size == 13).sum()
+
+
 # --- 13
 
 
