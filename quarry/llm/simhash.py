@@ -8,9 +8,11 @@ links together, and each candidate is verified on all bits. Components of the li
 
 A `Scheme` names the shingles, the hash, the segments and the distance. `CONTRACT` (4 words, 64 bits, 3 segments, 4 bits)
 is the query's. `SIMILAR` is for near copies of 5-word shingles and a similarity of 0.8 or more: such pairs differ by 17
-of 128 bits in the mean, so it takes up to 25 as candidates, with 13 segments, and `keep` verifies them on their whole
-sets of shingles; README says what share of such pairs it finds. Every pair of candidates whose ends aren't yet of one class
-is verified, also one that a bucket's spanning forest leaves out.
+of 128 bits in the mean, so it takes up to 25 as candidates, and `keep` verifies them on their whole sets of shingles;
+README says what share of such pairs it finds. Segments short enough for 25 bits give buckets that grow with the square of
+the corpus, so `keep` files nodes by shingles instead, as operator 12 does: two sets of that similarity share one of the rare
+shingles of their prefixes, or a run of frequent ones. Every pair of a bucket that is near by its fingerprints, and whose
+ends aren't yet of one class, is verified.
 
 Equal fingerprints are one class from the start, so only distinct fingerprints are filed, however many copies exist.
 Within a variant's bucket no list of all pairs is made: fingerprints already reached leave the search, which gives a
@@ -30,11 +32,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import io, jaccard_join
-from quarry.llm.components import components, contracted, stars
+from quarry.llm.components import components
 from quarry.llm.text import SPACED, lower_ascii, mix, signed, steps, utf8, words
 
 #: Most distinct fingerprints of a bucket that meet in one task at once.
@@ -47,8 +50,8 @@ BLOCK = 1 << 18
 SHARE = (4, 5)
 #: A table of keys up to this many rows is broadcast.
 BROADCAST_ROWS = 1_000_000
-#: What a node of a class carries besides its fingerprint.
-CLASSED = ["root", "n", *jaccard_join.SKETCH]
+#: What a node carries besides its fingerprint: the number of its shingles and their sketch.
+SIZED = ["n", *jaccard_join.SKETCH]
 
 
 @dataclass(frozen=True)
@@ -121,24 +124,29 @@ def _words(batch: pa.RecordBatch, scheme: Scheme) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy().view(np.uint64) for c in _columns(scheme)])
 
 
-def fingerprints(rows: DataFrame, ids: dict[str, str], scheme: Scheme = CONTRACT, sketched: bool = False) -> DataFrame:
-    """The `ids` (column: type) of `rows`, node, and the fingerprint's words fp0, ... (as signed longs); if `sketched`, also n,
-    the number of distinct shingles, and their sketch."""
+def fingerprints(rows: DataFrame, ids: dict[str, str], scheme: Scheme = CONTRACT, levels: Broadcast | None = None) -> DataFrame:
+    """The `ids` (column: type) of `rows`, node, and the fingerprint's words fp0, ... (as signed longs); with the `levels` of classes
+    of shingles also SIZED, and the keys under which a similar set is found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             fps = fingerprints_of(batch.column("text"), scheme)
             more = []
-            if sketched:
+            if levels is not None:
                 tokens, row, n = jaccard_join.token_sets(batch.column("text"), scheme.shingle)
                 sketch = jaccard_join.parities(tokens, row, np.full(len(n), 256)).view(np.int64).reshape(-1, 4)
+                of, keys = jaccard_join.index_keys(tokens, row, n, *levels.value, SHARE, np.inf)
+                order = np.argsort(of, kind="stable")
+                bounds = np.searchsorted(of[order], np.arange(len(n) + 1))
                 more = [pa.array(n), *[pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(4)]]
+                more.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(signed(keys[order]))))
             words_ = [pa.array(signed(np.ascontiguousarray(fps[:, k]))) for k in range(scheme.width)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ids], pa.array(node_of(fps)), *words_, *more], names)
 
-    numbers = ["node", *_columns(scheme), *(CLASSED[1:] if sketched else [])]
-    names = [*ids, *numbers]
-    schema = ", ".join([*[f"{c} {kind}" for c, kind in ids.items()], *[f"{c} long" for c in numbers]])
+    numbers = ["node", *_columns(scheme), *(SIZED if levels is not None else [])]
+    lists = [] if levels is None else ["keys"]
+    names = [*ids, *numbers, *lists]
+    schema = ", ".join([*[f"{c} {kind}" for c, kind in ids.items()], *[f"{c} long" for c in numbers], *[f"{c} array<long>" for c in lists]])
     return rows.select(*ids, "text").mapInArrow(io.releasing(run), schema)
 
 
@@ -198,27 +206,6 @@ def first_variant(x: np.ndarray, y: np.ndarray, scheme: Scheme) -> np.ndarray:
     return out
 
 
-def across(rows: np.ndarray, masked: int, scheme: Scheme) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links of a bucket (whose variants mask the bit `masked`) between different classes. A link is found in the first bucket that holds both ends, and in no other; sizes and sketches have to allow
-    its ends to be similar. `rows`: fingerprint, root, number of shingles and sketch."""
-    fps, root, n = np.ascontiguousarray(rows[:, : scheme.width]).view(np.uint64), rows[:, scheme.width], rows[:, scheme.width + 1]
-    sketch = np.ascontiguousarray(rows[:, scheme.width + 2 :]).view(np.uint64)
-    values, counts = np.unique(root, return_counts=True)
-    if len(values) < 2:
-        return
-    # the members of the largest class needn't be compared with each other
-    few = np.flatnonzero(root != values[np.argmax(counts)])
-    for at in range(0, len(few), max(1, BLOCK // len(fps))):
-        i = few[at : at + max(1, BLOCK // len(fps))]
-        x, y = np.nonzero(near(fps[i, None, :], fps[None, :, :], scheme.bits) & (root[i, None] != root[None, :]))
-        x = i[x]
-        own = first_variant(fps[x], fps[y], scheme) == masked
-        x, y = x[own], y[own]
-        own = jaccard_join.allowed(n[x], n[y], np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64), SHARE)
-        if own.any():
-            yield fps[x[own]], fps[y[own]]
-
-
 def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[np.ndarray]:
     """The rows of some buckets (the first two columns name them) of a sorted partition; one that goes on in the next
     batch waits for it."""
@@ -259,22 +246,10 @@ def bucket_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def class_links(batches: Iterator[pa.RecordBatch], scheme: Scheme) -> Iterator[pa.RecordBatch]:
-    """Links between the classes of each bucket of a sorted partition."""
-    for ready in _buckets(batches, ["variant", "chunks", *_columns(scheme), *CLASSED]):
-        new = np.flatnonzero(np.concatenate(([True], (ready[1:, :2] != ready[:-1, :2]).any(axis=1))))
-        for first, last in zip(new, [*new[1:], len(ready)], strict=True):
-            own = ready[first:last]
-            masked = int(own[0, 0].view(np.uint64) >> np.uint64(22))
-            for x, y in across(own[:, 2:], masked, scheme):
-                ends = np.sort(np.column_stack((node_of(x), node_of(y))), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
-
-
-def links(fps: DataFrame, scheme: Scheme = CONTRACT, across_classes: bool = False) -> DataFrame:
+def links(fps: DataFrame, scheme: Scheme = CONTRACT) -> DataFrame:
     """Links (a, b) of nodes whose components are those of all pairs of distinct fingerprints (fp0, ...) at most
-    `scheme.bits` bits apart; or all links between different classes (columns CLASSED) whose ends may be similar."""
-    names = [*_columns(scheme), *(CLASSED if across_classes else [])]
+    `scheme.bits` bits apart."""
+    names = _columns(scheme)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,7 +269,6 @@ def links(fps: DataFrame, scheme: Scheme = CONTRACT, across_classes: bool = Fals
                 some = _words(batch.slice(at, 4096), scheme)
                 keys = signed(variants(some, scheme))
                 own = np.tile(np.arange(len(some)), len(keys) // len(some))
-                rest = [batch.column(c).slice(at, 4096).to_numpy() for c in CLASSED] if across_classes else []
                 chunks = np.zeros(len(keys), np.int64)
                 if len(large):
                     # a heavy bucket's fingerprint meets every chunk: one row for each pair of its chunk and another
@@ -312,12 +286,12 @@ def links(fps: DataFrame, scheme: Scheme = CONTRACT, across_classes: bool = Fals
                     own = np.concatenate((own[cold], np.array(more_own, np.int64)))
                     chunks = np.concatenate((chunks[cold], np.array(more_chunks, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(chunks), *[pa.array(signed(np.ascontiguousarray(some[own, k]))) for k in range(scheme.width)], *[pa.array(x[own]) for x in rest]],
+                    [pa.array(keys), pa.array(chunks), *[pa.array(signed(np.ascontiguousarray(some[own, k]))) for k in range(scheme.width)]],
                     ["variant", "chunks", *names],
                 )
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return class_links(batches, scheme) if across_classes else bucket_links(batches, scheme)
+        return bucket_links(batches, scheme)
 
     return (
         fps.select(*names)
@@ -370,26 +344,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def similar_links(fps: DataFrame, nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links whose components are those of all pairs of nodes that are at most `scheme.bits` apart and similar. `fps`: node
-    and fingerprint.
-
-    The forest of each bucket comes first. Where its links hold nodes together that turn out to be of several classes, the
-    buckets are searched again, among these nodes alone, for all links between the classes.
-    """
-    ordered = lambda pairs: io.checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    tested = ordered(links(fps, scheme))
-    found = jaccard_join.verified(jaccard_join.possible(tested, nodes, SHARE), nodes, docs, scheme.shingle, SHARE)
-    # a node has many links within its class, so those between classes are few
-    roots = io.checkpointed(components(found))
-    near_ = components(contracted(tested, roots)).select(F.col("node").alias("root"), F.col("root").alias("near"))
-    classed = io.checkpointed(near_.join(roots, "root", "left").select(F.coalesce("node", "root").alias("node"), "root", "near"))
-    # two nodes have been compared by their one link
-    mixed = classed.groupBy("near").agg(F.count("*").alias("n")).filter("n > 2")
-    open_ = classed.join(mixed.select("near"), "near", "left_semi").select("node", "root")
-    again = io.checkpointed(fps.join(open_, "node").join(nodes.select("node", *CLASSED[1:]), "node"))
-    more = ordered(links(again, scheme, across_classes=True)).join(tested, ["a", "b"], "left_anti")
-    return stars(roots).unionByName(jaccard_join.verified(more, nodes, docs, scheme.shingle, SHARE))
+def similar_links(marked: DataFrame, nodes: DataFrame, docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Links whose components are those of all pairs of nodes that are at most `scheme.bits` apart and similar. `marked`: node
+    and keys; `nodes`: node, fingerprint, SIZED, and the hashes of its text."""
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        near_ = jaccard_join.possible(pairs, nodes, SHARE, tuple(_columns(scheme)), scheme.bits)
+        return jaccard_join.verified(near_, nodes, docs, scheme.shingle, SHARE)
+
+    buckets = jaccard_join.bucketed(marked.select(F.explode("keys").alias("key"), "node"))
+    return jaccard_join.search(buckets, nodes, similar, components, SHARE, tuple(_columns(scheme)), scheme.bits)
 
 
 def keep(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
@@ -399,12 +363,15 @@ def keep(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = whole.select(F.col("row.doc_id").alias("doc_id"), "h1", "h2", F.coalesce("row.text", F.lit("")).alias("text"))
     rows = rows.select("*", *jaccard_join.text_hashes())
-    marked = io.checkpointed(fingerprints(rows, {"doc_id": kind, "h1": "long", "h2": "long", "k1": "long", "k2": "long"}, scheme, sketched=True))
-    rest = ["k1", "k2", *CLASSED[1:]]
+    counts = jaccard_join.class_counts(rows, scheme.shingle)
+    levels = docs.sparkSession.sparkContext.broadcast(jaccard_join.levels_of(counts))  # CLASSES bytes
+    ids = {"doc_id": kind, "h1": "long", "h2": "long", "k1": "long", "k2": "long"}
+    marked = io.written(fingerprints(rows, ids, scheme, levels))
+    rest = ["k1", "k2", *_columns(scheme), *SIZED]
     item = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2", *rest)
     own = io.checkpointed(marked.groupBy("node").agg(F.min(item).alias("least")))
     nodes = own.select("node", *[F.col(f"least.{c}").alias(c) for c in rest])
-    roots = components(similar_links(distinct_nodes(marked, scheme), nodes, docs, scheme))
+    roots = components(similar_links(marked, nodes, docs, scheme))
     best = own.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("least"))
     chosen = io.checkpointed(best.select(F.col("least.h1").alias("h1"), F.col("least.h2").alias("h2")))
     counts = marked.groupBy("h1", "h2").agg(F.count("*").alias("n"))

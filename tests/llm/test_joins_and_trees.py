@@ -319,6 +319,42 @@ def test_no_similar_candidate_is_left_out(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in simhash.keep(df).collect()) == expected
 
 
+def test_every_pair_of_near_copies_shares_a_key():
+    """As for operator 12, at the least similarity of near copies, and with single rare tokens whatever the size."""
+    from quarry.llm import simhash
+
+    r, seen = np.random.default_rng(13), 0
+    for _ in range(300):
+        size = int(r.integers(2, 120))
+        x = r.choice(10_000, size, replace=False)
+        y = np.concatenate((x[r.integers(0, size // 5 + 1) :], 10_000 + r.choice(10_000, r.integers(0, size // 4 + 1), replace=False)))
+        level = np.zeros(jaccard_join.CLASSES, np.uint8)
+        spread = np.arange(20_000, dtype=np.uint64) << np.uint64(40)
+        level[:20_000] = r.integers(0, 6, 20_000)
+        sets = [np.unique(spread[v]) for v in (x, y)]
+        both = len(np.intersect1d(*sets))
+        if 5 * both < 4 * (len(sets[0]) + len(sets[1]) - both) or np.array_equal(*sets):
+            continue
+        seen += 1
+        n = np.array([len(v) for v in sets])
+        row, keys = jaccard_join.index_keys(np.concatenate(sets), np.repeat([0, 1], n), n, level, int(r.integers(0, 7)), simhash.SHARE, np.inf)
+        assert np.intersect1d(keys[row == 0], keys[row == 1]).size
+    assert seen > 50
+
+
+@pytest.mark.parametrize("n", [50, 300])
+def test_texts_that_share_nothing_never_meet(spark, monkeypatch, n):
+    """However many there are: segments of fingerprints brought ever more of them together."""
+    from quarry.llm import simhash
+
+    base = prose(999, 60)
+    rows = [(k, " ".join(f"{k}w{j}" for j in range(40))) for k in range(n)] + [(n, base), (n + 1, variant(base, 5))]
+    counts = bucket_rows(monkeypatch)
+    kept = simhash.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(n + 1))
+    assert len(counts) == 1 and 2 <= counts[0] < 20
+
+
 def test_the_first_variant_is_the_first_that_both_have():
     from quarry.llm import simhash
 
