@@ -235,6 +235,22 @@ def test_small_buckets_are_compared_together(monkeypatch, whole):
     assert len(alone) == (size == 13).sum()
 
 
+def test_a_pair_of_large_buckets_is_returned_by_the_first():
+    import pyarrow as pa
+
+    n, n_keys = 20, 30
+    node = np.arange(n)
+    batches = []
+    for key in range(n_keys):
+        columns = [np.full(n, key), np.zeros(n, np.int64), node, node, np.full(n, 100), *np.zeros((4, n), np.int64)]
+        earlier = pa.array([[k for k in range(key) if (k + x) % 7] for x in node.tolist()], pa.list_(pa.int64()))
+        # a node isn't in every bucket
+        own = np.flatnonzero((key + node) % 7)
+        batches.append(pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], earlier], ["key", "chunk", "node", "root", "n", *jaccard_join.SKETCH, "earlier"]).take(pa.array(own)))
+    got = [tuple(p) for x in jaccard_join.across(iter(batches), True) for p in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)]
+    assert sorted(got) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+
+
 # --- 13
 
 
